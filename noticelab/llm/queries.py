@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import toxicity
+from . import neardup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op10_minhash_neardup": neardup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
