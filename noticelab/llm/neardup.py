@@ -17,8 +17,8 @@
 
 Nothing is capped: rows that a window or a block's end parts meet in other
 orders.  At the similarity of 0.75 two texts meet in one order with
-probability 0.75^MIN_DEPTH = 0.56, in one of twelve with 0.99995; the agreement
-of 128 signature values is let through from 0.60, 3.9 standard errors below.
+probability 0.75^MIN_DEPTH = 0.56, in one of twelve with 0.99995; an estimate
+from 128 signature values is let through from 0.60, 3.7 standard errors below.
 
 Cases: a text with fewer than five words is one shingle; an empty, blank or
 null text has no shingle and is linked with nothing; rows that repeat an id
@@ -45,7 +45,7 @@ TREES, DEPTH, STRIDE = 12, 6, 10
 VALUES = 128  #: signature values; order t starts at value STRIDE * t
 MIN_DEPTH = 2
 WINDOW, BLOCK, OVERLAP = 64, 256, 64
-AGREE = 0.60
+AGREE = 0.60 + 0.40 / 16  #: of 4-bit values, one in sixteen of which agrees by chance
 
 
 def _hasher() -> _words.Hasher:
@@ -93,8 +93,9 @@ def _sketch(frames):
                 rows.append((0, None, None, None, None))
                 continue
             sig = signature(found, factors, addends)
-            labels = b"".join(sig[STRIDE * t : STRIDE * t + DEPTH].astype(">u4").tobytes() for t in range(TREES))
-            rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), labels, (sig & np.uint32(255)).astype(np.uint8).tobytes(), packer.compress(text.encode("utf-8", "surrogatepass"))))
+            labels = b"".join(bytes([t]) + (sig[STRIDE * t : STRIDE * t + DEPTH] >> np.uint32(16)).astype(">u2").tobytes() for t in range(TREES))
+            low = (sig & np.uint32(15)).astype(np.uint8)
+            rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), labels, (low[::2] << 4 | low[1::2]).tobytes(), packer.compress(text.encode("utf-8", "surrogatepass"))))
         yield pd.DataFrame({"doc_id": pdf["doc_id"]}).join(pd.DataFrame(rows, columns=["n_shingles", "digest", "labels", "bits", "packed"], index=pdf.index))
 
 
@@ -116,9 +117,10 @@ def _scan(rows: pd.DataFrame) -> pd.DataFrame:
     out = {"block": [], "doc_id": []}
     n = len(rows)
     if n > 1:
-        ids, tree = rows["doc_id"].to_numpy(), rows["tree"].to_numpy()
-        top = np.frombuffer(b"".join(x[: 4 * MIN_DEPTH] for x in rows["label"]), f">u{4 * MIN_DEPTH}").astype(np.uint64) ^ (tree.astype(np.uint64) << np.uint64(56))
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(n, VALUES)
+        ids = rows["doc_id"].to_numpy()
+        top = np.frombuffer(b"".join(x[: 1 + 2 * MIN_DEPTH].ljust(8) for x in rows["label"]), ">u8")
+        bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(n, VALUES // 2)
+        bits = np.concatenate([bits >> 4, bits & 15], 1)
         touched, reach = np.zeros(n, bool), np.zeros(n + 1, np.int32)
         for s in range(1, min(WINDOW, n - 1) + 1):
             near = np.flatnonzero(top[s:] == top[:-s])
@@ -193,14 +195,15 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     linkable = sketches.where("n_shingles > 0 and doc_id is not null")
     firsts = _shared.written(linkable.groupBy("digest").agg(F.min("doc_id").alias("node")), "firsts")
-    nodes = linkable.join(firsts.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("doc_id", "labels", "bits")
-    rows = nodes.select("doc_id", "bits", F.posexplode(F.array(*[F.substring("labels", 1 + 4 * DEPTH * t, 4 * DEPTH) for t in range(TREES)])).alias("tree", "label"))
-    order = ["tree", "label", "doc_id"]
-    blocks = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_blocks, "block string, doc_id long")
+    nodes = linkable.select("doc_id", "digest", "labels", "bits").join(firsts.select("digest", F.col("node").alias("doc_id")).hint("merge"), ["digest", "doc_id"], "left_semi").select("doc_id", "labels", "bits")
+    size = 1 + 2 * DEPTH
+    rows = nodes.select("doc_id", "bits", F.explode(F.array(*[F.substring("labels", 1 + size * t, size) for t in range(TREES)])).alias("label"))
+    blocks = rows.repartitionByRange("label", "doc_id").sortWithinPartitions("label", "doc_id").mapInPandas(_blocks, "block string, doc_id long")
     blocks = _shared.written(blocks.distinct(), "blocks")
-    texts = linkable.join(firsts.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("doc_id", "packed")
-    texts = texts.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi")
-    links = blocks.join(texts, "doc_id").groupBy("block").applyInPandas(_confirm, "a long, b long")
+    texts = linkable.select("doc_id", "packed").join(blocks.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    if linkable.groupBy("doc_id").count().where("count > 1").take(1):
+        texts = texts.dropDuplicates()
+    links = blocks.join(texts.hint("merge"), "doc_id").groupBy("block").applyInPandas(_confirm, "a long, b long")
     found = components(links)
     # an id that repeats with other texts ties their sets together through the id
     named = sketches.select("doc_id", "n_shingles", "digest").join(firsts, "digest", "left")
