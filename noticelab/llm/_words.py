@@ -47,13 +47,13 @@ def non_letters() -> np.ndarray:
 class Hasher:
     """Cuts texts into words and hashes stretches of bytes."""
 
-    def __init__(self, breaks: np.ndarray, lower_ascii: bool = True):
-        self.breaks, self.codes = breaks, byte_codes(lower_ascii)
+    def __init__(self, breaks: np.ndarray, lower_ascii: bool = True, chunk: int = CHUNK_BYTES):
+        self.breaks, self.codes, self.chunk = breaks, byte_codes(lower_ascii), chunk
         self.up = self.down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self.up) <= n:
-            size = max(n + 1, CHUNK_BYTES + 1)
+            size = max(n + 1, self.chunk + 1)
             inverse = pow(BASE, -1, 1 << 64)
             for name, base in (("up", BASE), ("down", inverse)):
                 step = np.full(size, base, np.uint64)
@@ -79,11 +79,11 @@ class Hasher:
 
     def chunks(self, texts):
         """(first text, text lengths in words, starts, ends, stretch) for groups of
-        whole texts of about CHUNK_BYTES; a longer text is a group of its own."""
+        whole texts of about self.chunk bytes; a longer text is a group of its own."""
         at, held, size = 0, [], 0
         for i, text in enumerate(texts):
             data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-            if held and size + len(data) > CHUNK_BYTES:
+            if held and size + len(data) > self.chunk:
                 yield self._chunk(at, held)
                 at, held, size = i, [], 0
             held.append(data)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import neardup, toxicity
+from . import decontaminate, neardup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_decontaminate": decontaminate.query,
     "op10_minhash_neardup": neardup.query,
 }
 
