@@ -70,14 +70,14 @@ def put_file(uri: str, data: bytes) -> None:
     system, path = filesystem(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     partial = f"{path}.{uuid.uuid4().hex}.partial"
-    with system.open_output_stream(partial) as out:
+    with system.open_output_stream(partial, compression=None) as out:
         out.write(data)
     system.move(partial, path)
 
 
 def get_file(uri: str) -> bytes:
     system, path = filesystem(uri)
-    with system.open_input_stream(path) as source:
+    with system.open_input_stream(path, compression=None) as source:
         return source.read()
 
 

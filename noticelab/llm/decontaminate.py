@@ -218,14 +218,15 @@ def matches(texts, idx: dict):
         for start, k in candidates(words, limits, idx):
             item, doc = idx["seqs"][k], int(np.searchsorted(limits, start, "right")) - 1
             slack = int(idx["max_edits"] * len(item))
-            if seen.get((doc, k), -1) >= start:  # beside the stretch just confirmed
+            if seen.get((doc, k), -1) >= start:  # beside an exact copy just confirmed
                 continue
             a, b = max(limits[doc], start - 2 * slack), min(limits[doc + 1], start + len(item) + 2 * slack)
             if np.isin(_pairs(item), _pairs(words[a:b])).sum() < len(item) - 1 - 2 * slack:
                 continue
             edits, begin, end = fit_distance(item, words[a:b])
             if edits <= slack:
-                seen[doc, k] = int(a + begin) + slack
+                if not edits:
+                    seen[doc, k] = int(a + begin) + slack
                 got = (edits, int(a + begin - limits[doc]), end - begin)
                 best[doc, k] = min(best.get((doc, k), got), got)
         for (doc, k), (edits, begin, size) in sorted(best.items()):

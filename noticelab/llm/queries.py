@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, toxicity
+from . import decontaminate, neardup, token_ids, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_decontaminate": decontaminate.query,
+    "op4_token_ids": token_ids.query,
+    "op7_warc": warc.query,
+    "op8_topk": topk.query,
     "op10_minhash_neardup": neardup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_topk": topk.ORACLE_SQL,
+}
