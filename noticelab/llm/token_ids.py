@@ -27,14 +27,16 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _shared
 
 END_ID = 2
-FILE_TOKENS = 1 << 22
-CACHE_WORDS = 400_000
+FILE_TOKENS = 1 << 21
+CUT_CHARS = 1 << 20
+CACHE_WORDS = 800_000
 MAGIC = b"VBIDS\x00\x01\x00"
 HEAD = "<8sQQQ"
 
@@ -92,24 +94,71 @@ def unpack(blob: bytes):
 
 class Encoder:
     """A tokenizer of the tokenizers library that remembers what a stretch
-    between blanks encodes to; white space never is part of one of its tokens."""
+    between blanks encodes to.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    White space never is part of one of its tokens and ASCII capitals encode
+    like small letters, so texts are lower-cased and cut at blanks; those that
+    may hold a special token are encoded as they are.  New stretches are
+    encoded together, with a mark between them.  A worker that is reused keeps
+    what it has learned.
+    """
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+    MARK = "\x01"
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tokenizers
+
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.known = tokenizers.__dict__.setdefault("_known_stretches", {}).setdefault(path, {})
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.end = np.array([END_ID], self.type).tobytes()
+        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+
+    def _split(self, text: str | None) -> list[bytes]:
+        if not text or "<|" in text:
+            return []
+        return text.encode("utf-8").lower().replace(b"\n", b" ").split(b" ")
+
+    def _learn(self, stretches: list[bytes]) -> None:
+        mark = self.MARK.encode()
+        alone = [w for w in stretches if mark in w]
+        self.known.update({w: self._direct(w.decode("utf-8")) for w in alone})
+        rest = [w for w in stretches if mark not in w] if alone else stretches
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            got = np.array(self.tokenizer.encode((b" " + mark + b" ").join(part).decode("utf-8"), add_special_tokens=False).ids, self.type)
+            limits = [-1, *np.flatnonzero(got == self.mark).tolist(), len(got)]
+            data, width = got.tobytes(), got.itemsize
+            for word, a, b in zip(part, limits[:-1], limits[1:], strict=True):
+                self.known[word] = data[(a + 1) * width : b * width]
+
+    def _direct(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian integers of self.type."""
+        texts = [t.encode("utf-8", "replace").decode("utf-8") if t else t for t in texts]
+        split = [self._split(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list({w for words in split for w in words} - self.known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = got.ids
-        known = self.known
-        return [np.array([i for w in words for i in known[w]] + [END_ID], np.uint32) for words in split]
+            self.known.clear()
+        look = self.known.get
+        found = [list(map(look, words)) for words in split]
+        lacking = [i for i, got in enumerate(found) if None in got]
+        if lacking:
+            self._learn(list({w for i in lacking for w, got in zip(split[i], found[i]) if got is None}))
+            for i in lacking:
+                found[i] = list(map(look, split[i]))
+        return [(self._direct(t) if t and not words else b"".join(got)) + self.end for t, words, got in zip(texts, split, found)]
+
+
+def _cuts(sizes: np.ndarray, most: int):
+    """Slices of neighbours whose sizes sum to about `most`."""
+    group = np.cumsum(sizes) // most
+    limits = np.flatnonzero(np.diff(group)) + 1
+    return [slice(a, b) for a, b in zip([0, *limits], [*limits, len(sizes)])]
 
 
 def tokenizer_path() -> str:
@@ -118,10 +167,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _smallest(ids: np.ndarray) -> bytes:
-    return zlib.compress(ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4").tobytes(), 1)
-
-
 def write(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode documents (doc_id, text) and write the files.  Returns one row
     per file: path, first start, number of documents and of tokens."""
@@ -132,13 +177,16 @@ def write(docs: DataFrame, path: str | None = None) -> DataFrame:
     def encoded(frames):
         """Each text's ids and its place among the partition's, then the partition's count of each id."""
         encoder, tally, begin = Encoder(path), np.zeros(0, np.int64), 0
+        packer, width = zstandard.ZstdCompressor(level=1), encoder.type.itemsize
         for pdf in frames:
-            got = encoder(pdf["text"].tolist())
-            sizes = np.array([len(x) for x in got])
-            places = begin + np.cumsum(sizes) - sizes
-            begin += int(sizes.sum())
-            tally = _added(tally, np.bincount(np.concatenate(got)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "place": places, "n_tokens": sizes, "wide": [bool(x.max() >= 1 << 16) for x in got], "ids": [_smallest(x) for x in got]})
+            for cut in _cuts(pdf["text"].str.len().fillna(0).to_numpy(), CUT_CHARS):
+                own = pdf.iloc[cut]
+                got = encoder(own["text"].tolist())
+                sizes = np.array([len(x) // width for x in got])
+                places = begin + np.cumsum(sizes) - sizes
+                begin += int(sizes.sum())
+                tally = _added(tally, np.bincount(np.frombuffer(b"".join(got), encoder.type)))
+                yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "place": places, "n_tokens": sizes, "wide": width == 4, "ids": [packer.compress(x) for x in got]})
         some = np.flatnonzero(tally)
         if len(some):
             yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "place": [-1], "n_tokens": [begin], "wide": [False], "ids": [np.stack([some, tally[some]]).astype("<i8").tobytes()]})
@@ -163,7 +211,7 @@ def write(docs: DataFrame, path: str | None = None) -> DataFrame:
         id_of, offsets = held.value
         rank_of = np.zeros(int(id_of.max(initial=0)) + 1, np.uint32)
         rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
-        kept, size = [], 0
+        kept, size, opener = [], 0, zstandard.ZstdDecompressor()
 
         def put():
             docs, starts, counts, ids = (np.concatenate(x) for x in zip(*kept))
@@ -176,7 +224,7 @@ def write(docs: DataFrame, path: str | None = None) -> DataFrame:
                 cut = pdf.iloc[a : a + 256]
                 counts = cut["n_tokens"].to_numpy()
                 starts = cut["place"].to_numpy() + cut["part"].map(offsets).to_numpy()
-                ids = [np.frombuffer(zlib.decompress(x), "<u4" if w else "<u2").astype(np.uint32) for x, w in zip(cut["ids"], cut["wide"])]
+                ids = [np.frombuffer(opener.decompress(x), "<u4" if w else "<u2").astype(np.uint32) for x, w in zip(cut["ids"], cut["wide"])]
                 names = cut["doc_id"].fillna(NO_ID).to_numpy().astype(np.int64)
                 gaps = np.flatnonzero(starts[1:] != (starts + counts)[:-1]) + 1
                 for own in np.split(np.arange(len(cut)), gaps):
