@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, neardup, secret_scan, token_ids, topk, toxicity, warc
+from . import chat, decontaminate, langid, mixing, neardup, secret_scan, token_ids, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -13,9 +13,11 @@ QUERIES = {
     "op6_chat": chat.query,
     "op7_warc": warc.query,
     "op8_topk": topk.query,
+    "op9_mixing": mixing.query,
     "op10_minhash_neardup": neardup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_topk": topk.ORACLE_SQL,
+    "op9_mixing": mixing.ORACLE_SQL,
 }
