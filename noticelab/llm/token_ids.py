@@ -22,8 +22,10 @@ an empty table gives no file and no row; other columns are ignored.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ from . import _shared
 END_ID = 2
 FILE_TOKENS = 1 << 21
 CUT_CHARS = 1 << 20
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 MAGIC = b"VBIDS\x00\x01\x00"
 HEAD = "<8sQQQ"
 
@@ -96,14 +98,17 @@ class Encoder:
     """A tokenizer of the tokenizers library that remembers what a stretch
     between blanks encodes to.
 
-    White space never is part of one of its tokens and ASCII capitals encode
-    like small letters, so texts are lower-cased and cut at blanks; those that
-    may hold a special token are encoded as they are.  New stretches are
-    encoded together, with a mark between them.  A worker that is reused keeps
-    what it has learned.
+    White space never is part of one of its tokens and capitals encode like
+    small letters, so texts are lower-cased and cut at blanks; those that may
+    hold a special token, or characters whose small form depends on context or
+    composition, are encoded as they are.  A new stretch of letters, perhaps
+    with a comma or stop behind, is one piece to the splitting rules and goes
+    to the model at once; others are encoded together, with a mark between
+    them.  A worker that is reused keeps what it has learned.
     """
 
     MARK = "\x01"
+    ODD = ("<|", "\u03a3", "\u0130")
 
     def __init__(self, path: str):
         import os
@@ -113,30 +118,46 @@ class Encoder:
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.known = tokenizers.__dict__.setdefault("_known_stretches", {}).setdefault(path, {})
-        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([END_ID], self.type).tobytes()
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.type = np.dtype(self.code).newbyteorder("<")
+        self.end = array(self.code, [END_ID]).tobytes()
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        # byte-level models write a byte as the character of its number, or of 256 and up where that is not printable
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
 
-    def _split(self, text: str | None) -> list[bytes]:
-        if not text or "<|" in text:
+    def _split(self, text: str | None) -> list[str]:
+        if not text or not text.isascii() and not unicodedata.is_normalized("NFC", text) or any(x in text for x in self.ODD):
             return []
-        return text.encode("utf-8").lower().replace(b"\n", b" ").split(b" ")
-
-    def _learn(self, stretches: list[bytes]) -> None:
-        mark = self.MARK.encode()
-        alone = [w for w in stretches if mark in w]
-        self.known.update({w: self._direct(w.decode("utf-8")) for w in alone})
-        rest = [w for w in stretches if mark not in w] if alone else stretches
+        return text.lower().replace("\n", " ").split(" ")
+
+    def _learn(self, stretches: list[str]) -> None:
+        known, tokenize, rest = self.known, self.tokenizer.model.tokenize, []
+        for stop in ",.":
+            known.setdefault(stop, self._direct(stop))
+        for word in stretches:
+            core = word[:-1] if word[-1:] in (",", ".") else word
+            if core.isalpha() and (core.isascii() or core == core.lower() and unicodedata.is_normalized("NFC", core)):
+                got = known.get(core)
+                if got is None:
+                    text = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.shown)
+                    got = known[core] = array(self.code, [x.id for x in tokenize(text)]).tobytes()
+                if core is not word:
+                    known[word] = got + known[word[-1]]
+            elif self.MARK in word:
+                known[word] = self._direct(word)
+            else:
+                rest.append(word)
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            got = np.array(self.tokenizer.encode((b" " + mark + b" ").join(part).decode("utf-8"), add_special_tokens=False).ids, self.type)
+            got = np.array(self.tokenizer.encode(f" {self.MARK} ".join(part), add_special_tokens=False).ids, self.type)
             limits = [-1, *np.flatnonzero(got == self.mark).tolist(), len(got)]
             data, width = got.tobytes(), got.itemsize
             for word, a, b in zip(part, limits[:-1], limits[1:], strict=True):
-                self.known[word] = data[(a + 1) * width : b * width]
+                known[word] = data[(a + 1) * width : b * width]
 
     def _direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.type."""
@@ -252,10 +273,14 @@ def _added(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _tally(frames):
+    """The counts of a task's rows, summed."""
+    total = np.zeros(0, np.int64)
     for pdf in frames:
         for x in pdf["ids"]:
             ids, n = np.frombuffer(x, "<i8").reshape(2, -1)
-            yield pd.DataFrame({"id": ids, "n": n})
+            total = _added(total, np.bincount(ids, n).astype(np.int64))
+    some = np.flatnonzero(total)
+    yield pd.DataFrame({"id": some, "n": total[some]})
 
 
 def _read(frames):
