@@ -35,9 +35,10 @@ THRESHOLD = 0.7
 
 @dataclass(frozen=True)
 class Settings:
-    max_positives: int = 4000  #: bound of the sample of confirmed toxic texts
-    max_unlabelled: int = 8000  #: bound of the sample of unlabelled texts
-    max_features: int = 50_000
+    max_positives: int = 6000  #: bound of the sample of confirmed toxic texts
+    max_unlabelled: int = 16_000  #: bound of the sample of unlabelled texts
+    max_features: int = 50_000  #: bound of the features that the model keeps, those of most positives first
+    max_candidates: int = 300_000  #: bound of the features that are looked at, likewise
     min_support: int = 2  #: positives that must hold a feature
     min_share: float = 0.003  #: share of the positives that must hold it
     min_posterior: float = 0.6
@@ -81,47 +82,54 @@ def _distinct(rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _bags(texts) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs of all texts, by feature."""
-    rows, codes = [np.zeros(0, int)], [np.zeros(0, np.uint64)]
+    rows, codes = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
     for first, _, r, c in _features(_hasher(), _lowered(texts)):
         r, c = _distinct(r, c)
-        rows.append(r + first)
+        rows.append((r + first).astype(np.int32))
         codes.append(c)
     return _distinct(np.concatenate(rows), np.concatenate(codes))
 
 
 def train(positive: list[str], unlabelled: list[str], prior: float, s: Settings = Settings()) -> dict:
-    """The model: sorted feature codes, one row of weights per member, biases."""
+    """The model from texts at hand: sorted feature codes, one row of weights per member, biases."""
+    (pr, pc), (ur, uc) = _bags(positive), _bags(unlabelled)
+    codes = np.unique(pc)
+    sides = []
+    for r, c in ((pr, pc), (ur, uc)):
+        k = np.minimum(np.searchsorted(codes, c), max(len(codes) - 1, 0))
+        hit = codes[k] == c if len(codes) else np.zeros(len(c), bool)
+        sides.append((r[hit], k[hit]))
+    return learn(codes, sides[0], len(positive), sides[1], len(unlabelled), prior, s)
+
+
+def learn(codes: np.ndarray, p: tuple, n_p: int, u: tuple, n_u: int, prior: float, s: Settings = Settings()) -> dict:
+    """The model from the distinct (row, place in codes) pairs of n_p confirmed and n_u unlabelled texts."""
     empty = {"codes": np.zeros(0, np.uint64), "weights": np.zeros((0, s.members), np.float32), "bias": np.full(s.members, -20.0, np.float32)}
-    if not positive or not unlabelled:
+    if not n_p or not n_u or not len(codes):
         return empty
     prior = min(max(prior, 1e-6), 1 - 1e-6)
-    (pr, pc), (ur, uc) = _bags(positive), _bags(unlabelled)
-    codes, held = np.unique(pc, return_counts=True)
-    u_codes, u_held = np.unique(uc, return_counts=True)
-    at = np.minimum(np.searchsorted(u_codes, codes), max(len(u_codes) - 1, 0))
-    in_u = np.where(u_codes[at] == codes, u_held[at], 0) if len(u_codes) else np.zeros(len(codes))
-    expected, seen = prior * held / len(positive), in_u / len(unlabelled)
+    held, in_u = np.bincount(p[1], minlength=len(codes)), np.bincount(u[1], minlength=len(codes))
+    expected, seen = prior * held / n_p, in_u / n_u
     # where U shows a feature about as often as the positives in U account for, its posterior is near 1
-    slack = np.sqrt(np.maximum(expected, 1 / len(unlabelled)) / len(unlabelled))
-    keep = (held >= max(s.min_support, s.min_share * len(positive))) & (s.min_posterior * (seen - slack) <= expected)
-    strongest = np.argsort(-held[keep], kind="stable")[: s.max_features]
-    codes = np.sort(codes[keep][strongest])
-    if not len(codes):
+    slack = np.sqrt(np.maximum(expected, 1 / n_u) / n_u)
+    keep = (held >= max(s.min_support, s.min_share * n_p)) & (s.min_posterior * (seen - slack) <= expected)
+    kept = np.sort(np.flatnonzero(keep)[np.argsort(-held[keep], kind="stable")[: s.max_features]])
+    if not len(kept):
         return empty
-    sides = []
-    for r, c, n in ((pr, pc, len(positive)), (ur, uc, len(unlabelled))):
-        k = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
-        hit = codes[k] == c
-        order = np.argsort(r[hit], kind="stable")
-        rows = r[hit][order]
-        sides.append((k[hit][order], np.searchsorted(rows, np.arange(n + 1))))
+    place = np.full(len(codes), -1)
+    place[kept] = np.arange(len(kept))
+    codes, sides = codes[kept], []
+    for (rows, k), n in ((p, n_p), (u, n_u)):
+        hit = place[k] >= 0
+        order = np.argsort(rows[hit], kind="stable")
+        sides.append((place[k][hit][order], np.searchsorted(rows[hit][order], np.arange(n + 1))))
     weights, bias = [], []
     for m in range(s.members):
         w, b = _descend(sides, len(codes), prior, s, np.random.default_rng(s.seed + m))
         weights.append(w)
         bias.append(b)
     w, b = np.stack(weights, 1), np.array(bias)
-    zp, zu = (np.stack([_sums(side, w[:, j], np.arange(n))[0] + b[j] for j in range(s.members)], 1).mean(1) for side, n in zip(sides, (len(positive), len(unlabelled))))
+    zp, zu = (np.stack([_sums(side, w[:, j], np.arange(n))[0] + b[j] for j in range(s.members)], 1).mean(1) for side, n in zip(sides, (n_p, n_u)))
     scale = 4.0
     b = scale * (b - _cut(zp, zu, prior)) + np.log(THRESHOLD / (1 - THRESHOLD))
     return {"codes": codes, "weights": (scale * w).astype(np.float32), "bias": b.astype(np.float32)}
@@ -205,26 +213,60 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
     """Train on rows that are not held out.  The samples are bounded by
-    max_positives and max_unlabelled; the class prior is the toxic share of
+    max_positives and max_unlabelled, and only places of features come to the driver; the class prior is the toxic share of
     all labelled rows that are not held out."""
-    learn = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    toxic = learn.where("toxic = 1").select("doc_id")
-    n, n_toxic = learn.agg(F.count("*"), F.sum(F.expr("int(toxic = 1)"))).first()
+    learn_ = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n, n_toxic = learn_.agg(F.count("*"), F.sum(F.expr("int(toxic = 1)"))).first()
+    nothing = (np.zeros(0, int), np.zeros(0, int))
     if not n_toxic:
-        return train([], [], 0.5, s)
+        return learn(np.zeros(0, np.uint64), nothing, 0, nothing, 0, 0.5, s)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     n_texts = texts.count()
-    if not n_texts:
-        return train([], [], 0.5, s)
 
-    def drawn(df: DataFrame, most: int, of: int, salt: int) -> list[str]:
-        share = min(1.0, most / max(of, 1))
-        part = (F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)) if share < 1 else F.lit(True)
-        return [r[0] for r in df.where(part).select("text").limit(most).collect()]
+    def drawn(rows: DataFrame, most: int, of: int, salt: int) -> DataFrame:
+        """About `most` of `of` rows, by a hash of the id."""
+        if of <= most:
+            return rows
+        return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(most / of * (1 << 30)))
 
-    positive = drawn(texts.join(toxic, "doc_id", "left_semi"), s.max_positives, n_toxic, 1)
+    # at most max_positives ids, so they may be broadcast
+    toxic = drawn(learn_.where("toxic = 1").select("doc_id"), s.max_positives, n_toxic, 1).limit(s.max_positives)
+    positive = texts.join(F.broadcast(toxic), "doc_id", "left_semi")
     unlabelled = drawn(texts, s.max_unlabelled, n_texts, 2)
-    return train(positive, unlabelled, n_toxic / n, s)
+    counts = positive.select("text").mapInPandas(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    least = max(s.min_support, int(s.min_share * min(n_toxic, s.max_positives) * 0.9))
+    top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "code").limit(s.max_candidates)
+    codes = np.sort(np.array([r[0] for r in top.select("code").collect()], np.int64).view(np.uint64))
+    held = docs.sparkSession.sparkContext.broadcast(codes)
+
+    def places(frames):
+        for pdf in frames:
+            for a in range(0, len(pdf), 256):
+                rows, found = _bags(pdf["text"].iloc[a : a + 256].tolist())
+                k = np.minimum(np.searchsorted(held.value, found), max(len(held.value) - 1, 0))
+                hit = held.value[k] == found if len(held.value) else np.zeros(len(found), bool)
+                order = np.argsort(rows[hit], kind="stable")
+                parts = np.split(k[hit][order].astype("<i4"), np.searchsorted(rows[hit][order], np.arange(1, len(pdf.iloc[a : a + 256]))))
+                yield pd.DataFrame({"places": [x.tobytes() for x in parts]})
+
+    def gathered(rows: DataFrame, most: int) -> tuple[tuple, int]:
+        got = [np.frombuffer(r[0], "<i4") for r in rows.select("text").mapInPandas(places, "places binary").limit(most).collect()]
+        return (np.repeat(np.arange(len(got)), [len(x) for x in got]), np.concatenate([*got, np.zeros(0, "<i4")]).astype(int)), len(got)
+
+    (p, n_p), (u, n_u) = gathered(positive, s.max_positives), gathered(unlabelled, s.max_unlabelled)
+    return learn(codes, p, n_p, u, n_u, n_toxic / n, s)
+
+
+def _counted(frames):
+    """How many of a task's texts hold each feature."""
+    held, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for pdf in frames:
+        for a in range(0, len(pdf), 256):
+            found, times = np.unique(_bags(pdf["text"].iloc[a : a + 256].tolist())[1], return_counts=True)
+            both = np.concatenate([held, found])
+            held, at = np.unique(both, return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, times])).astype(np.int64)
+    yield pd.DataFrame({"code": held.view(np.int64), "n": n})
 
 
 def apply(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
