@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared
+from . import _shared, _words
 
 END_ID = 2
 FILE_TOKENS = 1 << 21
@@ -105,6 +105,9 @@ class Encoder:
     with a comma or stop behind, is one piece to the splitting rules and goes
     to the model at once; others are encoded together, with a mark between
     them.  A worker that is reused keeps what it has learned.
+
+    Stretches are found and told apart by numpy for many texts at once; only
+    one of each is looked up, and the ids of all are gathered by their places.
     """
 
     MARK = "\x01"
@@ -122,30 +125,34 @@ class Encoder:
         self.type = np.dtype(self.code).newbyteorder("<")
         self.end = array(self.code, [END_ID]).tobytes()
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        breaks = np.zeros(256, bool)
+        breaks[[10, 32]] = True
+        self.hasher = _words.Hasher(breaks, lower_ascii=False)
         # byte-level models write a byte as the character of its number, or of 256 and up where that is not printable
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
 
-    def _split(self, text: str | None) -> list[str]:
-        if not text or not text.isascii() and not unicodedata.is_normalized("NFC", text) or any(x in text for x in self.ODD):
-            return []
-        return text.lower().replace("\n", " ").split(" ")
+    def _plain(self, text: str | None) -> bool:
+        """Whether a text may be cut at blanks; a null or empty one may."""
+        return not text or text.isascii() and "<|" not in text or not any(x in text for x in self.ODD) and unicodedata.is_normalized("NFC", text)
 
-    def _learn(self, stretches: list[str]) -> None:
+    def _learn(self, stretches: list[bytes]) -> None:
         known, tokenize, rest = self.known, self.tokenizer.model.tokenize, []
         for stop in ",.":
-            known.setdefault(stop, self._direct(stop))
-        for word in stretches:
+            known.setdefault(stop.encode(), self._direct(stop))
+        for key in stretches:
+            word = key.decode("utf-8")
             core = word[:-1] if word[-1:] in (",", ".") else word
             if core.isalpha() and (core.isascii() or core == core.lower() and unicodedata.is_normalized("NFC", core)):
-                got = known.get(core)
+                stem = key if core is word else key[:-1]
+                got = known.get(stem)
                 if got is None:
-                    text = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.shown)
-                    got = known[core] = array(self.code, [x.id for x in tokenize(text)]).tobytes()
+                    text = core if core.isascii() else stem.decode("latin-1").translate(self.shown)
+                    got = known[stem] = array(self.code, [x.id for x in tokenize(text)]).tobytes()
                 if core is not word:
-                    known[word] = got + known[word[-1]]
+                    known[key] = got + known[key[-1:]]
             elif self.MARK in word:
-                known[word] = self._direct(word)
+                known[key] = self._direct(word)
             else:
                 rest.append(word)
         for at in range(0, len(rest), 4096):
@@ -154,25 +161,35 @@ class Encoder:
             limits = [-1, *np.flatnonzero(got == self.mark).tolist(), len(got)]
             data, width = got.tobytes(), got.itemsize
             for word, a, b in zip(part, limits[:-1], limits[1:], strict=True):
-                known[word] = data[(a + 1) * width : b * width]
+                known[word.encode()] = data[(a + 1) * width : b * width]
 
     def _direct(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.type."""
-        texts = [t.encode("utf-8", "replace").decode("utf-8") if t else t for t in texts]
-        split = [self._split(t) for t in texts]
+        texts = [t.encode("utf-8", "replace").decode("utf-8") if t else "" for t in texts]
+        plain = [self._plain(t) for t in texts]
+        parts = [t.lower().encode("utf-8") if p else b"" for t, p in zip(texts, plain)]
+        data = b"\n".join(parts) + b"\n"
+        starts, ends, stretch = self.hasher.words(data)
+        _, first, which = np.unique(stretch(starts, ends), return_index=True, return_inverse=True)
+        each = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         look = self.known.get
-        found = [list(map(look, words)) for words in split]
-        lacking = [i for i, got in enumerate(found) if None in got]
-        if lacking:
-            self._learn(list({w for i in lacking for w, got in zip(split[i], found[i]) if got is None}))
-            for i in lacking:
-                found[i] = list(map(look, split[i]))
-        return [(self._direct(t) if t and not words else b"".join(got)) + self.end for t, words, got in zip(texts, split, found)]
+        found = list(map(look, each))
+        if None in found:
+            self._learn([w for w, got in zip(each, found) if got is None])
+            found = list(map(look, each))
+        flat, width = np.frombuffer(b"".join(found), self.type), self.type.itemsize
+        sizes = np.array([len(x) for x in found], np.int64) // width
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(begins[which] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        limits = upto[np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])]))] * width
+        return [(ids[a:b] if p else self._direct(t)) + self.end for t, p, a, b in zip(texts, plain, limits[:-1].tolist(), limits[1:].tolist())]
 
 
 def _cuts(sizes: np.ndarray, most: int):
