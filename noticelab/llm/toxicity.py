@@ -99,30 +99,34 @@ def train(positive: list[str], unlabelled: list[str], prior: float, s: Settings
         k = np.minimum(np.searchsorted(codes, c), max(len(codes) - 1, 0))
         hit = codes[k] == c if len(codes) else np.zeros(len(c), bool)
         sides.append((r[hit], k[hit]))
-    return learn(codes, sides[0], len(positive), sides[1], len(unlabelled), prior, s)
+    held, in_u = (np.bincount(k, minlength=len(codes)) for _, k in sides)
+    kept = select(held, len(positive), in_u, len(unlabelled), prior, s)
+    place = np.full(len(codes) + 1, -1)
+    place[kept] = np.arange(len(kept))
+    hits = [(r[place[k] >= 0], place[k][place[k] >= 0]) for r, k in sides]
+    return learn(codes[kept], hits[0], len(positive), hits[1], len(unlabelled), prior, s)
 
 
-def learn(codes: np.ndarray, p: tuple, n_p: int, u: tuple, n_u: int, prior: float, s: Settings = Settings()) -> dict:
-    """The model from the distinct (row, place in codes) pairs of n_p confirmed and n_u unlabelled texts."""
-    empty = {"codes": np.zeros(0, np.uint64), "weights": np.zeros((0, s.members), np.float32), "bias": np.full(s.members, -20.0, np.float32)}
-    if not n_p or not n_u or not len(codes):
-        return empty
-    prior = min(max(prior, 1e-6), 1 - 1e-6)
-    held, in_u = np.bincount(p[1], minlength=len(codes)), np.bincount(u[1], minlength=len(codes))
+def select(held: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int, prior: float, s: Settings = Settings()) -> np.ndarray:
+    """Places of the features whose posterior is high, from the numbers of
+    confirmed and of unlabelled texts that hold each."""
+    if not n_p or not n_u:
+        return np.zeros(0, int)
     expected, seen = prior * held / n_p, in_u / n_u
     # where U shows a feature about as often as the positives in U account for, its posterior is near 1
     slack = np.sqrt(np.maximum(expected, 1 / n_u) / n_u)
     keep = (held >= max(s.min_support, s.min_share * n_p)) & (s.min_posterior * (seen - slack) <= expected)
-    kept = np.sort(np.flatnonzero(keep)[np.argsort(-held[keep], kind="stable")[: s.max_features]])
-    if not len(kept):
-        return empty
-    place = np.full(len(codes), -1)
-    place[kept] = np.arange(len(kept))
-    codes, sides = codes[kept], []
+    return np.sort(np.flatnonzero(keep)[np.argsort(-held[keep], kind="stable")[: s.max_features]])
+
+
+def learn(codes: np.ndarray, p: tuple, n_p: int, u: tuple, n_u: int, prior: float, s: Settings = Settings()) -> dict:
+    """The model from the distinct (row, place in codes) pairs of n_p confirmed and n_u unlabelled texts."""
+    if not n_p or not n_u or not len(codes):
+        return {"codes": np.zeros(0, np.uint64), "weights": np.zeros((0, s.members), np.float32), "bias": np.full(s.members, -20.0, np.float32)}
+    prior, sides = min(max(prior, 1e-6), 1 - 1e-6), []
     for (rows, k), n in ((p, n_p), (u, n_u)):
-        hit = place[k] >= 0
-        order = np.argsort(rows[hit], kind="stable")
-        sides.append((place[k][hit][order], np.searchsorted(rows[hit][order], np.arange(n + 1))))
+        order = np.argsort(rows, kind="stable")
+        sides.append((k[order], np.searchsorted(rows[order], np.arange(n + 1))))
     weights, bias = [], []
     for m in range(s.members):
         w, b = _descend(sides, len(codes), prior, s, np.random.default_rng(s.seed + m))
@@ -234,27 +238,52 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
     positive = texts.join(F.broadcast(toxic), "doc_id", "left_semi")
     unlabelled = drawn(texts, s.max_unlabelled, n_texts, 2)
     counts = positive.select("text").mapInPandas(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    least = max(s.min_support, int(s.min_share * min(n_toxic, s.max_positives) * 0.9))
-    top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "code").limit(s.max_candidates)
-    codes = np.sort(np.array([r[0] for r in top.select("code").collect()], np.int64).view(np.uint64))
-    held = docs.sparkSession.sparkContext.broadcast(codes)
-
-    def places(frames):
-        for pdf in frames:
-            for a in range(0, len(pdf), 256):
-                rows, found = _bags(pdf["text"].iloc[a : a + 256].tolist())
-                k = np.minimum(np.searchsorted(held.value, found), max(len(held.value) - 1, 0))
-                hit = held.value[k] == found if len(held.value) else np.zeros(len(found), bool)
-                order = np.argsort(rows[hit], kind="stable")
-                parts = np.split(k[hit][order].astype("<i4"), np.searchsorted(rows[hit][order], np.arange(1, len(pdf.iloc[a : a + 256]))))
-                yield pd.DataFrame({"places": [x.tobytes() for x in parts]})
+    n_p = min(n_toxic, s.max_positives)
+    least = max(s.min_support, int(s.min_share * n_p * 0.9))
+    top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "code").limit(s.max_candidates).toArrow()
+    codes, of_p = top.column("code").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(codes)
+    codes, of_p = codes[order], of_p[order]
+    found = unlabelled.select("text").mapInPandas(_places(docs.sparkSession, codes, True), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    of_u = np.zeros(len(codes), np.int64)
+    of_u[found.column("place").to_numpy()] = found.column("n").to_numpy()
+    kept = select(of_p, n_p, of_u, min(n_texts, s.max_unlabelled), n_toxic / n, s)
+    find = _places(docs.sparkSession, codes[kept], False)
 
     def gathered(rows: DataFrame, most: int) -> tuple[tuple, int]:
-        got = [np.frombuffer(r[0], "<i4") for r in rows.select("text").mapInPandas(places, "places binary").limit(most).collect()]
+        got = [np.frombuffer(r[0], "<i4") for r in rows.select("text").mapInPandas(find, "places binary").limit(most).collect()]
         return (np.repeat(np.arange(len(got)), [len(x) for x in got]), np.concatenate([*got, np.zeros(0, "<i4")]).astype(int)), len(got)
 
     (p, n_p), (u, n_u) = gathered(positive, s.max_positives), gathered(unlabelled, s.max_unlabelled)
-    return learn(codes, p, n_p, u, n_u, n_toxic / n, s)
+    return learn(codes[kept], p, n_p, u, n_u, n_toxic / n, s)
+
+
+def _places(spark: SparkSession, codes: np.ndarray, count: bool):
+    """A function that finds the places of texts' features in sorted codes: for
+    each text, or counted over a task."""
+    held = spark.sparkContext.broadcast(codes)
+
+    def found(frames):
+        codes = held.value
+        total = np.zeros(len(codes), np.int64)
+        for pdf in frames:
+            for a in range(0, len(pdf), 256):
+                texts = pdf["text"].iloc[a : a + 256].tolist()
+                rows, got = _bags(texts)
+                k = np.minimum(np.searchsorted(codes, got), max(len(codes) - 1, 0))
+                hit = codes[k] == got if len(codes) else np.zeros(len(got), bool)
+                rows, k = rows[hit], k[hit]
+                if count:
+                    total += np.bincount(k, minlength=len(codes))
+                else:
+                    order = np.argsort(rows, kind="stable")
+                    parts = np.split(k[order].astype("<i4"), np.searchsorted(rows[order], np.arange(1, len(texts))))
+                    yield pd.DataFrame({"places": [x.tobytes() for x in parts]})
+        if count:
+            some = np.flatnonzero(total)
+            yield pd.DataFrame({"place": some.astype(np.int32), "n": total[some]})
+
+    return found
 
 
 def _counted(frames):
