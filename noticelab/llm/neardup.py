@@ -205,9 +205,9 @@ def classes(docs: DataFrame) -> DataFrame:
         texts = texts.dropDuplicates()
     links = blocks.join(texts.hint("merge"), "doc_id").groupBy("block").applyInPandas(_confirm, "a long, b long")
     found = components(links)
-    # an id that repeats with other texts ties their sets together through the id
+    # rows of one id are one document: other texts under it are tied together through the id
     named = sketches.select("doc_id", "n_shingles", "digest").join(firsts, "digest", "left")
-    return named.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    return named.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
