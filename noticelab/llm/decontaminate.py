@@ -50,7 +50,7 @@ class Settings:
 def _hasher() -> _words.Hasher:
     breaks = _words.non_letters()
     breaks[48:58] = False
-    return _words.Hasher(breaks, lower_ascii=True, chunk=1 << 22)
+    return _words.Hasher(breaks, lower_ascii=True, chunk=1 << 21)
 
 
 def _sequences(texts):

@@ -38,7 +38,7 @@ from . import _shared, _words
 END_ID = 2
 FILE_TOKENS = 1 << 21
 CUT_CHARS = 1 << 20
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 3_000_000
 MAGIC = b"VBIDS\x00\x01\x00"
 HEAD = "<8sQQQ"
 
@@ -94,6 +94,37 @@ def unpack(blob: bytes):
     return docs, starts, counts, id_of[ranks]
 
 
+class Known:
+    """Ids of stretches by 64-bit hash: sorted hashes, places and sizes in one
+    flat array; some 20 bytes a stretch, no Python objects."""
+
+    def __init__(self, kind: np.dtype):
+        self.flat = np.zeros(1 << 16, kind)
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.places, self.sizes, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table, and whether each is there."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), int), np.zeros(len(hashes), bool)
+        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return k, self.hashes[k] == hashes
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Ascending hashes that are not in the table, with their ids."""
+        data = np.frombuffer(b"".join(ids), self.flat.dtype)
+        while self.used + len(data) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(data)] = data
+        sizes = np.array([len(x) for x in ids], np.int64) // self.flat.itemsize
+        at = np.searchsorted(self.hashes, hashes)
+        self.places = np.insert(self.places, at, self.used + np.cumsum(sizes) - sizes)
+        self.sizes, self.hashes = np.insert(self.sizes, at, sizes), np.insert(self.hashes, at, hashes)
+        self.used += len(data)
+
+
 class Encoder:
     """A tokenizer of the tokenizers library that remembers what a stretch
     between blanks encodes to.
@@ -106,8 +137,9 @@ class Encoder:
     to the model at once; others are encoded together, with a mark between
     them.  A worker that is reused keeps what it has learned.
 
-    Stretches are found and told apart by numpy for many texts at once; only
-    one of each is looked up, and the ids of all are gathered by their places.
+    Stretches are found and told apart by numpy for many texts at once, by
+    64-bit hashes (for a million stretches two meet with a chance of 3e-8); one
+    of each is looked up, and the ids of all are gathered by their places.
     """
 
     MARK = "\x01"
@@ -120,9 +152,10 @@ class Encoder:
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.known = tokenizers.__dict__.setdefault("_known_stretches", {}).setdefault(path, {})
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.type = np.dtype(self.code).newbyteorder("<")
+        kept = tokenizers.__dict__.setdefault("_known_stretches", {})
+        self.known = kept[path] = kept.get(path) or Known(self.type)
         self.end = array(self.code, [END_ID]).tobytes()
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         breaks = np.zeros(256, bool)
@@ -136,32 +169,31 @@ class Encoder:
         """Whether a text may be cut at blanks; a null or empty one may."""
         return not text or text.isascii() and "<|" not in text or not any(x in text for x in self.ODD) and unicodedata.is_normalized("NFC", text)
 
-    def _learn(self, stretches: list[bytes]) -> None:
-        known, tokenize, rest = self.known, self.tokenizer.model.tokenize, []
-        for stop in ",.":
-            known.setdefault(stop.encode(), self._direct(stop))
-        for key in stretches:
+    def _learn(self, stretches: list[bytes]) -> list[bytes]:
+        """The ids of each new stretch."""
+        tokenize, rest, out, stems = self.tokenizer.model.tokenize, [], [b""] * len(stretches), {}
+        stops = {stop.encode(): self._direct(stop) for stop in ",."}
+        for i, key in enumerate(stretches):
             word = key.decode("utf-8")
             core = word[:-1] if word[-1:] in (",", ".") else word
             if core.isalpha() and (core.isascii() or core == core.lower() and unicodedata.is_normalized("NFC", core)):
-                stem = key if core is word else key[:-1]
-                got = known.get(stem)
+                got = stems.get(core)
                 if got is None:
-                    text = core if core.isascii() else stem.decode("latin-1").translate(self.shown)
-                    got = known[stem] = array(self.code, [x.id for x in tokenize(text)]).tobytes()
-                if core is not word:
-                    known[key] = got + known[key[-1:]]
+                    text = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.shown)
+                    got = stems[core] = array(self.code, [x.id for x in tokenize(text)]).tobytes()
+                out[i] = got if core is word else got + stops[key[-1:]]
             elif self.MARK in word:
-                known[key] = self._direct(word)
+                out[i] = self._direct(word)
             else:
-                rest.append(word)
+                rest.append(i)
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            got = np.array(self.tokenizer.encode(f" {self.MARK} ".join(part), add_special_tokens=False).ids, self.type)
+            got = np.array(self.tokenizer.encode(f" {self.MARK} ".join(stretches[i].decode("utf-8") for i in part), add_special_tokens=False).ids, self.type)
             limits = [-1, *np.flatnonzero(got == self.mark).tolist(), len(got)]
             data, width = got.tobytes(), got.itemsize
-            for word, a, b in zip(part, limits[:-1], limits[1:], strict=True):
-                known[word.encode()] = data[(a + 1) * width : b * width]
+            for i, a, b in zip(part, limits[:-1], limits[1:], strict=True):
+                out[i] = data[(a + 1) * width : b * width]
+        return out
 
     def _direct(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -173,18 +205,16 @@ class Encoder:
         parts = [t.lower().encode("utf-8") if p else b"" for t, p in zip(texts, plain)]
         data = b"\n".join(parts) + b"\n"
         starts, ends, stretch = self.hasher.words(data)
-        _, first, which = np.unique(stretch(starts, ends), return_index=True, return_inverse=True)
-        each = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        if len(self.known) > CACHE_WORDS:
+        hashes, first, which = np.unique(stretch(starts, ends), return_index=True, return_inverse=True)
+        if len(self.known.hashes) > CACHE_WORDS:
             self.known.clear()
-        look = self.known.get
-        found = list(map(look, each))
-        if None in found:
-            self._learn([w for w, got in zip(each, found) if got is None])
-            found = list(map(look, each))
-        flat, width = np.frombuffer(b"".join(found), self.type), self.type.itemsize
-        sizes = np.array([len(x) for x in found], np.int64) // width
-        begins = np.cumsum(sizes) - sizes
+        k, hit = self.known.find(hashes)
+        if not hit.all():
+            new = first[~hit]
+            self.known.add(hashes[~hit], self._learn([data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())]))
+            k, _ = self.known.find(hashes)
+        flat, width = self.known.flat, self.type.itemsize
+        sizes, begins = self.known.sizes[k], self.known.places[k]
         n = sizes[which]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(begins[which] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
