@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize
+from .text import let, normalize
 
 # The months' names in normal form, in order.
 MONTHS = ("janeiro", "fevereiro", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
@@ -30,15 +30,19 @@ def iso_or_slashed(c: Column) -> Column:
 def written_date(c: Column) -> Column:
     """struct(value, rule) by the first form that matches, even if it names no
     day: an invalid first match does not fall through to the next form."""
-    n = normalize(c)
+    return let(normalize(c), _written)
+
+
+def _written(n: Column) -> Column:
     part = lambda pattern, k: F.regexp_extract(n, pattern, k)
     slashed = F.concat_ws("/", part(SEPARATED, 1), part(SEPARATED, 2), part(SEPARATED, 3))
     month = F.array_position(F.array(*map(F.lit, MONTHS)), part(LONG, 2)).cast("string")
     named = F.concat_ws("/", part(LONG, 1), month, part(LONG, 3))
     bare = F.concat_ws("/", part(BARE, 1), part(BARE, 2), part(BARE, 3))
-    value = F.when(n.rlike(SEPARATED), calendar_date(slashed)).when(n.rlike(LONG), calendar_date(named)).when(n.rlike(BARE), calendar_date(bare))
-    rule = F.when(n.rlike(SEPARATED), F.lit("separated")).when(n.rlike(LONG), F.lit("long")).when(n.rlike(BARE), F.lit("eight_digits"))
-    return F.struct(value.alias("value"), F.when(value.isNotNull(), rule).alias("rule"))
+    found = F.when(n.rlike(SEPARATED), F.struct(calendar_date(slashed).alias("value"), F.lit("separated").alias("rule")))
+    found = found.when(n.rlike(LONG), F.struct(calendar_date(named).alias("value"), F.lit("long").alias("rule")))
+    found = found.when(n.rlike(BARE), F.struct(calendar_date(bare).alias("value"), F.lit("eight_digits").alias("rule")))
+    return let(found, lambda x: F.struct(x["value"].alias("value"), F.when(x["value"].isNotNull(), x["rule"]).alias("rule")))
 
 
 def first_date(c: Column) -> Column:

@@ -16,7 +16,7 @@ TICKER_STOPWORDS = ("NIRE", "CNPJ", "ISIN")
 def _foldings() -> tuple[str, str, dict[str, str]]:
     """Compatibility forms of the Latin blocks without marks: one to one, and one to many."""
     source, target, longer = "", "", {}
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+    for code in [*range(0xA0, 0x1C4), *range(0x1CD, 0x1F0), *range(0x1F4, 0x250), *range(0x1E00, 0x1E9A), *range(0x1EA0, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
         char = chr(code)
         plain = "".join(c for c in unicodedata.normalize("NFKD", MARKS.get(char, char)) if not unicodedata.combining(c))
         if plain == char:
@@ -34,6 +34,11 @@ def _foldings() -> tuple[str, str, dict[str, str]]:
 _SOURCE, _TARGET, _LONGER = _foldings()
 
 
+def let(c: Column, use) -> Column:
+    """use(c), with c evaluated, and written into the plan, once."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def fold_accents(c: Column) -> Column:
     c = F.translate(c, _SOURCE, _TARGET)
     for char, plain in _LONGER.items():
@@ -119,8 +124,7 @@ def find_cnpjs(c: Column) -> Column:
 
 
 def share_class(c: Column) -> Column:
-    n = normalize(c)
-    return F.when(n.contains("preferencia") | n.rlike(r"\bpn\b"), F.lit("PN")).when(n.contains("ordinaria") | n.rlike(r"\bon\b"), F.lit("ON"))
+    return let(normalize(c), lambda n: F.when(n.contains("preferencia") | n.rlike(r"\bpn\b"), F.lit("PN")).when(n.contains("ordinaria") | n.rlike(r"\bon\b"), F.lit("ON")))
 
 
 def structural_flaws(c: Column) -> Column:

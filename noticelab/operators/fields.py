@@ -52,9 +52,8 @@ def match_anchor_fuzzy(pairs: DataFrame, anchors: dict[str, list[str]] = v.ANCHO
 
 def prose_field(c: Column, field: str) -> Column:
     """The date of the field's first sentence template that the text holds."""
-    n = text.normalize(c)
-    tries = [F.nullif(F.regexp_extract(n, p.replace("(DATE)", dates.ANY_DATE), 1), F.lit("")) for p in v.PROSE[field]]
-    return F.coalesce(*tries)
+    tries = lambda n: [F.nullif(F.regexp_extract(n, p.replace("(DATE)", dates.ANY_DATE), 1), F.lit("")) for p in v.PROSE[field]]
+    return text.let(text.normalize(c), lambda n: F.coalesce(*tries(n)))
 
 
 def typed_key(field: Column, raw: Column) -> Column:
@@ -108,13 +107,12 @@ def ground(fields: DataFrame) -> DataFrame:
 def repair_date(raw: Column, level: Column, kinds: Column) -> Column:
     """struct(value, candidates, absence_reason): undefined by its own words, an
     ambiguous year, a day that a lone weak reading may have cut, or a date."""
-    year, day = dates.year_candidates(raw), dates.day_candidates(raw)
     weak = (level == "baixa") & (F.size(F.array_except(kinds, F.array(*map(F.lit, v.PIXEL_KINDS)))) == 0)
     none = F.array().cast("array<string>")
     undefined = raw.rlike(dates.UNDEFINED)
-    candidates = F.when(undefined, none).when(year.isNotNull(), year).when(weak & day.isNotNull(), day).otherwise(none)
-    value = F.when(~undefined & (F.size(candidates) == 0), dates.written_date(raw)["value"])
-    return F.struct(value.alias("value"), candidates.alias("candidates"), F.when(undefined, "stated_undefined").alias("absence_reason"))
+    candidates = F.when(undefined, none).otherwise(F.coalesce(dates.year_candidates(raw), F.when(weak, dates.day_candidates(raw)), none))
+    value = lambda c: F.when(~undefined & (F.size(c) == 0), dates.written_date(raw)["value"])
+    return text.let(candidates, lambda c: F.struct(value(c).alias("value"), c.alias("candidates"), F.when(undefined, "stated_undefined").alias("absence_reason")))
 
 
 def repair_identifier(field: Column, raw: Column) -> Column:
