@@ -83,8 +83,14 @@ def locate(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def grounding(evidence: Column, raw: Column, strict: Column) -> Column:
     """How a text holds an evidence: as it is, squashed, or with confused characters (not if strict)."""
-    hold = lambda f: f(raw).contains(f(evidence))
-    return F.when(evidence.isNull() | (text.squash(evidence) == ""), "absent").when(hold(text.normalize), "exact").when(hold(text.squash), "normalized").when(~strict & hold(text.fold_ocr), "fuzzy").otherwise("absent")
+    tight = lambda n: F.regexp_replace(n, text.SQUASHED, "")
+    loose = lambda n: F.translate(n, "0158|", "olsbl")
+
+    def decide(e: Column, r: Column, se: Column, sr: Column) -> Column:
+        return F.when(e.isNull() | (se == ""), "absent").when(r.contains(e), "exact").when(sr.contains(se), "normalized").when(~strict & loose(sr).contains(loose(se)), "fuzzy").otherwise("absent")
+
+    squashed = lambda e, r: text.let(tight(e), lambda se: text.let(tight(r), lambda sr: decide(e, r, se, sr)))
+    return text.let(text.normalize(evidence), lambda e: text.let(text.normalize(raw), lambda r: squashed(e, r)))
 
 
 @F.pandas_udf(DoubleType())
