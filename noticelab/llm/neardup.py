@@ -13,10 +13,17 @@
    orders counts once.
 4. The full shingle sets of a block's texts meet in one task, which finds all
    exact intersections in the block and reports links that span what is linked.
-5. Components of the links give the classes.
-
-Nothing is capped: rows that a window or a block's end parts meet in other
-orders.  At the similarity of 0.75 two texts meet in one order with
+5. Components of the links give the classes so far.
+6. A run of rows of one order that share MIN_DEPTH values and that no window
+   spans, or that a partition's end may part, is held against itself in whole:
+   its rows are dealt by class and hash into parts of about PART rows, each two
+   parts meet in one task, and rows of different classes that agree well enough
+   and share no earlier order's run form further blocks.  Parts of one class
+   need no comparison.  Components of all links give the classes.
+
+Nothing is capped: any two texts that share a run of any order and whose
+signatures agree are compared exactly or linked by others.  The price is a
+square of a run's rows that no links join.  At the similarity of 0.75 two texts meet in one order with
 probability 0.75^MIN_DEPTH = 0.56, in one of twelve with 0.99995; an estimate
 from 128 signature values is let through from 0.60, 3.7 standard errors below.
 
@@ -45,6 +52,8 @@ TREES, DEPTH, STRIDE = 12, 6, 10
 VALUES = 128  #: signature values; order t starts at value STRIDE * t
 MIN_DEPTH = 2
 WINDOW, BLOCK, OVERLAP = 64, 256, 64
+PART = 100  #: rows of a long run that are held against as many others in one task
+HEAD = 1 + 2 * MIN_DEPTH  #: bytes of a label that name its run
 AGREE = 0.60 + 0.40 / 16  #: of 4-bit values, one in sixteen of which agrees by chance
 
 
@@ -100,17 +109,34 @@ def _sketch(frames):
 
 
 def _blocks(frames):
-    """Blocks of ids from one part of one sorted order after another.
+    """Blocks of ids from one part of one sorted order after another, and the
+    runs that are longer than a window or touch the part's ends.
 
     A part is scanned in pieces that overlap by WINDOW rows.
     """
-    held = pd.DataFrame()
+    held, first = pd.DataFrame(), True
     for pdf in frames:
+        if first and len(pdf):
+            first = False
+            yield _marks([pdf["label"].iloc[0]])
         held = pd.concat([held, pdf], ignore_index=True)
         if len(held) >= 16384:
-            yield _scan(held)
+            yield from (_scan(held), _long(held))
             held = held.tail(WINDOW)
-    yield _scan(held)
+    yield from (_scan(held), _long(held))
+    if len(held):
+        yield _marks([held["label"].iloc[-1]])
+
+
+def _marks(labels) -> pd.DataFrame:
+    runs = sorted({bytes(x[:HEAD]) for x in labels})
+    return pd.DataFrame({"block": pd.Series([None] * len(runs), dtype=object), "doc_id": pd.Series([pd.NA] * len(runs), dtype="Int64"), "run": runs})
+
+
+def _long(rows: pd.DataFrame) -> pd.DataFrame:
+    """Runs with rows that are WINDOW places apart."""
+    heads = [x[:HEAD] for x in rows["label"]] if len(rows) else []
+    return _marks({a for a, b in zip(heads, heads[WINDOW:]) if a == b})
 
 
 def _scan(rows: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +166,7 @@ def _scan(rows: pd.DataFrame) -> pd.DataFrame:
                     if len(members) > 1:
                         out["block"] += [hashlib.blake2b(members.tobytes(), digest_size=12).hexdigest()] * len(members)
                         out["doc_id"] += members.tolist()
-    return pd.DataFrame(out).astype({"block": str, "doc_id": "int64"})
+    return pd.DataFrame(out).astype({"block": str, "doc_id": "int64"}).assign(run=None)
 
 
 def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -188,6 +214,54 @@ def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}).astype("int64")
 
 
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of two parts of a run (or of one) that may be linked with rows of another class."""
+    ids, n = pdf["doc_id"].to_numpy(), len(pdf)
+    bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(n, VALUES // 2)
+    bits = np.concatenate([bits >> 4, bits & 15], 1)
+    agreed = np.zeros((n, n), np.float32)
+    for value in range(16):
+        of = (bits == value).astype(np.float32)
+        agreed += of @ of.T
+    classes, side = pdf["component"].to_numpy(), pdf["side"].to_numpy()
+    open_ = (agreed >= AGREE * VALUES) & (classes[:, None] != classes[None, :])
+    if side.min() != side.max():  # each part alone is another task's
+        open_ &= side[:, None] != side[None, :]
+    heads = np.array([list(x) for x in pdf["heads"]], np.uint8).reshape(n, TREES, HEAD)
+    for t in range(pdf["run"].iloc[0][0]):  # an earlier order's run is held against itself too
+        open_ &= ~(heads[:, None, t] == heads[None, :, t]).all(2)
+    members = np.unique(ids[open_.any(1)])
+    if len(members) < 2:
+        return pd.DataFrame({"block": pd.Series([], dtype=str), "doc_id": pd.Series([], dtype="int64")})
+    return pd.DataFrame({"block": hashlib.blake2b(members.tobytes(), digest_size=12).hexdigest(), "doc_id": members})
+
+
+def _across(nodes: DataFrame, runs: DataFrame, found: DataFrame) -> DataFrame:
+    """Blocks (block, doc_id) of rows of different classes within the given runs."""
+    size = 1 + 2 * DEPTH
+    heads = [F.substring("labels", 1 + size * t, HEAD) for t in range(TREES)]
+    rows = nodes.select("doc_id", "bits", F.concat(*heads).alias("heads"), F.explode(F.array(*heads)).alias("run")).join(runs, "run", "left_semi")
+    rows = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = _shared.written(rows, "runs")
+    sizes = rows.groupBy("run", "component").count()
+    several = sizes.groupBy("run").count().where("count > 1").select("run")
+    own = F.when(F.col("count") >= PART, F.col("component")).alias("own")
+    sizes = _shared.written(sizes.join(several, "run", "left_semi").select("run", "component", "count", own), "sizes")
+    parts = sizes.groupBy("run", "own").agg(F.ceil(F.sum("count") / PART).cast("int").alias("parts"))
+    parts = _shared.written(parts, "parts")
+    each = parts.select("run", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
+    other = each.select("run", F.col("own").alias("own2"), F.col("k").alias("k2"))
+    pairs = each.join(other, "run").where("(own is null and (own2 is not null or k <= k2)) or own < own2")
+    name = F.concat_ws(":", F.hex("run"), F.coalesce(F.col("own").cast("string"), F.lit("-")), "k", F.coalesce(F.col("own2").cast("string"), F.lit("-")), "k2")
+    same = F.col("own").eqNullSafe(F.col("own2")) & (F.col("k") == F.col("k2"))
+    one, two = F.struct(F.lit(0).alias("side"), "own", "k"), F.struct(F.lit(1).alias("side"), F.col("own2").alias("own"), F.col("k2").alias("k"))
+    sides = pairs.select("run", name.alias("pair"), F.explode(F.when(same, F.array(one)).otherwise(F.array(one, two))).alias("s")).select("run", "pair", "s.*")
+    placed = rows.join(sizes.select("run", "component", "own"), ["run", "component"])
+    keyed = lambda df: df.withColumn("_own", F.coalesce(F.col("own").cast("string"), F.lit("-"))).drop("own")
+    placed = keyed(placed).join(keyed(parts), ["run", "_own"]).withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    return placed.join(keyed(sides), ["run", "_own", "k"]).select("pair", "side", "run", "doc_id", "component", "bits", "heads").groupBy("pair").applyInPandas(_meet, "block string, doc_id long").distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
     sketches = _shared.written(
@@ -198,13 +272,20 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = linkable.select("doc_id", "digest", "labels", "bits").join(firsts.select("digest", F.col("node").alias("doc_id")).hint("merge"), ["digest", "doc_id"], "left_semi").select("doc_id", "labels", "bits")
     size = 1 + 2 * DEPTH
     rows = nodes.select("doc_id", "bits", F.explode(F.array(*[F.substring("labels", 1 + size * t, size) for t in range(TREES)])).alias("label"))
-    blocks = rows.repartitionByRange("label", "doc_id").sortWithinPartitions("label", "doc_id").mapInPandas(_blocks, "block string, doc_id long")
+    blocks = rows.repartitionByRange("label", "doc_id").sortWithinPartitions("label", "doc_id").mapInPandas(_blocks, "block string, doc_id long, run binary")
     blocks = _shared.written(blocks.distinct(), "blocks")
-    texts = linkable.select("doc_id", "packed").join(blocks.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    if linkable.groupBy("doc_id").count().where("count > 1").take(1):
-        texts = texts.dropDuplicates()
-    links = blocks.join(texts.hint("merge"), "doc_id").groupBy("block").applyInPandas(_confirm, "a long, b long")
-    found = components(links)
+    again = linkable.groupBy("doc_id").count().where("count > 1").take(1)
+
+    def links(blocks: DataFrame) -> DataFrame:
+        texts = linkable.select("doc_id", "packed").join(blocks.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+        if again:
+            texts = texts.dropDuplicates()
+        return blocks.join(texts.hint("merge"), "doc_id").groupBy("block").applyInPandas(_confirm, "a long, b long")
+
+    found = components(links(blocks.where("block is not null").select("block", "doc_id")))
+    more = _shared.written(_across(nodes, blocks.where("run is not null").select("run").distinct(), found), "more")
+    if more.take(1):
+        found = components(links(more).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     # rows of one id are one document: other texts under it are tied together through the id
     named = sketches.select("doc_id", "n_shingles", "digest").join(firsts, "digest", "left")
     return named.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))

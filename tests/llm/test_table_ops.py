@@ -256,6 +256,21 @@ def test_classes_of_odd_tables(spark):
     assert sorted(r["doc_id"] or 0 for r in kept) == [0, 5]
 
 
+def test_a_star_without_links_between_its_copies(spark):
+    """2,000 copies that reach 0.75 with one text but not with each other."""
+    hub = [f"h{i}" for i in range(404)]
+    rng, places = random.Random(9), [*range(4, 400, 5)]
+    rows = [(5000, " ".join(hub))]
+    for n in range(2000):
+        copy = list(hub)
+        for at in rng.sample(places, 11):
+            copy[at] = f"x{n}"
+        rows.append((n + 1 if n % 2 else n + 6000, " ".join(copy)))
+    df = docs(spark, [(i, t, "en", "s") for i, t in rows])
+    got = [r["doc_id"] for r in neardup.classes(df).collect() if r["component_id"] != 2]
+    assert not got
+
+
 @given(st.lists(st.lists(st.integers(1, 30), min_size=1, max_size=12, unique=True), min_size=2, max_size=10))
 def test_exact_links(sets):
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
