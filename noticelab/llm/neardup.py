@@ -296,9 +296,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _without_copies(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    removed = classes(ids).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(removed, "doc_id", "left_anti")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class; rows that repeat an id count once."""
-    removed = classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(removed, "doc_id", "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept.dropDuplicates(["doc_id"]) if again.take(1) else kept
+    """Keeps the document with the smallest id of each class; rows that repeat an
+    id and its text count once, different texts of one id count each for
+    themselves, rows without an id all stay."""
+    named = docs.where("doc_id is not null")
+    if not named.groupBy("doc_id").count().where("count > 1").take(1):
+        return _without_copies(docs, docs)
+    digest = F.sha2(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")), 256)
+    keys = named.select("doc_id", digest.alias("_digest")).distinct().repartitionByRange("doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
+    keys = _shared.written(keys.withColumn("_key", F.monotonically_increasing_id()), "keys")  # ordered like the ids
+    keyed = named.withColumn("_digest", digest).join(keys, ["doc_id", "_digest"]).withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "doc_id")
+    once = _without_copies(keyed, keyed).dropDuplicates(["doc_id"])
+    return once.drop("doc_id").withColumnRenamed("_id", "doc_id").select(docs.columns).unionByName(docs.where("doc_id is null"))

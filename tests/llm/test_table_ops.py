@@ -256,6 +256,13 @@ def test_classes_of_odd_tables(spark):
     assert sorted(r["doc_id"] or 0 for r in kept) == [0, 5]
 
 
+def test_stage_with_a_repeated_id(spark):
+    first, other = "a b c d e f g", "p q r s t u v"
+    rows = [(None, "n o p q r s", None, None), (None, "s t u v w x", None, None), (None, None, None, None), (3, first, None, None), (3, first, None, None), (7, first, None, None), (7, other, None, None), (9, other, None, None)]
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.stage(spark, docs(spark, rows), SF).collect())
+    assert got == [(0, ""), (0, "n o p q r s"), (0, "s t u v w x"), (3, first), (7, other)]
+
+
 def test_a_star_without_links_between_its_copies(spark):
     """2,000 copies that reach 0.75 with one text but not with each other."""
     hub = [f"h{i}" for i in range(404)]
