@@ -8,7 +8,10 @@ distance that k bounds.  Bit sampling then hashes the window at every word of
 a document, as long as the item it is held against: each repetition draws a
 walk and some steps, and a window is a candidate for the items that wrote the
 same words at those steps.  The number of repetitions follows from the recall
-that is asked for, by the collision rate of the items' own edited copies.
+that is asked for, by the collision rate of edited copies of the items, for
+each band of item lengths by itself.  The items of a band that Settings.most
+repetitions do not bring there are searched without walks: each stretch that
+has enough of an item's word pairs is a candidate, which misses none.
 Candidates are confirmed by the exact edit distance of the item to the best
 stretch of the text around the window.
 
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from . import _shared, _words
 
 MIN_WORDS = 4
+BAND, DRAWN = 1.5, 400  #: items whose lengths differ by less than this factor share a recall, measured on so many copies
 BLOCK_ITEMS = 20_000  #: items that are sent to the executors at once; more are searched block by block
 
 
@@ -43,7 +47,7 @@ class Settings:
     max_edits: float = 0.2  #: edited words, as a share of the item's words
     recall: float = 0.99
     sampled: int = 3  #: steps that a repetition compares
-    most: int = 48  #: repetitions at most
+    most: int = 48  #: repetitions at most; a band of lengths that needs more is searched by its word pairs
     seed: int = 5
 
 
@@ -112,24 +116,33 @@ def index(items: list[tuple[int, str]], s: Settings = Settings()) -> dict | None
     words, ends = np.concatenate(seqs), np.cumsum(lengths)
     starts = ends - lengths
     reps, rng = _plan(lengths, s), np.random.default_rng(s.seed + 1)
-    drawn = rng.integers(0, len(seqs), 400)
-    copies = [_edited(seqs[i], int(s.max_edits * lengths[i]), rng) for i in drawn]
+    bands = np.floor(np.log(lengths) / np.log(BAND)).astype(int)
+    drawn = np.concatenate([rng.choice(np.flatnonzero(bands == b), DRAWN) for b in np.unique(bands)])
+    foreign = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    slack = (s.max_edits * lengths[drawn]).astype(int)
+    copies = [np.concatenate([foreign(1), _edited(seqs[i], k, rng), foreign(k + lengths[i])]) for i, k in zip(drawn, slack)]
     c_words, c_ends = np.concatenate(copies), np.cumsum([len(x) for x in copies])
-    c_starts = c_ends - np.array([len(x) for x in copies])
-    missed, kept = np.ones(len(drawn), bool), []
+    c_starts = c_ends - np.array([len(x) for x in copies]) + 1
+    missed, kept, open_ = np.ones(len(drawn), bool), [], np.unique(bands)
     for rep in reps:
-        keys = _keys(words, starts, ends, lengths, rep)
-        rep["order"] = np.argsort(keys, kind="stable")
-        rep["keys"] = keys[rep["order"]]
+        items = np.flatnonzero(np.isin(bands, open_))
+        rep["lengths"] = np.unique(lengths[items])
+        keys = np.zeros(len(seqs), np.uint64)
+        keys[items] = _keys(words, starts[items], ends[items], lengths[items], rep)
+        order = np.argsort(keys[items], kind="stable")
+        rep["order"], rep["keys"] = items[order], keys[items][order]
         kept.append(rep)
-        met = np.zeros(len(drawn), bool)
+        tried = np.flatnonzero(missed & np.isin(bands[drawn], open_))
+        met = np.zeros(len(tried), bool)
         for shift in (-1, 0, 1):  # every word of a document starts a window
-            begin = np.clip(c_starts + shift, 0, len(c_words) - 1)
-            met |= _keys(c_words, begin, c_ends, lengths[drawn], rep) == keys[drawn]
-        missed &= ~met
-        if missed.mean() <= 1 - s.recall:
+            met |= _keys(c_words, c_starts[tried] + shift, c_ends[tried], lengths[drawn[tried]], rep) == keys[drawn[tried]]
+        missed[tried[met]] = False
+        open_ = np.array([b for b in open_ if missed[bands[drawn] == b].mean() > 1 - s.recall], int)
+        if not len(open_):
             break
-    return {"ids": ids, "seqs": seqs, "lengths": lengths, **_pair_table(seqs, lengths), "reps": kept, "expected": float(1 - missed.mean()), "max_edits": s.max_edits}
+    direct = np.flatnonzero(np.isin(bands, open_))
+    expected = {int(b): 1.0 if b in open_ else float(1 - missed[bands[drawn] == b].mean()) for b in np.unique(bands)}
+    return {"ids": ids, "seqs": seqs, "lengths": lengths, **_pair_table(seqs, lengths), "direct": _direct_table(seqs, lengths, direct), "reps": kept, "expected": min(expected.values()), "max_edits": s.max_edits}
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
@@ -144,6 +157,58 @@ def _pair_table(seqs: list[np.ndarray], lengths: np.ndarray) -> dict:
     return {"pairs": pairs, "pair_first": np.append(first, len(rows)), "pair_lengths": rows[:, 1].astype(int)}
 
 
+def _direct_table(seqs: list[np.ndarray], lengths: np.ndarray, items: np.ndarray) -> dict | None:
+    """The word pairs of the items that are searched without walks, each with the items that have it."""
+    if not len(items):
+        return None
+    rows = np.unique(np.stack([np.concatenate([_pairs(seqs[i]) for i in items]), np.repeat(items, lengths[items] - 1).astype(np.uint64)], 1), axis=0)
+    pairs, first = np.unique(rows[:, 0], return_index=True)
+    return {"pairs": pairs, "first": np.append(first, len(rows)), "items": rows[:, 1].astype(int), "lengths": np.unique(lengths[items])}
+
+
+def _direct(words: np.ndarray, limits: np.ndarray, idx: dict, begin: np.ndarray, size: np.ndarray):
+    """(start, end, item) of all stretches with pairs enough for an item that is searched without walks."""
+    table, share = idx["direct"], idx["max_edits"]
+    wanted = np.isin(size, table["lengths"]) if table else np.zeros(len(begin), bool)
+    if not wanted.any():
+        return
+    begin, size = begin[wanted], size[wanted]
+    cover = np.zeros(len(words) + 1, int)
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, np.minimum(begin + size + (share * size).astype(int), len(words)), -1)
+    at = np.flatnonzero(np.cumsum(cover)[:-2] > 0)
+    own = _pairs(words)[at]
+    k = np.minimum(np.searchsorted(table["pairs"], own), len(table["pairs"]) - 1)
+    text = np.searchsorted(limits, at, "right") - 1
+    good = (table["pairs"][k] == own) & (at + 1 < limits[text + 1])
+    at, k, text = at[good], k[good], text[good]
+    for t in np.unique(text):
+        here = text == t
+        places, which = at[here], k[here]
+        times = table["first"][which + 1] - table["first"][which]
+        flat = np.repeat(table["first"][which], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item, place = table["items"][flat], np.repeat(places, times)
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        for rows in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+            one = int(item[rows[0]])
+            n, spots = int(idx["lengths"][one]), place[rows]
+            slack = int(share * n)
+            need = max(n - 1 - 2 * slack, 1)
+            hit = np.flatnonzero(spots[need - 1 :] + 2 - spots[: len(spots) - need + 1] <= n + slack) if len(spots) >= need else []
+            last = None
+            for h in hit:  # stretches that meet are aligned at once
+                a, b = max(int(limits[t]), int(spots[h + need - 1]) + 2 - n - slack), min(int(limits[t + 1]), int(spots[h]) + n + slack)
+                if last and a <= last[1]:
+                    last = (last[0], max(last[1], b))
+                else:
+                    if last:
+                        yield *last, one
+                    last = (a, b)
+            if last:
+                yield *last, one
+
+
 def _live(words: np.ndarray, limits: np.ndarray, idx: dict) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of the windows with pairs enough for an item of that length."""
     pairs, share = idx["pairs"], idx["max_edits"]
@@ -176,15 +241,20 @@ def _live(words: np.ndarray, limits: np.ndarray, idx: dict) -> tuple[np.ndarray,
 
 def candidates(words: np.ndarray, limits: np.ndarray, idx: dict) -> np.ndarray:
     """Distinct (start, item) rows; limits holds where each text begins, and the end."""
-    begin, size = _live(words, limits, idx)
+    return _candidates(limits, words, idx, *_live(words, limits, idx))
+
+
+def _candidates(limits: np.ndarray, words: np.ndarray, idx: dict, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     ends = limits[np.searchsorted(limits, begin, "right")] if len(begin) else begin
     found = [np.zeros((0, 2), int)]
     for rep in idx["reps"]:
-        keys = _keys(words, begin, ends, size, rep) if len(begin) else np.zeros(0, np.uint64)
+        mine = np.isin(size, rep["lengths"])
+        at = begin[mine]
+        keys = _keys(words, at, ends[mine], size[mine], rep) if len(at) else np.zeros(0, np.uint64)
         low, high = np.searchsorted(rep["keys"], keys, "left"), np.searchsorted(rep["keys"], keys, "right")
         times = high - low
         place = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        found.append(np.stack([np.repeat(begin, times), rep["order"][place]], 1))
+        found.append(np.stack([np.repeat(at, times), rep["order"][place]], 1))
     return np.unique(np.concatenate(found), axis=0)
 
 
@@ -215,7 +285,14 @@ def matches(texts, idx: dict):
         limits = np.concatenate([[0], np.cumsum(counts)])
         best: dict[tuple[int, int], tuple] = {}
         seen: dict[tuple[int, int], int] = {}
-        for start, k in candidates(words, limits, idx):
+        begin, size = _live(words, limits, idx)
+        for a, b, k in _direct(words, limits, idx, begin, size):
+            edits, first_word, end = fit_distance(idx["seqs"][k], words[a:b])
+            if edits <= int(idx["max_edits"] * len(idx["seqs"][k])):
+                doc = int(np.searchsorted(limits, a, "right")) - 1
+                got = (edits, int(a + first_word - limits[doc]), end - first_word)
+                best[doc, k] = min(best.get((doc, k), got), got)
+        for start, k in _candidates(limits, words, idx, begin, size):
             item, doc = idx["seqs"][k], int(np.searchsorted(limits, start, "right")) - 1
             slack = int(idx["max_edits"] * len(item))
             if seen.get((doc, k), -1) >= start:  # beside an exact copy just confirmed

@@ -166,6 +166,21 @@ def test_recall_of_edited_copies(spark):
     assert len(got & {(i, i) for i, _ in items}) >= 0.97 * len(items) and all(a == b for a, b in got)
 
 
+def test_recall_of_long_items():
+    """20 % random edits in items of 400 words, beside many short items that need few repetitions."""
+    rng, numbers = random.Random(6), np.random.default_rng(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(i, words(rng, 400 if i < 30 else 4, vocab)) for i in range(300)]
+    idx = decontaminate.index(items)
+    texts = []
+    for _, t in items[:30]:
+        names = dict(enumerate(t.split()))
+        edited = decontaminate._edited(np.arange(400, dtype=np.uint64), 80, numbers)
+        texts.append(" ".join([words(rng, 40, vocab), *(names.get(int(x), f"x{x}") for x in edited), words(rng, 40, vocab)]))
+    got = {(d, k) for d, k, _, _, edits in decontaminate.matches(texts, idx) if edits <= 80}
+    assert idx["expected"] >= 0.99 and {(i, i) for i in range(30)} <= got
+
+
 def _tlv(tag, body):
     size = len(body)
     head = bytes([size]) if size < 128 else b"\x82" + size.to_bytes(2, "big")
