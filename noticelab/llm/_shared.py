@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: Bytes of strings and binaries in one frame that a Python function gets, unless a single row has more.
+CUT_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -54,6 +66,74 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def pieces(batch: pa.RecordBatch, most: int = CUT_BYTES):
+    """A batch in slices of neighbouring rows with about `most` bytes of strings and binaries."""
+    sizes = np.full(batch.num_rows, 16, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // most
+    limits = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(limits[:-1], limits[1:]):
+        yield batch.slice(a, b - a)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives as long as its
+    executor, and what one task needed would be kept from all that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+_INTEGERS = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype(), pa.int8(): pd.Int8Dtype()}
+
+
+def map_frames(df: DataFrame, function, schema: str, most: int = CUT_BYTES) -> DataFrame:
+    """df.mapInPandas(function, schema), with frames bounded in bytes instead of
+    rows.  Integers are nullable ones, so that a missing id costs no digits."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def mapped(batches):
+        try:
+            frames = (x.to_pandas(types_mapper=_INTEGERS.get) for batch in batches for x in pieces(batch, most))
+            for out in function(frames):
+                if len(out):
+                    yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
+        finally:
+            give_back()
+
+    return df.mapInArrow(mapped, schema)
+
+
+def with_columns(df: DataFrame, text: str, function, added: str, keep: list[str] | None = None, most: int = CUT_BYTES) -> DataFrame:
+    """The columns `keep` of df (all, if not given) and those that function
+    computes from a list of texts, in the order of `added`.  Columns of those
+    names are replaced, others go through as they are; no row is shuffled."""
+    new = StructType.fromDDL(added)
+    types, taken = to_arrow_schema(new).types, {f.name.lower() for f in new.fields}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+    columns = [F.col(f"`{c}`") for c in kept]
+    own = df.select(*columns) if text in kept else df.select(*columns, F.col(f"`{text}`"))
+    at, n = own.columns.index(text), len(kept)
+    schema = StructType([*df.select(*columns).schema.fields, *new.fields])
+    names = schema.names
+
+    def mapped(batches):
+        try:
+            for batch in batches:
+                for piece in pieces(batch, most):
+                    got = function(piece.column(at).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*piece.columns[:n], *(pa.array(x, t) for x, t in zip(got, types))], names=names)
+        finally:
+            give_back()
+
+    return own.mapInArrow(mapped, schema)
+
+
 def filesystem(uri: str):
     """(file system, path) for a file:, hdfs:, s3: or gs: address or a plain path."""
     from pyarrow import fs
