@@ -6,36 +6,41 @@
    of signature values.  A range partitioning that ends in the id cuts even a
    huge group of alike texts into equal parts.
 3. In each order the rows next to a row are those with the longest common
-   prefix: a sparse region reaches its neighbours at a shallow depth (MIN_DEPTH
-   at least), a dense one at greater depth.  Rows within WINDOW places whose
-   signatures agree well enough form a block; long runs of such rows are cut
-   into overlapping blocks of at most BLOCK rows.  The same block from several
-   orders counts once.
+   prefix.  Rows within WINDOW places that share MIN_DEPTH values, whose sizes
+   allow the similarity and whose signatures agree well enough are candidates;
+   they form blocks.  The same block from several orders counts once.
 4. The full shingle sets of a block's texts meet in one task, which finds all
    exact intersections in the block and reports links that span what is linked.
+   A block has at most BLOCK rows and, of more than two, BLOCK_SHINGLES shingles.
 5. Components of the links give the classes so far.
-6. A run of rows of one order that share MIN_DEPTH values and that no window
-   spans, or that a partition's end may part, is held against itself in whole:
-   its rows are dealt by class and hash into parts of about PART rows, each two
-   parts meet in one task, and rows of different classes that agree well enough
-   and share no earlier order's run form further blocks.  Parts of one class
-   need no comparison.  Components of all links give the classes.
-
-Nothing is capped: any two texts that share a run of any order and whose
-signatures agree are compared exactly or linked by others.  The price is a
-square of a run's rows that no links join.  At the similarity of 0.75 two texts meet in one order with
-probability 0.75^MIN_DEPTH = 0.56, in one of twelve with 0.99995; an estimate
-from 128 signature values is let through from 0.60, 3.7 standard errors below.
+6. A region where more rows than a window share MIN_DEPTH values, or that a
+   partition's end may part, is held against itself in whole, unless it is one
+   class already.  A region of more than MOST_ROWS rows is first divided by
+   the next value, and so on to DEPTH values: depth adapts to each region.
+   Its rows are dealt into parts of about PART rows, each two parts meet in one
+   task, and rows of different classes that agree well enough and met in no
+   earlier order form further blocks.  Components of all links give the classes.
+
+Nothing is capped: any two texts that share a region of any order and whose
+signatures agree are compared exactly or linked by others.  A row meets at
+most MOST_ROWS others in an order, save in regions that DEPTH values do not
+divide, which are held against themselves in whole.  At the similarity of 0.75
+two texts share MIN_DEPTH values of one order with probability 0.56, of one of
+twelve with 0.99995; where regions are divided down to 3, 4, 5 and 6 values it
+is 0.999, 0.99, 0.95 and 0.90, and more for more similar texts.  An estimate from
+128 signature values is let through from 0.60, 3.7 standard errors below 0.75.
 
 Cases: a text with fewer than five words is one shingle; an empty, blank or
 null text has no shingle and is linked with nothing; rows that repeat an id
-are one document; a row without an id is kept and never linked; an empty table
-gives an empty result; other columns are ignored.
+are one document, whose texts are in one class; a row without an id is kept and
+never linked; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,9 +56,13 @@ NUMBER, OF = 75, 100  #: linked if OF * intersection >= NUMBER * union
 TREES, DEPTH, STRIDE = 12, 6, 10
 VALUES = 128  #: signature values; order t starts at value STRIDE * t
 MIN_DEPTH = 2
-WINDOW, BLOCK, OVERLAP = 64, 256, 64
-PART = 100  #: rows of a long run that are held against as many others in one task
-HEAD = 1 + 2 * MIN_DEPTH  #: bytes of a label that name its run
+WINDOW, BLOCK, TILE = 64, 256, 128
+BLOCK_SHINGLES = 4 << 20
+PART = 1024  #: rows of a region that are held against as many others in one task
+MOST_ROWS = 8 * PART  #: rows of a region that is not divided
+LABEL = 1 + 2 * DEPTH  #: bytes of a label: the order and its values
+HEAD = 1 + 2 * MIN_DEPTH  #: those that name its region
+HOT_SHARE = 4096  #: shingle sets of more than one row in so many are joined apart
 AGREE = 0.60 + 0.40 / 16  #: of 4-bit values, one in sixteen of which agrees by chance
 
 
@@ -104,13 +113,14 @@ def _sketch(frames):
             sig = signature(found, factors, addends)
             labels = b"".join(bytes([t]) + (sig[STRIDE * t : STRIDE * t + DEPTH] >> np.uint32(16)).astype(">u2").tobytes() for t in range(TREES))
             low = (sig & np.uint32(15)).astype(np.uint8)
-            rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), labels, (low[::2] << 4 | low[1::2]).tobytes(), packer.compress(text.encode("utf-8", "surrogatepass"))))
+            digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+            rows.append((len(found), digest, labels, (low[::2] << 4 | low[1::2]).tobytes(), packer.compress(text.encode("utf-8", "surrogatepass"))))
         yield pd.DataFrame({"doc_id": pdf["doc_id"]}).join(pd.DataFrame(rows, columns=["n_shingles", "digest", "labels", "bits", "packed"], index=pdf.index))
 
 
 def _blocks(frames):
     """Blocks of ids from one part of one sorted order after another, and the
-    runs that are longer than a window or touch the part's ends.
+    regions that are longer than a window or touch the part's ends.
 
     A part is scanned in pieces that overlap by WINDOW rows.
     """
@@ -129,44 +139,90 @@ def _blocks(frames):
 
 
 def _marks(labels) -> pd.DataFrame:
-    runs = sorted({bytes(x[:HEAD]) for x in labels})
-    return pd.DataFrame({"block": pd.Series([None] * len(runs), dtype=object), "doc_id": pd.Series([pd.NA] * len(runs), dtype="Int64"), "run": runs})
+    found = sorted({bytes(x[:HEAD]) for x in labels})
+    return pd.DataFrame({"block": pd.Series([None] * len(found), dtype=object), "doc_id": pd.Series([pd.NA] * len(found), dtype="Int64"), "region": found})
 
 
 def _long(rows: pd.DataFrame) -> pd.DataFrame:
-    """Runs with rows that are WINDOW places apart."""
+    """Regions with rows that are WINDOW places apart."""
     heads = [x[:HEAD] for x in rows["label"]] if len(rows) else []
     return _marks({a for a, b in zip(heads, heads[WINDOW:]) if a == b})
 
 
+def _agreeing(rows: pd.DataFrame) -> np.ndarray:
+    """The 4-bit signature values of rows, a row each."""
+    bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), VALUES // 2)
+    return np.concatenate([bits >> 4, bits & 15], 1)
+
+
+def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return OF * np.minimum(a, b) >= NUMBER * np.maximum(a, b)
+
+
 def _scan(rows: pd.DataFrame) -> pd.DataFrame:
-    out = {"block": [], "doc_id": []}
-    n = len(rows)
+    n, found = len(rows), []
     if n > 1:
-        ids = rows["doc_id"].to_numpy()
-        top = np.frombuffer(b"".join(x[: 1 + 2 * MIN_DEPTH].ljust(8) for x in rows["label"]), ">u8")
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(n, VALUES // 2)
-        bits = np.concatenate([bits >> 4, bits & 15], 1)
-        touched, reach = np.zeros(n, bool), np.zeros(n + 1, np.int32)
+        ids, sizes, bits = rows["doc_id"].to_numpy(), rows["n_shingles"].to_numpy(), _agreeing(rows)
+        top = np.frombuffer(b"".join(x[:HEAD].ljust(8) for x in rows["label"]), ">u8")
+        pairs, reach = [], np.zeros(n + 1, np.int32)
         for s in range(1, min(WINDOW, n - 1) + 1):
             near = np.flatnonzero(top[s:] == top[:-s])
             if not len(near):
                 break
+            near = near[_sizes_allow(sizes[near], sizes[near + s])]
             near = near[(bits[near] == bits[near + s]).sum(1) >= AGREE * VALUES]
-            touched[near] = touched[near + s] = True
+            pairs.append(np.stack([near, near + s], 1))
             np.add.at(reach, near, 1)
             np.add.at(reach, near + s, -1)
-        joined = np.cumsum(reach)[:n] > 0  # this row and the next are in one run
-        at = np.flatnonzero(touched)
-        if len(at):
-            upto = np.concatenate([[0], np.cumsum(~joined)])
-            for run in np.split(at, np.flatnonzero(np.diff(upto[at])) + 1):
-                for a in range(0, max(len(run) - OVERLAP, 1), BLOCK - OVERLAP):
-                    members = np.unique(ids[run[a : a + BLOCK]])
-                    if len(members) > 1:
-                        out["block"] += [hashlib.blake2b(members.tobytes(), digest_size=12).hexdigest()] * len(members)
-                        out["doc_id"] += members.tolist()
-    return pd.DataFrame(out).astype({"block": str, "doc_id": "int64"}).assign(run=None)
+        pairs = np.concatenate([np.zeros((0, 2), int), *pairs])
+        # a run of rows, each of which is joined to the next by a pair that spans both
+        run = np.cumsum(np.cumsum(reach)[:n] == 0)
+        run = run - (np.cumsum(reach)[:n] == 0)
+        pairs = pairs[np.argsort(run[pairs[:, 0]], kind="stable")]
+        for own in np.split(pairs, np.flatnonzero(np.diff(run[pairs[:, 0]])) + 1):
+            if len(own):
+                found += [ids[x] for x in _cover(own, sizes)]
+    return _named(found)
+
+
+def _named(blocks: list[np.ndarray]) -> pd.DataFrame:
+    """(block, doc_id) rows; a block is named by its members."""
+    blocks = [x for x in map(np.unique, blocks) if len(x) > 1]
+    names = [hashlib.blake2b(x.tobytes(), digest_size=12).hexdigest() for x in blocks]
+    ids = np.concatenate([np.zeros(0, np.int64), *blocks])
+    return pd.DataFrame({"block": np.repeat(np.array(names, object), [len(x) for x in blocks]), "doc_id": ids, "region": None})
+
+
+def _cover(pairs: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Blocks of rows that hold every pair (left, right) between them: all rows
+    at once if they fit, else tiles of TILE by TILE rows, put together as far as
+    a block allows and divided where their shingles are too many."""
+    fits = lambda rows: len(rows) <= 2 or len(rows) <= BLOCK and sizes[rows].sum() <= BLOCK_SHINGLES
+    members = np.unique(pairs)
+    if fits(members):
+        return [members]
+    tile = np.searchsorted(members, pairs) // TILE
+    order = np.lexsort((tile[:, 1], tile[:, 0]))
+    pairs, tile = pairs[order], tile[order]
+    out, held = [], None
+    waiting = [x for x in np.split(pairs, np.flatnonzero((np.diff(tile, axis=0) != 0).any(1)) + 1)][::-1]
+    while waiting:
+        own = waiting.pop()
+        rows = np.unique(own)
+        if not fits(rows):  # in two by the side with more rows
+            side = 0 if len(np.unique(own[:, 0])) >= len(np.unique(own[:, 1])) else 1
+            own = own[np.argsort(own[:, side], kind="stable")]
+            values = np.unique(own[:, side])
+            cut = np.searchsorted(own[:, side], values[len(values) // 2])
+            waiting += [own[cut:], own[:cut]] if 0 < cut < len(own) else [own[1:], own[:1]]
+            continue
+        both = rows if held is None else np.union1d(held, rows)
+        if held is not None and not fits(both):
+            out.append(held)
+            both = rows
+        held = both
+    return [*out, held]
 
 
 def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -215,80 +271,104 @@ def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rows of two parts of a run (or of one) that may be linked with rows of another class."""
-    ids, n = pdf["doc_id"].to_numpy(), len(pdf)
-    bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(n, VALUES // 2)
-    bits = np.concatenate([bits >> 4, bits & 15], 1)
+    """Blocks of the rows of two parts of a region (or of one) that may be linked with rows of another class."""
+    region, width = pdf["region"].iloc[0], int(pdf["width"].iloc[0])
+    t, n = region[0], len(pdf)
+    pdf = pdf.sort_values("labels", key=lambda x: x.map(lambda v: v[LABEL * t : LABEL * (t + 1)]), ignore_index=True)
+    ids, sizes, bits = pdf["doc_id"].to_numpy(), pdf["n_shingles"].to_numpy(), _agreeing(pdf)
     agreed = np.zeros((n, n), np.float32)
     for value in range(16):
         of = (bits == value).astype(np.float32)
         agreed += of @ of.T
     classes, side = pdf["component"].to_numpy(), pdf["side"].to_numpy()
-    open_ = (agreed >= AGREE * VALUES) & (classes[:, None] != classes[None, :])
-    if side.min() != side.max():  # each part alone is another task's
+    open_ = np.triu(agreed >= AGREE * VALUES, 1)
+    del agreed
+    open_ &= classes[:, None] != classes[None, :]
+    if pdf["low"].iloc[0] != pdf["high"].iloc[0]:  # each part alone is another task's
         open_ &= side[:, None] != side[None, :]
-    heads = np.array([list(x) for x in pdf["heads"]], np.uint8).reshape(n, TREES, HEAD)
-    for t in range(pdf["run"].iloc[0][0]):  # an earlier order's run is held against itself too
-        open_ &= ~(heads[:, None, t] == heads[None, :, t]).all(2)
-    members = np.unique(ids[open_.any(1)])
-    if len(members) < 2:
-        return pd.DataFrame({"block": pd.Series([], dtype=str), "doc_id": pd.Series([], dtype="int64")})
-    return pd.DataFrame({"block": hashlib.blake2b(members.tobytes(), digest_size=12).hexdigest(), "doc_id": members})
-
-
-def _across(nodes: DataFrame, runs: DataFrame, found: DataFrame) -> DataFrame:
-    """Blocks (block, doc_id) of rows of different classes within the given runs."""
-    size = 1 + 2 * DEPTH
-    heads = [F.substring("labels", 1 + size * t, HEAD) for t in range(TREES)]
-    rows = nodes.select("doc_id", "bits", F.concat(*heads).alias("heads"), F.explode(F.array(*heads)).alias("run")).join(runs, "run", "left_semi")
+    pairs = np.argwhere(open_)
+    pairs = pairs[_sizes_allow(sizes[pairs[:, 0]], sizes[pairs[:, 1]])]
+    labels = np.frombuffer(b"".join(pdf["labels"]), np.uint8).reshape(n, TREES, LABEL)
+    for before in range(t):  # what shares a region of an earlier order has met there
+        met = (labels[pairs[:, 0], before, :width] == labels[pairs[:, 1], before, :width]).all(1)
+        pairs = pairs[~met]
+    return _named([ids[x] for x in _cover(pairs, sizes)] if len(pairs) else [])[["block", "doc_id"]]
+
+
+def _across(nodes: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame:
+    """Blocks (block, doc_id) of rows of different classes within the given regions."""
+    label = F.explode(F.array(*[F.substring("labels", 1 + LABEL * t, LABEL) for t in range(TREES)])).alias("label")
+    rows = nodes.select("doc_id", "n_shingles", "bits", "labels", label).withColumn("region", F.substring("label", 1, HEAD)).join(regions, "region", "left_semi")
     rows = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = _shared.written(rows, "runs")
-    sizes = rows.groupBy("run", "component").count()
-    several = sizes.groupBy("run").count().where("count > 1").select("run")
-    own = F.when(F.col("count") >= PART, F.col("component")).alias("own")
-    sizes = _shared.written(sizes.join(several, "run", "left_semi").select("run", "component", "count", own), "sizes")
-    parts = sizes.groupBy("run", "own").agg(F.ceil(F.sum("count") / PART).cast("int").alias("parts"))
-    parts = _shared.written(parts, "parts")
-    each = parts.select("run", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
-    other = each.select("run", F.col("own").alias("own2"), F.col("k").alias("k2"))
-    pairs = each.join(other, "run").where("(own is null and (own2 is not null or k <= k2)) or own < own2")
-    name = F.concat_ws(":", F.hex("run"), F.coalesce(F.col("own").cast("string"), F.lit("-")), "k", F.coalesce(F.col("own2").cast("string"), F.lit("-")), "k2")
-    same = F.col("own").eqNullSafe(F.col("own2")) & (F.col("k") == F.col("k2"))
-    one, two = F.struct(F.lit(0).alias("side"), "own", "k"), F.struct(F.lit(1).alias("side"), F.col("own2").alias("own"), F.col("k2").alias("k"))
-    sides = pairs.select("run", name.alias("pair"), F.explode(F.when(same, F.array(one)).otherwise(F.array(one, two))).alias("s")).select("run", "pair", "s.*")
-    placed = rows.join(sizes.select("run", "component", "own"), ["run", "component"])
-    keyed = lambda df: df.withColumn("_own", F.coalesce(F.col("own").cast("string"), F.lit("-"))).drop("own")
-    placed = keyed(placed).join(keyed(parts), ["run", "_own"]).withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    return placed.join(keyed(sides), ["run", "_own", "k"]).select("pair", "side", "run", "doc_id", "component", "bits", "heads").groupBy("pair").applyInPandas(_meet, "block string, doc_id long").distinct()
+    rows = _shared.written(rows, "regions")
+    width = HEAD
+    for depth in range(MIN_DEPTH + 1, DEPTH + 1):
+        large = rows.groupBy("region").count().where(F.col("count") > MOST_ROWS).select("region", F.lit(True).alias("large"))
+        if not large.take(1):
+            break
+        # rows of one label are in one region at any depth; those of a region that is divided may have met at no shorter one
+        deeper = F.when(F.col("large"), F.substring("label", 1, 1 + 2 * depth)).otherwise(F.col("region"))
+        rows, before = _shared.written(rows.join(large, "region", "left").withColumn("region", deeper).drop("large"), "regions"), rows
+        _shared.remove(before)
+        width = LABEL
+    of = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    of = of.where("low < high").select("region", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rows = rows.join(_shared.written(of, "parts"), "region").withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("low", F.least("k", "other")).withColumn("high", F.greatest("k", "other")).withColumn("side", (F.col("k") > F.col("other")).cast("int"))
+    rows = rows.select("region", "low", "high", "side", F.lit(width).alias("width"), "doc_id", "n_shingles", "component", "bits", "labels")
+    return rows.groupBy("region", "low", "high").applyInPandas(_meet, "block string, doc_id long").distinct()
+
+
+def _repeated(sketches: DataFrame) -> DataFrame:
+    """(doc_id, several): the ids of more than one row, and whether their texts differ."""
+    digest = F.coalesce("digest", F.lit(b""))
+    own = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min(digest) != F.max(digest)).alias("several"))
+    return _shared.written(own.where("n > 1").select("doc_id", "several"), "repeated")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
-    sketches = _shared.written(
-        docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_sketch, "doc_id long, n_shingles long, digest binary, labels binary, bits binary, packed binary"), "sketches"
-    )
+    schema = "doc_id long, n_shingles long, digest binary, labels binary, bits binary, packed binary"
+    sketches = _shared.written(_shared.map_frames(docs.select(F.col("doc_id").cast("long"), "text"), _sketch, schema), "sketches")
     linkable = sketches.where("n_shingles > 0 and doc_id is not null")
-    firsts = _shared.written(linkable.groupBy("digest").agg(F.min("doc_id").alias("node")), "firsts")
-    nodes = linkable.select("doc_id", "digest", "labels", "bits").join(firsts.select("digest", F.col("node").alias("doc_id")).hint("merge"), ["digest", "doc_id"], "left_semi").select("doc_id", "labels", "bits")
-    size = 1 + 2 * DEPTH
-    rows = nodes.select("doc_id", "bits", F.explode(F.array(*[F.substring("labels", 1 + size * t, size) for t in range(TREES)])).alias("label"))
-    blocks = rows.repartitionByRange("label", "doc_id").sortWithinPartitions("label", "doc_id").mapInPandas(_blocks, "block string, doc_id long, run binary")
-    blocks = _shared.written(blocks.distinct(), "blocks")
-    again = linkable.groupBy("doc_id").count().where("count > 1").take(1)
+    firsts = _shared.written(linkable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "firsts")
+    repeated = _repeated(sketches)
+    once = (lambda df: df.dropDuplicates()) if repeated.take(1) else (lambda df: df)
+    heads = firsts.select("digest", F.col("node").alias("doc_id")).hint("merge")
+    nodes = linkable.select("doc_id", "digest", "n_shingles", "labels", "bits").join(heads, ["digest", "doc_id"], "left_semi")
+    nodes = _shared.written(once(nodes).drop("digest"), "nodes")
+    labels = F.explode(F.array(*[F.substring("labels", 1 + LABEL * t, LABEL) for t in range(TREES)])).alias("label")
+    rows = nodes.select("doc_id", "n_shingles", "bits", labels).repartitionByRange("label", "doc_id").sortWithinPartitions("label", "doc_id")
+    blocks = _shared.written(rows.mapInPandas(_blocks, "block string, doc_id long, region binary").distinct(), "blocks")
 
     def links(blocks: DataFrame) -> DataFrame:
         texts = linkable.select("doc_id", "packed").join(blocks.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-        if again:
-            texts = texts.dropDuplicates()
-        return blocks.join(texts.hint("merge"), "doc_id").groupBy("block").applyInPandas(_confirm, "a long, b long")
+        return blocks.join(once(texts).hint("merge"), "doc_id").groupBy("block").applyInPandas(_confirm, "a long, b long")
 
-    found = components(links(blocks.where("block is not null").select("block", "doc_id")))
-    more = _shared.written(_across(nodes, blocks.where("run is not null").select("run").distinct(), found), "more")
+    several = repeated.where("several").select("doc_id")
+    ties = linkable.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(firsts.hint("merge"), "digest")
+    ties = ties.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = components(links(blocks.where("block is not null").select("block", "doc_id")).unionByName(ties))
+    more = _shared.written(_across(nodes, blocks.where("region is not null").select("region").distinct(), found), "more")
     if more.take(1):
         found = components(links(more).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    # rows of one id are one document: other texts under it are tied together through the id
-    named = sketches.select("doc_id", "n_shingles", "digest").join(firsts, "digest", "left")
-    return named.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+    return _classified(sketches.select("doc_id", "n_shingles", "digest"), firsts, found)
+
+
+def _classified(rows: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (doc_id, n_shingles, digest) with their class, by way of the first row of each shingle set."""
+    named = firsts.join(found.hint("merge"), "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component_id"))
+    named = _shared.written(named, "classes")
+    often = F.col("n") * HOT_SHARE > named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot, others = F.broadcast(named.where(often).drop("n")), named.where(~often).drop("n")  # HOT_SHARE sets are hot at most
+    linked = rows.where("digest is not null and doc_id is not null")
+    linked = linked.join(hot, "digest").unionByName(linked.join(hot.select("digest"), "digest", "left_anti").join(others.hint("merge"), "digest"))
+    # a row without a shingle is in the class of another text of its id, if it has one
+    empty = rows.where("digest is null and doc_id is not null").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    empty = empty.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
+    nameless = rows.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long"))
+    return reduce(DataFrame.unionByName, [linked, empty, nameless]).drop("digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
