@@ -9,12 +9,18 @@ where the second term, the risk of the negatives, may not fall below zero
 (Kiryo et al. 2017): where it would, its gradient is turned round.  A text's
 features are the presence of words and word beginnings.  Features enter only
 if their posterior by the same correction, prior * P(feature | P) /
-P(feature | U), is high, so that the many ordinary words of a long text cannot
-add up to a verdict.
-
-Cases: a null or empty text has no features and gets the score of the bias; a
-repeated row is scored like its twin; without a confirmed toxic text every
-score is 0; columns of the input other than the id and the text are ignored.
+P(feature | U), is high and if confirmed texts hold them so much more often
+than unlabelled ones that chance does not explain it; so the many ordinary
+words of a long text cannot add up to a verdict, nor can rare words that a few
+confirmed texts happen to share.
+
+The two samples are the only bound, and they bound labelled rows; every feature
+that the confirmed ones hold is looked at, and every text is scored in whole.
+
+Cases: a null or empty text has no features and gets the score of the bias;
+repeated rows are scored alike (and ties of labels of one id count as toxic);
+without a confirmed toxic text every score is 0; columns named score or
+predicted are replaced, others are kept as they are and never looked at.
 """
 
 from __future__ import annotations
@@ -31,17 +37,16 @@ from . import _shared, _words
 #: Word beginnings, in bytes, beside whole words (0).
 BEGINNINGS = (0, 4, 5, 6, 7)
 THRESHOLD = 0.7
+SAMPLE_PARTS = 24  #: tasks that read a sample
 
 
 @dataclass(frozen=True)
 class Settings:
     max_positives: int = 6000  #: bound of the sample of confirmed toxic texts
     max_unlabelled: int = 16_000  #: bound of the sample of unlabelled texts
-    max_features: int = 50_000  #: bound of the features that the model keeps, those of most positives first
-    max_candidates: int = 300_000  #: bound of the features that are looked at, likewise
     min_support: int = 2  #: positives that must hold a feature
-    min_share: float = 0.003  #: share of the positives that must hold it
-    min_posterior: float = 0.6
+    min_posterior: float = 0.5
+    max_chance: float = 1e-3  #: at most, of as many positives holding a feature that has nothing to do with the class
     members: int = 3
     epochs: int = 60
     rate: float = 0.05
@@ -112,11 +117,12 @@ def select(held: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int, prior: float,
     confirmed and of unlabelled texts that hold each."""
     if not n_p or not n_u:
         return np.zeros(0, int)
-    expected, seen = prior * held / n_p, in_u / n_u
-    # where U shows a feature about as often as the positives in U account for, its posterior is near 1
-    slack = np.sqrt(np.maximum(expected, 1 / n_u) / n_u)
-    keep = (held >= max(s.min_support, s.min_share * n_p)) & (s.min_posterior * (seen - slack) <= expected)
-    return np.sort(np.flatnonzero(keep)[np.argsort(-held[keep], kind="stable")[: s.max_features]])
+    mean = n_p * np.maximum(in_u, 1) / n_u
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # a bound of the Poisson distribution's upper tail
+        chance = np.where(held > mean, held - mean - held * np.log(held / mean), 0.0)
+    keep = (held >= s.min_support) & (prior * held / mean >= s.min_posterior) & (chance <= np.log(s.max_chance))
+    return np.flatnonzero(keep)
 
 
 def learn(codes: np.ndarray, p: tuple, n_p: int, u: tuple, n_u: int, prior: float, s: Settings = Settings()) -> dict:
@@ -217,45 +223,44 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
     """Train on rows that are not held out.  The samples are bounded by
-    max_positives and max_unlabelled, and only places of features come to the driver; the class prior is the toxic share of
-    all labelled rows that are not held out."""
-    learn_ = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, n_toxic = learn_.agg(F.count("*"), F.sum(F.expr("int(toxic = 1)"))).first()
+    max_positives and max_unlabelled; the class prior is the toxic share of all
+    labelled rows that are not held out."""
+    known = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n, n_toxic = known.agg(F.count("*"), F.sum(F.expr("int(toxic = 1)"))).first()
     nothing = (np.zeros(0, int), np.zeros(0, int))
     if not n_toxic:
         return learn(np.zeros(0, np.uint64), nothing, 0, nothing, 0, 0.5, s)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    # the first ids by a hash: at most max_positives, so they may be broadcast
+    toxic = known.where("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(s.max_positives)
+    positive = texts.join(F.broadcast(toxic), "doc_id", "left_semi").select("text")
     n_texts = texts.count()
-
-    def drawn(rows: DataFrame, most: int, of: int, salt: int) -> DataFrame:
-        """About `most` of `of` rows, by a hash of the id."""
-        if of <= most:
-            return rows
-        return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(most / of * (1 << 30)))
-
-    # at most max_positives ids, so they may be broadcast
-    toxic = drawn(learn_.where("toxic = 1").select("doc_id"), s.max_positives, n_toxic, 1).limit(s.max_positives)
-    positive = texts.join(F.broadcast(toxic), "doc_id", "left_semi")
-    unlabelled = drawn(texts, s.max_unlabelled, n_texts, 2)
-    counts = positive.select("text").mapInPandas(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    n_p = min(n_toxic, s.max_positives)
-    least = max(s.min_support, int(s.min_share * n_p * 0.9))
-    top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "code").limit(s.max_candidates).toArrow()
-    codes, of_p = top.column("code").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    drawn = texts.select("text")
+    if n_texts > s.max_unlabelled:  # rows that repeat are drawn each for themselves
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(2)), F.lit(1 << 30))
+        drawn = drawn.where(place < int(s.max_unlabelled / n_texts * (1 << 30)))
+    positive, drawn = (_shared.written(x.repartition(SAMPLE_PARTS), "sample") for x in (positive, drawn))
+    n_p, n_u = positive.count(), drawn.count()
+    counts = _shared.map_frames(positive, _counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = counts.where(F.col("n") >= s.min_support).toArrow()
+    codes, of_p = counts.column("code").to_numpy().view(np.uint64), counts.column("n").to_numpy()
     order = np.argsort(codes)
     codes, of_p = codes[order], of_p[order]
-    found = unlabelled.select("text").mapInPandas(_places(docs.sparkSession, codes, True), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    seen = _shared.map_frames(drawn, _places(docs.sparkSession, codes, True), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     of_u = np.zeros(len(codes), np.int64)
-    of_u[found.column("place").to_numpy()] = found.column("n").to_numpy()
-    kept = select(of_p, n_p, of_u, min(n_texts, s.max_unlabelled), n_toxic / n, s)
-    find = _places(docs.sparkSession, codes[kept], False)
+    of_u[seen.column("place").to_numpy()] = seen.column("n").to_numpy()
+    codes = codes[select(of_p, n_p, of_u, n_u, n_toxic / n, s)]
+    find = _places(docs.sparkSession, codes, False)
 
-    def gathered(rows: DataFrame, most: int) -> tuple[tuple, int]:
-        got = [np.frombuffer(r[0], "<i4") for r in rows.select("text").mapInPandas(find, "places binary").limit(most).collect()]
-        return (np.repeat(np.arange(len(got)), [len(x) for x in got]), np.concatenate([*got, np.zeros(0, "<i4")]).astype(int)), len(got)
+    def gathered(rows: DataFrame) -> tuple:
+        got = [np.frombuffer(r[0], "<i4") for r in _shared.map_frames(rows, find, "places binary").collect()]
+        return np.repeat(np.arange(len(got)), [len(x) for x in got]), np.concatenate([*got, np.zeros(0, "<i4")]).astype(int)
 
-    (p, n_p), (u, n_u) = gathered(positive, s.max_positives), gathered(unlabelled, s.max_unlabelled)
-    return learn(codes[kept], p, n_p, u, n_u, n_toxic / n, s)
+    model = learn(codes, gathered(positive), n_p, gathered(drawn), n_u, n_toxic / n, s)
+    for sample in (positive, drawn):
+        _shared.remove(sample)
+    return model
 
 
 def _places(spark: SparkSession, codes: np.ndarray, count: bool):
@@ -298,30 +303,25 @@ def _counted(frames):
     yield pd.DataFrame({"code": held.view(np.int64), "n": n})
 
 
-def apply(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with the columns score and predicted; rows stay where they are, no shuffle."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer")
+def apply(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with score and predicted; rows stay where they are, no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(frames):
-        for pdf in frames:
-            got = score(pdf[text].tolist(), held.value)
-            yield pdf.assign(score=got, predicted=(got >= THRESHOLD).astype(np.int32))
+    def scored(texts):
+        got = score(texts, held.value)
+        return got, (got >= THRESHOLD).astype(np.int32)
 
-    return docs.select(*names).mapInPandas(scored, schema)
+    return _shared.with_columns(docs, text, scored, "score double, predicted int", keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _shared.table(spark, sf_dir, "documents")
     model = fit(docs, _shared.table(spark, sf_dir, "labels"))
-    got = apply(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model)
-    return got.select("doc_id", "held_out", "score", "predicted")
+    return apply(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects the documents that are predicted toxic."""
-    model = fit(docs, _shared.table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return apply(docs, model).where("predicted = 0").select(*names)
+    held = spark.sparkContext.broadcast(fit(docs, _shared.table(spark, sf_dir, "labels")))
+    rejected = lambda texts: (score(texts, held.value) >= THRESHOLD,)
+    return _shared.with_columns(docs, "text", rejected, "_toxic boolean").where("not _toxic").drop("_toxic")
