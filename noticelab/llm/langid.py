@@ -11,8 +11,8 @@ arrays are laid out with the batch last, so that one step of thousands of
 spans is a few vectorized operations.
 
 Cases: a null text or one without a letter is `und` with score 0; without any
-labelled row every text is `und`; rows that repeat are predicted each; other
-columns are ignored.
+labelled row every text is `und`; rows that repeat are predicted each; columns
+named lang_pred or score are replaced, others are kept as they are.
 """
 
 from __future__ import annotations
@@ -148,7 +148,8 @@ def train(spans: np.ndarray, labels: np.ndarray, classes: int, s: Settings = Set
 
 
 def _letters(text) -> bool:
-    return isinstance(text, str) and re.search(r"[^\W\d_]", text) is not None
+    """Whether a text has a letter; superscripts and fractions are none."""
+    return isinstance(text, str) and any(m[0].isalpha() for m in re.finditer(r"[^\W\d_]", text))
 
 
 def predict(texts, model: dict | None) -> tuple[list[str], np.ndarray]:
@@ -208,8 +209,10 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> dict | None:
     # cuts are made where the rows are: each gives a few spans to the driver
     size = SPAN * 4
     places = F.array(*[F.floor(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1000)) / 1000 * F.greatest(F.length("text") - SPAN, F.lit(1))) for k in range(s.cuts)])
-    cuts = learn.where(part).select("lang", F.explode(F.transform(places, lambda i: F.substring("text", i.cast("int") + 1, F.lit(size)))).alias("cut"))
-    for lang, cut in cuts.limit(s.max_rows * s.cuts).collect():
+    drawn = learn.where(part).withColumn("_place", F.xxhash64("doc_id", "text", F.lit(18)))
+    cuts = drawn.select("_place", "lang", F.posexplode(F.transform(places, lambda i: F.substring("text", i.cast("int") + 1, F.lit(size)))).alias("_k", "cut"))
+    cuts = cuts.orderBy("_place", "lang", "_k", "cut").limit(s.max_rows * s.cuts).select("lang", "cut")
+    for lang, cut in cuts.collect():
         if _letters(cut):
             data = np.frombuffer(cut.encode("utf-8", "surrogatepass")[:SPAN], np.uint8)
             spans.append(np.concatenate([data, np.full(SPAN - len(data), 256)]))
@@ -222,21 +225,12 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> dict | None:
     return {"names": names, "weights": train(np.stack(spans)[order], codes[order], len(names), s)}
 
 
-def apply(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; rows stay where they are, no shuffle."""
+def apply(docs: DataFrame, model: dict | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with lang_pred and score; rows stay where they are, no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
-
-    def rows(frames):
-        for pdf in frames:
-            found, scores = predict(pdf[text].tolist(), held.value)
-            yield pdf.assign(lang_pred=found, score=scores)
-
-    return docs.select(*names).mapInPandas(rows, schema)
+    return _shared.with_columns(docs, text, lambda texts: predict(texts, held.value), "lang_pred string, score double", keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _shared.table(spark, sf_dir, "documents")
-    got = apply(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), fit(docs))
-    return got.select("doc_id", "held_out", "lang_pred", "score")
+    return apply(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), fit(docs), keep=["doc_id", "held_out"])
