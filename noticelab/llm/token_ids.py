@@ -16,11 +16,13 @@ attempt that was lost or repeated leaves nothing that is read.
 
 Cases: a null or empty text has the end id alone; rows that repeat an id are
 encoded each, in the order of their texts; rows without an id come first;
-an empty table gives no file and no row; other columns are ignored.
+an empty table gives no file and no row; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import unicodedata
 import uuid
@@ -37,8 +39,8 @@ from . import _shared, _words
 
 END_ID = 2
 FILE_TOKENS = 1 << 21
-CUT_CHARS = 1 << 20
-CACHE_WORDS = 3_000_000
+CUT_BYTES = 1 << 20  #: of texts that are encoded at once, unless one text has more
+CACHE_WORDS = 400_000  #: stretches that a task remembers
 MAGIC = b"VBIDS\x00\x01\x00"
 HEAD = "<8sQQQ"
 
@@ -95,15 +97,23 @@ def unpack(blob: bytes):
 
 
 class Known:
-    """Ids of stretches by 64-bit hash: sorted hashes, places and sizes in one
-    flat array; some 20 bytes a stretch, no Python objects."""
+    """What stretches encode to: found by 64-bit hash, confirmed by their bytes.
+
+    Ids and bytes stand in two flat arrays, some 60 bytes a stretch in all and
+    no Python objects.  It lives as long as a task and is emptied when it holds
+    CACHE_WORDS stretches.
+    """
 
     def __init__(self, kind: np.dtype):
-        self.flat = np.zeros(1 << 16, kind)
+        self.kind = kind
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.places, self.sizes, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.hashes = np.zeros(0, np.uint64)
+        self.flat, self.begin, self.size = {}, {}, {}
+        for of, kind in (("ids", self.kind), ("text", np.dtype(np.uint8))):
+            self.flat[of], self.begin[of], self.size[of] = np.zeros(1 << 16, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = {"ids": 0, "text": 0}
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the table, and whether each is there."""
@@ -112,34 +122,70 @@ class Known:
         k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return k, self.hashes[k] == hashes
 
-    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
-        """Ascending hashes that are not in the table, with their ids."""
-        data = np.frombuffer(b"".join(ids), self.flat.dtype)
-        while self.used + len(data) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(data)] = data
-        sizes = np.array([len(x) for x in ids], np.int64) // self.flat.itemsize
+    def add(self, hashes: np.ndarray, stretches: list[bytes], ids: list[bytes]) -> None:
+        """Ascending hashes that are not in the table, with what has them and its ids."""
         at = np.searchsorted(self.hashes, hashes)
-        self.places = np.insert(self.places, at, self.used + np.cumsum(sizes) - sizes)
-        self.sizes, self.hashes = np.insert(self.sizes, at, sizes), np.insert(self.hashes, at, hashes)
-        self.used += len(data)
+        for of, parts in (("ids", ids), ("text", stretches)):
+            flat, used = self.flat[of], self.used[of]
+            data = np.frombuffer(b"".join(parts), flat.dtype)
+            if used + len(data) > len(flat):
+                self.flat[of] = flat = np.concatenate([flat[:used], np.zeros(used + 2 * len(data), flat.dtype)])
+            flat[used : used + len(data)] = data
+            sizes = np.array([len(x) for x in parts], np.int64) // flat.itemsize
+            self.begin[of] = np.insert(self.begin[of], at, used + np.cumsum(sizes) - sizes)
+            self.size[of] = np.insert(self.size[of], at, sizes)
+            self.used[of] = used + len(data)
+        self.hashes = np.insert(self.hashes, at, hashes)
+
+    def gather(self, of: str, k: np.ndarray) -> np.ndarray:
+        """The ids or bytes of the stretches at these places, one after another."""
+        n = self.size[of][k]
+        ahead = np.cumsum(n) - n
+        return self.flat[of][np.repeat(self.begin[of][k] - ahead, n) + np.arange(n.sum())]
+
+    def differ(self, k: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which stretches of data are not the ones at these places."""
+        n = ends - starts
+        unlike = self.size["text"][k] != n
+        if unlike.any():  # lengths that differ say enough
+            of = np.flatnonzero(~unlike)
+            unlike[of] = self.differ(k[of], data, starts[of], ends[of])
+            return unlike
+        ahead = np.cumsum(n) - n
+        wrong = self.gather("text", k) != data[np.repeat(starts - ahead, n) + np.arange(n.sum())]
+        if wrong.any():
+            unlike[np.searchsorted(ahead, np.flatnonzero(wrong), "right") - 1] = True
+        return unlike
+
+
+#: The normal form and the pieces of a tokenizer whose texts may be cut at blanks.
+NORMAL_FORM = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class Encoder:
     """A tokenizer of the tokenizers library that remembers what a stretch
     between blanks encodes to.
 
-    White space never is part of one of its tokens and capitals encode like
-    small letters, so texts are lower-cased and cut at blanks; those that may
-    hold a special token, or characters whose small form depends on context or
-    composition, are encoded as they are.  A new stretch of letters, perhaps
+    Where the tokenizer has NORMAL_FORM and PIECES, white space never is part of
+    a token and capitals encode like small letters, so texts are lower-cased
+    and cut at blanks; those that may hold a special token, or characters whose
+    small form depends on context or composition, are encoded as they are, and
+    so is every text of another tokenizer.  A new stretch of letters, perhaps
     with a comma or stop behind, is one piece to the splitting rules and goes
     to the model at once; others are encoded together, with a mark between
-    them.  A worker that is reused keeps what it has learned.
+    them.
 
-    Stretches are found and told apart by numpy for many texts at once, by
-    64-bit hashes (for a million stretches two meet with a chance of 3e-8); one
-    of each is looked up, and the ids of all are gathered by their places.
+    Stretches are found by numpy for many texts at once, by 64-bit hashes; one
+    of each is looked up, the ids of all are gathered by their places.  Every
+    stretch is held against the bytes of the one that its hash found; a text
+    in which one differs is encoded as it is.
     """
 
     MARK = "\x01"
@@ -154,10 +200,10 @@ class Encoder:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.type = np.dtype(self.code).newbyteorder("<")
-        kept = tokenizers.__dict__.setdefault("_known_stretches", {})
-        self.known = kept[path] = kept.get(path) or Known(self.type)
+        self.known = Known(self.type)
         self.end = array(self.code, [END_ID]).tobytes()
-        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.cuts = self._cuts_at_blanks(json.loads(self.tokenizer.to_str()))
         breaks = np.zeros(256, bool)
         breaks[[10, 32]] = True
         self.hasher = _words.Hasher(breaks, lower_ascii=False)
@@ -165,9 +211,17 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
 
+    def _cuts_at_blanks(self, rules: dict) -> bool:
+        """Whether this is a tokenizer of the kind for which cutting at blanks is exact."""
+        alike = rules["normalizer"] == NORMAL_FORM and rules["pre_tokenizer"] == PIECES and rules["post_processor"] is None
+        special = all(t["content"].startswith("<|") for t in rules["added_tokens"])
+        return alike and special and rules["truncation"] is None and rules["padding"] is None and len(self.mark) == 1
+
     def _plain(self, text: str | None) -> bool:
         """Whether a text may be cut at blanks; a null or empty one may."""
-        return not text or text.isascii() and "<|" not in text or not any(x in text for x in self.ODD) and unicodedata.is_normalized("NFC", text)
+        if not text:
+            return True
+        return self.cuts and (text.isascii() and "<|" not in text or not any(x in text for x in self.ODD) and unicodedata.is_normalized("NFC", text))
 
     def _learn(self, stretches: list[bytes]) -> list[bytes]:
         """The ids of each new stretch."""
@@ -188,8 +242,9 @@ class Encoder:
                 rest.append(i)
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            got = np.array(self.tokenizer.encode(f" {self.MARK} ".join(stretches[i].decode("utf-8") for i in part), add_special_tokens=False).ids, self.type)
-            limits = [-1, *np.flatnonzero(got == self.mark).tolist(), len(got)]
+            joined = f" {self.MARK} ".join(stretches[i].decode("utf-8") for i in part)
+            got = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, self.type)
+            limits = [-1, *np.flatnonzero(got == self.mark[0]).tolist(), len(got)]
             data, width = got.tobytes(), got.itemsize
             for i, a, b in zip(part, limits[:-1], limits[1:], strict=True):
                 out[i] = data[(a + 1) * width : b * width]
@@ -199,9 +254,14 @@ class Encoder:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian integers of self.type."""
-        texts = [t.encode("utf-8", "replace").decode("utf-8") if t else "" for t in texts]
+        """The ids of each text, with the end id, as little-endian integers of self.type."""
+        texts = [t.encode("utf-8", "replace").decode("utf-8") if isinstance(t, str) else "" for t in texts]
         plain = [self._plain(t) for t in texts]
+        if len(texts) == 1 and plain[0]:  # perhaps a very long one
+            return [b"".join(self._ids([x], [True])[0] for x in _segments(texts[0], CUT_BYTES)) + self.end]
+        return [x + self.end for x in self._ids(texts, plain)]
+
+    def _ids(self, texts: list[str], plain: list[bool]) -> list[bytes]:
         parts = [t.lower().encode("utf-8") if p else b"" for t, p in zip(texts, plain)]
         data = b"\n".join(parts) + b"\n"
         starts, ends, stretch = self.hasher.words(data)
@@ -211,22 +271,29 @@ class Encoder:
         k, hit = self.known.find(hashes)
         if not hit.all():
             new = first[~hit]
-            self.known.add(hashes[~hit], self._learn([data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())]))
+            stretches = [data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+            self.known.add(hashes[~hit], stretches, self._learn(stretches))
             k, _ = self.known.find(hashes)
-        flat, width = self.known.flat, self.type.itemsize
-        sizes, begins = self.known.sizes[k], self.known.places[k]
-        n = sizes[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(begins[which] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
-        limits = upto[np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])]))] * width
-        return [(ids[a:b] if p else self._direct(t)) + self.end for t, p, a, b in zip(texts, plain, limits[:-1].tolist(), limits[1:].tolist())]
-
-
-def _cuts(sizes: np.ndarray, most: int):
-    """Slices of neighbours whose sizes sum to about `most`."""
-    group = np.cumsum(sizes) // most
-    limits = np.flatnonzero(np.diff(group)) + 1
-    return [slice(a, b) for a, b in zip([0, *limits], [*limits, len(sizes)])]
+        k = k[which]
+        begins = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])]))
+        for i in np.flatnonzero(self.known.differ(k, np.frombuffer(data, np.uint8), starts, ends)):
+            plain[int(np.searchsorted(begins, i, "right")) - 1] = False
+        ids = self.known.gather("ids", k).tobytes()
+        limits = np.concatenate([[0], np.cumsum(self.known.size["ids"][k])])[begins] * self.type.itemsize
+        return [ids[a:b] if p else self._direct(t) for t, p, a, b in zip(texts, plain, limits[:-1].tolist(), limits[1:].tolist())]
+
+
+def _segments(text: str, most: int):
+    """A text in parts of about `most` characters that end before a blank."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > most:
+            blank = text.rfind(" ", at + 1, at + most)
+            end = blank if blank > 0 else text.find(" ", at + most)
+            end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
 
 
 def tokenizer_path() -> str:
@@ -246,24 +313,24 @@ def write(docs: DataFrame, path: str | None = None) -> DataFrame:
         """Each text's ids and its place among the partition's, then the partition's count of each id."""
         encoder, tally, begin = Encoder(path), np.zeros(0, np.int64), 0
         packer, width = zstandard.ZstdCompressor(level=1), encoder.type.itemsize
-        for pdf in frames:
-            for cut in _cuts(pdf["text"].str.len().fillna(0).to_numpy(), CUT_CHARS):
-                own = pdf.iloc[cut]
-                got = encoder(own["text"].tolist())
-                sizes = np.array([len(x) // width for x in got])
-                places = begin + np.cumsum(sizes) - sizes
-                begin += int(sizes.sum())
-                tally = _added(tally, np.bincount(np.frombuffer(b"".join(got), encoder.type)))
-                yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "place": places, "n_tokens": sizes, "wide": width == 4, "ids": [packer.compress(x) for x in got]})
+        for own in frames:
+            got = encoder(own["text"].tolist())
+            sizes = np.array([len(x) // width for x in got], np.int64)
+            places = begin + np.cumsum(sizes) - sizes
+            begin += int(sizes.sum())
+            tally = _added(tally, np.bincount(np.frombuffer(b"".join(got), encoder.type)))
+            yield pd.DataFrame({"doc_id": own["doc_id"], "place": places, "n_tokens": sizes, "wide": width == 4, "ids": [packer.compress(x) for x in got]})
         some = np.flatnonzero(tally)
         if len(some):
             yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "place": [-1], "n_tokens": [begin], "wide": [False], "ids": [np.stack([some, tally[some]]).astype("<i8").tobytes()]})
 
-    order = ("doc_id", F.xxhash64("text"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = rows.mapInPandas(encoded, "doc_id long, place long, n_tokens long, wide boolean, ids binary")
+    # the last key spreads rows that repeat an id and its text; their order among themselves is the same to all
+    order = ("doc_id", "_hash", "_row")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    rows = _shared.map_frames(rows, encoded, "doc_id long, place long, n_tokens long, wide boolean, ids binary", CUT_BYTES)
     rows = _shared.written(rows.withColumn("part", F.spark_partition_id()), "ids")
-    tallies = rows.where("place < 0").select("ids").mapInPandas(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    tallies = _shared.map_frames(rows.where("place < 0").select("ids"), _tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # at most a row for each id of the vocabulary
     id_of = np.array([r[0] for r in tallies.orderBy(F.col("n").desc(), "id").select("id").collect()], np.uint32)
     # a row for each partition of the encoding stage
@@ -287,25 +354,24 @@ def write(docs: DataFrame, path: str | None = None) -> DataFrame:
             _shared.put_file(name, pack(docs, starts, counts, rank_of[ids], id_of))
             return pd.DataFrame({"path": [name], "start": [starts[0]], "n_docs": [len(docs)], "n_tokens": [len(ids)]})
 
-        for pdf in frames:
-            for a in range(0, len(pdf), 256):
-                cut = pdf.iloc[a : a + 256]
-                counts = cut["n_tokens"].to_numpy()
-                starts = cut["place"].to_numpy() + cut["part"].map(offsets).to_numpy()
-                ids = [np.frombuffer(opener.decompress(x), "<u4" if w else "<u2").astype(np.uint32) for x, w in zip(cut["ids"], cut["wide"])]
-                names = cut["doc_id"].fillna(NO_ID).to_numpy().astype(np.int64)
-                gaps = np.flatnonzero(starts[1:] != (starts + counts)[:-1]) + 1
-                for own in np.split(np.arange(len(cut)), gaps):
-                    if kept and (kept[-1][1][-1] + kept[-1][2][-1] != starts[own[0]] or size >= FILE_TOKENS):
-                        yield put()  # what comes next does not follow upon this, or the file is full
-                        kept, size = [], 0
-                    kept.append((names[own], starts[own], counts[own], np.concatenate([ids[i] for i in own])))
-                    size += int(counts[own].sum())
+        for cut in frames:
+            counts = cut["n_tokens"].to_numpy(np.int64)
+            starts = cut["place"].to_numpy(np.int64) + cut["part"].map(offsets).to_numpy(np.int64)
+            ids = [np.frombuffer(opener.decompress(x), "<u4" if w else "<u2").astype(np.uint32) for x, w in zip(cut["ids"], cut["wide"])]
+            names = cut["doc_id"].fillna(NO_ID).to_numpy(np.int64)
+            gaps = np.flatnonzero(starts[1:] != (starts + counts)[:-1]) + 1
+            for own in np.split(np.arange(len(cut)), gaps):
+                if kept and (kept[-1][1][-1] + kept[-1][2][-1] != starts[own[0]] or size >= FILE_TOKENS):
+                    yield put()  # what comes next does not follow upon this, or the file is full
+                    kept, size = [], 0
+                kept.append((names[own], starts[own], counts[own], np.concatenate([ids[i] for i in own])))
+                size += int(counts[own].sum())
         if kept:
             yield put()
 
     # the table's files keep the order in which each partition was encoded
-    return _shared.written(rows.where("place >= 0").select("part", "doc_id", "place", "n_tokens", "wide", "ids").mapInPandas(files, schema), "token-files")
+    rows = rows.where("place >= 0").select("part", "doc_id", "place", "n_tokens", "wide", "ids")
+    return _shared.written(_shared.map_frames(rows, files, schema, CUT_BYTES // 4), "token-files")
 
 
 #: Stands for a missing doc_id in a file.
@@ -341,7 +407,7 @@ def _read(frames):
 
 def read(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the CRC-32 of each document, from the files."""
-    return files.select("path").mapInPandas(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _shared.map_frames(files.select("path"), _read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
