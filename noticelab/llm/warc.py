@@ -11,20 +11,27 @@ Of pages with equal payloads (by SHA-1) the one with the smallest page_id is
 a response and the others revisit it: their records carry the digest and the
 length of the payload, but not the payload.
 
-Cases: null html is an empty payload; a null url is an empty address; a row
-that repeats a page_id and its payload is a revisit of its twin; rows without a
-page_id are always responses and revisited by none; an empty table gives no
-archive and no row; other columns are ignored.
+Rows are dealt by page_id and payload, rows without a page_id stay where they
+are.  A payload that more than one row in HOT_SHARE has is joined by broadcast
+(there are HOT_SHARE such payloads at most), so that no task gets all its rows.
+
+Cases: null html is an empty payload; a null url is an empty address; blanks
+and control characters in an address are written as percent codes; a row that
+repeats a page_id and its payload is a revisit of its twin; a page_id with two
+payloads is two records, each compared by its own payload; rows without a
+page_id are always responses and revisited by none; every record has an id of
+its own; an empty table gives no archive and no row; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 
-import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +43,7 @@ SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
 ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES = 32 << 10
+HOT_SHARE = 4096  #: payloads of more than one row in so many are joined apart
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"  #: pages carry no date of their own
 
@@ -48,21 +56,40 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _clean(value) -> str:
-    return " ".join(str(value).split()) if isinstance(value, str) else ""
+def _address(url) -> str:
+    """A url as one word."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if isinstance(url, str) else ""
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, minimum: int = 0) -> bytes:
-    """A response record, or a revisit record without the payload."""
-    number = "" if page_id is None else str(page_id)
+def _response_id(page_id: int, payload_digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{payload_digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+    """A response record, or a revisit record without the payload.  A response's
+    id follows from its page and payload, so that revisits can name it."""
+    number, sum_ = "" if page_id is None else str(page_id), digest(payload)
+    response = refers_to is None
+    own = _response_id(page_id, sum_) if response and page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, number)}>"), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
-    if refers_to is not None:
-        fields += [("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(refers_to))}>"), ("WARC-Profile", PROFILE), ("X-Refers-To-Page", str(refers_to))]
-    block = http + (payload if refers_to is None else b"")
-    fields += [("X-Page-ID", number), ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    block = http + (payload if response else b"")
+    fields = [
+        ("WARC-Type", "response" if response else "revisit"),
+        ("WARC-Record-ID", own),
+        ("WARC-Date", DATE),
+        ("WARC-Target-URI", _address(url)),
+        ("WARC-Payload-Digest", f"sha1:{sum_}"),
+    ]
+    if not response:
+        fields += [("WARC-Refers-To", _response_id(refers_to, sum_)), ("WARC-Profile", PROFILE), ("X-Refers-To-Page", str(refers_to))]
+    fields += [
+        ("X-Page-ID", number),
+        ("X-Payload-Length", str(len(payload))),
+        ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Length", str(len(block))),
+    ]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
-    return head.encode() + block + b"\r\n\r\n"
+    return head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -150,6 +177,8 @@ def page(fields: dict[str, str], block: bytes) -> tuple:
     http, found, payload = block.partition(b"\r\n\r\n")
     if not found or not http.startswith(b"HTTP/1.1 "):
         raise Damaged("no HTTP header in the block")
+    if kind == "revisit" and (payload or fields["warc-refers-to"] != _response_id(int(fields["x-refers-to-page"]), named)):
+        raise Damaged("a revisit that does not name a response of its payload")
     if kind == "response" and (digest(payload) != named or len(payload) != int(fields["x-payload-length"])):
         raise Damaged("the payload differs from its digest or length")
     number = lambda x: int(x) if x else None
@@ -161,13 +190,19 @@ def write(pages: DataFrame, minimum: int = 0) -> DataFrame:
     `minimum` bytes are responses always.  Returns a row per archive."""
     spark = pages.sparkSession
     folder = _shared.new_path(spark, "warc")
-    body = F.coalesce("html", F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long"), "url", "html")
-    sums = keyed.where(F.col("page_id").isNotNull() & (F.octet_length(body) >= minimum)).select("page_id", F.sha1(body.cast("binary")).alias("sum"))
-    firsts = sums.groupBy("sum").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = sums.join(firsts, "sum").select("page_id", "sum", "refers_to").distinct()
-    both = keyed.withColumn("sum", F.sha1(body.cast("binary"))).repartition("page_id")
-    rows = both.join(revisits.hint("merge"), ["page_id", "sum"], "left").sortWithinPartitions("page_id", "sum")
+    sha1 = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    keyed = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("sum", sha1)
+    named = keyed.where("page_id is not null")
+    sums = named.where(F.octet_length(F.coalesce("html", F.lit(""))) >= minimum).select("page_id", "sum")
+    sums = _shared.written(sums, "sums")
+    firsts = sums.groupBy("sum").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    firsts = _shared.written(firsts, "firsts")
+    often = F.col("n") * HOT_SHARE > sums.count()
+    hot, others = F.broadcast(firsts.where(often).drop("n")), firsts.where(~often).drop("n")
+    revisits = sums.join(hot, "sum").unionByName(sums.join(hot.select("sum"), "sum", "left_anti").join(others, "sum"))
+    revisits = revisits.select("page_id", "sum", "refers_to").distinct()
+    rows = named.repartition("page_id", "sum").join(revisits.hint("merge"), ["page_id", "sum"], "left").sortWithinPartitions("page_id", "sum")
+    rows = rows.unionByName(keyed.where("page_id is null").withColumn("refers_to", F.lit(None).cast("long")))
 
     def archives(frames):
         held, writer, n, last = [], None, 0, None
@@ -189,7 +224,7 @@ def write(pages: DataFrame, minimum: int = 0) -> DataFrame:
 
         waiting = 0
         for pdf in frames:
-            for number, url, html, sum_, first in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["sum"], pdf["refers_to"].astype("Int64")):
+            for number, url, html, sum_, first in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["sum"], pdf["refers_to"]):
                 payload = html.encode("utf-8", "surrogatepass") if isinstance(html, str) else b""
                 number = None if number is pd.NA else int(number)
                 twin, last = (number, sum_) == last and number is not None and len(payload) >= minimum, (number, sum_)
@@ -211,8 +246,8 @@ def write(pages: DataFrame, minimum: int = 0) -> DataFrame:
         if writer is not None:
             yield put()
 
-    out = rows.select("page_id", "url", "html", "sum", "refers_to").mapInPandas(archives, "path string, n_records long, n_bytes long")
-    return _shared.written(out, "warc-list")
+    rows = rows.select("page_id", "url", "html", "sum", "refers_to")
+    return _shared.written(_shared.map_frames(rows, archives, "path string, n_records long, n_bytes long"), "warc-list")
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -225,7 +260,7 @@ def read(archives: DataFrame) -> DataFrame:
                 got = [page(*x) for x in records(_shared.get_file(path))]
                 yield pd.DataFrame(got, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return archives.select("path").mapInPandas(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _shared.map_frames(archives.select("path"), rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
