@@ -10,19 +10,22 @@ A leaf serves its budget by whole epochs and a prefix, in tokens, of one more
 epoch; each epoch has its own seeded order of the documents.  Where the prefix
 ends is found by histograms of the order's leading digits, so that no task
 gathers a leaf's documents, however large the leaf.  Everything is DataFrame
-functions and integers; texts are never shuffled.
+functions and exact numbers.
+
+Leaves meet their documents by broadcast where they are BROADCAST_LEAVES at
+most.  Where they are more, those that hold more than one row in
+BROADCAST_LEAVES are (there are no more of them than that), and the others,
+none of them large, meet their documents by a shuffle.
 
 Cases: null languages and sources are leaves of their own (''), a null or
 empty text has no token and goes with its place in the order; a leaf without
 tokens gets no budget; rows that repeat an id stand and fall together in a
-prefix; an empty table gives an empty result; columns that clash with the
-working names are kept.
+prefix; an empty table gives an empty result; of the other columns the query
+returns none and the stage all, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ WEIGHTS = {"domain": {"d0": 5, "d1": 3, "d2": 2}, "lang": {"en": 4, "de": 2, "fr
 DEFAULT_WEIGHT = 1
 SHARE_PERCENT, MAX_EPOCHS = 80, 2
 STAGE_SHARE_PERCENT, STAGE_MAX_EPOCHS = 95, 1
-BROADCAST_LEAVES = 20_000  #: leaf tables of at most so many rows are broadcast
+BROADCAST_LEAVES = 20_000  #: rows of a leaf table that are broadcast at most
 WORDS = r"[^\x09-\x0D ]+"
 
 
@@ -59,7 +62,8 @@ def fill(rows: DataFrame, parent: list[str], name: str) -> DataFrame:
     onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rows = rows.withColumn("budget", F.least("budget", F.sum("capacity").over(group)))
     left = F.col("budget") - (F.sum("capacity").over(upto) - F.col("capacity"))
-    rows = rows.withColumn("met", F.col("capacity") * F.sum("weight").over(onward) <= left * F.col("weight"))
+    wide = lambda x: x.cast("decimal(20,0)")  # noqa: E731  the product of two may exceed 64 bits
+    rows = rows.withColumn("met", wide(F.col("capacity")) * wide(F.sum("weight").over(onward)) <= wide(left) * wide(F.col("weight")))
     rows = rows.withColumn("met", F.min("met").over(upto))
     rest = F.col("budget") - F.sum(F.when(F.col("met"), F.col("capacity")).otherwise(0)).over(group)
     unmet = F.sum(F.when(F.col("met"), 0).otherwise(F.col("weight"))).over(group)
@@ -85,29 +89,44 @@ def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
-def _joined(rows: DataFrame, leaf: DataFrame, small: bool) -> DataFrame:
-    return rows.join(F.broadcast(leaf) if small else leaf, list(TREE))
+class Leaves:
+    """How the rows of a documents table meet the rows of a leaf table."""
+
+    def __init__(self, leaves: DataFrame):
+        """leaves: (*TREE, n_rows)."""
+        count, rows = leaves.agg(F.count("*"), F.sum("n_rows")).first()
+        self.small = count <= BROADCAST_LEAVES
+        self.large = None if self.small else leaves.where(F.col("n_rows") * BROADCAST_LEAVES > rows).select(*TREE)
+
+    def join(self, rows: DataFrame, leaf: DataFrame) -> DataFrame:
+        """rows (*TREE, ...) with the columns of their leaf, if it is in the leaf table (*TREE, ...)."""
+        keys = list(TREE)
+        if self.small:
+            return rows.join(F.broadcast(leaf), keys)
+        large = F.broadcast(self.large)
+        few = rows.join(large, keys, "left_anti").join(leaf.join(large, keys, "left_anti").hint("merge"), keys)
+        return rows.join(F.broadcast(leaf.join(large, keys, "left_semi")), keys).unionByName(few)
 
 
-def cuts(rows: DataFrame, share_percent: int, max_epochs: int, seed: int, weights: dict) -> tuple[DataFrame, bool]:
+def cuts(rows: DataFrame, share_percent: int, max_epochs: int, seed: int, weights: dict) -> tuple[DataFrame, Leaves]:
     """For each leaf the whole epochs and the last place taken of the next one,
     from rows (doc_id, domain, lang, source, n_tokens)."""
-    leaves = rows.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens"))
-    total = F.expr(f"(sum(tokens) over ()) * {share_percent} div 100")
-    leaves = _shared.written(leaves.withColumn("total", total), "leaves")
-    small = leaves.count() <= BROADCAST_LEAVES
-    whole = leaves.agg(F.max("total")).first()[0]
-    leaf = budgets(leaves.drop("total"), F.lit(whole or 0).cast("long"), max_epochs, weights)
+    leaves = rows.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_rows"))
+    leaves = _shared.written(leaves, "leaves")
+    meet = Leaves(leaves)
+    total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * share_percent // 100
+    leaf = budgets(leaves.drop("n_rows"), F.lit(total).cast("long"), max_epochs, weights)
     leaf = leaf.where("tokens > 0").withColumn("epochs", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens")).drop("tokens", "budget")
     leaf = _shared.written(leaf, "budgets")
-    keyed = _joined(rows.select("doc_id", *TREE, "n_tokens"), leaf.select(*TREE, "epochs"), small).withColumn("key", order_key(seed, F.col("epochs") + 1, F.col("doc_id"))).drop("epochs", "doc_id")
+    keyed = meet.join(rows.select("doc_id", *TREE, "n_tokens"), leaf.select(*TREE, "epochs"))
+    keyed = keyed.withColumn("key", order_key(seed, F.col("epochs") + 1, F.col("doc_id"))).drop("epochs", "doc_id")
     keyed = _shared.written(keyed, "keyed")
     leaf = leaf.withColumn("at", F.lit(""))
     for digits in (2, 4, 32):
-        near = keyed if digits == 2 else _joined(keyed, leaf.select(*TREE, "at"), small).where(F.col("key").startswith(F.col("at"))).drop("at")
+        near = keyed if digits == 2 else meet.join(keyed, leaf.select(*TREE, "at")).where(F.col("key").startswith(F.col("at"))).drop("at")
         counts = near.groupBy(*TREE, F.substring("key", 1, digits).alias("digits")).agg(F.sum("n_tokens").alias("n"))
         order = Window.partitionBy(*TREE).orderBy("digits")
-        counts = _joined(counts.withColumn("upto", F.sum("n").over(order)), leaf.select(*TREE, "rest"), small)
+        counts = counts.withColumn("upto", F.sum("n").over(order)).join(leaf.select(*TREE, "rest"), list(TREE))
         if digits < 32:
             # the first group that the prefix does not hold whole; it always exists, as rest < tokens
             first = counts.where("upto > rest").groupBy(*TREE).agg(F.min("digits").alias("at"), F.min_by(F.col("rest") - F.col("upto") + F.col("n"), "digits").alias("rest"))
@@ -116,20 +135,29 @@ def cuts(rows: DataFrame, share_percent: int, max_epochs: int, seed: int, weight
             last = counts.where("upto <= rest").groupBy(*TREE).agg(F.max("digits").alias("last"))
             leaf = leaf.join(last, list(TREE), "left").withColumn("last", F.coalesce("last", "at"))
         leaf = _shared.written(leaf, "cuts")
-    return leaf.select(*TREE, "epochs", "last"), small
+    return leaf.select(*TREE, "epochs", "last"), meet
 
 
 def _tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def leaf_of(docs: DataFrame) -> list[Column]:
+    """The columns of TREE."""
+    return [domain_of(docs["source"]).alias("domain"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), F.coalesce(docs["source"], F.lit("")).alias("source")]
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens) of documents."""
+    return docs.select("doc_id", *leaf_of(docs), _tokens(docs["text"]).alias("n_tokens"))
+
+
 def mix(docs: DataFrame, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: dict = WEIGHTS) -> DataFrame:
     """(doc_id, domain, lang, source, n_tokens, copies) of the documents taken:
     share_percent of all tokens, spread by weights over the tree."""
-    rows = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), _tokens(F.col("text")).alias("n_tokens"))
-    rows = _shared.written(rows, "sizes")
-    cut, small = cuts(rows, share_percent, max_epochs, seed, weights)
-    taken = _joined(rows, cut, small)
+    rows = _shared.written(sizes(docs), "sizes")
+    cut, meet = cuts(rows, share_percent, max_epochs, seed, weights)
+    taken = meet.join(rows, cut)
     part = (order_key(seed, F.col("epochs") + 1, F.col("doc_id")) <= F.col("last")).cast("long")
     return taken.withColumn("copies", F.col("epochs") + part).where("copies > 0").select("doc_id", *TREE, "n_tokens", "copies")
 
@@ -140,13 +168,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps a document that the mixture takes; no epoch repeats, so none is doubled."""
-    names = docs.columns
-    rows = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), _tokens(F.col("text")).alias("n_tokens"))
-    cut, small = cuts(_shared.written(rows, "sizes"), STAGE_SHARE_PERCENT, STAGE_MAX_EPOCHS, SEED, WEIGHTS)
-    cut = cut.select(*[F.col(c).alias(f"_{c}") for c in cut.columns])
-    same = [domain_of(docs["source"]) == F.col("_domain"), F.coalesce(docs["lang"], F.lit("")) == F.col("_lang"), F.coalesce(docs["source"], F.lit("")) == F.col("_source")]
-    joined = docs.join(F.broadcast(cut) if small else cut, reduce(lambda a, b: a & b, same))
-    return joined.where((F.col("_epochs") > 0) | (order_key(SEED, F.col("_epochs") + 1, docs["doc_id"]) <= F.col("_last"))).select(*[docs[c] for c in names])
+    cut, meet = cuts(_shared.written(sizes(docs), "sizes"), STAGE_SHARE_PERCENT, STAGE_MAX_EPOCHS, SEED, WEIGHTS)
+    rows = docs.select(*leaf_of(docs), F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    joined = meet.join(rows, cut)
+    taken = (F.col("epochs") > 0) | (order_key(SEED, F.col("epochs") + 1, F.col("_doc.doc_id")) <= F.col("last"))
+    return joined.where(taken).select("_doc.*")
 
 
 def _level(source: str, parent: str, name: str, weight_sql: str) -> str:
