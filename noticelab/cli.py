@@ -8,7 +8,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .operators import triage
-from .plans import engine, vocabulary
+from . import vocabulary
+from .plans import engine
 from .sources import files
 
 

@@ -7,10 +7,19 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Typographic marks and what they stand for.
+# Typographic marks and what they stand for; what a squashed text
+# lacks; words that look like tickers; the forms of values and identifiers.
 MARKS = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", " ": " "}
 SQUASHED = r"[\s.,;:()\[\]/\\|\"'—–-]"
 TICKER_STOPWORDS = ("NIRE", "CNPJ", "ISIN")
+LEADER, GAP = r"(?U)[.,·•…]{2,}|\s{3,}", r"(?U)\s{2,}"
+VALUE_LIKE = r"(?i)^(?:R\$|\d|[A-Z]{4}\d)"
+ISIN_ANCHORED = r"ISIN[^A-Z0-9]{0,4}([A-Z]{2}[A-Z0-9]{9}\d)"
+ISIN_STRUCTURAL = r"(?<![A-Z0-9])([A-Z]{2}[A-Z0-9]{9}\d)(?![A-Z0-9])"
+ISIN_LIKE = r"(?U)\b([A-Z]{2}[A-Z0-9]{8,10}[0-9])\b"
+TICKER_STRUCTURAL = r"(?<![A-Z0-9])([A-Z]{4}\d{1,2})(?![A-Z0-9])"
+CNPJ_STRUCTURAL = r"(\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2})"
+DATE_LIKE = r"(?U)\b(\d{1,2}/\d{1,2}/\d{4})\b"
 
 
 def _foldings() -> tuple[str, str, dict[str, str]]:
@@ -40,10 +49,13 @@ def let(c: Column, use) -> Column:
 
 
 def fold_accents(c: Column) -> Column:
-    c = F.translate(c, _SOURCE, _TARGET)
-    for char, plain in _LONGER.items():
-        c = F.replace(c, F.lit(char), F.lit(plain))
-    return F.regexp_replace(c, r"\p{M}", "")
+    """Letters without marks; ligatures and the like only where a text has one, ASCII texts as they are."""
+    plain = F.translate(c, _SOURCE, _TARGET)
+    longer = plain
+    for char, instead in _LONGER.items():
+        longer = F.replace(longer, F.lit(char), F.lit(instead))
+    folded = F.when(c.rlike("[" + "".join(_LONGER) + "]"), longer).otherwise(plain)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"\p{M}", "")).otherwise(c)
 
 
 def normalize(c: Column) -> Column:
@@ -86,14 +98,12 @@ def split_title_body(c: Column, opening: str = "aviso aos acionistas", short: in
     return F.struct(F.array_join(F.slice(lines, F.lit(1), end), "\n").alias("title"), F.array_join(F.slice(lines, end + 1, F.size(lines)), "\n").alias("body"))
 
 
-VALUE_LIKE = r"^(R\$|\d|[A-Z]{4}\d)"
-
-
 def split_label_value(c: Column) -> Column:
     """array(label, value), or null: two parts around a leader run, or around two blanks before a value."""
-    parts = lambda pattern: F.filter(F.transform(F.split(c, pattern), lambda x: F.trim(x)), lambda x: x != "")
-    wide, narrow = parts(r"[.,·•…]{2,}|\s{3,}"), parts(r"\s{2,}")
-    return F.when(F.size(wide) == 2, wide).when((F.size(narrow) == 2) & F.get(narrow, F.lit(1)).rlike(VALUE_LIKE), narrow)
+    parts = lambda t, pattern: F.filter(F.transform(F.split(t, pattern), lambda x: F.trim(x)), lambda x: x != "")
+    wide, narrow = parts(c, LEADER), parts(F.trim(c), GAP)
+    gap = (F.size(wide) == 1) & (F.size(narrow) == 2) & F.get(narrow, F.lit(1)).rlike(VALUE_LIKE)
+    return F.when(F.size(wide) == 2, wide).when(gap, narrow)
 
 
 def format_cnpj(c: Column) -> Column:
@@ -108,18 +118,17 @@ def clean_for_ids(c: Column) -> Column:
 def find_isins(c: Column) -> Column:
     """Named ISINs first, then all that have the form, each once."""
     text = clean_for_ids(c)
-    named = F.regexp_extract_all(text, F.lit(r"ISIN[^A-Z0-9]{0,4}([A-Z]{2}[A-Z0-9]{9}[0-9])(?![A-Z0-9])"), F.lit(1))
-    formed = F.regexp_extract_all(text, F.lit(r"(?<![A-Z0-9])([A-Z]{2}[A-Z0-9]{9}[0-9])(?![A-Z0-9])"), F.lit(1))
+    named, formed = (F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (ISIN_ANCHORED, ISIN_STRUCTURAL))
     return F.array_distinct(F.concat(named, formed))
 
 
 def find_tickers(c: Column) -> Column:
-    found = F.regexp_extract_all(clean_for_ids(c), F.lit(r"(?<![A-Z0-9])([A-Z]{4}[0-9]{1,2})(?![A-Z0-9])"), F.lit(1))
+    found = F.regexp_extract_all(clean_for_ids(c), F.lit(TICKER_STRUCTURAL), F.lit(1))
     return F.array_distinct(F.filter(found, lambda x: ~F.substring(x, 1, 4).isin(*TICKER_STOPWORDS)))
 
 
 def find_cnpjs(c: Column) -> Column:
-    found = F.regexp_extract_all(c, F.lit(r"(?<!\d)(\d{2}[. ]?\d{3}[. ]?\d{3}[/ ]?\d{4}[- ]?\d{2})(?!\d)"), F.lit(1))
+    found = F.regexp_extract_all(clean_for_ids(c), F.lit(CNPJ_STRUCTURAL), F.lit(1))
     return F.array_distinct(F.transform(found, format_cnpj))
 
 
@@ -128,14 +137,12 @@ def share_class(c: Column) -> Column:
 
 
 def structural_flaws(c: Column) -> Column:
-    """Why a reading cannot be right: an ISIN of a wrong form, or a date that no calendar has."""
+    """Why a reading cannot be right: an ISIN of a wrong length, of any country, or a date that no calendar has."""
     from .dates import calendar_date
 
-    upper = F.upper(c)
-    isins = F.regexp_extract_all(upper, F.lit(r"(?<![A-Z0-9])(BR[A-Z0-9]{7,13})(?![A-Z0-9])"), F.lit(1))
-    bad = F.filter(isins, lambda x: x.rlike(r"\d") & ~x.rlike(r"^[A-Z]{2}[A-Z0-9]{9}[0-9]$"))
-    dates = F.regexp_extract_all(upper, F.lit(r"(?<!\d)(\d{1,2}/\d{1,2}/\d{4})(?!\d)"), F.lit(1))
-    wrong = F.filter(dates, lambda x: calendar_date(x).isNull())
+    isins = F.regexp_extract_all(F.upper(c), F.lit(ISIN_LIKE), F.lit(1))
+    dates = F.regexp_extract_all(c, F.lit(DATE_LIKE), F.lit(1))
+    bad, wrong = F.filter(isins, lambda x: F.length(x) != 12), F.filter(dates, lambda x: calendar_date(x).isNull())
     return F.concat(F.transform(bad, lambda x: F.concat(F.lit("isin:"), x)), F.transform(wrong, lambda x: F.concat(F.lit("date:"), x)))
 
 

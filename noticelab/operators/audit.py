@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans import vocabulary as v
+from .. import vocabulary as v
 from . import fields as field_ops
 
 
@@ -76,6 +76,53 @@ def curate_notes(notes: Column, evidence: Column) -> Column:
     return F.array_distinct(F.filter(notes, lambda n: (F.trim(n) != "") & ~F.coalesce(text.squash(n).contains(tight) & (tight != ""), F.lit(False))))
 
 
+def plain_form(c: Column) -> Column:
+    """Lower case without accents and quotes; everything but letters, digits and a few marks is a blank."""
+    bare = F.regexp_replace(text.fold_accents(F.regexp_replace(c, "[–—−]", " ")), "[\"']", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), r"[^a-z0-9\s()/\-]", " "), r"\s+", " "))
+
+
+def html_text(c: Column) -> Column:
+    """A text as HTML shows it."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(mark), F.lit(entity))
+    return c
+
+
+def slug(event_type: Column, drafted: Column) -> Column:
+    """A document's name in an index: type and drafting date."""
+    return F.concat(event_type, F.lit("_"), F.coalesce(F.date_format(drafted, "dd-MM-yyyy"), F.lit("sem-data")))
+
+
+def term(code: Column, terms: dict[str, str]) -> Column:
+    """The word for a code; a code without one is an error, not a blank."""
+    known = [F.when(code == k, F.lit(x)) for k, x in terms.items()]
+    return F.coalesce(F.when(code.isNull(), F.lit(None).cast("string")), *known, F.raise_error(F.concat(F.lit("no term for "), code)))
+
+
+def in_words(prose: Column, terms: dict[str, str]) -> Column:
+    """A text with every code in it replaced by its word, longer codes first."""
+    for code, word in sorted(terms.items(), key=lambda x: -len(x[0])):
+        prose = F.regexp_replace(prose, rf"\b{code}\b", word.replace("$", r"\$"))
+    return prose
+
+
+def short_name(name: Column) -> Column:
+    """What stands before a dash between blanks."""
+    return F.get(F.split(name, " — "), F.lit(0))
+
+
+def glossary(codes: DataFrame, terms: dict[str, str]) -> DataFrame:
+    """(code, word) of the codes in use, by word whatever its case."""
+    rows = codes.select("code").distinct()
+    return rows.withColumn("word", term(F.col("code"), terms)).orderBy(F.lower("word"), "code")
+
+
+def box_order(rows: DataFrame) -> DataFrame:
+    """Fields as a page shows them: those with a box first, from the top."""
+    return rows.orderBy("doc_id", F.col("y0").isNull(), "y0", "field")
+
+
 def grade(kinds: Column, n_eliminated: Column, values: Column) -> Column:
     """Grade of a field that several readers gave: agreement, a lone reading, or a conflict."""
     many, pixels = F.size(kinds) >= 2, F.size(F.array_except(kinds, F.array(*map(F.lit, v.PIXEL_KINDS)))) == 0

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans import vocabulary as v
+from .. import vocabulary as v
 
 
 def marker_hits(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS) -> DataFrame:
@@ -22,16 +24,38 @@ def marker_scores(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS
     return marker_hits(docs, column, markers).groupBy("doc_id", "event_type").agg(F.sum("weight").cast("decimal(8,2)").alias("score"), F.min("ordinal").alias("ordinal"))
 
 
+def ranked(normal: Column, markers: list[tuple] = v.MARKERS) -> Column:
+    """array(struct(event_type, score)) of a text in normal form, best first; types
+    without a marker are left out, ties are in the vocabulary's order."""
+    types = list(dict.fromkeys(t for t, *_ in markers))
+    hit = lambda p, w: F.when(normal.rlike(text.spaced_pattern(p)), F.lit(w)).otherwise(F.lit(0.0)).cast("decimal(8,2)")
+    scores = [reduce(lambda a, b: (a + b).cast("decimal(8,2)"), [hit(p, w) for t, p, w, _ in markers if t == name]) for name in types]
+    items = [F.struct((-score).alias("down"), F.lit(i).alias("ordinal"), F.lit(name).alias("event_type"), score.alias("score")) for i, (name, score) in enumerate(zip(types, scores))]
+    best = F.array_sort(F.filter(F.array(*items), lambda x: x["score"] > 0))
+    return F.transform(best, lambda x: F.struct(x["event_type"].alias("event_type"), x["score"].alias("score")))
+
+
+def hits(normal: Column, markers: list[tuple] = v.MARKERS, most: int = 12) -> Column:
+    """The first defining markers that a text in normal form holds."""
+    return F.slice(F.array_compact(F.array(*[F.when(normal.rlike(text.spaced_pattern(p)), F.lit(p)) for _, p, _, defines in markers if defines])), 1, most)
+
+
+def priors(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS) -> DataFrame:
+    """(doc_id, ranked, hits, whole_prior, title_prior, body_prior, conflict) of each
+    text: rows stay where they are, each part is brought into normal form once."""
+    parts = text.split_title_body(F.col(column))
+    normal = {"whole": F.col(column), "title": parts["title"], "body": parts["body"]}
+    rows = docs.select("doc_id", *[text.normalize(c).alias(f"_{name}") for name, c in normal.items()])
+    rows = rows.select("doc_id", "_whole", *[ranked(F.col(f"_{name}"), markers).alias(name) for name in normal])
+    top = lambda name: F.get(F.col(name), F.lit(0))["event_type"]
+    conflict = F.coalesce(top("title") != top("body"), F.lit(False))
+    return rows.select("doc_id", F.col("whole").alias("ranked"), hits(F.col("_whole"), markers).alias("hits"), *[top(name).alias(f"{name}_prior") for name in normal], conflict.alias("conflict"))
+
+
 def prior(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS) -> DataFrame:
     """The best type of the whole text, its title and its body, and whether the
     last two differ.  Ties go to the type that comes first in the vocabulary."""
-    parts = text.split_title_body(F.col(column))
-    rows = docs.select("doc_id", F.col(column).alias("whole"), parts["title"].alias("title"), parts["body"].alias("body"))
-    out = rows.select("doc_id")
-    for part in ("whole", "title", "body"):
-        best = marker_scores(rows, part, markers).groupBy("doc_id").agg(F.max_by("event_type", F.struct("score", -F.col("ordinal"))).alias(f"{part}_prior"))
-        out = out.join(best, "doc_id", "left")
-    return out.withColumn("conflict", F.coalesce(F.col("title_prior") != F.col("body_prior"), F.lit(False)))
+    return priors(docs, column, markers).select("doc_id", "whole_prior", "title_prior", "body_prior", "conflict")
 
 
 def consensus(votes: DataFrame, priors: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,9 +11,13 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import dates, numbers, text
 from ..functions.similarity import partial_ratio, ratio
-from ..plans import vocabulary as v
+from .. import vocabulary as v
+from ..sources.staging import staged
 
 FUZZY = 0.85
+# Amounts and percentages, taken greedily for the repair to judge.
+MONEY, PERCENT = r"r\$\s*[\d.,]+", r"\d[\d.,\s]*%"
+ITEMS = 2000  #: evidences that go with a plan at once
 
 
 def match_anchor(pairs: DataFrame, anchors: dict[str, list[str]] = v.ANCHORS) -> DataFrame:
@@ -69,16 +75,21 @@ def same_value(a: Column, b: Column) -> Column:
 
 
 def locate(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each evidence's (doc_id, evidence_id, evidence, value) best block and quality."""
-    rows = evidence.where(F.trim("evidence") != "").join(blocks.select("doc_id", "block_order", F.col("text").alias("_block")), "doc_id")
-    ne, nb = text.normalize(F.col("evidence")), text.normalize(F.col("_block"))
-    se, sb = text.squash(F.col("evidence")), text.squash(F.col("_block"))
+    """Each evidence's (doc_id, evidence_id, evidence, value) best block and quality.
+    Normal forms are made once a block and once an evidence, before they meet."""
+    tight = lambda n: F.regexp_replace(n, text.SQUASHED, "")
+    asked = evidence.where(F.trim("evidence") != "").select("doc_id", "evidence_id", text.normalize(F.col("evidence")).alias("ne"), text.squash(F.col("value")).alias("sv"))
+    asked = asked.withColumn("se", tight(F.col("ne")))
+    held = blocks.select("doc_id", "block_order", text.normalize(F.col("text")).alias("nb"))
+    held = held.withColumn("sb", tight(F.col("nb")))
+    ne, se, sv, nb, sb = map(F.col, ("ne", "se", "sv", "nb", "sb"))
     part = 0.6 * F.length(sb) / F.greatest(F.length(se), F.lit(1))
-    inside = F.when(F.col("value").isNotNull() & (text.squash(F.col("value")) != "") & sb.contains(text.squash(F.col("value"))), F.greatest(part, F.lit(0.9))).otherwise(part)
+    inside = F.when(F.coalesce((sv != "") & sb.contains(sv), F.lit(False)), F.greatest(part, F.lit(0.9))).otherwise(part)
     quality = F.when(nb.contains(ne), 1.0).when(sb.contains(se), 0.85).when((sb != "") & se.contains(sb), inside)
-    rows = rows.withColumn("quality", quality).where("quality > 0")
-    best = Window.partitionBy("doc_id", "evidence_id").orderBy(F.col("quality").desc(), "block_order")
-    return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("doc_id", "evidence_id", "block_order", F.round("quality", 4).alias("quality"))
+    found = asked.join(held, "doc_id").withColumn("quality", quality).where("quality > 0")
+    best = F.min_by(F.struct("block_order", "quality"), F.struct(-F.col("quality"), "block_order"))
+    found = found.groupBy("doc_id", "evidence_id").agg(best.alias("best"))
+    return found.select("doc_id", "evidence_id", "best.block_order", F.round("best.quality", 4).alias("quality"))
 
 
 def grounding(evidence: Column, raw: Column, strict: Column) -> Column:
@@ -96,39 +107,69 @@ def grounding(evidence: Column, raw: Column, strict: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def partial_similarity(evidence: pd.Series, raw: pd.Series) -> pd.Series:
     """The best Indel similarity of an evidence to a stretch of a text, both squashed before."""
-    return pd.Series([partial_ratio(a or "", b or "") for a, b in zip(evidence, raw)])
+    return pd.Series([partial_ratio(a or "", b or "", FUZZY) for a, b in zip(evidence, raw)])
 
 
 def ground(fields: DataFrame) -> DataFrame:
     """Grounding of fields (doc_id, field, evidence, raw, reader_kind); what
-    remains absent in a reading from pixels gets a last chance by similarity."""
+    remains absent in a reading from pixels gets a last chance by similarity.
+    Only those rows go to the Python workers, the others stay in the JVM."""
     strict = F.coalesce(F.col("reader_kind") == "text_layer", F.lit(True))
-    rows = fields.withColumn("status", grounding(F.col("evidence"), F.col("raw"), strict))
-    again = (F.col("status") == "absent") & ~strict & F.col("evidence").isNotNull()
-    near = F.when(again, partial_similarity(text.squash(F.col("evidence")), text.squash(F.col("raw"))))
-    rows = rows.withColumn("near", near)
-    return rows.withColumn("status", F.when(F.col("near") >= FUZZY, "fuzzy").otherwise(F.col("status")))
-
-
-def repair_date(raw: Column, level: Column, kinds: Column) -> Column:
-    """struct(value, candidates, absence_reason): undefined by its own words, an
-    ambiguous year, a day that a lone weak reading may have cut, or a date."""
-    weak = (level == "baixa") & (F.size(F.array_except(kinds, F.array(*map(F.lit, v.PIXEL_KINDS)))) == 0)
+    rows = staged(fields.withColumn("status", grounding(F.col("evidence"), F.col("raw"), strict)), "grounding")
+    again = F.coalesce((F.col("status") == "absent") & ~strict & (text.squash(F.col("evidence")) != ""), F.lit(False))
+    near = rows.where(again).withColumn("near", partial_similarity(text.squash(F.col("evidence")), text.squash(F.col("raw"))))
+    near = near.withColumn("status", F.when(F.col("near") >= FUZZY, "fuzzy").otherwise(F.col("status")))
+    return near.unionByName(rows.where(~again).withColumn("near", F.lit(None).cast("double")))
+
+
+def find_evidence(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id, status) of the documents (doc_id, text) that hold items
+    (item_id, text).  Items are a stated set: ITEMS of them at a time go with
+    the plan, every document is held against each, and is normalized once."""
+    loose = lambda s: F.translate(s, "0158|", "olsbl")
+    tight = lambda n: F.regexp_replace(n, text.SQUASHED, "")
+    rows = items.select("item_id", text.normalize(F.col("text")).alias("e")).withColumn("se", tight(F.col("e"))).where("se <> ''")
+    rows = rows.withColumn("le", loose(F.col("se"))).orderBy("item_id", "e")
+    held = docs.select("doc_id", text.normalize(F.col("text")).alias("r")).withColumn("sr", tight(F.col("r")))
+    held = staged(held, "texts").withColumn("lr", loose(F.col("sr")))
+    kind = "array<struct<item_id: bigint, e: string, se: string, le: string>>"
+    found, wanted = None, [r.asDict() for r in rows.collect()]
+    for at in range(0, max(len(wanted), 1), ITEMS):
+        block = F.from_json(F.lit(json.dumps(wanted[at : at + ITEMS])), kind)
+        got = held.select("doc_id", "r", "sr", F.explode(F.filter(block, lambda x: F.col("lr").contains(x["le"]))).alias("x"))
+        status = F.when(F.col("r").contains(F.col("x.e")), "exact").when(F.col("sr").contains(F.col("x.se")), "normalized").otherwise("fuzzy")
+        got = got.select("x.item_id", "doc_id", status.alias("status"))
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
+def repair_date(raw: Column, level: Column, reader_kind: Column) -> Column:
+    """struct(value, rule, candidates, absence_reason): undefined by its own words, an
+    ambiguous year, a day that a lone optical reading may have cut, or a date."""
+    weak = F.coalesce((level == "baixa") & (reader_kind == "ocr_deterministic"), F.lit(False))
     none = F.array().cast("array<string>")
     undefined = raw.rlike(dates.UNDEFINED)
     candidates = F.when(undefined, none).otherwise(F.coalesce(dates.year_candidates(raw), F.when(weak, dates.day_candidates(raw)), none))
-    value = lambda c: F.when(~undefined & (F.size(c) == 0), dates.written_date(raw)["value"])
-    return text.let(candidates, lambda c: F.struct(value(c).alias("value"), c.alias("candidates"), F.when(undefined, "stated_undefined").alias("absence_reason")))
+    settled = lambda c: F.when(~undefined & (F.size(c) == 0), dates.written_date(raw))
+    rule = lambda c, x: F.when(undefined, "stated_undefined").when(F.size(c) > 0, "ambiguous").otherwise(x["rule"])
+    whole = lambda c, x: F.struct(x["value"].alias("value"), rule(c, x).alias("rule"), c.alias("candidates"), F.when(undefined, "stated_undefined").alias("absence_reason"))
+    return text.let(candidates, lambda c: text.let(settled(c), lambda x: whole(c, x)))
 
 
 def repair_identifier(field: Column, raw: Column) -> Column:
-    tight = F.regexp_replace(F.upper(raw), r"\s", "")
-    pick = lambda p: F.coalesce(F.nullif(F.regexp_extract(tight, p, 0), F.lit("")), F.trim(raw))
-    upper = F.upper(F.trim(raw))
-    currency = F.when((upper == "") | upper.contains("R$") | upper.contains("BRL"), "BRL").otherwise(upper)
-    share = F.when(upper.contains("PN") | upper.contains("PREFERENC"), "PN").when(upper.contains("ON") | upper.contains("ORDIN"), "ON").otherwise(F.trim(raw))
+    """Identifiers and other words in one spelling; what has no known form stays, in capitals without blanks if it should be a code."""
+    plain = F.replace(F.replace(F.trim(raw), F.lit("（"), F.lit("(")), F.lit("）"), F.lit(")"))
+    tight, upper = F.replace(F.upper(plain), F.lit(" "), F.lit("")), F.upper(plain)
+    pick = lambda p: F.coalesce(F.nullif(F.regexp_extract(tight, p, 0), F.lit("")), tight)
+    currency = F.when((upper == "") | upper.contains("R$") | upper.contains("BRL"), "BRL").otherwise(F.upper(F.trim(raw)))
+    share = F.when(upper.contains("PREFERENC") | upper.contains("PN"), "PN").when(upper.contains("ORDIN") | upper.contains("ON"), "ON").otherwise(plain)
     return (
-        F.when(field == "isin", pick("[A-Z]{2}[A-Z0-9]{9}[0-9]")).when(field == "ticker", pick("[A-Z]{4}[0-9]{1,2}")).when(field == "cnpj", text.format_cnpj(raw)).when(field == "currency", currency).when(field == "share_class", share).otherwise(F.trim(raw))
+        F.when(field == "isin", pick(r"[A-Z]{2}[A-Z0-9]{9}\d"))
+        .when(field == "ticker", pick(r"[A-Z]{4}\d{1,2}"))
+        .when(field == "cnpj", text.format_cnpj(plain))
+        .when(field == "currency", currency)
+        .when(field == "share_class", share)
+        .otherwise(F.trim(raw))
     )
 
 
@@ -186,6 +227,47 @@ def missing_fields(fields: DataFrame, notices: DataFrame, specs: DataFrame) -> D
     return notices.select("doc_id", "event_type").join(F.broadcast(specs), "event_type").select("doc_id", "field", "required").join(settled, ["doc_id", "field"], "left_anti")
 
 
+def fill_contract(fields: DataFrame, documents: DataFrame, specs: DataFrame) -> DataFrame:
+    """fields (doc_id, event_type, field, value, absence_reason, candidates) and,
+    for each document (doc_id, event_type), a row for every field of its type's
+    contract that nobody gave."""
+    contract = documents.select("doc_id", "event_type").join(F.broadcast(specs.select("event_type", "field")), "event_type")
+    lost = contract.join(fields.select("doc_id", "field"), ["doc_id", "field"], "left_anti")
+    empty = {"value": F.lit(None).cast("string"), "absence_reason": F.lit("not_found"), "candidates": F.array().cast("array<string>")}
+    return fields.select("doc_id", "event_type", "field", *empty).unionByName(lost.select("doc_id", "event_type", "field", *[c.alias(n) for n, c in empty.items()]))
+
+
+def overlay(fields: DataFrame, recovered: DataFrame) -> DataFrame:
+    """fields (doc_id, field, value, level, kinds) with the values a sweep has recovered in place of missing ones."""
+    found = recovered.select("doc_id", "field", F.col("value").alias("_v"), F.col("level").alias("_l"), F.col("kinds").alias("_k"))
+    rows = fields.join(found, ["doc_id", "field"], "full_outer")
+    take = F.col("value").isNull() & F.col("_v").isNotNull()
+    own = lambda c, new: F.when(take, F.col(new)).otherwise(F.col(c)).alias(c)
+    return rows.select("doc_id", "field", own("value", "_v"), own("level", "_l"), own("kinds", "_k"), take.alias("recovered"))
+
+
+def first_by_rule(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, field, value_raw, evidence, rule, at) the first non-empty
+    value of the first rule that has one: by rule, then in reading order."""
+    some = rows.where("trim(value_raw) <> ''")
+    best = F.min_by(F.struct("value_raw", "evidence"), F.struct("rule", "at", "value_raw"))
+    return some.groupBy("doc_id", "field").agg(best.alias("x")).select("doc_id", "field", "x.*")
+
+
+def money_in(normal: Column) -> Column:
+    """The first amount of a text in normal form, taken greedily."""
+    return F.nullif(F.upper(F.regexp_extract(normal, MONEY, 0)), F.lit(""))
+
+
+def percent_in(normal: Column) -> Column:
+    """The first percentage, taken greedily."""
+    return F.nullif(F.regexp_extract(normal, PERCENT, 0), F.lit(""))
+
+
+def grounding_factor(status: Column) -> Column:
+    return F.coalesce(*[F.when(status == k, F.lit(x)) for k, x in v.GROUNDING_FACTOR.items()])
+
+
 def uncorroborated(fields: DataFrame) -> DataFrame:
     """Values that one mechanism alone has read, from pixels."""
     return fields.where(F.col("value").isNotNull() & (F.size("kinds") == 1) & F.get("kinds", F.lit(0)).isin(*v.PIXEL_KINDS)).select("doc_id", "field")

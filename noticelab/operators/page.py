@@ -25,11 +25,13 @@ def lent(blocks: DataFrame) -> DataFrame:
 
 
 def visual_rows(blocks: DataFrame) -> DataFrame:
-    """Blocks of one height joined: texts from left to right, the box around them."""
+    """Blocks of one height joined: texts from left to right, the box around them, the weakest level."""
     keys = [*PAGE, "reader"]
-    placed = reading.cluster_rows(blocks).join(blocks.select(*keys, "block_order", "kind", "text", "x0", "y0", "x1", "y1"), [*keys, "block_order"])
+    level = [F.col("level")] if "level" in blocks.columns else [F.lit(None).cast("string").alias("level")]
+    placed = reading.cluster_rows(blocks).join(blocks.select(*keys, "block_order", "kind", "text", "x0", "y0", "x1", "y1", *level), [*keys, "block_order"])
     rows = placed.groupBy(*keys, "kind", "row_index").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "text"))), lambda x: x["text"]), " ").alias("text"),
+        reading.weakest(F.col("level")).alias("level"),
         *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))],
     )
     order = Window.partitionBy(*keys).orderBy("y0", "x0", "row_index")
@@ -38,30 +40,51 @@ def visual_rows(blocks: DataFrame) -> DataFrame:
 
 def page_consensus(blocks: DataFrame) -> DataFrame:
     """Rows of the reader that saw most, each voted on with what the others saw
-    in its place; the winner's original blocks carry the level and the
-    mechanisms.  Rows that only other readers saw stay in their reads alone."""
+    in its place; the winner's original blocks carry the level, the mechanisms,
+    the alternatives and the notes.  A block that shares height with two rows
+    stands in each.  Rows that only other readers saw stay in their reads alone."""
     usable = staged(lent(blocks), "usable")
     rows = staged(visual_rows(usable), "rows")
     reference = staged(reading.reference_reader(rows, list(READERS)), "reference")
-    own = rows.join(reference, [*PAGE, "reader"]).select(*PAGE, F.col("block_order").alias("region_id"), "reader", "kind", "text")
-    match = reading.spatial_match(rows, list(READERS)).join(rows.select(*PAGE, "reader", "block_order", "kind", "text"), [*PAGE, "reader", "block_order"])
-    seen = own.unionByName(match.select(*PAGE, F.col("anchor").alias("region_id"), "reader", "kind", "text"))
+    sides = ("x0", "y0", "x1", "y1")
+    rows = rows.withColumn("box", F.struct(*sides))
+    own = rows.join(reference, [*PAGE, "reader"]).select(*PAGE, F.col("block_order").alias("region_id"), "reader", "kind", "text", "box")
+    match = reading.spatial_match(rows, list(READERS)).join(rows.select(*PAGE, "reader", "block_order", "kind", "text", "box"), [*PAGE, "reader", "block_order"])
+    seen = own.unionByName(match.select(*PAGE, F.col("anchor").alias("region_id"), "reader", "kind", "text", "box"))
     seen = seen.withColumn("seq", F.array_position(F.array(*map(F.lit, READERS)), F.col("reader")))
     # a region is a row of a page
     voted = reading.resolve(staged(seen, "seen").withColumn("doc_id", F.struct("doc_id", "page")))
-    voted = staged(voted.select("doc_id.doc_id", "doc_id.page", "region_id", "text", "reader", "level", "kinds", "n_eliminated"), "voted")
-    place = rows.join(reference, [*PAGE, "reader"]).select(*PAGE, F.col("block_order").alias("region_id"), F.struct("x0", "y0", "x1", "y1").alias("a"))
-    fine = usable.select(*PAGE, "reader", "block_order", F.col("text").alias("_text"), F.struct("x0", "y0", "x1", "y1").alias("b"))
-    out = voted.join(place, [*PAGE, "region_id"]).join(fine, [*PAGE, "reader"], "left")
-    same = numbers.row_overlap(F.col("a"), F.col("b")) >= reading.SAME_ROW
-    # each original block belongs to the row it shares most height with
-    best = Window.partitionBy(*PAGE, "reader", "block_order").orderBy(numbers.row_overlap(F.col("a"), F.col("b")).desc(), "region_id")
-    fine = out.where(same).withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    bare = voted.join(place, [*PAGE, "region_id"]).join(fine.select(*PAGE, "region_id").distinct(), [*PAGE, "region_id"], "left_anti")
-    columns = lambda df, t, b: df.select(*PAGE, "region_id", "reader", F.col(t).alias("text"), F.col(f"{b}.x0").alias("x0"), F.col(f"{b}.y0").alias("y0"), F.col(f"{b}.x1").alias("x1"), F.col(f"{b}.y1").alias("y1"), "level", "kinds", "n_eliminated")
-    both = columns(fine, "_text", "b").unionByName(columns(bare, "text", "a"))
-    order = Window.partitionBy(*PAGE).orderBy("region_id", "x0", "text")
-    return both.withColumn("block_order", (F.row_number().over(order) - 1).cast("int"))
+    kept = ("level", "kinds", "n_eliminated", "alternatives", "notes")
+    voted = staged(voted.select("doc_id.doc_id", "doc_id.page", "region_id", "text", "reader", "box", *kept), "voted")
+    cells = [c for c in ("role", "row", "col") if c in usable.columns]
+    fine = usable.select(*PAGE, "reader", "block_order", F.col("text").alias("_text"), F.struct(*sides).alias("_box"), *cells)
+    same = numbers.row_overlap(F.col("box"), F.col("_box")) >= reading.SAME_ROW
+    fine = voted.join(fine, [*PAGE, "reader"]).where(same)
+    bare = voted.join(fine.select(*PAGE, "region_id").distinct(), [*PAGE, "region_id"], "left_anti")
+    columns = lambda df, t, b, order, own: df.select(*PAGE, "region_id", "reader", F.col(t).alias("text"), *[F.col(f"{b}.{c}").alias(c) for c in sides], *kept, order.alias("_order"), *own)
+    missing = [F.lit(None).cast(usable.schema[c].dataType).alias(c) for c in cells]
+    both = columns(fine, "_text", "_box", F.col("block_order"), cells).unionByName(columns(bare, "text", "box", F.lit(0), missing))
+    order = Window.partitionBy(*PAGE).orderBy("region_id", "_order", "x0", "text")
+    return both.withColumn("block_order", (F.row_number().over(order) - 1).cast("int")).drop("_order")
+
+
+def many_readers(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, n_regions, n_agreed): regions of a page, and those that more than one reader saw."""
+    return blocks.groupBy(*PAGE).agg(F.count("*").alias("n_regions"), F.sum((F.size("alternatives") > 0).cast("long")).alias("n_agreed"))
+
+
+def reader_notes(readers: DataFrame) -> DataFrame:
+    """(doc_id, page, notes) from readers (doc_id, page, reader, available, error, n_blocks):
+    who could not read, who failed, and who saw nothing, which is no disagreement."""
+    note = (
+        F.when(~F.col("available"), F.concat("reader", F.lit(" unavailable: no vote")))
+        .when(F.col("error").isNotNull(), F.concat("reader", F.lit(" failed: "), "error"))
+        .when(F.col("n_blocks") == 0, F.concat("reader", F.lit(" saw nothing: abstains")))
+    )
+    place = F.array_position(F.array(*map(F.lit, READERS)), F.col("reader"))
+    rows = readers.withColumn("note", note).groupBy(*PAGE)
+    items = F.array_sort(F.collect_list(F.when(F.col("note").isNotNull(), F.struct(place.alias("place"), "note"))))
+    return rows.agg(F.transform(items, lambda x: x["note"]).alias("notes"))
 
 
 def documents(blocks: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..plans import vocabulary as v
+from .. import vocabulary as v
 
 OVERLAP, SAME_ROW = 0.15, 0.5
 
@@ -51,24 +51,49 @@ def combined_error(kinds: Column) -> Column:
     return F.when(F.size(errors) == 1, errors[0]).when(pixels, F.array_min(errors) * 0.5).otherwise(product)
 
 
+def score(error: Column, eliminated: Column) -> Column:
+    """How much a vote is worth: each eliminated reading costs a tenth."""
+    return F.round((F.lit(1.0) - error) * F.pow(F.lit(0.9), eliminated), 4)
+
+
 def resolve(readings: DataFrame) -> DataFrame:
     """One row per region (doc_id, region_id) from readings (reader, kind, text,
-    seq): flawed readings are out unless all are; the group with the strongest
-    level wins, first seen on ties; its most reliable reading is the text; each
-    elimination costs a level, and a region of flawed readings only is at the lowest."""
+    seq, perhaps box): flawed readings are out unless all are; the group with
+    the strongest level wins, first seen on ties; its most reliable reading is
+    the text; each elimination costs a level, and a region of flawed readings
+    only is at the lowest.  What did not win stays as alternatives, and notes
+    say who was left out and why.  A region has a reading per reader, few."""
     region = Window.partitionBy("doc_id", "region_id")
-    rows = readings.withColumn("flawed", (F.size(text.structural_flaws(F.col("text"))) > 0).cast("int"))
+    box = ["box"] if "box" in readings.columns else []
+    rows = readings.withColumn("flaws", text.structural_flaws(F.col("text"))).withColumn("flawed", (F.size("flaws") > 0).cast("int"))
     rows = rows.withColumn("n_flawed", F.sum("flawed").over(region)).withColumn("n", F.count("*").over(region))
+    rows = rows.withColumn("all", F.array_sort(F.collect_list(F.struct("seq", "reader", "text", "flaws")).over(region)))
     alive = rows.where("flawed = 0 or n_flawed = n").withColumn("key", text.vote_key(F.col("text")))
-    groups = alive.groupBy("doc_id", "region_id", "key", "n", "n_flawed").agg(
-        F.collect_set("kind").alias("kinds"), F.min("seq").alias("seq"), F.min_by(F.struct("text", "reader", "kind"), F.struct(error_of(F.col("kind")), F.col("seq"))).alias("best")
-    )
+    best = F.min_by(F.struct("text", "reader", "kind", *box), F.struct(error_of(F.col("kind")), F.col("seq")))
+    groups = alive.groupBy("doc_id", "region_id", "key", "n", "n_flawed").agg(F.collect_set("kind").alias("kinds"), F.min("seq").alias("seq"), best.alias("best"), F.any_value("all").alias("all"))
     groups = groups.withColumn("level", level_of(F.col("kinds")))
     won = groups.withColumn("_n", F.row_number().over(region.orderBy(rank_of(F.col("level")), "seq"))).where("_n = 1")
     all_flawed = F.col("n_flawed") == F.col("n")
     level = F.when(all_flawed, "baixa").otherwise(demote(F.col("level"), F.col("n_flawed")))
-    kinds = F.array_sort(F.col("kinds"), lambda a, b: F.when(error_of(a) < error_of(b), -1).when(error_of(a) > error_of(b), 1).otherwise(0))
-    return won.select("doc_id", "region_id", "best.text", "best.reader", level.alias("level"), kinds.alias("kinds"), F.when(all_flawed, 0).otherwise(F.col("n_flawed")).cast("long").alias("n_eliminated"), (F.col("n") - 1).alias("n_alternatives"))
+    others = F.filter("all", lambda x: x["reader"] != F.col("best.reader"))
+    out = F.transform(F.filter("all", lambda x: F.size(x["flaws"]) > 0), lambda x: F.concat(x["reader"], F.lit(" out: "), x["flaws"][0]))
+    kept = F.array(F.concat(F.lit("no reading has a valid form ("), F.get(F.get("all", F.lit(0))["flaws"], F.lit(0)), F.lit(")")))
+    return won.select(
+        "doc_id",
+        "region_id",
+        *[f"best.{c}" for c in ("text", "reader", *box)],
+        level.alias("level"),
+        by_error(F.col("kinds")).alias("kinds"),
+        F.when(all_flawed, 0).otherwise(F.col("n_flawed")).cast("long").alias("n_eliminated"),
+        (F.col("n") - 1).alias("n_alternatives"),
+        F.transform(others, lambda x: F.struct(x["reader"].alias("reader"), x["text"].alias("text"))).alias("alternatives"),
+        F.when(all_flawed, kept).otherwise(out).alias("notes"),
+    )
+
+
+def by_error(kinds: Column) -> Column:
+    """Mechanisms in the order of their errors."""
+    return F.array_sort(kinds, lambda a, b: F.when(error_of(a) < error_of(b), -1).when(error_of(a) > error_of(b), 1).otherwise(0))
 
 
 def reference_reader(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -97,8 +122,7 @@ def lend_geometry(cells: DataFrame) -> DataFrame:
     reader (by reader_ord) whose grid has the same shape, at the same row and
     column, if its cell overlaps the pending box."""
     keys = ["doc_id", "page"]
-    shape = cells.groupBy(*keys, "reader").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
-    rows = cells.join(shape, [*keys, "reader"]).withColumn("box", F.struct("x0", "y0", "x1", "y1"))
+    rows = cells.join(grid_shape(cells), [*keys, "reader"]).withColumn("box", F.struct("x0", "y0", "x1", "y1"))
     asks = rows.where("pending").select(*keys, "row", "col", "n_rows", "n_cols", F.col("reader").alias("asker"), F.col("box").alias("a"))
     gives = rows.where("not pending").select(*keys, "row", "col", "n_rows", "n_cols", F.col("reader").alias("lender"), "reader_ord", F.col("box").alias("b"))
     offers = asks.join(gives, [*keys, "row", "col", "n_rows", "n_cols"]).where("asker <> lender").where(numbers.overlap("a", "b") >= OVERLAP)
@@ -117,6 +141,7 @@ def cluster_rows(blocks: DataFrame, chained: bool = False) -> DataFrame:
     keys = ["doc_id", "page", "reader"]
     item = F.struct("y0", *([] if chained else ["x0"]), "block_order", *(["x0"] if chained else []), "y1", "x1")
     pages = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # the seed's or last block's height, and the members from the left
     kind = "array<struct<seed: struct<y0: double, y1: double>, members: array<struct<x0: double, block_order: int>>>>"
 
     def step(rows: Column, b: Column) -> Column:
@@ -133,6 +158,19 @@ def cluster_rows(blocks: DataFrame, chained: bool = False) -> DataFrame:
     return out.select(*keys, "m.block_order", "row_index", "col_index", "n_cols")
 
 
+def table_roles(blocks: DataFrame) -> DataFrame:
+    """Row and column numbers of blocks that stand beside others, as cells of a table."""
+    keys = ["doc_id", "page", "reader", "block_order"]
+    cell = F.col("n_cols") >= 2
+    placed = cluster_rows(blocks, chained=True)
+    return placed.select(*keys, F.when(cell, F.lit("table_cell")).alias("role"), F.when(cell, F.col("row_index")).alias("row"), F.when(cell, F.col("col_index")).alias("col"))
+
+
+def grid_shape(cells: DataFrame) -> DataFrame:
+    """Rows and columns of each reader's grid."""
+    return cells.groupBy("doc_id", "page", "reader").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+
+
 def label_value_pairs(blocks: DataFrame) -> DataFrame:
     """Leftmost and rightmost text of each visual row of two blocks or more."""
     keys = ["doc_id", "page", "reader"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import vocabulary as v
+from .. import vocabulary as v
 
 
 def severity(code: Column) -> Column:
@@ -57,6 +57,48 @@ def field_reasons(fields: DataFrame) -> DataFrame:
     return fields.select("doc_id", "field", code.alias("code")).where("code is not null")
 
 
+def for_review(reasons: DataFrame, fields: DataFrame) -> DataFrame:
+    """(doc_id, for_review): sorted fields that a reason names or whose value nobody found."""
+    lost = fields.where(F.col("value").isNull() & (F.coalesce("absence_reason", F.lit("not_found")) != "not_applicable")).select("doc_id", "field")
+    named = reasons.where("field is not null").select("doc_id", "field").unionByName(lost)
+    return named.groupBy("doc_id").agg(F.array_sort(F.collect_set("field")).alias("for_review"))
+
+
+def weakest_critical(fields: DataFrame) -> DataFrame:
+    """(doc_id, weakest_level): a record is worth its weakest critical reading; without one it is at the lowest."""
+    place = F.array_position(F.array(*map(F.lit, v.LADDER)), F.col("level"))
+    held = F.col("value").isNotNull() & F.col("field").isin(*v.CRITICAL)
+    lowest = F.max(F.when(held & (place > 0), place))
+    return fields.groupBy("doc_id").agg(F.coalesce(F.get(F.array(*map(F.lit, v.LADDER)), (lowest - 1).cast("int")), F.lit("baixa")).alias("weakest_level"))
+
+
+def failed(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Verdicts on every document asked for: those without one have failed."""
+    lost = asked.select("doc_id").distinct().join(verdicts.select("doc_id"), "doc_id", "left_anti")
+    names = [f.name for f in verdicts.schema.fields if f.name not in ("doc_id", "disposition")]
+    empty = [F.lit(None).cast(verdicts.schema[c].dataType).alias(c) for c in names]
+    return verdicts.unionByName(lost.select("doc_id", F.lit("failed").alias("disposition"), *empty))
+
+
+def per_document(verdicts: DataFrame, reasons: DataFrame) -> DataFrame:
+    """A line of the run's summary for each document: verdict and codes, the most frequent first."""
+    counts = reasons.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+    ranked = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))).alias("codes"))
+    rows = verdicts.select("doc_id", "disposition").join(ranked, "doc_id", "left")
+    return rows.select("doc_id", "disposition", F.coalesce(F.transform("codes", lambda x: x["code"]), F.array().cast("array<string>")).alias("codes"))
+
+
+def report_order(verdicts: DataFrame) -> list[Column]:
+    """The order of a report: blocked, failed, review, other, then by issuer where it is known."""
+    place = F.coalesce(*[F.when(F.col("disposition") == d, F.lit(i)) for i, d in enumerate(("blocked", "failed", "review"))], F.lit(3))
+    return [place, *([F.col("issuer")] if "issuer" in verdicts.columns else []), F.col("doc_id")]
+
+
+def reason_order(code: Column) -> Column:
+    """The place of a reason's layer."""
+    return F.array_position(F.array(*map(F.lit, v.LAYERS)), layer(code))
+
+
 def summary(verdicts: DataFrame) -> DataFrame:
     """One row: totals by disposition, the straight-through and the exception rate to four places."""
     count = lambda d: F.sum(F.expr(f"bigint(disposition = '{d}')"))
@@ -70,6 +112,7 @@ def histogram(reasons: DataFrame, *by: str) -> DataFrame:
 
 
 def batch_id(names: DataFrame, column: str, stamp: str) -> DataFrame:
-    """AS-date-six hex digits over the sorted names."""
+    """AS-date-six hex digits over the sorted names of a batch.  One digest over
+    all names needs them in one place; a batch's names are a list for a person."""
     joined = F.array_join(F.array_sort(F.collect_list(column)), "|")
     return names.agg(F.concat(F.lit(f"AS-{stamp}-"), F.upper(F.substring(F.sha2(joined.cast("binary"), 256), 1, 6))).alias("batch_id"))

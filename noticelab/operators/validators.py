@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..plans import vocabulary as v
+from .. import vocabulary as v
 
 FINDING = ("doc_id", "tool", "status", "reason_codes", "fields_affected")
 
@@ -20,8 +20,16 @@ def _texts(*items: Column) -> Column:
     return F.array_compact(F.array(*[x.cast("string") for x in items])) if items else F.array().cast("array<string>")
 
 
-def _finding(rows: DataFrame, tool: str, status: Column, reasons: Column, fields: Column) -> DataFrame:
-    return rows.select("doc_id", F.lit(tool).alias("tool"), status.alias("status"), reasons.alias("reason_codes"), fields.alias("fields_affected"))
+def _struct(tool: str, status: Column, reasons: Column, fields: Column) -> Column:
+    return F.struct(F.lit(tool).alias("tool"), status.alias("status"), reasons.alias("reason_codes"), fields.alias("fields_affected"))
+
+
+def _names(*names: str) -> Column:
+    return F.array(*map(F.lit, names))
+
+
+def _finding(rows: DataFrame, found: Column) -> DataFrame:
+    return rows.select("doc_id", found.alias("x")).select("doc_id", "x.*")
 
 
 def lookup(notices: DataFrame, golden: DataFrame) -> DataFrame:
@@ -55,10 +63,13 @@ def lookup(notices: DataFrame, golden: DataFrame) -> DataFrame:
     return rows.select("doc_id", outcome.alias("outcome"), F.col("best_row").alias("row_idx"), F.coalesce(agreeing, empty).alias("agreeing"), F.coalesce(conflicting, empty).alias("conflicting"), F.when(outcome == "MISMATCH", mismatched).otherwise(empty).alias("mismatched"))
 
 
-def golden_record(notices: DataFrame, golden: DataFrame) -> DataFrame:
-    found = lookup(notices, golden)
+def _golden_record() -> Column:
     pick = lambda table: F.coalesce(*[F.when(F.col("outcome") == k, F.lit(x)) for k, x in table.items()])
-    return _finding(found, "lookup_golden_record", pick(v.LOOKUP_SEVERITY), _texts(pick(v.LOOKUP_REASON)), F.col("mismatched"))
+    return _struct("lookup_golden_record", pick(v.LOOKUP_SEVERITY), _texts(pick(v.LOOKUP_REASON)), F.col("mismatched"))
+
+
+def golden_record(notices: DataFrame, golden: DataFrame) -> DataFrame:
+    return _finding(lookup(notices, golden), _golden_record())
 
 
 def date_rules(window_days: int = 2 * 365, as_of: str = "2024-01-01") -> Column:
@@ -75,22 +86,37 @@ def date_rules(window_days: int = 2 * 365, as_of: str = "2024-01-01") -> Column:
     return F.array_compact(F.array(*broken, *far))
 
 
+def _date_coherence(window_days: int = 2 * 365, as_of: str = "2024-01-01") -> Column:
+    def found(broken: Column) -> Column:
+        bad = F.size(broken) > 0
+        return _struct("check_date_coherence", F.when(bad, "fail").otherwise("pass"), _texts(F.when(bad, F.lit("DATE_INCOHERENCE"))), _names("approval_date", "com_date", "ex_date", "payment_date"))
+
+    return text.let(date_rules(window_days, as_of), found)
+
+
 def date_coherence(notices: DataFrame, window_days: int = 2 * 365, as_of: str = "2024-01-01") -> DataFrame:
-    rows = notices.withColumn("broken", date_rules(window_days, as_of))
-    bad = F.size("broken") > 0
-    return _finding(rows, "check_date_coherence", F.when(bad, "fail").otherwise("pass"), _texts(F.when(bad, F.lit("DATE_INCOHERENCE"))), F.array(*map(F.lit, ("approval_date", "com_date", "ex_date", "payment_date"))))
+    return _finding(notices, _date_coherence(window_days, as_of))
 
 
-def amount_coherence(notices: DataFrame) -> DataFrame:
+def amount_finding() -> Column:
+    """Whether net = gross less tax, as a finding of one row."""
     good = numbers.net_matches(F.col("gross_per_share"), F.col("tax_rate"), F.col("net_per_share"))
-    return _finding(notices, "check_amount_coherence", F.when(good.isNull(), "info").when(good, "pass").otherwise("fail"), _texts(F.when(~good, F.lit("AMOUNT_MISMATCH"))), F.array(*map(F.lit, ("gross_per_share", "tax_rate", "net_per_share"))))
+    status = F.when(good.isNull(), "info").when(good, "pass").otherwise("fail")
+    return _struct("check_amount_coherence", status, _texts(F.when(~good, F.lit("AMOUNT_MISMATCH"))), _names("gross_per_share", "tax_rate", "net_per_share"))
 
 
-def event_type_consistency(notices: DataFrame) -> DataFrame:
+def amount_coherence(notices: DataFrame) -> DataFrame:
+    return _finding(notices, amount_finding())
+
+
+def _event_type_consistency() -> Column:
     title = F.when(F.col("title_prior") != F.col("body_prior"), F.lit("EVENT_TYPE_TITLE_CONFLICT"))
     body = F.when(F.col("body_prior") != F.col("event_type"), F.lit("CLASSIFIER_DISAGREEMENT"))
-    codes = _texts(title, body)
-    return _finding(notices, "check_event_type_consistency", F.when(F.size(codes) > 0, "warn").otherwise("pass"), codes, F.array(F.lit("event_type")))
+    return _struct("check_event_type_consistency", F.when(title.isNotNull() | body.isNotNull(), "warn").otherwise("pass"), _texts(title, body), _names("event_type"))
+
+
+def event_type_consistency(notices: DataFrame) -> DataFrame:
+    return _finding(notices, _event_type_consistency())
 
 
 def identifier_checks(notices: DataFrame) -> DataFrame:
@@ -100,8 +126,12 @@ def identifier_checks(notices: DataFrame) -> DataFrame:
     return notices.select("doc_id", numbers.isin_ok(F.col("isin")).alias("isin_ok"), numbers.cnpj_ok(F.col("cnpj")).alias("cnpj_ok"), named.alias("ticker_class"), (named == F.col("share_class")).alias("class_agrees"))
 
 
+def _identifier_format() -> Column:
+    return _struct("check_identifier_format", F.lit("info"), _texts(), _names("isin", "cnpj", "ticker"))
+
+
 def identifier_format(notices: DataFrame) -> DataFrame:
-    return _finding(notices, "check_identifier_format", F.lit("info"), _texts(), F.array(*map(F.lit, ("isin", "cnpj", "ticker"))))
+    return _finding(notices, _identifier_format())
 
 
 def missing_required(fields: DataFrame, specs: DataFrame) -> DataFrame:
@@ -116,10 +146,22 @@ def missing_required(fields: DataFrame, specs: DataFrame) -> DataFrame:
     return known.select("doc_id").join(lacking, "doc_id", "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
 
 
+def _required_fields(missing: Column) -> Column:
+    bad = F.size(missing) > 0
+    return _struct("check_required_fields", F.when(bad, "fail").otherwise("pass"), _texts(F.when(bad, F.lit("MISSING_REQUIRED_FIELD"))), missing)
+
+
 def required_fields(fields: DataFrame, specs: DataFrame) -> DataFrame:
-    rows = missing_required(fields, specs)
-    bad = F.size("missing") > 0
-    return _finding(rows, "check_required_fields", F.when(bad, "fail").otherwise("pass"), _texts(F.when(bad, F.lit("MISSING_REQUIRED_FIELD"))), F.col("missing"))
+    return _finding(missing_required(fields, specs), _required_fields(F.col("missing")))
+
+
+def lacking(columns: list[str], specs: dict = v.FIELD_SPECS) -> Column:
+    """Required fields of a wide notice's type that are null or no column; no shuffle."""
+    wanted = {t: sorted(set(sides[0])) for t, sides in specs.items()}
+    of_type = lambda names: F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) if f in columns else F.lit(f) for f in names]))
+    kind = F.col("event_type")
+    known = F.coalesce(*[F.when(kind == t, of_type(names)) for t, names in wanted.items()])
+    return F.coalesce(known, of_type(wanted["outro"]))
 
 
 #: The validators by name, in the order in which a record runs them.
@@ -141,11 +183,53 @@ def as_fields(notices: DataFrame) -> DataFrame:
     return rows.withColumn("absence_reason", F.lit(None).cast("string")).withColumn("candidates", F.array().cast("array<string>"))
 
 
-def run_all(notices: DataFrame, golden: DataFrame, specs: DataFrame, **window) -> DataFrame:
-    """Every validator over every notice, with its place in the order."""
-    parts = [golden_record(notices, golden), date_coherence(notices, **window), amount_coherence(notices), event_type_consistency(notices), identifier_format(notices), required_fields(as_fields(notices), specs)]
-    out = None
-    for seq, part in enumerate(parts):
-        part = part.withColumn("seq", F.lit(seq))
-        out = part if out is None else out.unionByName(part)
+def spec_dict(specs: DataFrame | dict) -> dict:
+    """Required and optional fields by type, from the table of the vocabulary's contracts or as they are."""
+    if isinstance(specs, dict):
+        return specs
+    out: dict[str, tuple[list, list]] = {}
+    for r in specs.collect():  # a row for each field of a type's contract
+        out.setdefault(r["event_type"], ([], []))[0 if r["required"] else 1].append(r["field"])
     return out
+
+
+def run_all(notices: DataFrame, golden: DataFrame, specs: DataFrame | dict = v.FIELD_SPECS, **window) -> DataFrame:
+    """Every validator over every wide notice, with its place in the order: what
+    a row says by itself is one projection, beside one lookup."""
+    specs = spec_dict(specs)
+    found = lookup(notices, golden).select("doc_id", "outcome", "mismatched")
+    rows = notices.join(found, "doc_id")
+    parts = [_golden_record(), _date_coherence(**window), amount_finding(), _event_type_consistency(), _identifier_format(), _required_fields(lacking(notices.columns, specs))]
+    return rows.select("doc_id", F.posexplode(F.array(*parts)).alias("seq", "x")).select("doc_id", "x.*", "seq")
+
+
+def status_of(severity: Column, status: Column) -> Column:
+    """A validator's status from its answer: a stated severity counts before the status; unknown words are information."""
+    known = lambda x: F.when(F.lower(x).isin("pass", "warn", "fail", "info"), F.lower(x))
+    return F.when(severity.isNotNull(), F.coalesce(known(severity), F.lit("info"))).otherwise(F.coalesce(known(status), F.lit("info")))
+
+
+def codes_of(code: Column, codes: Column) -> Column:
+    """The known reason codes of an answer that names one, several or both."""
+    both = F.concat(F.array_compact(F.array(code)), F.coalesce(codes, F.array().cast("array<string>")))
+    return F.filter(both, lambda x: x.isin(*v.REASONS))
+
+
+def recorded(arguments: Column) -> Column:
+    """The arguments (a map) of a call as the record keeps them, without empty ones."""
+    return F.map_filter(arguments, lambda _, x: x.isNotNull())
+
+
+def encode_fields(names: Column) -> Column:
+    return F.array_join(names, ",")
+
+
+def decode_fields(said: Column) -> Column:
+    """Names from a comma-separated list, blanks and empty ones left out."""
+    return F.filter(F.transform(F.split(said, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def declarations() -> dict[str, dict]:
+    """A JSON schema for each validator's arguments, as tools are declared to a model."""
+    text_ = {"type": "string"}
+    return {name: {"name": name, "parameters": {"type": "object", "properties": {a: text_ for a in tool["arguments"]}}} for name, tool in TOOLS.items()}

@@ -99,8 +99,8 @@ TEXTS_SQL = f"texts as (select {_columns(TEXTS)} from orders)"
 KINDS = ("text_layer", "ocr_deterministic", "ocr_generative")
 READING = {
     0: f"case when o_orderkey % 4 = 0 then null when o_orderkey % 2 = 0 then {isin_of('o_custkey')} else 'R$ 1.234,50' end",
-    1: f"case when o_orderkey % 2 = 0 then case when o_orderkey % 6 = 0 then 'BRTK' || lpad(cast(o_custkey as string), 6, '0') || '1' else {isin_of('o_custkey')} end else case when o_orderkey % 5 = 0 then 'R$ 1234,5' else 'R$ 1.284,50' end end",
-    2: f"case when o_orderkey % 2 = 0 then case when o_orderkey % 8 = 0 then '31/02/2026' else {isin_of('o_custkey')} end else 'R$ 1.234,500' end",
+    1: f"case when o_orderkey % 2 = 0 then case when o_orderkey % 6 = 0 then 'BRTK' || lpad(cast(o_custkey as string), 6, '0') || '1' when o_orderkey % 10 = 0 then 'ISIN US037833100' else {isin_of('o_custkey')} end else case when o_orderkey % 5 = 0 then 'R$ 1234,5' when o_orderkey % 7 = 0 then 'XS12345678901, PARTICIPACOES' else 'R$ 1.284,50' end end",
+    2: f"case when o_orderkey % 2 = 0 then case when o_orderkey % 8 = 0 then 'em 31/02/2026' else {isin_of('o_custkey')} end else 'R$ 1.234,500' end",
 }
 
 
@@ -113,10 +113,18 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 READINGS_SQL = "readings as (select * from (" + " union all ".join(f"select o_orderkey as doc_id, cast(o_orderkey % 3 as int) as region_id, 'r{k}' as reader, '{KINDS[k]}' as kind, {k} as seq, {x} as text from orders" for k, x in READING.items()) + ") where text is not null)"
 
 #: Boxes of three readers on a page for each order, from its lines: whole numbers, so that areas are exact.
-BOXES_SQL = """boxes as (
-  select l_orderkey as doc_id, 1 as page, 'r' || cast(reader as string) as reader, cast(l_linenumber * 10 + reader as int) as block_order,
-         cast(l_partkey % 40 + reader * (l_suppkey % 7) as double) as x0, cast(l_linenumber * 30 + reader * (l_partkey % 9) as double) as y0,
-         cast(l_partkey % 40 + reader * (l_suppkey % 7) + 60 as double) as x1, cast(l_linenumber * 30 + reader * (l_partkey % 9) + 20 as double) as y1
+BOX = {
+    "doc_id": "l_orderkey",
+    "page": "1",
+    "reader": "'r' || cast(reader as string)",
+    "block_order": "cast(l_linenumber * 10 + reader as int)",
+    "x0": "cast(l_partkey % 40 + reader * (l_suppkey % 7) as double)",
+    "y0": "cast(l_linenumber * 30 + reader * (l_partkey % 9) as double)",
+    "x1": "cast(l_partkey % 40 + reader * (l_suppkey % 7) + 60 as double)",
+    "y1": "cast(l_linenumber * 30 + reader * (l_partkey % 9) + 20 as double)",
+}
+BOXES_SQL = f"""boxes as materialized (
+  select {", ".join(f"{x} as {n}" for n, x in BOX.items())}
   from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey from lineitem group by l_orderkey, l_linenumber)
   cross join (select 0 as reader union all select 1 union all select 2)
   where (l_orderkey + l_linenumber + reader) % 5 <> 0)"""
@@ -125,6 +133,5 @@ BOXES_SQL = """boxes as (
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
     rows = lines.withColumn("reader", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    columns = BOXES_SQL.split("select ", 1)[1].split("\n  from", 1)[0]
-    rows.createOrReplaceTempView("lines_by_reader")
-    return spark.sql(f"select {columns} from lines_by_reader where (l_orderkey + l_linenumber + reader) % 5 <> 0")
+    rows = rows.where("(l_orderkey + l_linenumber + reader) % 5 <> 0")
+    return rows.selectExpr(*[f"{x} as {n}" for n, x in BOX.items()])

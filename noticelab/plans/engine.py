@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, numbers, text
 from ..operators import audit, classify, fields, page, reading, triage, validators
 from ..sources.staging import staged
-from . import vocabulary as v
+from .. import vocabulary as v
 
 RULES = {"table": 0, "prose": 1, "identifier": 2, "first_block": 3, "share_class": 4, "currency": 5}
 
@@ -41,28 +41,27 @@ def extract(blocks: DataFrame, docs: DataFrame) -> DataFrame:
     split = reading.split_fused(blocks).withColumn("block_order", F.col("block_order") * 2 + F.col("piece"))
     pairs = fields.match_anchor(reading.label_value_pairs(split.withColumn("reader", F.lit("consensus")))).where("field is not null")
     raw, norm = F.col("value"), text.normalize(F.col("value"))
-    money = F.upper(F.regexp_extract(norm, r"r\$\s*[\d.,]+", 0))
-    percent = F.regexp_extract(norm, r"\d[\d.,\s]*%", 0)
     nonblank = lambda c: F.nullif(c, F.lit(""))
     date = F.coalesce(dates.first_date(raw), raw)
-    value = F.when(F.col("field").isin(*v.MONEY_FIELDS), F.coalesce(nonblank(money), raw)).when(F.col("field") == "tax_rate", nonblank(percent)).when(F.col("field").isin(*v.DATE_FIELDS), date).otherwise(raw)
+    value = F.when(F.col("field").isin(*v.MONEY_FIELDS), F.coalesce(fields.money_in(norm), raw)).when(F.col("field") == "tax_rate", F.coalesce(fields.percent_in(norm), raw)).when(F.col("field").isin(*v.DATE_FIELDS), date).otherwise(raw)
     item = lambda f, c, rule: F.struct(F.lit(f).alias("field"), c.alias("value_raw"), F.lit(RULES[rule]).alias("rule"))
-    table = pairs.where("field <> 'ratio'").select("doc_id", "field", value.alias("value_raw"), F.lit(0).alias("rule"), raw.alias("evidence"))
+    at = F.struct("page", "row_index")
+    table = pairs.where("field <> 'ratio'").select("doc_id", "field", value.alias("value_raw"), F.lit(0).alias("rule"), raw.alias("evidence"), at.alias("at"))
     halves = F.regexp_extract_all(raw, F.lit(r"(\d+)"), F.lit(1))
-    ratio = pairs.where("field = 'ratio'").select("doc_id", raw.alias("evidence"), F.explode(F.array(item("ratio_text", raw, "table"), item("ratio_from", F.get(halves, F.lit(0)), "table"), item("ratio_to", F.get(halves, F.lit(1)), "table"))).alias("x")).select("doc_id", "x.*", "evidence")
+    ratio = pairs.where("field = 'ratio'").select("doc_id", raw.alias("evidence"), at.alias("at"), F.explode(F.array(item("ratio_text", raw, "table"), item("ratio_from", F.get(halves, F.lit(0)), "table"), item("ratio_to", F.get(halves, F.lit(1)), "table"))).alias("x")).select("doc_id", "x.*", "evidence", "at")
     whole = F.col("raw")
     found = [item(f, fields.prose_field(whole, f), "prose") for f in v.PROSE]
     found += [item("isin", F.get(text.find_isins(whole), F.lit(0)), "identifier"), item("ticker", F.get(text.find_tickers(whole), F.lit(0)), "identifier"), item("cnpj", F.get(text.find_cnpjs(whole), F.lit(0)), "identifier")]
     found += [item("issuer", nonblank(F.trim(F.get(F.split(whole, "\n"), F.lit(0)))), "first_block"), item("share_class", text.share_class(whole), "share_class"), item("currency", F.when(whole.contains("R$"), F.lit("BRL")), "currency")]
     free = docs.select("doc_id", F.explode(F.array(*found)).alias("x")).select("doc_id", "x.*", F.col("x.value_raw").alias("evidence"))
-    rows = table.unionByName(ratio.select(*table.columns)).unionByName(free.select(*table.columns)).where("trim(value_raw) <> ''")
-    return rows.groupBy("doc_id", "field").agg(F.min_by(F.struct("value_raw", "evidence"), F.struct("rule", "value_raw")).alias("x")).select("doc_id", "field", "x.*")
+    free = free.withColumn("at", F.lit(None).cast(table.schema["at"].dataType))
+    return fields.first_by_rule(table.unionByName(ratio.select(*table.columns)).unionByName(free.select(*table.columns)))
 
 
 def repaired(rows: DataFrame) -> DataFrame:
     """Canonical values, with candidates where a date is open and the reason where a value is said to be undefined."""
     raw, field = F.col("value_raw"), F.col("field")
-    date = fields.repair_date(raw, F.col("level"), F.col("kinds"))
+    date = fields.repair_date(raw, F.col("level"), F.col("reader_kind"))
     rows = rows.withColumn("_d", F.when(field.isin(*v.DATE_FIELDS), date))
     value = (
         F.when(field.isin(*v.DATE_FIELDS), dates.show(F.col("_d.value")))
@@ -88,12 +87,13 @@ def _wide(rows: DataFrame, types: DataFrame) -> DataFrame:
     return out.withColumn("ex_date", fields.derive_ex_date(F.col("event_type"), F.col("ex_date"), F.col("trading_start")))
 
 
-def run(raw_blocks: DataFrame, golden: DataFrame, specs: DataFrame, config: Config, votes: DataFrame | None = None, candidates: DataFrame | None = None) -> Result:
+def run(raw_blocks: DataFrame, golden: DataFrame, specs: DataFrame, config: Config, votes: DataFrame | None = None, candidates: DataFrame | None = None, asked: DataFrame | None = None) -> Result:
     """The whole way.  `votes` (doc_id, modality_ord, available, event_type) and
-    `candidates` (doc_id, field, extractor, seq, value_raw) are what models said, if any."""
+    `candidates` (doc_id, field, extractor, seq, value_raw) are what models said, if
+    any; documents of `asked` (doc_id) that nobody could read are failed ones."""
     blocks = staged(page.page_consensus(raw_blocks), "blocks")
     docs = staged(page.documents(blocks), "documents")
-    prior = staged(classify.prior(docs, "raw"), "prior")
+    prior = staged(classify.priors(docs, "raw"), "prior")
     own = prior.select("doc_id", F.lit(0).alias("modality_ord"), F.lit(True).alias("available"), F.col("whole_prior").alias("event_type"))
     named = classify.consensus(own if votes is None else own.unionByName(votes), prior.select("doc_id", F.col("whole_prior").alias("prior")))
     types = staged(named.join(prior.select("doc_id", "title_prior", "body_prior"), "doc_id"), "types")
@@ -121,22 +121,30 @@ def run(raw_blocks: DataFrame, golden: DataFrame, specs: DataFrame, config: Conf
     settled = fields.disambiguate(long.where("size(candidates) > 0").select("doc_id", "field", "candidates"), notices.select("doc_id", *v.DATE_FIELDS[:4]), validators.date_rules(config.window_days, config.as_of)).where("value is not null")
     long = long.join(settled.select("doc_id", "field", dates.show(F.col("value")).alias("_v")), ["doc_id", "field"], "left")
     long = long.withColumn("value", F.coalesce("value", "_v")).withColumn("candidates", F.when(F.col("_v").isNull(), F.col("candidates")).otherwise(F.array().cast("array<string>"))).drop("_v")
-    long = staged(long, "fields")
-    parts = [validators.golden_record(notices, golden), validators.date_coherence(notices, **config.window()), validators.amount_coherence(notices), validators.event_type_consistency(notices), validators.identifier_format(notices), validators.required_fields(long, specs)]
-    findings = None
-    for seq, part in enumerate(parts):
-        findings = part.withColumn("seq", F.lit(seq)) if findings is None else findings.unionByName(part.withColumn("seq", F.lit(seq)))
+    long = staged(fields.fill_contract(long, types, specs), "fields")
+    # what a row says by itself, one projection and one lookup; what is missing is told by the long form, where excuses stand
+    found_by = validators.run_all(notices, golden, specs, **config.window()).where("tool <> 'check_required_fields'")
+    required = validators.required_fields(long, specs).withColumn("seq", F.lit(5))
+    findings = found_by.unionByName(required)
+    parts = 6
     findings = staged(findings, "findings")
     reasons = triage.reasons_of(findings)
     detail = long.join(F.broadcast(specs.select("event_type", "field", "required")), ["event_type", "field"], "left").withColumn("required", F.coalesce("required", F.lit(False)))
     detail = detail.join(rows.select("doc_id", "field", "grounding", "kinds"), ["doc_id", "field"], "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
-    more = triage.field_reasons(detail).select("doc_id", F.lit(len(parts)).alias("seq"), "code", "field")
-    odd = lambda when, code: types.where(when).select("doc_id", F.lit(len(parts)).alias("seq"), F.lit(code).alias("code"), F.lit(None).cast("string").alias("field"))
+    more = triage.field_reasons(detail).select("doc_id", F.lit(parts).alias("seq"), "code", "field")
+    odd = lambda when, code: types.where(when).select("doc_id", F.lit(parts).alias("seq"), F.lit(code).alias("code"), F.lit(None).cast("string").alias("field"))
     more = more.unionByName(odd("event_type = 'outro'", "UNKNOWN_EVENT_TYPE")).unionByName(odd("not unanimous and event_type <> 'outro'", "CLASSIFIER_DISAGREEMENT"))
     if disputed is not None:
-        more = more.unionByName(disputed.select("doc_id", F.lit(len(parts)).alias("seq"), F.lit("EXTRACTOR_DISAGREEMENT").alias("code"), "field"))
+        more = more.unionByName(disputed.select("doc_id", F.lit(parts).alias("seq"), F.lit("EXTRACTOR_DISAGREEMENT").alias("code"), "field"))
     reasons = triage.dedupe(reasons.select("doc_id", "seq", "code", "field").unionByName(more), ["doc_id", "code", "field"], ["seq"])
     reasons = staged(reasons, "reasons")
     verdicts = triage.disposition(reasons, types)
     verdicts = verdicts.withColumn("justification", audit.narrative(F.col("disposition"), F.col("codes")))
-    return Result(blocks, notices, audit.annotate(rows.drop("value", "absence_reason", "candidates").join(long, ["doc_id", "field"], "full_outer"), findings), findings, reasons, verdicts)
+    read = rows.select("doc_id", "field", "level")
+    verdicts = verdicts.join(triage.for_review(reasons, long), "doc_id", "left").join(triage.weakest_critical(long.join(read, ["doc_id", "field"], "left")), "doc_id", "left")
+    verdicts = verdicts.withColumn("for_review", F.coalesce("for_review", F.array().cast("array<string>")))
+    if asked is not None:
+        verdicts = triage.failed(asked, verdicts)
+    looked_up = staged(validators.lookup(notices, golden), "lookup")
+    all_fields = rows.drop("value", "absence_reason", "candidates").join(long.drop("event_type"), ["doc_id", "field"], "full_outer")
+    return Result(blocks, notices, audit.annotate(all_fields, findings, looked_up), findings, reasons, verdicts)

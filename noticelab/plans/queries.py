@@ -7,29 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from ..operators import classify, fields, reading, triage, validators
-from . import derived, vocabulary
+from .. import vocabulary
+from . import derived
+from .registry import ALL, ORACLE, joined, normal_sql, query, read
 
 AS_OF = "1998-01-01"
-ALL, ORACLE = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        ALL[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _joined(c) -> F.Column:
-    return F.array_join(c, ",")
-
 
 # --- validators and triage ---------------------------------------------------
 
@@ -43,7 +25,7 @@ DATES_SQL = f"""dates as (select doc_id, list_filter([
 @query("date_coherence", f"with {derived.NOTICES_SQL}, {DATES_SQL} select doc_id, case when len(broken) > 0 then 'fail' else 'pass' end as status, array_to_string(broken, ',') as broken from dates")
 def date_coherence(spark, sf_dir):
     rows = derived.notices(spark, sf_dir).withColumn("broken", validators.date_rules(730, AS_OF))
-    return rows.select("doc_id", F.when(F.size("broken") > 0, "fail").otherwise("pass").alias("status"), _joined("broken").alias("broken"))
+    return rows.select("doc_id", F.when(F.size("broken") > 0, "fail").otherwise("pass").alias("status"), joined("broken").alias("broken"))
 
 
 AMOUNT_SQL = "case when gross_per_share is null then 'info' when abs(gross_per_share * cast(cast('1' as decimal(10,6)) - tax_rate as decimal(10,6)) - net_per_share) <= cast('0.000001' as decimal(10,6)) then 'pass' else 'fail' end"
@@ -51,8 +33,8 @@ AMOUNT_SQL = "case when gross_per_share is null then 'info' when abs(gross_per_s
 
 @query("amount_coherence", f"with {derived.NOTICES_SQL} select doc_id, {AMOUNT_SQL} as status, gross_per_share, net_per_share from notices")
 def amount_coherence(spark, sf_dir):
-    rows = derived.notices(spark, sf_dir)
-    return validators.amount_coherence(rows).join(rows.select("doc_id", "gross_per_share", "net_per_share"), "doc_id").select("doc_id", "status", "gross_per_share", "net_per_share")
+    rows = derived.notices(spark, sf_dir).withColumn("x", validators.amount_finding())
+    return rows.select("doc_id", "x.status", "gross_per_share", "net_per_share")
 
 
 LOOKUP_SQL = """pairs as (select doc_id, unnest(['isin','ticker','cnpj','issuer']) as key, unnest([isin, ticker, cnpj, issuer]) as value from notices),
@@ -68,7 +50,7 @@ found as (select n.doc_id, case when keys is null then 'NOT_FOUND' when len(matc
 @query("golden_lookup", f"with {derived.NOTICES_SQL}, {derived.GOLDEN_SQL}, {LOOKUP_SQL} select doc_id, outcome, row_idx, agreeing, case when outcome = 'MISMATCH' then array_to_string(differing, ',') else '' end as mismatched from found")
 def golden_lookup(spark, sf_dir):
     found = validators.lookup(derived.notices(spark, sf_dir), derived.golden(spark, sf_dir))
-    return found.select("doc_id", "outcome", "row_idx", _joined("agreeing").alias("agreeing"), _joined("mismatched").alias("mismatched"))
+    return found.select("doc_id", "outcome", "row_idx", joined("agreeing").alias("agreeing"), joined("mismatched").alias("mismatched"))
 
 
 SPECS_SQL = "specs as (select * from (values " + ", ".join(f"('{t}', '{f}', {str(k == 0).lower()})" for t, sides in vocabulary.FIELD_SPECS.items() for k, side in enumerate(sides) for f in side) + ") s(event_type, field, required))"
@@ -78,8 +60,9 @@ MISSING_SQL = "lacking as (select n.doc_id, list_sort(list(s.field)) as missing
 
 @query("required_fields", f"with {derived.NOTICES_SQL}, {SPECS_SQL}, {LONG_SQL}, {MISSING_SQL} select n.doc_id, case when missing is null then 'pass' else 'fail' end as status, coalesce(array_to_string(missing, ','), '') as missing from notices n left join lacking using (doc_id)")
 def required_fields(spark, sf_dir):
-    rows = validators.missing_required(validators.as_fields(derived.notices(spark, sf_dir)), vocabulary.field_specs(spark))
-    return rows.select("doc_id", F.when(F.size("missing") > 0, "fail").otherwise("pass").alias("status"), _joined("missing").alias("missing"))
+    rows = derived.notices(spark, sf_dir)
+    rows = rows.withColumn("missing", validators.lacking(rows.columns))
+    return rows.select("doc_id", F.when(F.size("missing") > 0, "fail").otherwise("pass").alias("status"), joined("missing").alias("missing"))
 
 
 TYPE_SQL = "list_filter([case when title_prior <> body_prior then 'EVENT_TYPE_TITLE_CONFLICT' end, case when body_prior <> event_type then 'CLASSIFIER_DISAGREEMENT' end], lambda x: x is not null)"
@@ -87,7 +70,7 @@ TYPE_SQL = "list_filter([case when title_prior <> body_prior then 'EVENT_TYPE_TI
 
 @query("event_type_consistency", f"with {derived.NOTICES_SQL} select doc_id, case when len({TYPE_SQL}) > 0 then 'warn' else 'pass' end as status, array_to_string({TYPE_SQL}, ',') as codes from notices")
 def event_type_consistency(spark, sf_dir):
-    return validators.event_type_consistency(derived.notices(spark, sf_dir)).select("doc_id", "status", _joined("reason_codes").alias("codes"))
+    return validators.event_type_consistency(derived.notices(spark, sf_dir)).select("doc_id", "status", joined("reason_codes").alias("codes"))
 
 
 ISIN_SQL = """(regexp_full_match(isin, '[A-Z]{2}[A-Z0-9]{9}[0-9]') and list_sum(list_transform(range(1, len(expanded) + 1), lambda i:
@@ -121,7 +104,7 @@ TRIAGE_SQL = f"with {derived.NOTICES_SQL}, {derived.GOLDEN_SQL}, {DATES_SQL}, {L
 
 def _reasons(spark, sf_dir):
     rows = derived.notices(spark, sf_dir)
-    findings = validators.run_all(rows, derived.golden(spark, sf_dir), vocabulary.field_specs(spark), window_days=730, as_of=AS_OF)
+    findings = validators.run_all(rows, derived.golden(spark, sf_dir), window_days=730, as_of=AS_OF)
     return rows, triage.reasons_of(findings)
 
 
@@ -152,12 +135,12 @@ def reasons_by_layer(spark, sf_dir):
 
 @query("reasons_dedup", "select event_id, user_id, event_type from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events) where n = 1")
 def reasons_dedup(spark, sf_dir):
-    return triage.dedupe(_read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+    return triage.dedupe(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
 @query("batch_id", "select 'AS-20240101-' || upper(left(sha256(array_to_string(list_sort(list(c_name)), '|')), 6)) as batch_id from customer")
 def batch_id(spark, sf_dir):
-    return triage.batch_id(_read(spark, sf_dir, "customer"), "c_name", "20240101")
+    return triage.batch_id(read(spark, sf_dir, "customer"), "c_name", "20240101")
 
 
 # --- classification ----------------------------------------------------------
@@ -203,9 +186,11 @@ VOTES_SQL = "votes as (" + " union all ".join(f"select o_orderkey as doc_id, {k}
     (select count(*) from votes v where v.doc_id = p.doc_id and available) as n_available from priors p left join won w on w.doc_id = p.doc_id and k = 1""",
 )
 def classifier_consensus(spark, sf_dir):
-    _read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    votes, priors = spark.sql(f"with {VOTES_SQL} select * from votes"), spark.sql(f"with {VOTES_SQL} select * from priors")
-    return classify.consensus(votes, priors)
+    rows = read(spark, sf_dir, "orders")
+    vote = lambda k, x: rows.selectExpr("o_orderkey as doc_id", f"{k} as modality_ord", f"o_orderkey % {7 + k} <> 0 as available", f"case when o_orderkey % {11 + k} = 0 then null else {x} end as event_type")
+    votes = [vote(k, x) for k, x in enumerate(VOTE_SQL.values())]
+    priors = rows.selectExpr("o_orderkey as doc_id", f"case when o_orderkey % 10 = 0 then {VOTE_SQL['text']} else {VOTE_SQL['rule']} end as prior")
+    return classify.consensus(votes[0].unionByName(votes[1]), priors)
 
 
 # --- readings ----------------------------------------------------------------
@@ -218,7 +203,9 @@ def reading_level(spark, sf_dir):
     return derived.readings(spark, sf_dir).groupBy("doc_id", "region_id").agg(reading.level_of(F.collect_set("kind")).alias("level"))
 
 
-FLAW_SQL = "(regexp_matches(text, '^BR[A-Z0-9]{7,13}$') and not regexp_full_match(text, '[A-Z]{2}[A-Z0-9]{9}[0-9]')) or text = '31/02/2026'"
+BAD_ISINS = r"list_filter(regexp_extract_all(upper(text), '\b([A-Z]{2}[A-Z0-9]{8,10}[0-9])\b', 1), lambda x: len(x) <> 12)"
+BAD_DATES = r"list_filter(regexp_extract_all(text, '\b([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})\b', 1), lambda x: try_cast(string_split(x, '/')[3] || '-' || string_split(x, '/')[2] || '-' || string_split(x, '/')[1] as date) is null)"
+FLAW_SQL = f"len({BAD_ISINS}) + len({BAD_DATES}) > 0"
 KEY_SQL = "lower(regexp_replace(case when text like 'R$ %' then 'R$' || regexp_replace(regexp_replace(replace(replace(text, 'R$ ', ''), '.', ''), '0+$', ''), ',', '·') else text end, '[\\s.,;:()/-]', '', 'g'))"
 RESOLVE_SQL = f"""{derived.READINGS_SQL}, flagged as (select *, coalesce({FLAW_SQL}, false) as flawed, {KEY_SQL} as key, case kind when 'text_layer' then 0.02 when 'ocr_deterministic' then 0.1 else 0.25 end as err from readings),
 sized as (select *, count(*) over r as n, count(*) filter (flawed) over r as bad from flagged window r as (partition by doc_id, region_id)),
@@ -238,9 +225,12 @@ def weakest_level(spark, sf_dir):
     return rows.groupBy("region_id").agg(reading.weakest(F.col("level")).alias("level"), F.count("*").alias("n"))
 
 
-@query("structural_flaws", f"with {derived.READINGS_SQL} select doc_id, reader, case when coalesce({FLAW_SQL}, false) then case when text = '31/02/2026' then 'date:' else 'isin:' end || text else '' end as flaws from readings")
+FLAWS_SQL = f"list_concat(list_transform({BAD_ISINS}, lambda x: 'isin:' || x), list_transform({BAD_DATES}, lambda x: 'date:' || x))"
+
+
+@query("structural_flaws", f"with {derived.READINGS_SQL} select doc_id, reader, array_to_string({FLAWS_SQL}, ',') as flaws from readings")
 def structural_flaws(spark, sf_dir):
-    return derived.readings(spark, sf_dir).select("doc_id", "reader", _joined(text.structural_flaws(F.col("text"))).alias("flaws"))
+    return derived.readings(spark, sf_dir).select("doc_id", "reader", joined(text.structural_flaws(F.col("text"))).alias("flaws"))
 
 
 @query("combined_error", f"with {derived.READINGS_SQL}, g as (select doc_id, list_distinct(list(kind)) as kinds from readings group by doc_id) select doc_id, cast(case when len(kinds) = 1 then case kinds[1] when 'text_layer' then 0.02 when 'ocr_deterministic' then 0.1 else 0.25 end when not list_contains(kinds, 'text_layer') then 0.05 else 0.02 * (case when list_contains(kinds, 'ocr_deterministic') then 0.1 else 1 end) * (case when list_contains(kinds, 'ocr_generative') then 0.25 else 1 end) end as decimal(8,5)) as error from g")
@@ -261,46 +251,92 @@ def spatial_match(spark, sf_dir):
     return rows.select("doc_id", "anchor", "reader", "block_order", F.round(F.col("overlap") * 10000).cast("long").alias("overlap"))
 
 
-CELLS_SQL = f"{derived.BOXES_SQL}, cells as (select doc_id, page, reader, cast(substr(reader, 2) as int) as reader_ord, cast(block_order // 10 as int) as row, 0 as col, x0, y0, x1, y1, (doc_id + block_order) % 4 = 0 as pending from boxes)"
+CELLS_SQL = f"{derived.BOXES_SQL}, cells as materialized (select doc_id, page, reader, cast(substr(reader, 2) as int) as reader_ord, cast(block_order // 10 as int) as row, 0 as col, x0, y0, x1, y1, (doc_id + block_order) % 4 = 0 as pending from boxes)"
+SHARED_SQL = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))"
 
 
 @query(
     "cell_geometry_lending",
-    f"""with {CELLS_SQL}, shape as (select doc_id, page, reader, max(row) as n_rows from cells group by doc_id, page, reader), rows as (select c.*, n_rows from cells c join shape using (doc_id, page, reader)),
-    offers as (select a.doc_id, a.reader, a.row, b.x0, b.y0, dense_rank() over (partition by a.doc_id, a.page, a.reader order by b.reader_ord) as k from rows a join rows b on a.doc_id = b.doc_id and a.page = b.page and a.row = b.row and a.col = b.col and a.n_rows = b.n_rows and a.reader <> b.reader
-      where a.pending and not b.pending and greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.15)
-    select r.doc_id, r.reader, r.row, cast(coalesce(o.x0, r.x0) as bigint) as x0, cast(coalesce(o.y0, r.y0) as bigint) as y0, r.pending and o.x0 is null as pending from rows r left join offers o on o.doc_id = r.doc_id and o.reader = r.reader and o.row = r.row and o.k = 1 and r.pending""",
+    f"""with {CELLS_SQL}, shape as (select doc_id, page, reader, max(row) + 1 as n_rows, max(col) + 1 as n_cols from cells group by doc_id, page, reader),
+    placed as materialized (select c.*, n_rows, n_cols from cells c join shape using (doc_id, page, reader)),
+    asks as materialized (select * from placed where pending), gives as materialized (select * from placed where not pending),
+    offers as materialized (select a.doc_id, a.page, a.reader, a.row, a.col, b.x0, b.y0, dense_rank() over (partition by a.doc_id, a.page, a.reader order by b.reader_ord) as k
+      from asks a join gives b on a.doc_id = b.doc_id and a.page = b.page and a.row = b.row and a.col = b.col and a.n_rows = b.n_rows and a.n_cols = b.n_cols
+      where a.reader <> b.reader and {SHARED_SQL} >= 0.15), lent as materialized (select * from offers where k = 1)
+    select doc_id, reader, row, cast(coalesce(o.x0, r.x0) as bigint) as x0, cast(coalesce(o.y0, r.y0) as bigint) as y0, pending and o.x0 is null as pending
+    from placed r left join lent o using (doc_id, page, reader, row, col)""",
 )
 def cell_geometry_lending(spark, sf_dir):
     cells = derived.boxes(spark, sf_dir).selectExpr("doc_id", "page", "reader", "cast(substr(reader, 2) as int) as reader_ord", "cast(block_order div 10 as int) as row", "0 as col", "x0", "y0", "x1", "y1", "(doc_id + block_order) % 4 = 0 as pending")
     return reading.lend_geometry(cells).select("doc_id", "reader", "row", F.col("box.x0").cast("long").alias("x0"), F.col("box.y0").cast("long").alias("y0"), "pending")
 
 
-@query("row_clusters_seeded")
+def clusters_sql(order: str, chained: bool) -> str:
+    """The rows of each page by a recursion over its blocks: a list of rows, each with the height that decides and its members."""
+    height = "{'y0': y0, 'y1': y1}"
+    member = "{'x0': x0, 'b': block_order}"
+    seed = height if chained else "rows[p].seed"
+    near = "greatest(least(r.seed.y1, i.y1) - greatest(r.seed.y0, i.y0), 0) / least(r.seed.y1 - r.seed.y0, i.y1 - i.y0) >= 0.5"
+    return f"""{derived.BOXES_SQL}, items as materialized (select *, row_number() over (partition by doc_id, page, reader order by {order}) as k from boxes),
+folded as (select doc_id, page, reader, cast(0 as bigint) as k, cast([] as struct(seed struct(y0 double, y1 double), members struct(x0 double, b int)[])[]) as rows from (select distinct doc_id, page, reader from items)
+  union all select doc_id, page, reader, k + 1, case when p is null then list_append(rows, {{'seed': {height}, 'members': [{member}]}})
+    else list_concat(list_concat(rows[:p - 1], [{{'seed': {seed}, 'members': list_append(rows[p].members, {member})}}]), rows[p + 1:]) end
+  from (select f.*, i.block_order, i.x0, i.y0, i.y1, list_position(list_transform(f.rows, lambda r: {near}), true) as p from folded f join items i on i.doc_id = f.doc_id and i.page = f.page and i.reader = f.reader and i.k = f.k + 1)),
+done as (select doc_id, page, reader, arg_max(rows, k) as rows from folded group by all),
+each as (select doc_id, page, reader, unnest(range(0, len(rows))) as row_index, unnest(rows) as r from done),
+clusters as (select doc_id, page, reader, unnest(list_sort(r.members)).b as block_order, cast(row_index as int) as row_index, cast(unnest(range(0, len(r.members))) as int) as col_index, cast(len(r.members) as int) as n_cols from each)"""
+
+
+@query("row_clusters_seeded", f"with recursive {clusters_sql('y0, x0, block_order', False)} select * from clusters")
 def row_clusters_seeded(spark, sf_dir):
     return reading.cluster_rows(derived.boxes(spark, sf_dir))
 
 
-@query("row_clusters_chained")
+@query("row_clusters_chained", f"with recursive {clusters_sql('y0, block_order', True)} select * from clusters")
 def row_clusters_chained(spark, sf_dir):
     return reading.cluster_rows(derived.boxes(spark, sf_dir), chained=True)
 
 
-@query("label_value_pairs")
+def _texted(spark, sf_dir):
+    return derived.boxes(spark, sf_dir).withColumn("text", F.concat(F.lit("b"), F.col("block_order").cast("string")))
+
+
+@query(
+    "label_value_pairs",
+    f"with recursive {clusters_sql('y0, block_order', True)} select doc_id, page, reader, row_index, 'b' || arg_min(block_order, col_index) as label, 'b' || arg_max(block_order, col_index) as value from clusters where n_cols >= 2 group by doc_id, page, reader, row_index",
+)
 def label_value_pairs(spark, sf_dir):
-    blocks = derived.boxes(spark, sf_dir).withColumn("text", F.concat(F.lit("b"), F.col("block_order").cast("string"))).withColumn("reader", F.lit("r"))
-    return reading.label_value_pairs(blocks)
+    return reading.label_value_pairs(_texted(spark, sf_dir))
+
+
+@query("table_roles", f"with recursive {clusters_sql('y0, block_order', True)} select doc_id, page, reader, block_order, case when n_cols >= 2 then 'table_cell' end as role, case when n_cols >= 2 then row_index end as row, case when n_cols >= 2 then col_index end as col from clusters")
+def table_roles(spark, sf_dir):
+    return reading.table_roles(derived.boxes(spark, sf_dir))
+
+
+@query(
+    "visual_rows",
+    f"""with recursive {clusters_sql('y0, x0, block_order', False)},
+    r as (select c.doc_id, c.page, c.reader, c.row_index, string_agg('b' || c.block_order, ' ' order by c.col_index) as text, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1,
+      ['muito_alta','alta','media','baixa'][max(1 + (c.doc_id + c.block_order) % 4)] as level from clusters c join boxes b on b.doc_id = c.doc_id and b.page = c.page and b.reader = c.reader and b.block_order = c.block_order group by all)
+    select doc_id, page, reader, text, level, cast(x0 as bigint) as x0, cast(y1 as bigint) as y1, cast(row_number() over (partition by doc_id, page, reader order by y0, x0, row_index) - 1 as int) as block_order from r""",
+)
+def visual_rows(spark, sf_dir):
+    from ..operators import page
 
+    level = F.get(F.array(*map(F.lit, vocabulary.LADDER)), ((F.col("doc_id") + F.col("block_order")) % 4).cast("int"))
+    rows = page.visual_rows(_texted(spark, sf_dir).withColumn("kind", F.lit("text_layer")).withColumn("level", level))
+    return rows.select("doc_id", "page", "reader", "text", "level", F.col("x0").cast("long").alias("x0"), F.col("y1").cast("long").alias("y1"), "block_order")
 
-@query("split_fused", "with f as (select o_orderkey as doc_id, case when o_orderkey % 3 = 0 then 'Valor bruto ..... R$ 1,00' else 'Texto corrido' end as text from orders) select doc_id, 0 as piece, case when doc_id % 3 = 0 then 'Valor bruto' else text end as text, cast(case when doc_id % 3 = 0 then 61111 else 100000 end as bigint) as x1 from f union all select doc_id, 1, 'R$ 1,00', 100000 from f where doc_id % 3 = 0")
-def split_fused(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "1 as page", "'r' as reader", "0 as block_order", "case when o_orderkey % 3 = 0 then 'Valor bruto ..... R$ 1,00' else 'Texto corrido' end as text", "0D as x0", "0D as y0", "100D as x1", "10D as y1")
-    return reading.split_fused(rows).select("doc_id", "piece", "text", F.floor(F.col("x1") * 1000).cast("long").alias("x1"))
+
+@query("grid_shape", f"with {CELLS_SQL} select doc_id, page, reader, max(row) + 1 as n_rows, max(col) + 1 as n_cols from cells group by all")
+def grid_shape(spark, sf_dir):
+    return reading.grid_shape(derived.boxes(spark, sf_dir).selectExpr("doc_id", "page", "reader", "cast(block_order div 10 as int) as row", "0 as col"))
 
 
 @query("reader_concat", "select conv_id, role, string_agg(text, chr(10) order by turn, text) as text from conversations where trim(text) <> '' group by conv_id, role")
 def reader_concat(spark, sf_dir):
-    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("kind"), F.col("turn").alias("page"), F.lit(0).alias("block_order"), "text")
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("kind"), F.col("turn").alias("page"), F.lit(0).alias("block_order"), "text")
     return reading.reads_by_kind(rows).select(F.col("doc_id").alias("conv_id"), F.col("kind").alias("role"), "text")
 
 
@@ -313,59 +349,10 @@ ANCHORS_SQL = "anchors as (select * from (values " + ", ".join("({}, '{}', '{}')
 
 @query("anchor_match", f"with {ANCHORS_SQL}, l as (select o_orderkey as doc_id, {derived.by_remainder('o_orderkey', LABELS)} as label from orders), hits as (select doc_id, field, anchor, row_number() over (partition by doc_id order by len(anchor) desc, ordinal) as n from l, anchors where contains(lower(strip_accents(label)), anchor) or contains(translate(lower(strip_accents(label)), {TIGHT}, ''), translate(anchor, {TIGHT}, ''))) select l.doc_id, field, anchor from l left join hits h on h.doc_id = l.doc_id and n = 1")
 def anchor_match(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{derived.by_remainder('o_orderkey', LABELS)} as label")
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{derived.by_remainder('o_orderkey', LABELS)} as label")
     return fields.match_anchor(rows).select("doc_id", "field", "anchor")
 
 
-@query("prose_dates", f"with {derived.TEXTS_SQL} select doc_id, case doc_id % 4 when 0 then {derived.slashed('d')} when 1 then cast(day(d) as varchar) || ' de ' || lower(strip_accents(case month(d) " + " ".join(f"when {i + 1} then {m}" for i, m in enumerate(derived.MONTHS)) + " end)) || ' de ' || cast(year(d) as varchar) when 2 then '31/02/2026' end as raw, case when doc_id % 4 < 2 then d end as value from texts")
-def prose_dates(spark, sf_dir):
-    rows = derived.texts(spark, sf_dir).withColumn("found", fields.prose_field(F.col("raw"), "approval_date"))
-    return rows.select("doc_id", F.col("found").alias("raw"), dates.written_date(F.col("found"))["value"].alias("value"))
-
-
-@query("identifier_extract", f"with {derived.TEXTS_SQL} select doc_id, regexp_extract(raw, 'ISIN: (BRTK[0-9]+)', 1) as isins, 'ABCD' || cast(3 + doc_id % 4 as varchar) as tickers, '12.345.678/0001-' || regexp_extract(raw, '0001-([0-9][0-9])', 1) as cnpjs from texts")
-def identifier_extract(spark, sf_dir):
-    c = F.col("raw")
-    return derived.texts(spark, sf_dir).select("doc_id", _joined(text.find_isins(c)).alias("isins"), _joined(text.find_tickers(c)).alias("tickers"), _joined(text.find_cnpjs(c)).alias("cnpjs"))
-
-
-# evidence: the benchmark's items are held against the documents that begin with the same letters
-EVIDENCE_SQL = "ev as (select i.item_id, d.doc_id, i.text as evidence, d.text as raw from benchmark i join documents d on d.doc_id % 40 = i.item_id % 40)"
-
-
-@query("grounding_status", f"with {EVIDENCE_SQL}, n as (select item_id, doc_id, trim(regexp_replace(lower(strip_accents(evidence)), '\\s+', ' ', 'g')) as e, trim(regexp_replace(lower(strip_accents(raw)), '\\s+', ' ', 'g')) as r from ev), s as (select *, regexp_replace(e, '[\\s.,;:()\\[\\]/\\\\|\"''—–-]', '', 'g') as se, regexp_replace(r, '[\\s.,;:()\\[\\]/\\\\|\"''—–-]', '', 'g') as sr from n) select item_id, doc_id, case when contains(r, e) then 'exact' when contains(sr, se) then 'normalized' when contains(translate(sr, '0158|', 'olsbl'), translate(se, '0158|', 'olsbl')) then 'fuzzy' else 'absent' end as status from s")
-def grounding_status(spark, sf_dir):
-    docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
-    rows = items.select("item_id", F.col("text").alias("evidence"), (F.col("item_id") % 40).alias("k")).join(docs.select("doc_id", F.col("text").alias("raw"), (F.col("doc_id") % 40).alias("k")), "k")
-    return rows.select("item_id", "doc_id", fields.grounding(F.col("evidence"), F.col("raw"), F.lit(False)).alias("status"))
-
-
-@query("evidence_locate", f"with {derived.TEXTS_SQL}, b as (select doc_id, unnest(range(0, len(string_split(raw, chr(10))))) as block_order, unnest(string_split(raw, chr(10))) as block from texts) select doc_id, 1 as evidence_id, cast(3 as int) as block_order, cast(1.0 as decimal(6,4)) as quality from b where block_order = 3")
-def evidence_locate(spark, sf_dir):
-    rows = derived.texts(spark, sf_dir)
-    blocks = rows.select("doc_id", F.posexplode(F.split("raw", "\n")).alias("block_order", "text"))
-    evidence = rows.select("doc_id", F.lit(1).alias("evidence_id"), F.regexp_extract("raw", "ISIN: (BRTK[0-9]+)", 1).alias("evidence"), F.lit(None).cast("string").alias("value"))
-    return fields.locate(evidence, blocks).withColumn("quality", F.col("quality").cast("decimal(6,4)"))
-
-
-RAW_DATES = f"case o_orderkey % 5 when 0 then {derived.slashed('cast(o_orderdate as date)')} when 1 then '21/08/2' || cast(2000 + o_orderkey % 30 as string) when 2 then 'A definir' when 3 then cast(1 + o_orderkey % 9 as string) || '/08/2026' else '31/02/2026' end"
-REPAIRED_SQL = f"""raws as (select o_orderkey as doc_id, cast(o_orderdate as date) as d, {RAW_DATES} as raw from orders),
-years as (select doc_id, list_distinct(list_transform(range(1, 6), lambda i: y[:i - 1] || y[i + 1:])) as ys from (select doc_id, regexp_extract(raw, '/([0-9]{{5}})$', 1) as y from raws where doc_id % 5 = 1))"""
-
-
-@query("date_repair", f"with {REPAIRED_SQL} select r.doc_id, case when doc_id % 5 = 0 then d end as value, cast(case doc_id % 5 when 1 then (select len(ys) from years y where y.doc_id = r.doc_id) when 3 then len(list_distinct(list_filter(list_concat(list_transform(range(0, 4), lambda t: t * 10 + 1 + r.doc_id % 9), list_transform(range(0, 10), lambda o: (1 + r.doc_id % 9) * 10 + o)), lambda x: x between 1 and 31))) else 0 end as int) as n_candidates, case when doc_id % 5 = 2 then 'stated_undefined' end as absence_reason from raws r")
-def date_repair(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{RAW_DATES} as raw")
-    fixed = fields.repair_date(F.col("raw"), F.lit("baixa"), F.array(F.lit("ocr_deterministic")))
-    return rows.withColumn("f", fixed).select("doc_id", "f.value", F.size("f.candidates").alias("n_candidates"), "f.absence_reason")
-
-
-@query("ambiguous_dates", f"with {REPAIRED_SQL} select doc_id, '21/08/' || y as candidate from (select doc_id, unnest(ys) as y from years)")
-def ambiguous_dates(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{RAW_DATES} as raw").where("doc_id % 5 = 1")
-    return rows.select("doc_id", F.explode(dates.year_candidates(F.col("raw"))).alias("candidate"))
-
-
 @query("disambiguate", f"with {derived.NOTICES_SQL}, c as (select doc_id, unnest(['01','02','11','12','21','22']) as dd, com_date, payment_date, approval_date from notices), t as (select *, make_date(year(com_date), month(com_date), cast(dd as int)) as ex from c), g as (select doc_id, count(*) as n, min(ex) as ex from t where coalesce(com_date < ex, true) and coalesce(ex <= payment_date, true) and coalesce(approval_date <= com_date, true) and coalesce(com_date <= payment_date, true) group by doc_id) select n.doc_id, coalesce(g.n, 0) as n_left, case when g.n = 1 then ex end as value from notices n left join g using (doc_id)")
 def disambiguate(spark, sf_dir):
     notices = derived.notices(spark, sf_dir)
@@ -374,21 +361,14 @@ def disambiguate(spark, sf_dir):
     return fields.disambiguate(rows, notices, validators.date_rules(10**6, AS_OF)).drop("field")
 
 
-@query("ptbr_numbers", "select o_orderkey as doc_id, cast(cast(o_totalprice as decimal(15,2)) as decimal(20,10)) as ptbr, cast(cast(o_totalprice as decimal(15,2)) as decimal(20,10)) as plain from orders")
-def ptbr_numbers(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").cast("decimal(15,2)").alias("x"))
-    shown = F.concat(F.lit("R$ "), numbers.show_decimal(F.col("x")))
-    return rows.select("doc_id", numbers.ptbr_number(shown).alias("ptbr"), numbers.decimal_number(F.col("x").cast("string")).alias("plain"))
-
-
 @query("ptbr_format", "select o_orderkey as doc_id, replace(replace(replace(format('{:,.2f}', cast(cast(o_totalprice as decimal(15,2)) as double)), ',', '#'), '.', ','), '#', '.') as shown from orders")
 def ptbr_format(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), numbers.show_decimal(F.col("o_totalprice").cast("decimal(15,2)")).alias("shown"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), numbers.show_decimal(F.col("o_totalprice").cast("decimal(15,2)")).alias("shown"))
 
 
 @query("tax_rates", "select o_orderkey as doc_id, cast((o_orderkey % 400) * 0.1 * 0.01 as decimal(10,6)) as rate from orders")
 def tax_rates(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), numbers.rate(F.concat(F.floor(F.col("o_orderkey") % 400 / 10).cast("string"), F.lit(","), (F.col("o_orderkey") % 10).cast("string"), F.lit("%"))).alias("rate"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), numbers.rate(F.concat(F.floor(F.col("o_orderkey") % 400 / 10).cast("string"), F.lit(","), (F.col("o_orderkey") % 10).cast("string"), F.lit("%"))).alias("rate"))
 
 
 RATIO_SQL = f"r as ({{}} {derived.by_remainder('o_orderkey', [chr(39) + t + chr(39) for t in vocabulary.EVENT_TYPES])} as event_type, cast(o_custkey % 10 as int) as a, cast(o_orderkey % 4 as int) as b from orders)"
@@ -396,7 +376,7 @@ RATIO_SQL = f"r as ({{}} {derived.by_remainder('o_orderkey', [chr(39) + t + chr(
 
 @query("ratio_order", f"with {RATIO_SQL.format('select o_orderkey as doc_id,')}, w as (select *, event_type in ('bonificacao','grupamento','desdobramento') and a <> b and case when event_type = 'grupamento' then a < b else a > b end as swapped from r) select doc_id, case when swapped then b else a end as ratio_from, case when swapped then a else b end as ratio_to, swapped from w")
 def ratio_order(spark, sf_dir):
-    rows = derived.notices(spark, sf_dir).select("doc_id", "event_type").join(_read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "cast(o_custkey % 10 as int) as a", "cast(o_orderkey % 4 as int) as b"), "doc_id")
+    rows = derived.notices(spark, sf_dir).select("doc_id", "event_type").join(read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "cast(o_custkey % 10 as int) as a", "cast(o_orderkey % 4 as int) as b"), "doc_id")
     return rows.select("doc_id", fields.order_ratio(F.col("event_type"), F.col("a"), F.col("b")).alias("r")).select("doc_id", "r.*")
 
 
@@ -405,35 +385,6 @@ def derive_ex_date(spark, sf_dir):
     return derived.notices(spark, sf_dir).select("doc_id", fields.derive_ex_date(F.col("event_type"), F.col("ex_date"), F.col("payment_date")).alias("ex_date"))
 
 
-CANDIDATES = {
-    "rule": ("gross_per_share", "case when o_orderkey % 7 = 0 then null else 'R$ ' || cast(o_orderkey % 100 as string) || ',50' end"),
-    "text": ("gross_per_share", "case when o_orderkey % 3 = 0 then cast(o_orderkey % 90 as string) || ',5' else cast(o_orderkey % 100 as string) || ',500' end"),
-}
-
-
-def _candidates(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders")
-    parts = [rows.selectExpr("o_orderkey as doc_id", f"'{f}' as field", f"'{e}' as extractor", f"{seq} as seq", f"{x if seq else chr(39) + 'old' + chr(39)} as value_raw") for e, (f, x) in CANDIDATES.items() for seq in (0, 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@query("candidate_merge", f"with c as (select o_orderkey as doc_id, {CANDIDATES['rule'][1]} as a, {CANDIDATES['text'][1]} as b, o_orderkey % 7 <> 0 as has, (case when o_orderkey % 3 = 0 then o_orderkey % 90 else o_orderkey % 100 end) = o_orderkey % 100 as same from orders) select doc_id, case when has then a else b end as value_raw, cast(case when has and same then 2 else 1 end as bigint) as votes, has and not same as disputed from c")
-def candidate_merge(spark, sf_dir):
-    return fields.merge(_candidates(spark, sf_dir), ["rule", "text"]).select("doc_id", "value_raw", "votes", "disputed")
-
-
-@query("ratio_pair", "select o_orderkey as doc_id, case when o_orderkey % 5 = 0 then null else o_orderkey % 3 = 0 or o_orderkey % 4 + 1 = 1 end as agrees from orders")
-def ratio_pair(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders")
-    one = lambda e, f, x: rows.selectExpr("o_orderkey as doc_id", f"'{f}' as field", f"'{e}' as extractor", "0 as seq", f"{x} as value_raw")
-    a = one("rule", "ratio_from", "cast(o_orderkey % 4 + 1 as string)").unionByName(one("rule", "ratio_to", "'1'"))
-    b = one("text", "ratio_from", "'1'").unionByName(one("text", "ratio_to", "cast(case when o_orderkey % 3 = 0 then o_orderkey % 4 + 1 else 1 end as string)").where("doc_id % 5 <> 0"))
-    return fields.ratio_pair_agrees(a.unionByName(b))
-
-
 @query("missing_fields", f"with {derived.NOTICES_SQL}, {SPECS_SQL}, {LONG_SQL} select n.doc_id, s.field, s.required from notices n join specs s using (event_type) where not exists (select 1 from long l where l.doc_id = n.doc_id and l.field = s.field and l.value is not null)")
 def missing_fields(spark, sf_dir):
     notices = derived.notices(spark, sf_dir)
@@ -446,42 +397,12 @@ def uncorroborated(spark, sf_dir):
     return fields.uncorroborated(rows)
 
 
-READS = {"text_layer": "case when o_orderkey % 2 = 0 then 'Pago R$ 10,50 por acao' else 'nada' end", "ocr_deterministic": "case when o_orderkey % 3 = 0 then 'pago r$10,50' else 'nada' end", "ocr_generative": "case when o_orderkey % 5 = 0 then 'R$ 10,50' else 'nada' end"}
-HOLD_SQL = "list_filter([case when doc_id % 2 = 0 then 'text_layer' end, case when doc_id % 3 = 0 then 'ocr_deterministic' end, case when doc_id % 5 = 0 then 'ocr_generative' end], lambda x: x is not null)"
-
-
-def _reads(spark, sf_dir):
-    pairs = ", ".join(f"'{k}', {x}" for k, x in READS.items())
-    return _read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"map({pairs}) as reads")
-
-
-@query("sweep_accept", f"with k as (select o_orderkey as doc_id from orders where o_orderkey % 7 <> 0), h as (select doc_id, {HOLD_SQL} as kinds from k) select doc_id, {LEVEL_SQL} as level from h where len(kinds) > 0")
-def sweep_accept(spark, sf_dir):
-    reads = _reads(spark, sf_dir)
-    returned = reads.select("doc_id", F.lit("gross_per_share").alias("field"), F.lit("R$ 10,50").alias("value"))
-    return fields.sweep_accept(returned, returned.where("doc_id % 7 <> 0"), reads, reading.level_of).select("doc_id", "level")
-
-
-@query("sweep_confirm", f"with h as (select o_orderkey as doc_id from orders) select doc_id, array_to_string(list_filter(['text_layer','ocr_deterministic','ocr_generative'], lambda k: k = 'ocr_generative' or list_contains({HOLD_SQL}, k)), ',') as kinds from h where doc_id % 4 <> 0")
-def sweep_confirm(spark, sf_dir):
-    reads = _reads(spark, sf_dir)
-    kept = reads.select("doc_id", F.lit("gross_per_share").alias("field"), F.lit("10,5").alias("value"), F.array(F.lit("ocr_generative")).alias("kinds"))
-    returned = reads.select("doc_id", F.lit("gross_per_share").alias("field"), F.when(F.col("doc_id") % 4 == 0, "99").otherwise("R$ 10,50").alias("value"))
-    return fields.sweep_confirm(returned, kept, reads).select("doc_id", _joined("kinds").alias("kinds"))
-
-
-@query("narrative_guard", "select o_orderkey as doc_id, case when o_orderkey % 2 = 0 then '' else '777' end as unknown from orders")
-def narrative_guard(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "case when o_orderkey % 2 = 0 then 'valor de R$ 10,50' else 'valor de 10,5 e 777' end as said")
-    return rows.select("doc_id", _joined(fields.unknown_figures(F.col("said"), F.array(F.lit("10,5000")))).alias("unknown"))
-
-
 # --- other tables ------------------------------------------------------------
 
 
 @query("turn_latest", "select conv_id, role, turn, text from (select *, row_number() over (partition by conv_id, role order by turn desc) as n from conversations) where n = 1")
 def turn_latest(spark, sf_dir):
-    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("field"), F.lit("x").alias("extractor"), F.col("turn").alias("seq"), "text")
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("field"), F.lit("x").alias("extractor"), F.col("turn").alias("seq"), "text")
     return fields.latest(rows).select(F.col("doc_id").alias("conv_id"), F.col("field").alias("role"), F.col("seq").alias("turn"), "text")
 
 
@@ -489,30 +410,22 @@ def turn_latest(spark, sf_dir):
 def page_text_blocks(spark, sf_dir):
     from ..sources.files import text_blocks
 
-    return text_blocks(_read(spark, sf_dir, "pages"), "page_id", "html")
+    return text_blocks(read(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @query("events_props", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def events_props(spark, sf_dir):
-    return _read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
 @query("cache_keys", "select user_id, event_type, left(sha256(event_type || chr(0) || cast(user_id as varchar) || chr(0)), 32) as key from (select distinct user_id, event_type from events)")
 def cache_keys(spark, sf_dir):
-    return _read(spark, sf_dir, "events").select("user_id", "event_type").distinct().withColumn("key", text.cache_key(F.col("event_type"), F.col("user_id").cast("string")))
-
-
-@query("drafting_dates", f"select o_orderkey as doc_id, cast(o_orderdate as date) as drafted from orders")
-def drafting_dates(spark, sf_dir):
-    months = " ".join(f"when {i + 1} then {m}" for i, m in enumerate(derived.MONTHS))
-    d = "cast(o_orderdate as date)"
-    rows = _read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"'Rio de Janeiro (RJ), 1 de maio de 1990. São Paulo (SP), ' || cast(day({d}) as string) || ' de ' || case month({d}) {months} end || ' de ' || cast(year({d}) as string) || '.' as raw")
-    return rows.select("doc_id", dates.drafting_date(F.col("raw")).alias("drafted"))
+    return read(spark, sf_dir, "events").select("user_id", "event_type").distinct().withColumn("key", text.cache_key(F.col("event_type"), F.col("user_id").cast("string")))
 
 
 @query("stp_by_segment", TRIAGE_SQL + "select c_mktsegment as segment, count(*) as n, cast(round(count(*) filter (disposition = 'auto') / count(*), 4) as decimal(6,4)) as stp_rate from verdicts v join orders o on o.o_orderkey = v.doc_id join customer on c_custkey = o_custkey group by c_mktsegment")
 def stp_by_segment(spark, sf_dir):
     rows, reasons = _reasons(spark, sf_dir)
-    segments = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("c_custkey")).join(_read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    segments = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("c_custkey")).join(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
     out = triage.disposition(reasons, rows).join(segments, "doc_id")
     return out.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.round(F.avg(F.expr("double(disposition = 'auto')")), 4).cast("decimal(6,4)").alias("stp_rate"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from noticelab import cli
 from noticelab.operators import audit, page
-from noticelab.plans import engine, vocabulary
+from noticelab import vocabulary
+from noticelab.plans import engine
 from noticelab.sources import files
 
 LINES = [

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from noticelab.functions import dates, numbers, text
 from noticelab.functions.similarity import lcs, partial_ratio, ratio
-from noticelab.plans import vocabulary
+from noticelab import vocabulary
 
 
 def value(spark, make, *inputs):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticelab.operators import classify, fields, reading, triage, validators
-from noticelab.plans import vocabulary
+from noticelab import vocabulary
 from noticelab.sources import files
 
 D = datetime.date
@@ -127,9 +127,14 @@ def test_fuzzy_anchor(spark):
 
 
 def test_repair_of_a_weak_day(spark):
-    make = lambda level, kinds: fields.repair_date(F.lit("2/08/2026"), F.lit(level), F.array(*map(F.lit, kinds)))
-    row = spark.range(1).select(make("baixa", ["ocr_deterministic"]).alias("a"), make("media", ["ocr_deterministic", "ocr_generative"]).alias("b")).first()
-    assert row["a"]["value"] is None and "12/08/2026" in row["a"]["candidates"] and row["b"]["value"] == D(2026, 8, 2)
+    """Only what an optical reader alone has read may have lost a digit, wherever in the text the date stands."""
+    make = lambda raw, level, kind: fields.repair_date(F.lit(raw), F.lit(level), F.lit(kind))
+    cases = {"a": ("em 12 dias, 2/08/2026", "baixa", "ocr_deterministic"), "b": ("2/08/2026", "media", "ocr_deterministic"), "c": ("2/08/2026", "baixa", "ocr_generative"), "d": ("3/08/2026", "baixa", "ocr_deterministic")}
+    row = spark.range(1).select(*[make(*x).alias(k) for k, x in cases.items()]).first()
+    want = ["02/08/2026", "12/08/2026", "22/08/2026", *(f"2{i}/08/2026" for i in range(10) if i != 2)]
+    assert row["a"]["value"] is None and row["a"]["candidates"] == want
+    assert row["b"]["value"] == row["c"]["value"] == D(2026, 8, 2)
+    assert row["d"]["candidates"] == ["03/08/2026", "13/08/2026", "23/08/2026", "30/08/2026", "31/08/2026"]
 
 
 def test_field_reasons(spark):

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from noticelab.plans import queries
+from noticelab.plans import catalogue as queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data here")
