@@ -96,6 +96,12 @@ def unpack(blob: bytes):
     return docs, starts, counts, id_of[ranks]
 
 
+def _stretched(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of an array that begin at starts, one after another."""
+    ahead = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts - ahead, sizes) + np.arange(sizes.sum())]
+
+
 class Known:
     """What stretches encode to: found by 64-bit hash, confirmed by their bytes.
 
@@ -122,26 +128,23 @@ class Known:
         k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return k, self.hashes[k] == hashes
 
-    def add(self, hashes: np.ndarray, stretches: list[bytes], ids: list[bytes]) -> None:
-        """Ascending hashes that are not in the table, with what has them and its ids."""
+    def add(self, hashes: np.ndarray, text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ascending hashes that are not in the table, with the bytes of what has
+        them and its ids, one after another, and how many of each."""
         at = np.searchsorted(self.hashes, hashes)
-        for of, parts in (("ids", ids), ("text", stretches)):
+        for of, data, n in (("text", text, lengths), ("ids", ids, sizes)):
             flat, used = self.flat[of], self.used[of]
-            data = np.frombuffer(b"".join(parts), flat.dtype)
             if used + len(data) > len(flat):
                 self.flat[of] = flat = np.concatenate([flat[:used], np.zeros(used + 2 * len(data), flat.dtype)])
             flat[used : used + len(data)] = data
-            sizes = np.array([len(x) for x in parts], np.int64) // flat.itemsize
-            self.begin[of] = np.insert(self.begin[of], at, used + np.cumsum(sizes) - sizes)
-            self.size[of] = np.insert(self.size[of], at, sizes)
+            self.begin[of] = np.insert(self.begin[of], at, used + np.cumsum(n) - n)
+            self.size[of] = np.insert(self.size[of], at, n)
             self.used[of] = used + len(data)
         self.hashes = np.insert(self.hashes, at, hashes)
 
     def gather(self, of: str, k: np.ndarray) -> np.ndarray:
         """The ids or bytes of the stretches at these places, one after another."""
-        n = self.size[of][k]
-        ahead = np.cumsum(n) - n
-        return self.flat[of][np.repeat(self.begin[of][k] - ahead, n) + np.arange(n.sum())]
+        return _stretched(self.flat[of], self.begin[of][k], self.size[of][k])
 
     def differ(self, k: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which stretches of data are not the ones at these places."""
@@ -152,7 +155,7 @@ class Known:
             unlike[of] = self.differ(k[of], data, starts[of], ends[of])
             return unlike
         ahead = np.cumsum(n) - n
-        wrong = self.gather("text", k) != data[np.repeat(starts - ahead, n) + np.arange(n.sum())]
+        wrong = self.gather("text", k) != _stretched(data, starts, n)
         if wrong.any():
             unlike[np.searchsorted(ahead, np.flatnonzero(wrong), "right") - 1] = True
         return unlike
@@ -203,7 +206,8 @@ class Encoder:
         self.known = Known(self.type)
         self.end = array(self.code, [END_ID]).tobytes()
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.cuts = self._cuts_at_blanks(json.loads(self.tokenizer.to_str()))
+        self.cuts = self._cuts_at_blanks()
+        self.stops = {stop: self.tokenizer.encode(stop, add_special_tokens=False).ids for stop in ",."}
         breaks = np.zeros(256, bool)
         breaks[[10, 32]] = True
         self.hasher = _words.Hasher(breaks, lower_ascii=False)
@@ -211,11 +215,13 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
 
-    def _cuts_at_blanks(self, rules: dict) -> bool:
+    def _cuts_at_blanks(self) -> bool:
         """Whether this is a tokenizer of the kind for which cutting at blanks is exact."""
-        alike = rules["normalizer"] == NORMAL_FORM and rules["pre_tokenizer"] == PIECES and rules["post_processor"] is None
-        special = all(t["content"].startswith("<|") for t in rules["added_tokens"])
-        return alike and special and rules["truncation"] is None and rules["padding"] is None and len(self.mark) == 1
+        t = self.tokenizer
+        rules = lambda part: None if part is None else json.loads(part.__getstate__())
+        special = all(x.content.startswith("<|") for x in t.get_added_tokens_decoder().values())
+        alike = rules(t.normalizer) == NORMAL_FORM and rules(t.pre_tokenizer) == PIECES
+        return alike and special and t.post_processor is None and t.truncation is None and t.padding is None and len(self.mark) == 1
 
     def _plain(self, text: str | None) -> bool:
         """Whether a text may be cut at blanks; a null or empty one may."""
@@ -223,35 +229,49 @@ class Encoder:
             return True
         return self.cuts and (text.isascii() and "<|" not in text or not any(x in text for x in self.ODD) and unicodedata.is_normalized("NFC", text))
 
-    def _learn(self, stretches: list[bytes]) -> list[bytes]:
-        """The ids of each new stretch."""
-        tokenize, rest, out, stems = self.tokenizer.model.tokenize, [], [b""] * len(stretches), {}
-        stops = {stop.encode(): self._direct(stop) for stop in ",."}
-        for i, key in enumerate(stretches):
-            word = key.decode("utf-8")
-            core = word[:-1] if word[-1:] in (",", ".") else word
-            if core.isalpha() and (core.isascii() or core == core.lower() and unicodedata.is_normalized("NFC", core)):
+    def _learn(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new stretches, one after another, and how many each has."""
+        tokenize, odd = self.tokenizer.model.tokenize, self._odd(stretches)
+        stems: dict[str, list[int]] = {}
+        ids: list[int] = []
+        ends = []
+        for word in stretches:
+            got = odd.get(word)
+            if got is not None:
+                ids += got
+            else:
+                stop = self.stops.get(word[-1])
+                core = word if stop is None else word[:-1]
                 got = stems.get(core)
                 if got is None:
-                    text = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.shown)
-                    got = stems[core] = array(self.code, [x.id for x in tokenize(text)]).tobytes()
-                out[i] = got if core is word else got + stops[key[-1:]]
-            elif self.MARK in word:
-                out[i] = self._direct(word)
-            else:
-                rest.append(i)
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            joined = f" {self.MARK} ".join(stretches[i].decode("utf-8") for i in part)
-            got = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, self.type)
+                    shown = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.shown)
+                    got = stems[core] = [x.id for x in tokenize(shown)]
+                ids += got
+                if stop is not None:
+                    ids += stop
+            ends.append(len(ids))
+        return np.array(ids, self.type), np.diff(np.array(ends, np.int64), prepend=0)
+
+    def _odd(self, stretches: list[str]) -> dict[str, list[int]]:
+        """The ids of those stretches that are no plain word with a comma or stop behind at most."""
+        core = lambda word: word[:-1] if word[-1] in self.stops else word
+        small = lambda x: x.isascii() or x == x.lower() and unicodedata.is_normalized("NFC", x)
+        odd = [word for word in stretches if not ((c := core(word)).isalpha() and small(c))]
+        out = {word: self._ids_of(word) for word in odd if self.MARK in word}
+        odd = [word for word in odd if self.MARK not in word]
+        for at in range(0, len(odd), 4096):
+            part = odd[at : at + 4096]
+            got = np.array(self._ids_of(f" {self.MARK} ".join(part)), np.int64)
             limits = [-1, *np.flatnonzero(got == self.mark[0]).tolist(), len(got)]
-            data, width = got.tobytes(), got.itemsize
-            for i, a, b in zip(part, limits[:-1], limits[1:], strict=True):
-                out[i] = data[(a + 1) * width : b * width]
+            listed = got.tolist()
+            out.update((word, listed[a + 1 : b]) for word, a, b in zip(part, limits[:-1], limits[1:], strict=True))
         return out
 
+    def _ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _direct(self, text: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.code, self._ids_of(text)).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with the end id, as little-endian integers of self.type."""
@@ -264,6 +284,7 @@ class Encoder:
     def _ids(self, texts: list[str], plain: list[bool]) -> list[bytes]:
         parts = [t.lower().encode("utf-8") if p else b"" for t, p in zip(texts, plain)]
         data = b"\n".join(parts) + b"\n"
+        raw = np.frombuffer(data, np.uint8)
         starts, ends, stretch = self.hasher.words(data)
         hashes, first, which = np.unique(stretch(starts, ends), return_index=True, return_inverse=True)
         if len(self.known.hashes) > CACHE_WORDS:
@@ -271,12 +292,14 @@ class Encoder:
         k, hit = self.known.find(hashes)
         if not hit.all():
             new = first[~hit]
-            stretches = [data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            self.known.add(hashes[~hit], stretches, self._learn(stretches))
+            lengths = ends[new] - starts[new]
+            own = _stretched(raw, starts[new], lengths)
+            parted = np.insert(own, np.cumsum(lengths), 10).tobytes().decode("utf-8").split("\n")
+            self.known.add(hashes[~hit], own, lengths, *self._learn(parted[:-1]))
             k, _ = self.known.find(hashes)
         k = k[which]
         begins = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])]))
-        for i in np.flatnonzero(self.known.differ(k, np.frombuffer(data, np.uint8), starts, ends)):
+        for i in np.flatnonzero(self.known.differ(k, raw, starts, ends)):
             plain[int(np.searchsorted(begins, i, "right")) - 1] = False
         ids = self.known.gather("ids", k).tobytes()
         limits = np.concatenate([[0], np.cumsum(self.known.size["ids"][k])])[begins] * self.type.itemsize
