@@ -21,9 +21,13 @@ word pairs than that leaves is never walked, and a candidate with fewer of its
 item's pairs is never aligned.
 
 Cases: null and empty items match nothing, like null and empty texts; items of
-fewer words than MIN_WORDS are left out, as they occur by chance; repeated rows
-give repeated results, repeated items one result for each item id; rows without
-an id are searched and reported without one; other columns are ignored.
+fewer than five words, which allow no edit, are matched word for word, and one
+of a single word wherever it stands (the stage asks for Settings.min_words, as
+such words occur by chance); repeated rows give repeated results, repeated
+items one result for each item id; of equal matches in a text the first counts;
+rows without an id are searched and reported without one, and leave the stage if
+they leak; other columns, whatever their names, are ignored by the query and
+kept by the stage.
 """
 
 from __future__ import annotations
@@ -37,9 +41,8 @@ from pyspark.sql import functions as F
 
 from . import _shared, _words
 
-MIN_WORDS = 4
 BAND, DRAWN = 1.5, 400  #: items whose lengths differ by less than this factor share a recall, measured on so many copies
-BLOCK_ITEMS = 20_000  #: items that are sent to the executors at once; more are searched block by block
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 32 << 20  #: items that are sent to the executors at once; more are searched block by block
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,11 @@ class Settings:
     sampled: int = 3  #: steps that a repetition compares
     most: int = 48  #: repetitions at most; a band of lengths that needs more is searched by its word pairs
     seed: int = 5
+    min_words: int = 1  #: items of fewer words are left out
+
+
+#: A passage of fewer words says little about where a document comes from.
+STAGE_MIN_WORDS = 4
 
 
 def _hasher() -> _words.Hasher:
@@ -107,7 +115,7 @@ def index(items: list[tuple[int, str]], s: Settings = Settings()) -> dict | None
     for first, counts, words in _sequences([t for _, t in items]):
         at = np.concatenate([[0], np.cumsum(counts)])
         for i in range(len(counts)):
-            if counts[i] >= MIN_WORDS:
+            if counts[i] >= max(s.min_words, 1):
                 ids.append(items[first + i][0])
                 seqs.append(words[at[i] : at[i + 1]])
     if not seqs:
@@ -142,7 +150,12 @@ def index(items: list[tuple[int, str]], s: Settings = Settings()) -> dict | None
             break
     direct = np.flatnonzero(np.isin(bands, open_))
     expected = {int(b): 1.0 if b in open_ else float(1 - missed[bands[drawn] == b].mean()) for b in np.unique(bands)}
-    return {"ids": ids, "seqs": seqs, "lengths": lengths, **_pair_table(seqs, lengths), "direct": _direct_table(seqs, lengths, direct), "reps": kept, "expected": min(expected.values()), "max_edits": s.max_edits}
+    if min(expected.values()) < s.recall:
+        raise ValueError(f"a recall of {min(expected.values()):.3f} was planned where {s.recall} is asked for")
+    single = np.flatnonzero(lengths == 1)
+    order = np.argsort(words[starts[single]], kind="stable")
+    singles = {"words": words[starts[single]][order], "items": single[order]}
+    return {"singles": singles, "ids": ids, "seqs": seqs, "lengths": lengths, **_pair_table(seqs, lengths), "direct": _direct_table(seqs, lengths, direct), "reps": kept, "expected": min(expected.values()), "max_edits": s.max_edits}
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
@@ -151,7 +164,7 @@ def _pairs(words: np.ndarray) -> np.ndarray:
 
 def _pair_table(seqs: list[np.ndarray], lengths: np.ndarray) -> dict:
     """Each pair of neighbouring words with the lengths of the items that have it."""
-    pairs = np.concatenate([_pairs(x) for x in seqs])
+    pairs = np.concatenate([np.zeros(0, np.uint64), *[_pairs(x) for x in seqs if len(x) > 1]])
     rows = np.unique(np.stack([pairs, np.repeat(lengths, lengths - 1).astype(np.uint64)], 1), axis=0)
     pairs, first = np.unique(rows[:, 0], return_index=True)
     return {"pairs": pairs, "pair_first": np.append(first, len(rows)), "pair_lengths": rows[:, 1].astype(int)}
@@ -212,6 +225,8 @@ def _direct(words: np.ndarray, limits: np.ndarray, idx: dict, begin: np.ndarray,
 def _live(words: np.ndarray, limits: np.ndarray, idx: dict) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of the windows with pairs enough for an item of that length."""
     pairs, share = idx["pairs"], idx["max_edits"]
+    if not len(pairs) or len(words) < 2:
+        return np.zeros(0, int), np.zeros(0, int)
     table = np.zeros(1 << 18, bool)
     table[pairs >> np.uint64(46)] = True
     own = _pairs(words)
@@ -285,6 +300,12 @@ def matches(texts, idx: dict):
         limits = np.concatenate([[0], np.cumsum(counts)])
         best: dict[tuple[int, int], tuple] = {}
         seen: dict[tuple[int, int], int] = {}
+        single = idx["singles"]
+        low, high = (np.searchsorted(single["words"], words, side) for side in ("left", "right"))
+        for at in np.flatnonzero(low < high):
+            doc = int(np.searchsorted(limits, at, "right")) - 1
+            for k in single["items"][low[at] : high[at]].tolist():
+                best.setdefault((doc, k), (0, int(at - limits[doc]), 1))
         begin, size = _live(words, limits, idx)
         for a, b, k in _direct(words, limits, idx, begin, size):
             edits, first_word, end = fit_distance(idx["seqs"][k], words[a:b])
@@ -310,28 +331,35 @@ def matches(texts, idx: dict):
             yield first + doc, k, begin, size, edits
 
 
+def indexes(benchmark: DataFrame, s: Settings):
+    """The index of each block of at most BLOCK_ITEMS items and about BLOCK_CHARS characters."""
+    n, chars = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
+    for part in range(parts):
+        block = benchmark if parts == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        idx = index([(r[0], r[1]) for r in block.select("item_id", "text").orderBy("item_id", "text").collect()], s)
+        if idx is not None:
+            yield idx
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, edits, item_words) for each text
     and item that match; one pass over the texts without a shuffle for each
-    block of BLOCK_ITEMS items."""
+    block of items."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, start_word long, n_words int, edits int, item_words int"
-    parts = max(1, -(-benchmark.count() // BLOCK_ITEMS))
+    names = [x.split()[0] for x in schema.split(", ")]
     found = None
-    for part in range(parts):
-        block = benchmark if parts == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        idx = index([(r[0], r[1]) for r in block.select("item_id", "text").orderBy("item_id", "text").collect()], s)
-        if idx is None:
-            continue
+    for idx in indexes(benchmark, s):
         held = spark.sparkContext.broadcast(idx)
 
         def search(frames, held=held):
             for pdf in frames:
-                idx, ids = held.value, pdf["doc_id"]
-                rows = [(ids.iloc[d], idx["ids"][k], begin, size, edits, len(idx["seqs"][k])) for d, k, begin, size, edits in matches(pdf["text"], idx)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "n_words", "edits", "item_words"])
+                idx, ids = held.value, [None if x is pd.NA else x for x in pdf["doc_id"]]
+                rows = [(ids[d], idx["ids"][k], begin, size, edits, len(idx["seqs"][k])) for d, k, begin, size, edits in matches(pdf["text"], idx)]
+                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-        got = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(search, schema)
+        got = _shared.map_frames(docs.select(F.col("doc_id").cast("long"), "text"), search, schema)
         found = got if found is None else found.unionByName(got)
     return spark.createDataFrame([], schema) if found is None else found
 
@@ -341,6 +369,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out the documents that hold a benchmark passage; rows without an id stay."""
-    found = _shared.written(leaks(docs, _shared.table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti")
+    """Leaves out the rows whose text holds a benchmark passage; each row is judged by its own text."""
+    for idx in indexes(_shared.table(spark, sf_dir, "benchmark"), Settings(min_words=STAGE_MIN_WORDS)):
+        held = spark.sparkContext.broadcast(idx)
+
+        def leaking(texts, held=held):
+            found = np.zeros(len(texts), bool)
+            found[[d for d, *_ in matches(texts, held.value)]] = True
+            return (found,)
+
+        docs = _shared.with_columns(docs, "text", leaking, "_leak boolean").where("not _leak").drop("_leak")
+    return docs
