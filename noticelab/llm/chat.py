@@ -12,10 +12,14 @@ A conversation of any length is handled: rows are range partitioned by
 and the parts of a conversation follow one another in its output.  The digest
 of a long conversation is computed over a stream of its parts.
 
+A record in no known layout is not formatted: it comes out with the paths of
+its fields in the column `rejected`, and the others go on.
+
 Cases: a null text or role is empty; rows that repeat a turn are turns each, in
-the order of role and text; rows without a conv_id are one conversation; an
-unknown layout raises UnknownLayout with its paths; an empty table gives the
-extra conversation alone; other columns are ignored.
+the order of a hash of role and text; rows without a conv_id are one
+conversation; an empty table gives the extra conversation alone; other columns,
+whatever their names, are ignored.  A conversation's digest is one sequence by
+its definition, so its parts pass through one task, one after another.
 """
 
 from __future__ import annotations
@@ -143,7 +147,7 @@ def records(conversations: DataFrame) -> DataFrame:
         part, key, turns, chars = TaskContext.get().partitionId() << 33, None, [], 0
         for pdf in frames:
             out = []
-            for conv, role, text in zip(pdf["conv_id"].astype("Int64"), pdf["role"], pdf["text"]):
+            for conv, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"]):
                 conv = None if conv is pd.NA else int(conv)
                 if turns and (conv != key or len(turns) >= RECORD_TURNS or chars >= RECORD_CHARS):
                     out.append((key, part, json.dumps(as_record(turns, bool((key or 0) % 2)))))
@@ -155,19 +159,26 @@ def records(conversations: DataFrame) -> DataFrame:
         if turns:
             yield pd.DataFrame([(key, part, json.dumps(as_record(turns, bool((key or 0) % 2))))], columns=["conv_id", "part", "record"]).astype({"conv_id": "Int64"})
 
-    return rows.mapInPandas(built, "conv_id long, part long, record string")
+    return _shared.map_frames(rows, built, "conv_id long, part long, record string")
 
 
 def format_records(rows: DataFrame) -> DataFrame:
-    """Records (conv_id, part, record) as formatted text with its loss mask."""
+    """Records (conv_id, part, record) as formatted text with its loss mask, or why they are rejected."""
+
+    def one(record: str, mappings: dict) -> tuple:
+        try:
+            formatted, loss = render(canonical(json.loads(record), mappings))
+        except (UnknownLayout, ValueError) as reason:  # ValueError: not JSON
+            return None, None, str(reason)
+        return formatted, [{"start": a, "end": b} for a, b in loss], None
 
     def formatted(frames):
         mappings = registry()
         for pdf in frames:
-            got = [render(canonical(json.loads(r), mappings)) for r in pdf["record"]]
-            yield pd.DataFrame({"conv_id": pdf["conv_id"].astype("Int64"), "part": pdf["part"], "formatted": [t for t, _ in got], "loss": [[{"start": a, "end": b} for a, b in m] for _, m in got]})
+            got = [one(r, mappings) for r in pdf["record"]]
+            yield pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "formatted": [t for t, _, _ in got], "loss": [m for _, m, _ in got], "rejected": [r for _, _, r in got]})
 
-    return rows.mapInPandas(formatted, "conv_id long, part long, formatted string, loss array<struct<start: long, end: long>>")
+    return _shared.map_frames(rows, formatted, "conv_id long, part long, formatted string, loss array<struct<start: long, end: long>>, rejected string")
 
 
 def read_back(output: DataFrame) -> DataFrame:
@@ -182,7 +193,7 @@ def read_back(output: DataFrame) -> DataFrame:
 
         for pdf in frames:
             out = []
-            for conv, text, loss in zip(pdf["conv_id"].astype("Int64"), pdf["formatted"], pdf["loss"]):
+            for conv, text, loss in zip(pdf["conv_id"], pdf["formatted"], pdf["loss"]):
                 conv = None if conv is pd.NA else int(conv)
                 if state is not None and conv != key:
                     out.append(done())
@@ -200,8 +211,8 @@ def read_back(output: DataFrame) -> DataFrame:
         if state is not None:
             yield pd.DataFrame([done()], columns=names).astype({"conv_id": "Int64"})
 
-    rows = output.select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return rows.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = output.where("rejected is null").select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return _shared.map_frames(rows, read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
