@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import shutil
@@ -48,22 +49,42 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: The tables written since each `swept` block began, the innermost last.
+_SWEPT: list[list[str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: its lineage
     is cut and a lost executor costs nothing but the tasks it was running."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _SWEPT:
+        _SWEPT[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
     """Delete the files behind a DataFrame that `written` returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def _delete(spark: SparkSession, folders) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """Tables that `written` makes inside are deleted at the end; what is to
+    stay must be written outside, or be in files of its own."""
+    _SWEPT.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _SWEPT.pop())
 
 
 def pieces(batch: pa.RecordBatch, most: int = CUT_BYTES):
