@@ -26,5 +26,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _shared.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = _shared.written(stage(spark, docs, sf_dir), name)
+        with _shared.swept(spark):  # what a stage writes for itself goes with it
+            path = _shared.new_path(spark, name)
+            result = stage(spark, docs, sf_dir)
+            result.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
     return docs
