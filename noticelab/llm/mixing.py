@@ -68,7 +68,9 @@ def fill(rows: DataFrame, parent: list[str], name: str) -> DataFrame:
     rest = F.col("budget") - F.sum(F.when(F.col("met"), F.col("capacity")).otherwise(0)).over(group)
     unmet = F.sum(F.when(F.col("met"), 0).otherwise(F.col("weight"))).over(group)
     rows = rows.withColumn("rest", rest).withColumn("unmet", unmet)
-    share = F.when(F.col("met"), F.col("capacity")).otherwise(F.expr("(rest * weight) div unmet"))
+    # rest * weight div unmet, without a product that could exceed 64 bits
+    split = F.expr("(rest div unmet) * weight + ((rest % unmet) * weight) div unmet")
+    share = F.when(F.col("met"), F.col("capacity")).otherwise(split)
     return rows.withColumn("budget", share).drop("met", "rest", "unmet")
 
 
