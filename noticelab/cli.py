@@ -32,8 +32,18 @@ def main(argv: list[str] | None = None) -> int:
     if not blocks.take(1):
         return 1
     read = lambda path: spark.read.parquet(path) if path else None
-    result = engine.run(blocks, files.golden(spark, args.golden), vocabulary.field_specs(spark), engine.Config(args.as_of), read(args.votes), read(args.candidates))
-    files.write_records(files.records(result.notices, result.fields.select("doc_id", "field", "value"), result.findings, result.reasons, result.verdicts), f"{args.out}/records")
+    result = engine.run(
+        blocks,
+        files.golden(spark, args.golden),
+        vocabulary.field_specs(spark),
+        engine.Config(args.as_of),
+        read(args.votes),
+        read(args.candidates),
+    )
+    files.write_records(
+        files.records(result.notices, result.fields.select("doc_id", "field", "value"), result.findings, result.reasons, result.verdicts),
+        f"{args.out}/records",
+    )
     files.write_summary(triage.summary(result.verdicts), f"{args.out}/summary")
     if "://" not in args.out:
         Path(args.out, "exceptions.md").write_text(files.exceptions_report(result.verdicts, result.reasons), encoding="utf-8")

@@ -18,7 +18,11 @@ def ptbr_number(c: Column) -> Column:
 def decimal_number(c: Column) -> Column:
     """With a comma dots group, without one the dot is the point; a sign is kept."""
     kept = F.regexp_replace(c, "[^0-9.,-]", "")
-    return F.when(F.contains(kept, F.lit(",")), F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(kept).try_cast(AMOUNT)
+    return (
+        F.when(F.contains(kept, F.lit(",")), F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+        .otherwise(kept)
+        .try_cast(AMOUNT)
+    )
 
 
 def show_decimal(c: Column, least: int = 2) -> Column:
@@ -28,7 +32,11 @@ def show_decimal(c: Column, least: int = 2) -> Column:
     whole = F.regexp_extract(plain, r"(\d+)", 1)
     part = F.regexp_replace(F.regexp_extract(plain, r"\.(\d+)", 1), "0+$", "")
     part = F.rpad(part, F.greatest(F.length(part), F.lit(least)), F.lit("0"))
-    return F.concat(sign, F.regexp_replace(whole, r"(?<=\d)(?=(\d{3})+$)", "."), F.when(part == "", F.lit("")).otherwise(F.concat(F.lit(","), part)))
+    return F.concat(
+        sign,
+        F.regexp_replace(whole, r"(?<=\d)(?=(\d{3})+$)", "."),
+        F.when(part == "", F.lit("")).otherwise(F.concat(F.lit(","), part)),
+    )
 
 
 def rate(c: Column) -> Column:
@@ -72,7 +80,10 @@ def cnpj_ok(c: Column) -> Column:
 
 def overlap(a: str, b: str) -> Column:
     """Shared area of two boxes (structs x0, y0, x1, y1) over the smaller one's."""
-    side = lambda lo, hi: F.greatest(F.least(F.col(f"{a}.{hi}"), F.col(f"{b}.{hi}")) - F.greatest(F.col(f"{a}.{lo}"), F.col(f"{b}.{lo}")), F.lit(0.0))
+    side = lambda lo, hi: F.greatest(
+        F.least(F.col(f"{a}.{hi}"), F.col(f"{b}.{hi}")) - F.greatest(F.col(f"{a}.{lo}"), F.col(f"{b}.{lo}")),
+        F.lit(0.0),
+    )
     area = lambda x: (F.col(f"{x}.x1") - F.col(f"{x}.x0")) * (F.col(f"{x}.y1") - F.col(f"{x}.y0"))
     least = F.least(area(a), area(b))
     return F.when(least > 0, side("x0", "x1") * side("y0", "y1") / least).otherwise(F.lit(0.0))

@@ -94,8 +94,15 @@ def split_title_body(c: Column, opening: str = "aviso aos acionistas", short: in
     hits = F.transform(lines, lambda x, i: F.when(normalize(x).contains(opening), i))
     first = F.array_min(hits)
     after = F.get(lines, (first + 1).cast("int"))
-    end = F.when(first.isNull(), F.least(F.lit(otherwise), F.size(lines))).when(after.isNotNull() & (F.length(after) < short), first + 2).otherwise(first + 1)
-    return F.struct(F.array_join(F.slice(lines, F.lit(1), end), "\n").alias("title"), F.array_join(F.slice(lines, end + 1, F.size(lines)), "\n").alias("body"))
+    end = (
+        F.when(first.isNull(), F.least(F.lit(otherwise), F.size(lines)))
+        .when(after.isNotNull() & (F.length(after) < short), first + 2)
+        .otherwise(first + 1)
+    )
+    return F.struct(
+        F.array_join(F.slice(lines, F.lit(1), end), "\n").alias("title"),
+        F.array_join(F.slice(lines, end + 1, F.size(lines)), "\n").alias("body"),
+    )
 
 
 def split_label_value(c: Column) -> Column:
@@ -133,7 +140,13 @@ def find_cnpjs(c: Column) -> Column:
 
 
 def share_class(c: Column) -> Column:
-    return let(normalize(c), lambda n: F.when(n.contains("preferencia") | n.rlike(r"\bpn\b"), F.lit("PN")).when(n.contains("ordinaria") | n.rlike(r"\bon\b"), F.lit("ON")))
+    return let(
+        normalize(c),
+        lambda n: F.when(
+            n.contains("preferencia") | n.rlike(r"\bpn\b"),
+            F.lit("PN"),
+        ).when(n.contains("ordinaria") | n.rlike(r"\bon\b"), F.lit("ON")),
+    )
 
 
 def structural_flaws(c: Column) -> Column:

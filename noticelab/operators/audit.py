@@ -42,7 +42,10 @@ def ungrounded_critical(fields: DataFrame) -> DataFrame:
 def routes(fields: DataFrame, has_model: bool) -> DataFrame:
     """Per document: whether to ask again (once) for ungrounded fields, and whether dates are open to settle (once)."""
     again = F.max((F.col("grounding") == "absent") & F.col("value_raw").isNotNull() & is_critical(F.col("field")))
-    return fields.groupBy("doc_id").agg((F.coalesce(again, F.lit(False)) & F.lit(has_model)).alias("reprompt"), F.coalesce(F.max(F.size("candidates") > 0), F.lit(False)).alias("disambiguate"))
+    return fields.groupBy("doc_id").agg(
+        (F.coalesce(again, F.lit(False)) & F.lit(has_model)).alias("reprompt"),
+        F.coalesce(F.max(F.size("candidates") > 0), F.lit(False)).alias("disambiguate"),
+    )
 
 
 def cut_by(findings: DataFrame) -> DataFrame:
@@ -53,19 +56,33 @@ def cut_by(findings: DataFrame) -> DataFrame:
 
 def annotate(fields: DataFrame, findings: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """Class, reading, cutting validators and reference check of each field."""
-    out = fields.join(cut_by(findings), ["doc_id", "field"], "left").withColumn("field_class", field_class(F.col("field"))).withColumn("critical", is_critical(F.col("field")))
+    out = (
+        fields.join(cut_by(findings), ["doc_id", "field"], "left")
+        .withColumn("field_class", field_class(F.col("field")))
+        .withColumn("critical", is_critical(F.col("field")))
+    )
     out = out.withColumn("cut_by", F.coalesce("cut_by", F.array().cast("array<string>")))
     if lookup is None:
         return out
     out = out.join(lookup.select("doc_id", "outcome", "agreeing", "mismatched", "row_idx"), "doc_id", "left")
-    status = field_ops.golden_status(F.col("field"), F.col("outcome").isNotNull(), F.col("agreeing"), F.col("row_idx").isNotNull(), ~F.array_contains("mismatched", F.col("field")))
+    status = field_ops.golden_status(
+        F.col("field"),
+        F.col("outcome").isNotNull(),
+        F.col("agreeing"),
+        F.col("row_idx").isNotNull(),
+        ~F.array_contains("mismatched", F.col("field")),
+    )
     return out.withColumn("golden", status).drop("outcome", "agreeing", "mismatched", "row_idx")
 
 
 def review_split(fields: DataFrame, specs: DataFrame, notices: DataFrame, for_review: DataFrame) -> DataFrame:
     """Each field of a type's contract is under review or accepted; both add up to the contract."""
     contract = notices.select("doc_id", "event_type").join(F.broadcast(specs), "event_type").select("doc_id", "field")
-    rows = contract.join(fields.select("doc_id", "field", "value"), ["doc_id", "field"], "left").join(for_review.select("doc_id", "field", F.lit(True).alias("_r")), ["doc_id", "field"], "left")
+    rows = contract.join(fields.select("doc_id", "field", "value"), ["doc_id", "field"], "left").join(
+        for_review.select("doc_id", "field", F.lit(True).alias("_r")),
+        ["doc_id", "field"],
+        "left",
+    )
     side = F.when(F.col("value").isNull() | F.col("_r").isNotNull(), "review").otherwise("accepted")
     return rows.groupBy("doc_id", side.alias("side")).agg(F.count("*").alias("n"))
 
@@ -73,7 +90,9 @@ def review_split(fields: DataFrame, specs: DataFrame, notices: DataFrame, for_re
 def curate_notes(notes: Column, evidence: Column) -> Column:
     """Notes worth reading: each once, without those that only repeat the evidence."""
     tight = text.squash(evidence)
-    return F.array_distinct(F.filter(notes, lambda n: (F.trim(n) != "") & ~F.coalesce(text.squash(n).contains(tight) & (tight != ""), F.lit(False))))
+    return F.array_distinct(
+        F.filter(notes, lambda n: (F.trim(n) != "") & ~F.coalesce(text.squash(n).contains(tight) & (tight != ""), F.lit(False)))
+    )
 
 
 def plain_form(c: Column) -> Column:
@@ -139,4 +158,6 @@ def unknown_codes(narrative: Column, assigned: Column) -> Column:
 
 def narrative(disposition: Column, codes: Column) -> Column:
     """The plain account of a verdict, where no model writes one."""
-    return F.when(disposition == "auto", F.lit("No reason against automatic processing.")).otherwise(F.concat(F.lit("Disposition "), disposition, F.lit(": "), F.array_join(codes, ", "), F.lit(".")))
+    return F.when(disposition == "auto", F.lit("No reason against automatic processing.")).otherwise(
+        F.concat(F.lit("Disposition "), disposition, F.lit(": "), F.array_join(codes, ", "), F.lit("."))
+    )

@@ -14,14 +14,28 @@ from .. import vocabulary as v
 def marker_hits(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS) -> DataFrame:
     """(doc_id, event_type, ordinal, weight, definitional) of the markers that a
     text holds; the vocabulary is folded into one expression, not joined."""
-    whens = [F.when(F.col("_n").rlike(text.spaced_pattern(p)), F.struct(F.lit(t).alias("event_type"), F.lit(i).alias("ordinal"), F.lit(w).cast("decimal(4,2)").alias("weight"), F.lit(d).alias("definitional"))) for i, (t, p, w, d) in enumerate(markers)]
+    whens = [
+        F.when(
+            F.col("_n").rlike(text.spaced_pattern(p)),
+            F.struct(
+                F.lit(t).alias("event_type"),
+                F.lit(i).alias("ordinal"),
+                F.lit(w).cast("decimal(4,2)").alias("weight"),
+                F.lit(d).alias("definitional"),
+            ),
+        ) for i, (t, p, w, d) in enumerate(markers)
+    ]
     rows = docs.select("doc_id", text.normalize(F.col(column)).alias("_n"))
     return rows.select("doc_id", F.explode(F.array_compact(F.array(*whens))).alias("h")).select("doc_id", "h.*")
 
 
 def marker_scores(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS) -> DataFrame:
     """Summed weights by event type; a marker counts once however often it occurs."""
-    return marker_hits(docs, column, markers).groupBy("doc_id", "event_type").agg(F.sum("weight").cast("decimal(8,2)").alias("score"), F.min("ordinal").alias("ordinal"))
+    return (
+        marker_hits(docs, column, markers)
+        .groupBy("doc_id", "event_type")
+        .agg(F.sum("weight").cast("decimal(8,2)").alias("score"), F.min("ordinal").alias("ordinal"))
+    )
 
 
 def ranked(normal: Column, markers: list[tuple] = v.MARKERS) -> Column:
@@ -30,14 +44,25 @@ def ranked(normal: Column, markers: list[tuple] = v.MARKERS) -> Column:
     types = list(dict.fromkeys(t for t, *_ in markers))
     hit = lambda p, w: F.when(normal.rlike(text.spaced_pattern(p)), F.lit(w)).otherwise(F.lit(0.0)).cast("decimal(8,2)")
     scores = [reduce(lambda a, b: (a + b).cast("decimal(8,2)"), [hit(p, w) for t, p, w, _ in markers if t == name]) for name in types]
-    items = [F.struct((-score).alias("down"), F.lit(i).alias("ordinal"), F.lit(name).alias("event_type"), score.alias("score")) for i, (name, score) in enumerate(zip(types, scores))]
+    items = [
+        F.struct(
+            (-score).alias("down"),
+            F.lit(i).alias("ordinal"),
+            F.lit(name).alias("event_type"),
+            score.alias("score"),
+        ) for i, (name, score) in enumerate(zip(types, scores))
+    ]
     best = F.array_sort(F.filter(F.array(*items), lambda x: x["score"] > 0))
     return F.transform(best, lambda x: F.struct(x["event_type"].alias("event_type"), x["score"].alias("score")))
 
 
 def hits(normal: Column, markers: list[tuple] = v.MARKERS, most: int = 12) -> Column:
     """The first defining markers that a text in normal form holds."""
-    return F.slice(F.array_compact(F.array(*[F.when(normal.rlike(text.spaced_pattern(p)), F.lit(p)) for _, p, _, defines in markers if defines])), 1, most)
+    return F.slice(
+        F.array_compact(F.array(*[F.when(normal.rlike(text.spaced_pattern(p)), F.lit(p)) for _, p, _, defines in markers if defines])),
+        1,
+        most,
+    )
 
 
 def priors(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS) -> DataFrame:
@@ -49,7 +74,13 @@ def priors(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS) -> Da
     rows = rows.select("doc_id", "_whole", *[ranked(F.col(f"_{name}"), markers).alias(name) for name in normal])
     top = lambda name: F.get(F.col(name), F.lit(0))["event_type"]
     conflict = F.coalesce(top("title") != top("body"), F.lit(False))
-    return rows.select("doc_id", F.col("whole").alias("ranked"), hits(F.col("_whole"), markers).alias("hits"), *[top(name).alias(f"{name}_prior") for name in normal], conflict.alias("conflict"))
+    return rows.select(
+        "doc_id",
+        F.col("whole").alias("ranked"),
+        hits(F.col("_whole"), markers).alias("hits"),
+        *[top(name).alias(f"{name}_prior") for name in normal],
+        conflict.alias("conflict"),
+    )
 
 
 def prior(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS) -> DataFrame:
@@ -64,9 +95,28 @@ def consensus(votes: DataFrame, priors: DataFrame) -> DataFrame:
     usable = votes.where("available and event_type is not null")
     counts = usable.groupBy("doc_id", "event_type").agg(F.count("*").alias("n"), F.min("modality_ord").alias("modality_ord"))
     counts = counts.join(priors.select("doc_id", "prior"), "doc_id", "left")
-    best = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), F.coalesce(F.col("event_type") == F.col("prior"), F.lit(False)).desc(), "modality_ord")
-    won = counts.withColumn("_n", F.row_number().over(best)).withColumn("types", F.count("*").over(Window.partitionBy("doc_id"))).where("_n = 1")
-    out = votes.groupBy("doc_id").agg(F.sum(F.expr("bigint(available)")).alias("n_available")).join(won.select("doc_id", "event_type", "types"), "doc_id", "left").join(priors.select("doc_id", "prior"), "doc_id", "left")
+    best = Window.partitionBy("doc_id").orderBy(
+        F.col("n").desc(),
+        F.coalesce(F.col("event_type") == F.col("prior"), F.lit(False)).desc(),
+        "modality_ord",
+    )
+    won = (
+        counts.withColumn("_n", F.row_number().over(best))
+        .withColumn("types", F.count("*").over(Window.partitionBy("doc_id")))
+        .where("_n = 1")
+    )
+    out = (
+        votes.groupBy("doc_id")
+        .agg(F.sum(F.expr("bigint(available)")).alias("n_available"))
+        .join(won.select("doc_id", "event_type", "types"), "doc_id", "left")
+        .join(priors.select("doc_id", "prior"), "doc_id", "left")
+    )
     unanimous = F.coalesce(F.col("types") == 1, F.lit(False))
     agrees = unanimous | F.col("prior").isNull() | F.coalesce(F.col("prior") == F.col("event_type"), F.lit(False))
-    return out.select("doc_id", F.coalesce("event_type", F.lit("outro")).alias("event_type"), unanimous.alias("unanimous"), agrees.alias("agrees_with_prior"), "n_available")
+    return out.select(
+        "doc_id",
+        F.coalesce("event_type", F.lit("outro")).alias("event_type"),
+        unanimous.alias("unanimous"),
+        agrees.alias("agrees_with_prior"),
+        "n_available",
+    )

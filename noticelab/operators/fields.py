@@ -25,7 +25,12 @@ def match_anchor(pairs: DataFrame, anchors: dict[str, list[str]] = v.ANCHORS) ->
     the anchors' order.  The anchors are literals: no join."""
     label, tight = F.col("_label"), F.col("_tight")
     items = [(f, a) for f, names in anchors.items() for a in names]
-    found = [F.when(label.contains(a) | tight.contains(_squash(a)), F.struct(F.lit(-len(a)).alias("size"), F.lit(i).alias("ordinal"), F.lit(f).alias("field"), F.lit(a).alias("anchor"))) for i, (f, a) in enumerate(items)]
+    found = [
+        F.when(
+            label.contains(a) | tight.contains(_squash(a)),
+            F.struct(F.lit(-len(a)).alias("size"), F.lit(i).alias("ordinal"), F.lit(f).alias("field"), F.lit(a).alias("anchor")),
+        ) for i, (f, a) in enumerate(items)
+    ]
     rows = pairs.withColumn("_label", text.normalize(F.col("label"))).withColumn("_tight", text.squash(F.col("label")))
     rows = rows.withColumn("_best", F.array_min(F.array_compact(F.array(*found))))
     return rows.withColumn("field", F.col("_best.field")).withColumn("anchor", F.col("_best.anchor")).drop("_label", "_tight", "_best")
@@ -51,9 +56,18 @@ def match_anchor_fuzzy(pairs: DataFrame, anchors: dict[str, list[str]] = v.ANCHO
         return pd.DataFrame([best[t] for t in tight], columns=["field", "anchor"])
 
     rows = match_anchor(pairs, anchors)
-    near = rows.where("field is null and label is not null").select("label").distinct().withColumn("_near", nearest(text.squash(F.col("label"))))
+    near = (
+        rows.where("field is null and label is not null")
+        .select("label")
+        .distinct()
+        .withColumn("_near", nearest(text.squash(F.col("label"))))
+    )
     rows = rows.join(near, "label", "left")
-    return rows.withColumn("field", F.coalesce("field", "_near.field")).withColumn("anchor", F.coalesce("anchor", "_near.anchor")).drop("_near")
+    return (
+        rows.withColumn("field", F.coalesce("field", "_near.field"))
+        .withColumn("anchor", F.coalesce("anchor", "_near.anchor"))
+        .drop("_near")
+    )
 
 
 def prose_field(c: Column, field: str) -> Column:
@@ -78,7 +92,12 @@ def locate(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each evidence's (doc_id, evidence_id, evidence, value) best block and quality.
     Normal forms are made once a block and once an evidence, before they meet."""
     tight = lambda n: F.regexp_replace(n, text.SQUASHED, "")
-    asked = evidence.where(F.trim("evidence") != "").select("doc_id", "evidence_id", text.normalize(F.col("evidence")).alias("ne"), text.squash(F.col("value")).alias("sv"))
+    asked = evidence.where(F.trim("evidence") != "").select(
+        "doc_id",
+        "evidence_id",
+        text.normalize(F.col("evidence")).alias("ne"),
+        text.squash(F.col("value")).alias("sv"),
+    )
     asked = asked.withColumn("se", tight(F.col("ne")))
     held = blocks.select("doc_id", "block_order", text.normalize(F.col("text")).alias("nb"))
     held = held.withColumn("sb", tight(F.col("nb")))
@@ -98,7 +117,13 @@ def grounding(evidence: Column, raw: Column, strict: Column) -> Column:
     loose = lambda n: F.translate(n, "0158|", "olsbl")
 
     def decide(e: Column, r: Column, se: Column, sr: Column) -> Column:
-        return F.when(e.isNull() | (se == ""), "absent").when(r.contains(e), "exact").when(sr.contains(se), "normalized").when(~strict & loose(sr).contains(loose(se)), "fuzzy").otherwise("absent")
+        return (
+            F.when(e.isNull() | (se == ""), "absent")
+            .when(r.contains(e), "exact")
+            .when(sr.contains(se), "normalized")
+            .when(~strict & loose(sr).contains(loose(se)), "fuzzy")
+            .otherwise("absent")
+        )
 
     squashed = lambda e, r: text.let(tight(e), lambda se: text.let(tight(r), lambda sr: decide(e, r, se, sr)))
     return text.let(text.normalize(evidence), lambda e: text.let(text.normalize(raw), lambda r: squashed(e, r)))
@@ -137,7 +162,11 @@ def find_evidence(items: DataFrame, docs: DataFrame) -> DataFrame:
     for at in range(0, max(len(wanted), 1), ITEMS):
         block = F.from_json(F.lit(json.dumps(wanted[at : at + ITEMS])), kind)
         got = held.select("doc_id", "r", "sr", F.explode(F.filter(block, lambda x: F.col("lr").contains(x["le"]))).alias("x"))
-        status = F.when(F.col("r").contains(F.col("x.e")), "exact").when(F.col("sr").contains(F.col("x.se")), "normalized").otherwise("fuzzy")
+        status = (
+            F.when(F.col("r").contains(F.col("x.e")), "exact")
+            .when(F.col("sr").contains(F.col("x.se")), "normalized")
+            .otherwise("fuzzy")
+        )
         got = got.select("x.item_id", "doc_id", status.alias("status"))
         found = got if found is None else found.unionByName(got)
     return found
@@ -152,7 +181,12 @@ def repair_date(raw: Column, level: Column, reader_kind: Column) -> Column:
     candidates = F.when(undefined, none).otherwise(F.coalesce(dates.year_candidates(raw), F.when(weak, dates.day_candidates(raw)), none))
     settled = lambda c: F.when(~undefined & (F.size(c) == 0), dates.written_date(raw))
     rule = lambda c, x: F.when(undefined, "stated_undefined").when(F.size(c) > 0, "ambiguous").otherwise(x["rule"])
-    whole = lambda c, x: F.struct(x["value"].alias("value"), rule(c, x).alias("rule"), c.alias("candidates"), F.when(undefined, "stated_undefined").alias("absence_reason"))
+    whole = lambda c, x: F.struct(
+        x["value"].alias("value"),
+        rule(c, x).alias("rule"),
+        c.alias("candidates"),
+        F.when(undefined, "stated_undefined").alias("absence_reason"),
+    )
     return text.let(candidates, lambda c: text.let(settled(c), lambda x: whole(c, x)))
 
 
@@ -162,7 +196,11 @@ def repair_identifier(field: Column, raw: Column) -> Column:
     tight, upper = F.replace(F.upper(plain), F.lit(" "), F.lit("")), F.upper(plain)
     pick = lambda p: F.coalesce(F.nullif(F.regexp_extract(tight, p, 0), F.lit("")), tight)
     currency = F.when((upper == "") | upper.contains("R$") | upper.contains("BRL"), "BRL").otherwise(F.upper(F.trim(raw)))
-    share = F.when(upper.contains("PREFERENC") | upper.contains("PN"), "PN").when(upper.contains("ORDIN") | upper.contains("ON"), "ON").otherwise(plain)
+    share = (
+        F.when(upper.contains("PREFERENC") | upper.contains("PN"), "PN")
+        .when(upper.contains("ORDIN") | upper.contains("ON"), "ON")
+        .otherwise(plain)
+    )
     return (
         F.when(field == "isin", pick(r"[A-Z]{2}[A-Z0-9]{9}\d"))
         .when(field == "ticker", pick(r"[A-Z]{4}\d{1,2}"))
@@ -177,7 +215,11 @@ def order_ratio(event_type: Column, first: Column, second: Column) -> Column:
     """struct(ratio_from, ratio_to, swapped): a grouping goes from more to fewer, other ratios the other way."""
     wrong = event_type.isin(*v.RATIO) & (first != second) & F.when(event_type == "grupamento", first < second).otherwise(first > second)
     wrong = F.coalesce(wrong, F.lit(False))
-    return F.struct(F.when(wrong, second).otherwise(first).alias("ratio_from"), F.when(wrong, first).otherwise(second).alias("ratio_to"), wrong.alias("swapped"))
+    return F.struct(
+        F.when(wrong, second).otherwise(first).alias("ratio_from"),
+        F.when(wrong, first).otherwise(second).alias("ratio_to"),
+        wrong.alias("swapped"),
+    )
 
 
 def derive_ex_date(event_type: Column, ex: Column, start: Column) -> Column:
@@ -187,29 +229,66 @@ def derive_ex_date(event_type: Column, ex: Column, start: Column) -> Column:
 def disambiguate(open_dates: DataFrame, notices: DataFrame, broken: Column) -> DataFrame:
     """Of a date's candidates (doc_id, field, candidates), the only one that
     breaks no rule of chronology in its notice; none or several settle nothing."""
-    rows = open_dates.select("doc_id", "field", F.explode("candidates").alias("candidate")).withColumn("tried", dates.calendar_date(F.col("candidate")))
+    rows = open_dates.select(
+        "doc_id",
+        "field",
+        F.explode("candidates").alias("candidate"),
+    ).withColumn("tried", dates.calendar_date(F.col("candidate")))
     rows = rows.where("tried is not null").join(notices, "doc_id")
     for f in ("approval_date", "com_date", "ex_date", "payment_date"):
         rows = rows.withColumn(f, F.when(F.col("field") == f, F.col("tried")).otherwise(F.col(f)))
     good = rows.where(F.size(broken) == 0).groupBy("doc_id", "field").agg(F.count("*").alias("n"), F.min("tried").alias("value"))
-    return open_dates.select("doc_id", "field").join(good, ["doc_id", "field"], "left").select("doc_id", "field", F.coalesce("n", F.lit(0)).cast("long").alias("n_left"), F.when(F.col("n") == 1, F.col("value")).alias("value"))
+    return (
+        open_dates.select("doc_id", "field")
+        .join(good, ["doc_id", "field"], "left")
+        .select(
+            "doc_id",
+            "field",
+            F.coalesce("n", F.lit(0)).cast("long").alias("n_left"),
+            F.when(F.col("n") == 1, F.col("value")).alias("value"),
+        )
+    )
 
 
 def latest(candidates: DataFrame) -> DataFrame:
     """Of an append log the last row of each (doc_id, field, extractor)."""
     names = [c for c in candidates.columns if c not in ("doc_id", "field", "extractor")]
-    return candidates.groupBy("doc_id", "field", "extractor").agg(F.max_by(F.struct(*names), "seq").alias("x")).select("doc_id", "field", "extractor", "x.*")
+    return (
+        candidates.groupBy("doc_id", "field", "extractor")
+        .agg(F.max_by(F.struct(*names), "seq").alias("x"))
+        .select("doc_id", "field", "extractor", "x.*")
+    )
 
 
 def merge(candidates: DataFrame, extractors: list[str]) -> DataFrame:
     """One value per field: the reading most extractors share (ties in their
     order), with the number of readings, and whether a critical field is disputed."""
     place = F.array_position(F.array(*map(F.lit, extractors)), F.col("extractor"))
-    rows = latest(candidates).where("value_raw is not null").withColumn("key", typed_key(F.col("field"), F.col("value_raw"))).withColumn("place", place)
-    groups = rows.groupBy("doc_id", "field", "key").agg(F.count("*").alias("votes"), F.min("place").alias("place"), F.min_by("value_raw", "place").alias("value_raw"))
+    rows = (
+        latest(candidates)
+        .where("value_raw is not null")
+        .withColumn("key", typed_key(F.col("field"), F.col("value_raw")))
+        .withColumn("place", place)
+    )
+    groups = rows.groupBy("doc_id", "field", "key").agg(
+        F.count("*").alias("votes"),
+        F.min("place").alias("place"),
+        F.min_by("value_raw", "place").alias("value_raw"),
+    )
     best = Window.partitionBy("doc_id", "field").orderBy(F.col("votes").desc(), "place")
-    out = groups.withColumn("_n", F.row_number().over(best)).withColumn("readings", F.count("*").over(Window.partitionBy("doc_id", "field"))).where("_n = 1")
-    return out.select("doc_id", "field", "value_raw", "votes", "readings", ((F.col("readings") > 1) & F.col("field").isin(*v.CRITICAL)).alias("disputed"))
+    out = (
+        groups.withColumn("_n", F.row_number().over(best))
+        .withColumn("readings", F.count("*").over(Window.partitionBy("doc_id", "field")))
+        .where("_n = 1")
+    )
+    return out.select(
+        "doc_id",
+        "field",
+        "value_raw",
+        "votes",
+        "readings",
+        ((F.col("readings") > 1) & F.col("field").isin(*v.CRITICAL)).alias("disputed"),
+    )
 
 
 def ratio_pair_agrees(candidates: DataFrame) -> DataFrame:
@@ -217,14 +296,25 @@ def ratio_pair_agrees(candidates: DataFrame) -> DataFrame:
     order; null if one lacks a half or there is one extractor only."""
     rows = latest(candidates).where(F.col("field").isin("ratio_from", "ratio_to"))
     pairs = rows.groupBy("doc_id", "extractor").agg(F.array_sort(F.collect_list(numbers.first_int(F.col("value_raw")))).alias("pair"))
-    out = pairs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.size("pair")).alias("least"), F.size(F.collect_set("pair")).alias("different"))
+    out = pairs.groupBy("doc_id").agg(
+        F.count("*").alias("n"),
+        F.min(F.size("pair")).alias("least"),
+        F.size(F.collect_set("pair")).alias("different"),
+    )
     return out.select("doc_id", F.when((F.col("n") >= 2) & (F.col("least") == 2), F.col("different") == 1).alias("agrees"))
 
 
 def missing_fields(fields: DataFrame, notices: DataFrame, specs: DataFrame) -> DataFrame:
     """Fields of a type's contract without a row, or null for no stated reason."""
-    settled = fields.where(F.col("value").isNotNull() | ~F.coalesce("absence_reason", F.lit("not_found")).isin("not_found")).select("doc_id", "field")
-    return notices.select("doc_id", "event_type").join(F.broadcast(specs), "event_type").select("doc_id", "field", "required").join(settled, ["doc_id", "field"], "left_anti")
+    settled = fields.where(
+        F.col("value").isNotNull() | ~F.coalesce("absence_reason", F.lit("not_found")).isin("not_found")
+    ).select("doc_id", "field")
+    return (
+        notices.select("doc_id", "event_type")
+        .join(F.broadcast(specs), "event_type")
+        .select("doc_id", "field", "required")
+        .join(settled, ["doc_id", "field"], "left_anti")
+    )
 
 
 def fill_contract(fields: DataFrame, documents: DataFrame, specs: DataFrame) -> DataFrame:
@@ -234,7 +324,9 @@ def fill_contract(fields: DataFrame, documents: DataFrame, specs: DataFrame) ->
     contract = documents.select("doc_id", "event_type").join(F.broadcast(specs.select("event_type", "field")), "event_type")
     lost = contract.join(fields.select("doc_id", "field"), ["doc_id", "field"], "left_anti")
     empty = {"value": F.lit(None).cast("string"), "absence_reason": F.lit("not_found"), "candidates": F.array().cast("array<string>")}
-    return fields.select("doc_id", "event_type", "field", *empty).unionByName(lost.select("doc_id", "event_type", "field", *[c.alias(n) for n, c in empty.items()]))
+    return fields.select("doc_id", "event_type", "field", *empty).unionByName(
+        lost.select("doc_id", "event_type", "field", *[c.alias(n) for n, c in empty.items()])
+    )
 
 
 def overlay(fields: DataFrame, recovered: DataFrame) -> DataFrame:
@@ -270,13 +362,21 @@ def grounding_factor(status: Column) -> Column:
 
 def uncorroborated(fields: DataFrame) -> DataFrame:
     """Values that one mechanism alone has read, from pixels."""
-    return fields.where(F.col("value").isNotNull() & (F.size("kinds") == 1) & F.get("kinds", F.lit(0)).isin(*v.PIXEL_KINDS)).select("doc_id", "field")
+    return fields.where(
+        F.col("value").isNotNull() & (F.size("kinds") == 1) & F.get("kinds", F.lit(0)).isin(*v.PIXEL_KINDS)
+    ).select("doc_id", "field")
 
 
 def kinds_holding(value: Column, reads: Column) -> Column:
     """The mechanisms (keys of a map of texts) whose text holds a value, strongest first."""
     order = F.array(*map(F.lit, v.KINDS))
-    return F.filter(order, lambda k: F.coalesce(text.squash(F.get(F.map_values(F.map_filter(reads, lambda a, _: a == k)), F.lit(0))).contains(text.squash(value)), F.lit(False)) & (text.squash(value) != ""))
+    return F.filter(
+        order,
+        lambda k: F.coalesce(
+            text.squash(F.get(F.map_values(F.map_filter(reads, lambda a, _: a == k)), F.lit(0))).contains(text.squash(value)),
+            F.lit(False),
+        ) & (text.squash(value) != ""),
+    )
 
 
 def sweep_accept(returned: DataFrame, asked: DataFrame, reads: DataFrame, level_of) -> DataFrame:
@@ -289,7 +389,11 @@ def sweep_accept(returned: DataFrame, asked: DataFrame, reads: DataFrame, level_
 
 def sweep_confirm(returned: DataFrame, fields: DataFrame, reads: DataFrame) -> DataFrame:
     """Mechanisms added to fields whose value came back the same; none is ever taken away."""
-    rows = fields.join(returned.withColumnRenamed("value", "again"), ["doc_id", "field"]).where(same_value(F.col("value"), F.col("again"))).join(reads, "doc_id")
+    rows = (
+        fields.join(returned.withColumnRenamed("value", "again"), ["doc_id", "field"])
+        .where(same_value(F.col("value"), F.col("again")))
+        .join(reads, "doc_id")
+    )
     both = F.array_union("kinds", kinds_holding(F.col("value"), F.col("reads")))
     order = F.array(*map(F.lit, v.KINDS))
     return rows.select("doc_id", "field", F.filter(order, lambda k: F.array_contains(both, k)).alias("kinds"))
@@ -297,7 +401,14 @@ def sweep_confirm(returned: DataFrame, fields: DataFrame, reads: DataFrame) -> D
 
 def golden_status(field: Column, has_lookup: Column, agreeing: Column, row_found: Column, same: Column) -> Column:
     """How a field stands to the reference base."""
-    return F.when(~field.isin("isin", "ticker", "cnpj", "issuer"), "nao_aplicavel").when(~has_lookup, "ausente").when(F.array_contains(agreeing, field), "confere").when(~row_found, "ausente").when(~same, "diverge").otherwise("confere")
+    return (
+        F.when(~field.isin("isin", "ticker", "cnpj", "issuer"), "nao_aplicavel")
+        .when(~has_lookup, "ausente")
+        .when(F.array_contains(agreeing, field), "confere")
+        .when(~row_found, "ausente")
+        .when(~same, "diverge")
+        .otherwise("confere")
+    )
 
 
 def field_status(value: Column, grounded: Column, review: Column) -> Column:

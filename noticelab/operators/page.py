@@ -28,7 +28,10 @@ def visual_rows(blocks: DataFrame) -> DataFrame:
     """Blocks of one height joined: texts from left to right, the box around them, the weakest level."""
     keys = [*PAGE, "reader"]
     level = [F.col("level")] if "level" in blocks.columns else [F.lit(None).cast("string").alias("level")]
-    placed = reading.cluster_rows(blocks).join(blocks.select(*keys, "block_order", "kind", "text", "x0", "y0", "x1", "y1", *level), [*keys, "block_order"])
+    placed = reading.cluster_rows(blocks).join(
+        blocks.select(*keys, "block_order", "kind", "text", "x0", "y0", "x1", "y1", *level),
+        [*keys, "block_order"],
+    )
     rows = placed.groupBy(*keys, "kind", "row_index").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "text"))), lambda x: x["text"]), " ").alias("text"),
         reading.weakest(F.col("level")).alias("level"),
@@ -49,7 +52,10 @@ def page_consensus(blocks: DataFrame) -> DataFrame:
     sides = ("x0", "y0", "x1", "y1")
     rows = rows.withColumn("box", F.struct(*sides))
     own = rows.join(reference, [*PAGE, "reader"]).select(*PAGE, F.col("block_order").alias("region_id"), "reader", "kind", "text", "box")
-    match = reading.spatial_match(rows, list(READERS)).join(rows.select(*PAGE, "reader", "block_order", "kind", "text", "box"), [*PAGE, "reader", "block_order"])
+    match = reading.spatial_match(rows, list(READERS)).join(
+        rows.select(*PAGE, "reader", "block_order", "kind", "text", "box"),
+        [*PAGE, "reader", "block_order"],
+    )
     seen = own.unionByName(match.select(*PAGE, F.col("anchor").alias("region_id"), "reader", "kind", "text", "box"))
     seen = seen.withColumn("seq", F.array_position(F.array(*map(F.lit, READERS)), F.col("reader")))
     # a region is a row of a page
@@ -61,7 +67,16 @@ def page_consensus(blocks: DataFrame) -> DataFrame:
     same = numbers.row_overlap(F.col("box"), F.col("_box")) >= reading.SAME_ROW
     fine = voted.join(fine, [*PAGE, "reader"]).where(same)
     bare = voted.join(fine.select(*PAGE, "region_id").distinct(), [*PAGE, "region_id"], "left_anti")
-    columns = lambda df, t, b, order, own: df.select(*PAGE, "region_id", "reader", F.col(t).alias("text"), *[F.col(f"{b}.{c}").alias(c) for c in sides], *kept, order.alias("_order"), *own)
+    columns = lambda df, t, b, order, own: df.select(
+        *PAGE,
+        "region_id",
+        "reader",
+        F.col(t).alias("text"),
+        *[F.col(f"{b}.{c}").alias(c) for c in sides],
+        *kept,
+        order.alias("_order"),
+        *own,
+    )
     missing = [F.lit(None).cast(usable.schema[c].dataType).alias(c) for c in cells]
     both = columns(fine, "_text", "_box", F.col("block_order"), cells).unionByName(columns(bare, "text", "box", F.lit(0), missing))
     order = Window.partitionBy(*PAGE).orderBy("region_id", "_order", "x0", "text")
@@ -90,7 +105,11 @@ def reader_notes(readers: DataFrame) -> DataFrame:
 def documents(blocks: DataFrame) -> DataFrame:
     """Each document's text in reading order, and whether any part of it was read weakly."""
     items = F.array_sort(F.collect_list(F.struct("page", "block_order", "text")))
-    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(items, lambda x: x["text"]), "\n").alias("raw"), F.max(F.col("level") == "baixa").alias("escalated"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds_seen"))
+    return blocks.groupBy("doc_id").agg(
+        F.array_join(F.transform(items, lambda x: x["text"]), "\n").alias("raw"),
+        F.max(F.col("level") == "baixa").alias("escalated"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds_seen"),
+    )
 
 
 def coverage(blocks: DataFrame) -> DataFrame:

@@ -18,7 +18,10 @@ def level_of(kinds: Column) -> Column:
     """The level of a set of mechanisms that agree."""
     kinds = F.array_distinct(kinds)
     many = F.size(kinds) >= 2
-    return F.when(F.array_contains(kinds, "text_layer"), F.when(many, "muito_alta").otherwise("alta")).otherwise(F.when(many, "media").otherwise("baixa"))
+    return F.when(
+        F.array_contains(kinds, "text_layer"),
+        F.when(many, "muito_alta").otherwise("alta"),
+    ).otherwise(F.when(many, "media").otherwise("baixa"))
 
 
 def rank_of(level: Column) -> Column:
@@ -70,7 +73,12 @@ def resolve(readings: DataFrame) -> DataFrame:
     rows = rows.withColumn("all", F.array_sort(F.collect_list(F.struct("seq", "reader", "text", "flaws")).over(region)))
     alive = rows.where("flawed = 0 or n_flawed = n").withColumn("key", text.vote_key(F.col("text")))
     best = F.min_by(F.struct("text", "reader", "kind", *box), F.struct(error_of(F.col("kind")), F.col("seq")))
-    groups = alive.groupBy("doc_id", "region_id", "key", "n", "n_flawed").agg(F.collect_set("kind").alias("kinds"), F.min("seq").alias("seq"), best.alias("best"), F.any_value("all").alias("all"))
+    groups = alive.groupBy("doc_id", "region_id", "key", "n", "n_flawed").agg(
+        F.collect_set("kind").alias("kinds"),
+        F.min("seq").alias("seq"),
+        best.alias("best"),
+        F.any_value("all").alias("all"),
+    )
     groups = groups.withColumn("level", level_of(F.col("kinds")))
     won = groups.withColumn("_n", F.row_number().over(region.orderBy(rank_of(F.col("level")), "seq"))).where("_n = 1")
     all_flawed = F.col("n_flawed") == F.col("n")
@@ -111,10 +119,20 @@ def spatial_match(rows: DataFrame, order: list[str]) -> DataFrame:
     box = F.struct("x0", "y0", "x1", "y1")
     reference = reference_reader(rows, order)
     left = rows.join(reference, ["doc_id", "page", "reader"]).select("doc_id", "page", F.col("block_order").alias("anchor"), box.alias("a"))
-    right = rows.join(reference, ["doc_id", "page", "reader"], "left_anti").select("doc_id", "page", "reader", "block_order", box.alias("b"))
+    right = rows.join(reference, ["doc_id", "page", "reader"], "left_anti").select(
+        "doc_id",
+        "page",
+        "reader",
+        "block_order",
+        box.alias("b"),
+    )
     pairs = left.join(right, ["doc_id", "page"]).withColumn("overlap", numbers.overlap("a", "b")).where(F.col("overlap") >= OVERLAP)
     best = Window.partitionBy("doc_id", "page", "anchor", "reader").orderBy(F.col("overlap").desc(), "b.y0", "b.x0", "block_order")
-    return pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("doc_id", "page", "anchor", "reader", "block_order", "overlap")
+    return (
+        pairs.withColumn("_n", F.row_number().over(best))
+        .where("_n = 1")
+        .select("doc_id", "page", "anchor", "reader", "block_order", "overlap")
+    )
 
 
 def lend_geometry(cells: DataFrame) -> DataFrame:
@@ -124,12 +142,37 @@ def lend_geometry(cells: DataFrame) -> DataFrame:
     keys = ["doc_id", "page"]
     rows = cells.join(grid_shape(cells), [*keys, "reader"]).withColumn("box", F.struct("x0", "y0", "x1", "y1"))
     asks = rows.where("pending").select(*keys, "row", "col", "n_rows", "n_cols", F.col("reader").alias("asker"), F.col("box").alias("a"))
-    gives = rows.where("not pending").select(*keys, "row", "col", "n_rows", "n_cols", F.col("reader").alias("lender"), "reader_ord", F.col("box").alias("b"))
-    offers = asks.join(gives, [*keys, "row", "col", "n_rows", "n_cols"]).where("asker <> lender").where(numbers.overlap("a", "b") >= OVERLAP)
+    gives = rows.where("not pending").select(
+        *keys,
+        "row",
+        "col",
+        "n_rows",
+        "n_cols",
+        F.col("reader").alias("lender"),
+        "reader_ord",
+        F.col("box").alias("b"),
+    )
+    offers = (
+        asks.join(gives, [*keys, "row", "col", "n_rows", "n_cols"])
+        .where("asker <> lender")
+        .where(numbers.overlap("a", "b") >= OVERLAP)
+    )
     donor = Window.partitionBy(*keys, "asker").orderBy("reader_ord")
-    lent = offers.withColumn("_n", F.dense_rank().over(donor)).where("_n = 1").select(*keys, F.col("asker").alias("reader"), "row", "col", F.col("b").alias("lent"))
+    lent = (
+        offers.withColumn("_n", F.dense_rank().over(donor))
+        .where("_n = 1")
+        .select(*keys, F.col("asker").alias("reader"), "row", "col", F.col("b").alias("lent"))
+    )
     out = rows.join(lent, [*keys, "reader", "row", "col"], "left")
-    return out.select(*keys, "reader", "row", "col", F.coalesce("lent", "box").alias("box"), (F.col("pending") & F.col("lent").isNull()).alias("pending"), F.col("lent").isNotNull().alias("was_lent"))
+    return out.select(
+        *keys,
+        "reader",
+        "row",
+        "col",
+        F.coalesce("lent", "box").alias("box"),
+        (F.col("pending") & F.col("lent").isNull()).alias("pending"),
+        F.col("lent").isNotNull().alias("was_lent"),
+    )
 
 
 def cluster_rows(blocks: DataFrame, chained: bool = False) -> DataFrame:
@@ -149,7 +192,13 @@ def cluster_rows(blocks: DataFrame, chained: bool = False) -> DataFrame:
         at = F.array_min(near)
         own = F.struct(b["x0"].cast("double").alias("x0"), b["block_order"].cast("int").alias("block_order"))
         here = F.struct(b["y0"].cast("double").alias("y0"), b["y1"].cast("double").alias("y1"))
-        joined = F.transform(rows, lambda r, i: F.when(i == at, F.struct((here if chained else r["seed"]).alias("seed"), F.concat(r["members"], F.array(own)).alias("members"))).otherwise(r))
+        joined = F.transform(
+            rows,
+            lambda r, i: F.when(
+                i == at,
+                F.struct((here if chained else r["seed"]).alias("seed"), F.concat(r["members"], F.array(own)).alias("members")),
+            ).otherwise(r),
+        )
         return F.when(at.isNull(), F.concat(rows, F.array(F.struct(here.alias("seed"), F.array(own).alias("members"))))).otherwise(joined)
 
     folded = pages.select(*keys, F.aggregate("items", F.array().cast(kind), step).alias("rows"))
@@ -163,7 +212,12 @@ def table_roles(blocks: DataFrame) -> DataFrame:
     keys = ["doc_id", "page", "reader", "block_order"]
     cell = F.col("n_cols") >= 2
     placed = cluster_rows(blocks, chained=True)
-    return placed.select(*keys, F.when(cell, F.lit("table_cell")).alias("role"), F.when(cell, F.col("row_index")).alias("row"), F.when(cell, F.col("col_index")).alias("col"))
+    return placed.select(
+        *keys,
+        F.when(cell, F.lit("table_cell")).alias("role"),
+        F.when(cell, F.col("row_index")).alias("row"),
+        F.when(cell, F.col("col_index")).alias("col"),
+    )
 
 
 def grid_shape(cells: DataFrame) -> DataFrame:
@@ -184,11 +238,29 @@ def split_fused(blocks: DataFrame) -> DataFrame:
     share = F.length(parts[0]) / F.greatest(F.length(parts[0]) + F.length(parts[1]), F.lit(1))
     cut = F.col("x0") + (F.col("x1") - F.col("x0")) * share
     piece = lambda t, a, b, k: F.struct(t.alias("text"), a.alias("x0"), b.alias("x1"), F.lit(k).alias("piece"))
-    pieces = F.when(parts.isNotNull(), F.array(piece(parts[0], F.col("x0"), cut, 0), piece(parts[1], cut, F.col("x1"), 1))).otherwise(F.array(piece(F.col("text"), F.col("x0"), F.col("x1"), 0)))
-    return blocks.withColumn("p", F.explode(pieces)).select("doc_id", "page", "reader", "block_order", "p.piece", "p.text", "p.x0", "y0", "p.x1", "y1")
+    pieces = F.when(
+        parts.isNotNull(),
+        F.array(piece(parts[0], F.col("x0"), cut, 0), piece(parts[1], cut, F.col("x1"), 1)),
+    ).otherwise(F.array(piece(F.col("text"), F.col("x0"), F.col("x1"), 0)))
+    return blocks.withColumn("p", F.explode(pieces)).select(
+        "doc_id",
+        "page",
+        "reader",
+        "block_order",
+        "p.piece",
+        "p.text",
+        "p.x0",
+        "y0",
+        "p.x1",
+        "y1",
+    )
 
 
 def reads_by_kind(blocks: DataFrame) -> DataFrame:
     """The text of each mechanism, in reading order, blank texts left out."""
-    rows = blocks.where(F.trim("text") != "").groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list(F.struct("page", "block_order", "text"))).alias("items"))
+    rows = (
+        blocks.where(F.trim("text") != "")
+        .groupBy("doc_id", "kind")
+        .agg(F.array_sort(F.collect_list(F.struct("page", "block_order", "text"))).alias("items"))
+    )
     return rows.select("doc_id", "kind", F.array_join(F.transform("items", lambda x: x["text"]), "\n").alias("text"))

@@ -36,10 +36,19 @@ def dedupe(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def disposition(reasons: DataFrame, documents: DataFrame) -> DataFrame:
     """The worst severity decides: blocked, review, or auto without any reason."""
-    counts = reasons.groupBy("doc_id").agg(F.count("*").alias("n_reasons"), F.max(F.when(severity(F.col("code")) == "block", 2).otherwise(1)).alias("worst"), F.array_sort(F.collect_set("code")).alias("codes"))
+    counts = reasons.groupBy("doc_id").agg(
+        F.count("*").alias("n_reasons"),
+        F.max(F.when(severity(F.col("code")) == "block", 2).otherwise(1)).alias("worst"),
+        F.array_sort(F.collect_set("code")).alias("codes"),
+    )
     rows = documents.select("doc_id").distinct().join(counts, "doc_id", "left")
     verdict = F.when(F.col("worst") == 2, "blocked").when(F.col("worst") == 1, "review").otherwise("auto")
-    return rows.select("doc_id", verdict.alias("disposition"), F.coalesce("n_reasons", F.lit(0)).cast("long").alias("n_reasons"), F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
+    return rows.select(
+        "doc_id",
+        verdict.alias("disposition"),
+        F.coalesce("n_reasons", F.lit(0)).cast("long").alias("n_reasons"),
+        F.coalesce("codes", F.array().cast("array<string>")).alias("codes"),
+    )
 
 
 def field_reasons(fields: DataFrame) -> DataFrame:
@@ -52,14 +61,19 @@ def field_reasons(fields: DataFrame) -> DataFrame:
         .when((F.coalesce("absence_reason", F.lit("not_found")) != "not_applicable") & ~F.col("required"), "FIELD_NOT_FOUND")
     )
     alone = (F.size("kinds") == 1) & (F.size(F.array_except("kinds", F.array(*map(F.lit, v.PIXEL_KINDS)))) == 0)
-    present = F.when((F.col("grounding") == "absent") & F.col("field").isin(*v.CRITICAL), "UNGROUNDED_CRITICAL_FIELD").when(alone, "NO_CORROBORATION")
+    present = F.when(
+        (F.col("grounding") == "absent") & F.col("field").isin(*v.CRITICAL),
+        "UNGROUNDED_CRITICAL_FIELD",
+    ).when(alone, "NO_CORROBORATION")
     code = F.when(F.col("value").isNull(), missing).otherwise(present)
     return fields.select("doc_id", "field", code.alias("code")).where("code is not null")
 
 
 def for_review(reasons: DataFrame, fields: DataFrame) -> DataFrame:
     """(doc_id, for_review): sorted fields that a reason names or whose value nobody found."""
-    lost = fields.where(F.col("value").isNull() & (F.coalesce("absence_reason", F.lit("not_found")) != "not_applicable")).select("doc_id", "field")
+    lost = fields.where(
+        F.col("value").isNull() & (F.coalesce("absence_reason", F.lit("not_found")) != "not_applicable")
+    ).select("doc_id", "field")
     named = reasons.where("field is not null").select("doc_id", "field").unionByName(lost)
     return named.groupBy("doc_id").agg(F.array_sort(F.collect_set("field")).alias("for_review"))
 
@@ -69,7 +83,9 @@ def weakest_critical(fields: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, v.LADDER)), F.col("level"))
     held = F.col("value").isNotNull() & F.col("field").isin(*v.CRITICAL)
     lowest = F.max(F.when(held & (place > 0), place))
-    return fields.groupBy("doc_id").agg(F.coalesce(F.get(F.array(*map(F.lit, v.LADDER)), (lowest - 1).cast("int")), F.lit("baixa")).alias("weakest_level"))
+    return fields.groupBy("doc_id").agg(
+        F.coalesce(F.get(F.array(*map(F.lit, v.LADDER)), (lowest - 1).cast("int")), F.lit("baixa")).alias("weakest_level")
+    )
 
 
 def failed(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -85,7 +101,11 @@ def per_document(verdicts: DataFrame, reasons: DataFrame) -> DataFrame:
     counts = reasons.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
     ranked = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))).alias("codes"))
     rows = verdicts.select("doc_id", "disposition").join(ranked, "doc_id", "left")
-    return rows.select("doc_id", "disposition", F.coalesce(F.transform("codes", lambda x: x["code"]), F.array().cast("array<string>")).alias("codes"))
+    return rows.select(
+        "doc_id",
+        "disposition",
+        F.coalesce(F.transform("codes", lambda x: x["code"]), F.array().cast("array<string>")).alias("codes"),
+    )
 
 
 def report_order(verdicts: DataFrame) -> list[Column]:
@@ -104,7 +124,12 @@ def summary(verdicts: DataFrame) -> DataFrame:
     count = lambda d: F.sum(F.expr(f"bigint(disposition = '{d}')"))
     total = F.greatest(F.count("*"), F.lit(1))
     rate = F.round(F.coalesce(count("auto"), F.lit(0)) / total, 4).cast("decimal(6,4)")
-    return verdicts.agg(F.count("*").alias("total"), *[F.coalesce(count(d), F.lit(0)).alias(f"n_{d}") for d in ("auto", "review", "blocked")], rate.alias("stp_rate"), (F.lit(1) - rate).cast("decimal(6,4)").alias("exception_rate"))
+    return verdicts.agg(
+        F.count("*").alias("total"),
+        *[F.coalesce(count(d), F.lit(0)).alias(f"n_{d}") for d in ("auto", "review", "blocked")],
+        rate.alias("stp_rate"),
+        (F.lit(1) - rate).cast("decimal(6,4)").alias("exception_rate"),
+    )
 
 
 def histogram(reasons: DataFrame, *by: str) -> DataFrame:

@@ -38,19 +38,48 @@ def lookup(notices: DataFrame, golden: DataFrame) -> DataFrame:
 
     Both sides are unpivoted to (key, value), so that it is one equi-join."""
     keys = {"isin": ("isin", "isin"), "ticker": ("ticker", "ticker"), "cnpj": ("cnpj", "cnpj"), "issuer": ("issuer", "emissor")}
-    pairs = lambda side: F.explode(F.array(*[F.struct(F.lit(k).alias("key"), text.normalize(F.col(names[side])).alias("value")) for k, names in keys.items()])).alias("kv")
-    base = golden.select("row_idx", pairs(1)).select("row_idx", "kv.*").where("value <> ''").groupBy("key", "value").agg(F.min("row_idx").alias("row_idx"))
+    pairs = lambda side: F.explode(
+        F.array(*[F.struct(F.lit(k).alias("key"), text.normalize(F.col(names[side])).alias("value")) for k, names in keys.items()])
+    ).alias("kv")
+    base = (
+        golden.select("row_idx", pairs(1))
+        .select("row_idx", "kv.*")
+        .where("value <> ''")
+        .groupBy("key", "value")
+        .agg(F.min("row_idx").alias("row_idx"))
+    )
     asked = notices.select("doc_id", pairs(0)).select("doc_id", "kv.*").where("value <> ''")
     hits = asked.join(base, ["key", "value"]).groupBy("doc_id", "row_idx").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     best = hits.groupBy("doc_id").agg(
         F.max_by(F.struct("row_idx", "keys"), F.struct(F.size("keys"), -F.col("row_idx"))).alias("best"), F.array_sort(F.flatten(F.collect_list("keys"))).alias("matched")
     )
     rows = notices.join(best, "doc_id", "left").withColumn("best_row", F.col("best.row_idx"))
-    rows = rows.join(golden.select(F.col("row_idx").alias("best_row"), *[F.col(c).alias(f"g_{c}") for c in ("isin", "ticker", "cnpj", "classe", "status")]), "best_row", "left")
+    rows = rows.join(
+        golden.select(
+            F.col("row_idx").alias("best_row"),
+            *[F.col(c).alias(f"g_{c}") for c in ("isin", "ticker", "cnpj", "classe", "status")],
+        ),
+        "best_row",
+        "left",
+    )
     agreeing = F.col("best.keys")
     conflicting = F.array_except("matched", agreeing)
-    differs = lambda a, b: F.coalesce((F.col(a) != "") & (text.normalize(F.col(a)) != F.coalesce(text.normalize(F.col(b)), F.lit(""))), F.lit(False))
-    mismatched = F.array_compact(F.array(*[F.when(differs(a, f"g_{b}"), F.lit(a)) for a, b in (("share_class", "classe"), ("isin", "isin"), ("ticker", "ticker"), ("cnpj", "cnpj"))]))
+    differs = lambda a, b: F.coalesce(
+        (F.col(a) != "") & (text.normalize(F.col(a)) != F.coalesce(text.normalize(F.col(b)), F.lit(""))),
+        F.lit(False),
+    )
+    mismatched = F.array_compact(
+        F.array(
+            *[
+                F.when(differs(a, f"g_{b}"), F.lit(a)) for a, b in (
+                    ("share_class", "classe"),
+                    ("isin", "isin"),
+                    ("ticker", "ticker"),
+                    ("cnpj", "cnpj"),
+                )
+            ]
+        )
+    )
     outcome = (
         F.when(F.col("best").isNull(), "NOT_FOUND")
         .when(F.size(conflicting) > 0, "KEY_CONFLICT")
@@ -60,7 +89,14 @@ def lookup(notices: DataFrame, golden: DataFrame) -> DataFrame:
         .otherwise("MATCH")
     )
     empty = F.array().cast("array<string>")
-    return rows.select("doc_id", outcome.alias("outcome"), F.col("best_row").alias("row_idx"), F.coalesce(agreeing, empty).alias("agreeing"), F.coalesce(conflicting, empty).alias("conflicting"), F.when(outcome == "MISMATCH", mismatched).otherwise(empty).alias("mismatched"))
+    return rows.select(
+        "doc_id",
+        outcome.alias("outcome"),
+        F.col("best_row").alias("row_idx"),
+        F.coalesce(agreeing, empty).alias("agreeing"),
+        F.coalesce(conflicting, empty).alias("conflicting"),
+        F.when(outcome == "MISMATCH", mismatched).otherwise(empty).alias("mismatched"),
+    )
 
 
 def _golden_record() -> Column:
@@ -82,14 +118,24 @@ def date_rules(window_days: int = 2 * 365, as_of: str = "2024-01-01") -> Column:
         ("com_after_payment", col("com_date") > col("payment_date"), ("com_date", "payment_date")),
     ]
     broken = [F.when(bad, F.lit(name)) for name, bad, _ in rules]
-    far = [F.when(F.abs(F.datediff(col(f), F.lit(as_of).cast("date"))) > window_days, F.lit(f"window:{f}")) for f in ("approval_date", "com_date", "ex_date", "payment_date")]
+    far = [
+        F.when(
+            F.abs(F.datediff(col(f), F.lit(as_of).cast("date"))) > window_days,
+            F.lit(f"window:{f}"),
+        ) for f in ("approval_date", "com_date", "ex_date", "payment_date")
+    ]
     return F.array_compact(F.array(*broken, *far))
 
 
 def _date_coherence(window_days: int = 2 * 365, as_of: str = "2024-01-01") -> Column:
     def found(broken: Column) -> Column:
         bad = F.size(broken) > 0
-        return _struct("check_date_coherence", F.when(bad, "fail").otherwise("pass"), _texts(F.when(bad, F.lit("DATE_INCOHERENCE"))), _names("approval_date", "com_date", "ex_date", "payment_date"))
+        return _struct(
+            "check_date_coherence",
+            F.when(bad, "fail").otherwise("pass"),
+            _texts(F.when(bad, F.lit("DATE_INCOHERENCE"))),
+            _names("approval_date", "com_date", "ex_date", "payment_date"),
+        )
 
     return text.let(date_rules(window_days, as_of), found)
 
@@ -102,7 +148,12 @@ def amount_finding() -> Column:
     """Whether net = gross less tax, as a finding of one row."""
     good = numbers.net_matches(F.col("gross_per_share"), F.col("tax_rate"), F.col("net_per_share"))
     status = F.when(good.isNull(), "info").when(good, "pass").otherwise("fail")
-    return _struct("check_amount_coherence", status, _texts(F.when(~good, F.lit("AMOUNT_MISMATCH"))), _names("gross_per_share", "tax_rate", "net_per_share"))
+    return _struct(
+        "check_amount_coherence",
+        status,
+        _texts(F.when(~good, F.lit("AMOUNT_MISMATCH"))),
+        _names("gross_per_share", "tax_rate", "net_per_share"),
+    )
 
 
 def amount_coherence(notices: DataFrame) -> DataFrame:
@@ -112,7 +163,12 @@ def amount_coherence(notices: DataFrame) -> DataFrame:
 def _event_type_consistency() -> Column:
     title = F.when(F.col("title_prior") != F.col("body_prior"), F.lit("EVENT_TYPE_TITLE_CONFLICT"))
     body = F.when(F.col("body_prior") != F.col("event_type"), F.lit("CLASSIFIER_DISAGREEMENT"))
-    return _struct("check_event_type_consistency", F.when(title.isNotNull() | body.isNotNull(), "warn").otherwise("pass"), _texts(title, body), _names("event_type"))
+    return _struct(
+        "check_event_type_consistency",
+        F.when(title.isNotNull() | body.isNotNull(), "warn").otherwise("pass"),
+        _texts(title, body),
+        _names("event_type"),
+    )
 
 
 def event_type_consistency(notices: DataFrame) -> DataFrame:
@@ -123,7 +179,13 @@ def identifier_checks(notices: DataFrame) -> DataFrame:
     """Form and check digits of the identifiers, and the class that the ticker's number stands for."""
     suffix = F.regexp_extract(F.col("ticker"), r"^[A-Z]{4}(\d{1,2})$", 1)
     named = F.coalesce(*[F.when(suffix == k, F.lit(x)) for k, x in v.TICKER_CLASSES.items()])
-    return notices.select("doc_id", numbers.isin_ok(F.col("isin")).alias("isin_ok"), numbers.cnpj_ok(F.col("cnpj")).alias("cnpj_ok"), named.alias("ticker_class"), (named == F.col("share_class")).alias("class_agrees"))
+    return notices.select(
+        "doc_id",
+        numbers.isin_ok(F.col("isin")).alias("isin_ok"),
+        numbers.cnpj_ok(F.col("cnpj")).alias("cnpj_ok"),
+        named.alias("ticker_class"),
+        (named == F.col("share_class")).alias("class_agrees"),
+    )
 
 
 def _identifier_format() -> Column:
@@ -138,17 +200,33 @@ def missing_required(fields: DataFrame, specs: DataFrame) -> DataFrame:
     """(doc_id, missing) for every document of fields (doc_id, event_type,
     field, value, absence_reason, candidates): required fields that are neither
     present nor excused by a declared absence or open candidates."""
-    known = fields.select("doc_id", F.when(F.col("event_type").isin(*v.EVENT_TYPES), F.col("event_type")).otherwise("outro").alias("event_type")).distinct()
+    known = fields.select(
+        "doc_id",
+        F.when(F.col("event_type").isin(*v.EVENT_TYPES), F.col("event_type")).otherwise("outro").alias("event_type"),
+    ).distinct()
     excused = F.col("absence_reason").isin("stated_undefined", "not_applicable") | (F.size("candidates") > 0)
     settled = fields.where(F.col("value").isNotNull() | F.coalesce(excused, F.lit(False))).select("doc_id", "field")
     wanted = known.join(F.broadcast(specs.where("required")), "event_type").select("doc_id", "field")
-    lacking = wanted.join(settled, ["doc_id", "field"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("field")).alias("missing"))
-    return known.select("doc_id").join(lacking, "doc_id", "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+    lacking = (
+        wanted.join(settled, ["doc_id", "field"], "left_anti")
+        .groupBy("doc_id")
+        .agg(F.array_sort(F.collect_set("field")).alias("missing"))
+    )
+    return (
+        known.select("doc_id")
+        .join(lacking, "doc_id", "left")
+        .withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+    )
 
 
 def _required_fields(missing: Column) -> Column:
     bad = F.size(missing) > 0
-    return _struct("check_required_fields", F.when(bad, "fail").otherwise("pass"), _texts(F.when(bad, F.lit("MISSING_REQUIRED_FIELD"))), missing)
+    return _struct(
+        "check_required_fields",
+        F.when(bad, "fail").otherwise("pass"),
+        _texts(F.when(bad, F.lit("MISSING_REQUIRED_FIELD"))),
+        missing,
+    )
 
 
 def required_fields(fields: DataFrame, specs: DataFrame) -> DataFrame:
@@ -173,12 +251,32 @@ TOOLS = {
     "check_identifier_format": {"arguments": ["isin", "cnpj", "ticker", "share_class"], "run": identifier_format},
     "check_required_fields": {"arguments": ["event_type", "present", "absent"], "run": required_fields},
 }
-FIELDS = ("issuer", "cnpj", "isin", "ticker", "share_class", "approval_date", "com_date", "ex_date", "payment_date", "gross_per_share", "tax_rate", "net_per_share", "currency", "event_type_label")
+FIELDS = (
+    "issuer",
+    "cnpj",
+    "isin",
+    "ticker",
+    "share_class",
+    "approval_date",
+    "com_date",
+    "ex_date",
+    "payment_date",
+    "gross_per_share",
+    "tax_rate",
+    "net_per_share",
+    "currency",
+    "event_type_label",
+)
 
 
 def as_fields(notices: DataFrame) -> DataFrame:
     """The long form of wide notices: one row per document and field."""
-    items = [F.struct(F.lit(f).alias("field"), (F.col(f).cast("string") if f in notices.columns else F.lit(None).cast("string")).alias("value")) for f in FIELDS]
+    items = [
+        F.struct(
+            F.lit(f).alias("field"),
+            (F.col(f).cast("string") if f in notices.columns else F.lit(None).cast("string")).alias("value"),
+        ) for f in FIELDS
+    ]
     rows = notices.select("doc_id", "event_type", F.explode(F.array(*items)).alias("x")).select("doc_id", "event_type", "x.*")
     return rows.withColumn("absence_reason", F.lit(None).cast("string")).withColumn("candidates", F.array().cast("array<string>"))
 
@@ -199,7 +297,14 @@ def run_all(notices: DataFrame, golden: DataFrame, specs: DataFrame | dict = v.F
     specs = spec_dict(specs)
     found = lookup(notices, golden).select("doc_id", "outcome", "mismatched")
     rows = notices.join(found, "doc_id")
-    parts = [_golden_record(), _date_coherence(**window), amount_finding(), _event_type_consistency(), _identifier_format(), _required_fields(lacking(notices.columns, specs))]
+    parts = [
+        _golden_record(),
+        _date_coherence(**window),
+        amount_finding(),
+        _event_type_consistency(),
+        _identifier_format(),
+        _required_fields(lacking(notices.columns, specs)),
+    ]
     return rows.select("doc_id", F.posexplode(F.array(*parts)).alias("seq", "x")).select("doc_id", "x.*", "seq")
 
 
@@ -232,4 +337,9 @@ def decode_fields(said: Column) -> Column:
 def declarations() -> dict[str, dict]:
     """A JSON schema for each validator's arguments, as tools are declared to a model."""
     text_ = {"type": "string"}
-    return {name: {"name": name, "parameters": {"type": "object", "properties": {a: text_ for a in tool["arguments"]}}} for name, tool in TOOLS.items()}
+    return {
+        name: {
+            "name": name,
+            "parameters": {"type": "object", "properties": {a: text_ for a in tool["arguments"]}},
+        } for name, tool in TOOLS.items()
+    }

@@ -53,8 +53,29 @@ GOLDEN = {
     "row_idx": "c_custkey", "emissor": "c_name", "cnpj": "lpad(cast(c_custkey as string), 14, '0')", "isin": isin_of("c_custkey"),
     "ticker": "'TK' || lpad(cast(c_custkey as string), 7, '0') || '3'", "classe": "'ON'", "status": "case when c_mktsegment = 'BUILDING' then 'suspenso' else 'ativo' end",
 }
-TITLES = ["'Distribuição de dividendos intercalares'", "'Juros sobre o Capital Próprio'", "'Bonificação em ações'", "'Grupamento de ações'", "'Desdobramento de ações'", "'Direito de subscrição'", "'Comunicado ao mercado'"]
-MONTHS = ["'janeiro'", "'fevereiro'", "'março'", "'abril'", "'maio'", "'junho'", "'julho'", "'agosto'", "'setembro'", "'outubro'", "'novembro'", "'dezembro'"]
+TITLES = [
+    "'Distribuição de dividendos intercalares'",
+    "'Juros sobre o Capital Próprio'",
+    "'Bonificação em ações'",
+    "'Grupamento de ações'",
+    "'Desdobramento de ações'",
+    "'Direito de subscrição'",
+    "'Comunicado ao mercado'",
+]
+MONTHS = [
+    "'janeiro'",
+    "'fevereiro'",
+    "'março'",
+    "'abril'",
+    "'maio'",
+    "'junho'",
+    "'julho'",
+    "'agosto'",
+    "'setembro'",
+    "'outubro'",
+    "'novembro'",
+    "'dezembro'",
+]
 TEXTS = {
     "doc_id": "o_orderkey",
     "d": "cast(o_orderdate as date)",
@@ -71,7 +92,11 @@ TEXTS = {
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    rows = read("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").join(read("customer").selectExpr("c_custkey as o_custkey", "c_name"), "o_custkey")
+    rows = (
+        read("orders")
+        .select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+        .join(read("customer").selectExpr("c_custkey as o_custkey", "c_name"), "o_custkey")
+    )
     for step in STEPS:
         rows = rows.selectExpr(*[x if n == "*" else f"{x} as {n}" for n, x in step.items()])
     return rows.drop("d", "cust")
@@ -106,11 +131,22 @@ READING = {
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    parts = [rows.selectExpr("o_orderkey as doc_id", "cast(o_orderkey % 3 as int) as region_id", f"'r{k}' as reader", f"'{KINDS[k]}' as kind", f"{k} as seq", f"{x} as text") for k, x in READING.items()]
+    parts = [
+        rows.selectExpr(
+            "o_orderkey as doc_id",
+            "cast(o_orderkey % 3 as int) as region_id",
+            f"'r{k}' as reader",
+            f"'{KINDS[k]}' as kind",
+            f"{k} as seq",
+            f"{x} as text",
+        ) for k, x in READING.items()
+    ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("text is not null")
 
 
-READINGS_SQL = "readings as (select * from (" + " union all ".join(f"select o_orderkey as doc_id, cast(o_orderkey % 3 as int) as region_id, 'r{k}' as reader, '{KINDS[k]}' as kind, {k} as seq, {x} as text from orders" for k, x in READING.items()) + ") where text is not null)"
+READINGS_SQL = "readings as (select * from (" + " union all ".join(
+    f"select o_orderkey as doc_id, cast(o_orderkey % 3 as int) as region_id, 'r{k}' as reader, '{KINDS[k]}' as kind, {k} as seq, {x} as text from orders" for k, x in READING.items()
+) + ") where text is not null)"
 
 #: Boxes of three readers on a page for each order, from its lines: whole numbers, so that areas are exact.
 BOX = {
@@ -131,7 +167,11 @@ BOXES_SQL = f"""boxes as materialized (
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    lines = (
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        .groupBy("l_orderkey", "l_linenumber")
+        .agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    )
     rows = lines.withColumn("reader", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     rows = rows.where("(l_orderkey + l_linenumber + reader) % 5 <> 0")
     return rows.selectExpr(*[f"{x} as {n}" for n, x in BOX.items()])

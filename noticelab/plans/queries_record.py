@@ -16,7 +16,15 @@ from .registry import joined, query, read, squash_sql
 NAMES = list(validators.FIELDS)
 LIST = "[" + ", ".join(f"'{f}'" for f in NAMES) + "]"
 PLACE = "case field " + " ".join(f"when '{f}' then {i}" for i, f in enumerate(NAMES)) + " end"
-KINDS = ["'text_layer'", "'ocr_deterministic'", "'ocr_generative'", "'text_layer,ocr_deterministic'", "'ocr_deterministic,ocr_generative'", "''", "'ocr_deterministic'"]
+KINDS = [
+    "'text_layer'",
+    "'ocr_deterministic'",
+    "'ocr_generative'",
+    "'text_layer,ocr_deterministic'",
+    "'ocr_deterministic,ocr_generative'",
+    "''",
+    "'ocr_deterministic'",
+]
 # A step's columns may use those of the steps before; both dialects read them alike.
 FIELD_STEPS = [
     {"*": "*", "k": f"doc_id + {PLACE}", "said": "case when doc_id % 5 = 0 then 'R$ 1.234,50' else 'texto ' || field end"},
@@ -34,7 +42,11 @@ FIELDS_SQL = f"""{derived.NOTICES_SQL}, long0 as (select doc_id, event_type, unn
 long1 as (select {", ".join(x if n == "*" else f"{x} as {n}" for n, x in FIELD_STEPS[0].items())} from long0),
 fields as (select {", ".join(x if n == "*" else f"{x} as {n}" for n, x in FIELD_STEPS[1].items())}, {", ".join(f"list_filter(string_split({x}, ','), lambda x: x <> '') as {n}" for n, x in (("kinds", FIELD_STEPS[1]["held_by"]), ("candidates", FIELD_STEPS[1]["open"])))} from long1)"""
 CRITICAL = "(" + ", ".join(f"'{f}'" for f in v.CRITICAL) + ")"
-SPECS_SQL = "specs as (select * from (values " + ", ".join(f"('{t}', '{f}', {str(k == 0).lower()}, {i})" for t, sides in v.FIELD_SPECS.items() for k, side in enumerate(sides) for i, f in enumerate(side)) + ") s(event_type, field, required, ordinal))"
+SPECS_SQL = "specs as (select * from (values " + ", ".join(
+    f"('{t}', '{f}', {str(k == 0).lower()}, {i})" for t, sides in v.FIELD_SPECS.items() for k, side in enumerate(
+        sides
+    ) for i, f in enumerate(side)
+) + ") s(event_type, field, required, ordinal))"
 
 
 def _fields(spark, sf_dir):
@@ -71,7 +83,11 @@ CODE_SQL = f"""codes as (select f.doc_id, f.field, case when f.value is null the
 
 
 def _detail(spark, sf_dir):
-    rows = _fields(spark, sf_dir).join(F.broadcast(_specs(spark).select("event_type", "field", "required")), ["event_type", "field"], "left")
+    rows = _fields(spark, sf_dir).join(
+        F.broadcast(_specs(spark).select("event_type", "field", "required")),
+        ["event_type", "field"],
+        "left",
+    )
     return rows.withColumn("required", F.coalesce("required", F.lit(False)))
 
 
@@ -91,43 +107,86 @@ def for_review(spark, sf_dir):
     return found.select("doc_id", joined("for_review").alias("for_review"))
 
 
-@query("weakest_critical", f"with {FIELDS_SQL} select doc_id, coalesce(['muito_alta','alta','media','baixa'][max(case when value is not null and field in {CRITICAL} then nullif(list_position(['muito_alta','alta','media','baixa'], level), 0) end)], 'baixa') as weakest_level from fields group by doc_id")
+@query(
+    "weakest_critical",
+    f"with {FIELDS_SQL} select doc_id, coalesce(['muito_alta','alta','media','baixa'][max(case when value is not null and field in "
+    f"{CRITICAL} then nullif(list_position(['muito_alta','alta','media','baixa'], level), 0) end)], 'baixa') as weakest_level from "
+    f"fields group by doc_id",
+)
 def weakest_critical(spark, sf_dir):
     return triage.weakest_critical(_fields(spark, sf_dir))
 
 
-@query("review_split", f"with {FIELDS_SQL}, {SPECS_SQL}, {CODE_SQL} select n.doc_id, case when f.value is null or c.code is not null then 'review' else 'accepted' end as side, count(*) as n from notices n join specs s using (event_type) left join fields f on f.doc_id = n.doc_id and f.field = s.field left join codes c on c.doc_id = n.doc_id and c.field = s.field group by all")
+@query(
+    "review_split",
+    f"with {FIELDS_SQL}, {SPECS_SQL}, {CODE_SQL} select n.doc_id, case when f.value is null or c.code is not null then 'review' else "
+    f"'accepted' end as side, count(*) as n from notices n join specs s using (event_type) left join fields f on f.doc_id = n.doc_id "
+    f"and f.field = s.field left join codes c on c.doc_id = n.doc_id and c.field = s.field group by all",
+)
 def review_split(spark, sf_dir):
     marked = triage.field_reasons(_detail(spark, sf_dir))
     return audit.review_split(_fields(spark, sf_dir), _specs(spark), derived.notices(spark, sf_dir), marked)
 
 
-@query("ungrounded_critical", f"with {FIELDS_SQL} select doc_id, field from fields where grounding = 'absent' and value is not null and field in {CRITICAL}")
+@query(
+    "ungrounded_critical",
+    f"with {FIELDS_SQL} select doc_id, field from fields where grounding = 'absent' and value is not null and field in {CRITICAL}",
+)
 def ungrounded_critical(spark, sf_dir):
     return audit.ungrounded_critical(_fields(spark, sf_dir).withColumn("value_raw", F.col("value"))).select("doc_id", "field")
 
 
-@query("routes", f"with {FIELDS_SQL} select doc_id, bool_or(grounding = 'absent' and value is not null and field in {CRITICAL}) as reprompt, bool_or(len(candidates) > 0) as disambiguate from fields group by doc_id")
+@query(
+    "routes",
+    f"with {FIELDS_SQL} select doc_id, bool_or(grounding = 'absent' and value is not null and field in {CRITICAL}) as reprompt, "
+    f"bool_or(len(candidates) > 0) as disambiguate from fields group by doc_id",
+)
 def routes(spark, sf_dir):
     return audit.routes(_fields(spark, sf_dir).withColumn("value_raw", F.col("value")), True)
 
 
-@query("field_status", f"with {FIELDS_SQL} select doc_id, field, case when value is null then 'absent' when grounding = 'absent' then 'ungrounded' when k % 3 = 0 then 'review' else 'ok' end as status from fields")
+@query(
+    "field_status",
+    f"with {FIELDS_SQL} select doc_id, field, case when value is null then 'absent' when grounding = 'absent' then 'ungrounded' when k "
+    f"% 3 = 0 then 'review' else 'ok' end as status from fields",
+)
 def field_status(spark, sf_dir):
-    return _fields(spark, sf_dir).select("doc_id", "field", fields.field_status(F.col("value"), F.col("grounding"), F.expr("k % 3 = 0")).alias("status"))
+    return _fields(spark, sf_dir).select(
+        "doc_id",
+        "field",
+        fields.field_status(F.col("value"), F.col("grounding"), F.expr("k % 3 = 0")).alias("status"),
+    )
 
 
-CLASS_SQL = "case " + " ".join(f"when field in ({', '.join(chr(39) + f + chr(39) for f in names)}) then '{c}'" for c, names in v.FIELD_CLASSES.items()) + " else 'default' end"
+CLASS_SQL = "case " + " ".join(
+    f"when field in ({', '.join(chr(39) + f + chr(39) for f in names)}) then '{c}'" for c, names in v.FIELD_CLASSES.items()
+) + " else 'default' end"
 FACTOR_SQL = "case grounding " + " ".join(f"when '{k}' then {x}" for k, x in v.GROUNDING_FACTOR.items()) + " end"
 
 
-@query("field_classes", f"with {FIELDS_SQL} select doc_id, field, {CLASS_SQL} as field_class, {CLASS_SQL} in ('financial_critical', 'identity') as critical, cast({FACTOR_SQL} as decimal(4,2)) as factor from fields")
+@query(
+    "field_classes",
+    f"with {FIELDS_SQL} select doc_id, field, {CLASS_SQL} as field_class, {CLASS_SQL} in ('financial_critical', 'identity') as "
+    f"critical, cast({FACTOR_SQL} as decimal(4,2)) as factor from fields",
+)
 def field_classes(spark, sf_dir):
     factor = fields.grounding_factor(F.col("grounding")).cast("decimal(4,2)").alias("factor")
-    return _fields(spark, sf_dir).select("doc_id", "field", audit.field_class(F.col("field")).alias("field_class"), audit.is_critical(F.col("field")).alias("critical"), factor)
+    return _fields(spark, sf_dir).select(
+        "doc_id",
+        "field",
+        audit.field_class(F.col("field")).alias("field_class"),
+        audit.is_critical(F.col("field")).alias("critical"),
+        factor,
+    )
 
 
-@query("overlay", f"with {FIELDS_SQL}, r as (select doc_id, field, said as value, 'media' as level from fields where k % 3 = 0) select f.doc_id, f.field, case when f.value is null then coalesce(r.value, f.value) else f.value end as value, case when f.value is null and r.value is not null then r.level else f.level end as level, f.value is null and r.value is not null as recovered from fields f left join r using (doc_id, field)")
+@query(
+    "overlay",
+    f"with {FIELDS_SQL}, r as (select doc_id, field, said as value, 'media' as level from fields where k % 3 = 0) select f.doc_id, "
+    f"f.field, case when f.value is null then coalesce(r.value, f.value) else f.value end as value, case when f.value is null and "
+    f"r.value is not null then r.level else f.level end as level, f.value is null and r.value is not null as recovered from fields f "
+    f"left join r using (doc_id, field)",
+)
 def overlay(spark, sf_dir):
     rows = _fields(spark, sf_dir)
     recovered = rows.where("k % 3 = 0").select("doc_id", "field", F.col("said").alias("value"), F.lit("media").alias("level"), "kinds")
@@ -138,13 +197,19 @@ RULES_SQL = f"""tried as (select doc_id, field, 0 as rule, k % 3 as spot, case w
   select doc_id, field, 0, 5, 'table ' || field from fields where k % 5 = 0 union all select doc_id, field, 1, 0, 'prose ' || field from fields where k % 7 <> 0)"""
 
 
-@query("first_by_rule", f"with {FIELDS_SQL}, {RULES_SQL} select doc_id, field, value_raw from (select *, row_number() over (partition by doc_id, field order by rule, spot, value_raw) as n from tried where trim(value_raw) <> '') where n = 1")
+@query(
+    "first_by_rule",
+    f"with {FIELDS_SQL}, {RULES_SQL} select doc_id, field, value_raw from (select *, row_number() over (partition by doc_id, field "
+    f"order by rule, spot, value_raw) as n from tried where trim(value_raw) <> '') where n = 1",
+)
 def first_by_rule(spark, sf_dir):
     rows = _fields(spark, sf_dir)
     a = rows.selectExpr("doc_id", "field", "0 as rule", "k % 3 as at", "case when k % 2 = 0 then '  ' else value end as value_raw")
     b = rows.where("k % 5 = 0").selectExpr("doc_id", "field", "0 as rule", "5L as at", "'table ' || field as value_raw")
     c = rows.where("k % 7 <> 0").selectExpr("doc_id", "field", "1 as rule", "0L as at", "'prose ' || field as value_raw")
-    return fields.first_by_rule(a.unionByName(b).unionByName(c).withColumn("evidence", F.col("value_raw"))).select("doc_id", "field", "value_raw")
+    return fields.first_by_rule(
+        a.unionByName(b).unionByName(c).withColumn("evidence", F.col("value_raw"))
+    ).select("doc_id", "field", "value_raw")
 
 
 # --- what models and validators say ---------------------------------------------------------
@@ -203,15 +268,26 @@ def _findings(spark, sf_dir):
     select doc_id, field, array_to_string(list_sort(list_distinct(list(tool))), ',') as cut_by from f group by doc_id, field""",
 )
 def cut_by(spark, sf_dir):
-    found = _findings(spark, sf_dir).where(F.col("tool").isin("check_date_coherence", "check_amount_coherence", "check_event_type_consistency"))
+    found = _findings(spark, sf_dir).where(
+        F.col("tool").isin("check_date_coherence", "check_amount_coherence", "check_event_type_consistency")
+    )
     return audit.cut_by(found).select("doc_id", "field", joined("cut_by").alias("cut_by"))
 
 
-@query("golden_check", TRIAGE_SQL + "select n.doc_id, k.key as field, case when list_contains(string_split(agreeing, ','), k.key) then 'confere' when row_idx is null then 'ausente' when outcome = 'MISMATCH' and list_contains(differing, k.key) then 'diverge' else 'confere' end as golden from notices n join found using (doc_id), (select unnest(['isin','ticker','cnpj','issuer']) as key) k")
+@query(
+    "golden_check",
+    TRIAGE_SQL + "select n.doc_id, k.key as field, case when list_contains(string_split(agreeing, ','), k.key) then 'confere' when row_idx is null then 'ausente' when outcome = 'MISMATCH' and list_contains(differing, k.key) then 'diverge' else 'confere' end as golden from notices n join found using (doc_id), (select unnest(['isin','ticker','cnpj','issuer']) as key) k",
+)
 def golden_check(spark, sf_dir):
     found = validators.lookup(derived.notices(spark, sf_dir), derived.golden(spark, sf_dir))
     rows = found.withColumn("field", F.explode(F.array(*map(F.lit, ("isin", "ticker", "cnpj", "issuer")))))
-    status = fields.golden_status(F.col("field"), F.lit(True), F.col("agreeing"), F.col("row_idx").isNotNull(), ~F.array_contains("mismatched", F.col("field")))
+    status = fields.golden_status(
+        F.col("field"),
+        F.lit(True),
+        F.col("agreeing"),
+        F.col("row_idx").isNotNull(),
+        ~F.array_contains("mismatched", F.col("field")),
+    )
     return rows.select("doc_id", "field", status.alias("golden"))
 
 
@@ -221,50 +297,78 @@ def _verdicts(spark, sf_dir):
     return rows, reasons, triage.disposition(reasons, rows)
 
 
-@query("document_lines", TRIAGE_SQL + ", counts as (select doc_id, code, count(*) as n from reasons group by all) select v.doc_id, disposition, coalesce((select string_agg(code, ',' order by n desc, code) from counts c where c.doc_id = v.doc_id), '') as codes from verdicts v")
+@query(
+    "document_lines",
+    TRIAGE_SQL + ", counts as (select doc_id, code, count(*) as n from reasons group by all) select v.doc_id, disposition, coalesce((select string_agg(code, ',' order by n desc, code) from counts c where c.doc_id = v.doc_id), '') as codes from verdicts v",
+)
 def document_lines(spark, sf_dir):
     _, reasons, verdicts = _verdicts(spark, sf_dir)
     return triage.per_document(verdicts, reasons).select("doc_id", "disposition", joined("codes").alias("codes"))
 
 
-@query("report_order", TRIAGE_SQL + "select v.doc_id, issuer, disposition from verdicts v join notices using (doc_id) where disposition <> 'auto' order by case disposition when 'blocked' then 0 when 'failed' then 1 when 'review' then 2 else 3 end, issuer, v.doc_id limit 100")
+@query(
+    "report_order",
+    TRIAGE_SQL + "select v.doc_id, issuer, disposition from verdicts v join notices using (doc_id) where disposition <> 'auto' order by case disposition when 'blocked' then 0 when 'failed' then 1 when 'review' then 2 else 3 end, issuer, v.doc_id limit 100",
+)
 def report_order(spark, sf_dir):
     notices, _, verdicts = _verdicts(spark, sf_dir)
     rows = verdicts.join(notices.select("doc_id", "issuer"), "doc_id").where("disposition <> 'auto'")
     return rows.orderBy(*triage.report_order(rows)).limit(100).select("doc_id", "issuer", "disposition")
 
 
-@query("failed_documents", TRIAGE_SQL + "select doc_id, disposition from verdicts where doc_id % 5 <> 0 union all select doc_id, 'failed' from notices where doc_id % 5 = 0")
+@query(
+    "failed_documents",
+    TRIAGE_SQL + "select doc_id, disposition from verdicts where doc_id % 5 <> 0 union all select doc_id, 'failed' from notices where doc_id % 5 = 0",
+)
 def failed_documents(spark, sf_dir):
     notices, _, verdicts = _verdicts(spark, sf_dir)
     return triage.failed(notices, verdicts.where("doc_id % 5 <> 0")).select("doc_id", "disposition")
 
 
-@query("justifications", TRIAGE_SQL + ", c as (select doc_id, list_sort(list_distinct(list(code))) as codes from reasons group by doc_id) select v.doc_id, case when disposition = 'auto' then 'No reason against automatic processing.' else 'Disposition ' || disposition || ': ' || array_to_string(codes, ', ') || '.' end as justification from verdicts v left join c using (doc_id)")
+@query(
+    "justifications",
+    TRIAGE_SQL + ", c as (select doc_id, list_sort(list_distinct(list(code))) as codes from reasons group by doc_id) select v.doc_id, case when disposition = 'auto' then 'No reason against automatic processing.' else 'Disposition ' || disposition || ': ' || array_to_string(codes, ', ') || '.' end as justification from verdicts v left join c using (doc_id)",
+)
 def justifications(spark, sf_dir):
     verdicts = _verdicts(spark, sf_dir)[2]
     return verdicts.select("doc_id", audit.narrative(F.col("disposition"), F.col("codes")).alias("justification"))
 
 
-@query("records", TRIAGE_SQL + f", c as (select doc_id, string_agg(code || ' ' || coalesce(field, ''), ',' order by code, field) as reasons from reasons group by doc_id) select n.doc_id, disposition, cast(len(list_filter([{', '.join(f'cast({f} as varchar)' for f in NAMES)}], lambda x: x is not null)) as int) as n_fields, 6 as n_validations, coalesce(reasons, '') as reasons from notices n join verdicts v using (doc_id) left join c using (doc_id)")
+@query(
+    "records",
+    TRIAGE_SQL + f", c as (select doc_id, string_agg(code || ' ' || coalesce(field, ''), ',' order by code, field) as reasons from reasons group by doc_id) select n.doc_id, disposition, cast(len(list_filter([{', '.join(f'cast({f} as varchar)' for f in NAMES)}], lambda x: x is not null)) as int) as n_fields, 6 as n_validations, coalesce(reasons, '') as reasons from notices n join verdicts v using (doc_id) left join c using (doc_id)",
+)
 def records(spark, sf_dir):
     notices, reasons, verdicts = _verdicts(spark, sf_dir)
     long = validators.as_fields(notices).where("value is not null")
     rows = files.records(notices, long.select("doc_id", "field", "value"), _findings(spark, sf_dir), reasons, verdicts)
-    said = F.array_sort(F.transform("reasons", lambda x: F.struct(x["code"].alias("code"), F.coalesce(x["field"], F.lit("")).alias("field"))))
+    said = F.array_sort(
+        F.transform("reasons", lambda x: F.struct(x["code"].alias("code"), F.coalesce(x["field"], F.lit("")).alias("field")))
+    )
     said = F.coalesce(F.array_join(F.transform(said, lambda x: F.concat_ws(" ", x["code"], x["field"])), ","), F.lit(""))
-    return rows.select("doc_id", "disposition", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"), F.size("validations").alias("n_validations"), said.alias("reasons"))
+    return rows.select(
+        "doc_id",
+        "disposition",
+        F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"),
+        F.size("validations").alias("n_validations"),
+        said.alias("reasons"),
+    )
 
 
 # --- markers ------------------------------------------------------------------------------
 
 
 MARKED_SQL = (
-    f"{derived.TEXTS_SQL}, {MARKERS_SQL}, m as (select doc_id, event_type, cast(sum(weight) as decimal(8,2)) as score, min(ordinal) as o from texts, markers where regexp_matches({NORMAL.format('raw')}, pattern) group by all)"
+    f"{derived.TEXTS_SQL}, {MARKERS_SQL}, m as (select doc_id, event_type, cast(sum(weight) as decimal(8,2)) as score, min(ordinal) as "
+    f"o from texts, markers where regexp_matches({NORMAL.format('raw')}, pattern) group by all)"
 )
 
 
-@query("ranked_types", f"with {MARKED_SQL} select doc_id, cast(row_number() over (partition by doc_id order by score desc, o) - 1 as int) as place, event_type, score from m")
+@query(
+    "ranked_types",
+    f"with {MARKED_SQL} select doc_id, cast(row_number() over (partition by doc_id order by score desc, o) - 1 as int) as place, "
+    f"event_type, score from m",
+)
 def ranked_types(spark, sf_dir):
     rows = classify.priors(derived.texts(spark, sf_dir), "raw")
     return rows.select("doc_id", F.posexplode("ranked").alias("place", "x")).select("doc_id", "place", "x.*")
@@ -273,7 +377,12 @@ def ranked_types(spark, sf_dir):
 DEFINING = [(i, p) for i, (_, p, _, defines) in enumerate(v.MARKERS) if defines]
 
 
-@query("marker_hits", f"with {MARKED_SQL}, h as (select doc_id, ordinal, pattern from texts, markers where regexp_matches(lower(strip_accents(raw)), pattern) and ordinal in ({', '.join(str(i) for i, _ in DEFINING)})) select t.doc_id, cast(count(ordinal) as int) as n from texts t left join h using (doc_id) group by t.doc_id")
+@query(
+    "marker_hits",
+    f"with {MARKED_SQL}, h as (select doc_id, ordinal, pattern from texts, markers where regexp_matches(lower(strip_accents(raw)), "
+    f"pattern) and ordinal in ({', '.join(str(i) for i, _ in DEFINING)})) select t.doc_id, cast(count(ordinal) as int) as n from texts "
+    f"t left join h using (doc_id) group by t.doc_id",
+)
 def marker_hits(spark, sf_dir):
     return classify.priors(derived.texts(spark, sf_dir), "raw").select("doc_id", F.size("hits").alias("n"))
 
@@ -283,47 +392,104 @@ def marker_hits(spark, sf_dir):
 
 @query(
     "vote_notes",
-    f"with {RESOLVE_SQL} select r.doc_id, r.region_id, cast(n - 1 as bigint) as n_alternatives, case when bad = n then 1 else bad end as n_notes, cast(round((1 - err) * power(0.9, case when bad = n then 0 else bad end), 4) as decimal(6,4)) as score from resolved r, lateral (select case when len(kinds) = 1 then case kinds[1] when 'text_layer' then 0.02 when 'ocr_deterministic' then 0.1 else 0.25 end when not list_contains(kinds, 'text_layer') then 0.05 else 0.02 * (case when list_contains(kinds, 'ocr_deterministic') then 0.1 else 1 end) * (case when list_contains(kinds, 'ocr_generative') then 0.25 else 1 end) end as err)",
+    f"with {RESOLVE_SQL} select r.doc_id, r.region_id, cast(n - 1 as bigint) as n_alternatives, case when bad = n then 1 else bad end "
+    f"as n_notes, cast(round((1 - err) * power(0.9, case when bad = n then 0 else bad end), 4) as decimal(6,4)) as score from resolved "
+    f"r, lateral (select case when len(kinds) = 1 then case kinds[1] when 'text_layer' then 0.02 when 'ocr_deterministic' then 0.1 else "
+    f"0.25 end when not list_contains(kinds, 'text_layer') then 0.05 else 0.02 * (case when list_contains(kinds, 'ocr_deterministic') "
+    f"then 0.1 else 1 end) * (case when list_contains(kinds, 'ocr_generative') then 0.25 else 1 end) end as err)",
 )
 def vote_notes(spark, sf_dir):
     rows = reading.resolve(derived.readings(spark, sf_dir))
     score = reading.score(reading.combined_error(F.col("kinds")), F.col("n_eliminated")).cast("decimal(6,4)")
-    return rows.select("doc_id", "region_id", F.size("alternatives").cast("long").alias("n_alternatives"), F.size("notes").cast("long").alias("n_notes"), score.alias("score"))
+    return rows.select(
+        "doc_id",
+        "region_id",
+        F.size("alternatives").cast("long").alias("n_alternatives"),
+        F.size("notes").cast("long").alias("n_notes"),
+        score.alias("score"),
+    )
 
 
-@query("reader_notes", "select o_orderkey as doc_id, 1 as page, case when o_orderkey % 3 = 0 then 'parser unavailable: no vote,' else '' end || case when o_orderkey % 4 = 0 then 'ocr failed: x,' else '' end || case when o_orderkey % 5 = 0 then 'vlm saw nothing: abstains,' else '' end as notes from orders")
+@query(
+    "reader_notes",
+    "select o_orderkey as doc_id, 1 as page, case when o_orderkey % 3 = 0 then 'parser unavailable: no vote,' else '' end || case when "
+    "o_orderkey % 4 = 0 then 'ocr failed: x,' else '' end || case when o_orderkey % 5 = 0 then 'vlm saw nothing: abstains,' else '' "
+    "end as notes from orders",
+)
 def reader_notes(spark, sf_dir):
     readers = "explode(array('vlm', 'parser', 'ocr')) as reader"
     rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "1 as page", readers)
-    rows = rows.selectExpr("*", "not (reader = 'parser' and doc_id % 3 = 0) as available", "case when reader = 'ocr' and doc_id % 4 = 0 then 'x' end as error", "case when reader = 'vlm' and doc_id % 5 = 0 then 0 else 3 end as n_blocks")
-    return page.reader_notes(rows).select("doc_id", "page", F.concat_ws("", F.transform("notes", lambda x: F.concat(x, F.lit(",")))).alias("notes"))
+    rows = rows.selectExpr(
+        "*",
+        "not (reader = 'parser' and doc_id % 3 = 0) as available",
+        "case when reader = 'ocr' and doc_id % 4 = 0 then 'x' end as error",
+        "case when reader = 'vlm' and doc_id % 5 = 0 then 0 else 3 end as n_blocks",
+    )
+    return page.reader_notes(rows).select(
+        "doc_id",
+        "page",
+        F.concat_ws("", F.transform("notes", lambda x: F.concat(x, F.lit(",")))).alias("notes"),
+    )
 
 
-@query("row_overlaps", f"with {derived.BOXES_SQL} select a.doc_id, a.block_order as a, b.block_order as b, cast(round(greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / least(a.y1 - a.y0, b.y1 - b.y0) * 1000) as bigint) as shared from boxes a join boxes b on a.doc_id = b.doc_id and a.page = b.page and b.block_order = a.block_order + 1")
+@query(
+    "row_overlaps",
+    f"with {derived.BOXES_SQL} select a.doc_id, a.block_order as a, b.block_order as b, cast(round(greatest(least(a.y1, b.y1) - "
+    f"greatest(a.y0, b.y0), 0) / least(a.y1 - a.y0, b.y1 - b.y0) * 1000) as bigint) as shared from boxes a join boxes b on a.doc_id = "
+    f"b.doc_id and a.page = b.page and b.block_order = a.block_order + 1",
+)
 def row_overlaps(spark, sf_dir):
     rows = derived.boxes(spark, sf_dir).select("doc_id", "page", "block_order", F.struct("x0", "y0", "x1", "y1").alias("box"))
     after = rows.select("doc_id", "page", (F.col("block_order") - 1).alias("block_order"), F.col("box").alias("next"))
     shared = numbers.row_overlap(F.col("box"), F.col("next"))
-    return rows.join(after, ["doc_id", "page", "block_order"]).select("doc_id", F.col("block_order").alias("a"), (F.col("block_order") + 1).alias("b"), F.round(shared * 1000).cast("long").alias("shared"))
+    return rows.join(after, ["doc_id", "page", "block_order"]).select(
+        "doc_id",
+        F.col("block_order").alias("a"),
+        (F.col("block_order") + 1).alias("b"),
+        F.round(shared * 1000).cast("long").alias("shared"),
+    )
 
 
-GRADE = "case when n_values = 0 then case when bad > 0 then 'no_valid_reading' else 'absent' end when n_values > 1 then 'conflict' when len(kinds) >= 2 and not list_contains(kinds, 'text_layer') then 'medium_high' when len(kinds) >= 2 then 'high' when bad > 0 then 'resolved' when not list_contains(kinds, 'text_layer') then 'single_reader' else 'medium' end"
+GRADE = (
+    "case when n_values = 0 then case when bad > 0 then 'no_valid_reading' else 'absent' end when n_values > 1 then 'conflict' when "
+    "len(kinds) >= 2 and not list_contains(kinds, 'text_layer') then 'medium_high' when len(kinds) >= 2 then 'high' when bad > 0 then "
+    "'resolved' when not list_contains(kinds, 'text_layer') then 'single_reader' else 'medium' end"
+)
 
 
-@query("grade_tally", f"with {FIELDS_SQL}, g as (select kinds, k % 3 as bad, case when len(kinds) = 0 then 0 when k % 11 = 0 then 2 else 1 end as n_values from fields) select {GRADE} as grade, count(*) as n from g group by all")
+@query(
+    "grade_tally",
+    f"with {FIELDS_SQL}, g as (select kinds, k % 3 as bad, case when len(kinds) = 0 then 0 when k % 11 = 0 then 2 else 1 end as "
+    f"n_values from fields) select {GRADE} as grade, count(*) as n from g group by all",
+)
 def grade_tally(spark, sf_dir):
-    rows = _fields(spark, sf_dir).selectExpr("kinds", "k % 3 as bad", "case when size(kinds) = 0 then 0 when k % 11 = 0 then 2 else 1 end as n_values")
+    rows = _fields(spark, sf_dir).selectExpr(
+        "kinds",
+        "k % 3 as bad",
+        "case when size(kinds) = 0 then 0 when k % 11 = 0 then 2 else 1 end as n_values",
+    )
     return rows.groupBy(audit.grade(F.col("kinds"), F.col("bad"), F.col("n_values")).alias("grade")).agg(F.count("*").alias("n"))
 
 
-@query("crop_strips", f"with {derived.BOXES_SQL} select doc_id, block_order, cast(least(x0, 50) as bigint) as x0, cast(greatest(x1, x0 + 480) as bigint) as x1, x0 < 30 and x1 > 20 and y0 < 200 and y1 > 100 as clipped, cast(842 - y0 as bigint) as top from boxes")
+@query(
+    "crop_strips",
+    f"with {derived.BOXES_SQL} select doc_id, block_order, cast(least(x0, 50) as bigint) as x0, cast(greatest(x1, x0 + 480) as bigint) "
+    f"as x1, x0 < 30 and x1 > 20 and y0 < 200 and y1 > 100 as clipped, cast(842 - y0 as bigint) as top from boxes",
+)
 def crop_strips(spark, sf_dir):
     rows = derived.boxes(spark, sf_dir)
     inside = files.clip(rows, 20.0, 100.0, 30.0, 200.0).select("doc_id", "block_order", F.lit(True).alias("clipped"))
     strip = audit.widen(F.col("x0"), F.col("x1"))
     rows = rows.join(inside, ["doc_id", "block_order"], "left").withColumn("strip", strip)
     top = files.to_top_left(F.col("y0"), F.lit(842.0), F.lit("bottomleft")).cast("long")
-    return rows.select("doc_id", "block_order", F.col("strip.x0").cast("long").alias("x0"), F.col("strip.x1").cast("long").alias("x1"), F.coalesce("clipped", F.lit(False)).alias("clipped"), top.alias("top"))
+    return rows.select(
+        "doc_id",
+        "block_order",
+        F.col("strip.x0").cast("long").alias("x0"),
+        F.col("strip.x1").cast("long").alias("x1"),
+        F.coalesce("clipped", F.lit(False)).alias("clipped"),
+        top.alias("top"),
+    )
 
 
 # --- words for readers ------------------------------------------------------------------------
@@ -334,7 +500,10 @@ CODE_OF = derived.by_remainder("o_orderkey", [f"'{k}'" for k in v.REASONS])
 PROSE = f"'veja ' || {CODE_OF} || ' — ou DATE_INCOHERENCEX <b> & \"aspas\"'"
 
 
-@query("glossary", TRIAGE_SQL + f", g as (select distinct code, {TERM_SQL} as word from reasons) select code, word, row_number() over (order by lower(word), code) as place from g")
+@query(
+    "glossary",
+    TRIAGE_SQL + f", g as (select distinct code, {TERM_SQL} as word from reasons) select code, word, row_number() over (order by lower(word), code) as place from g",
+)
 def glossary(spark, sf_dir):
     rows = audit.glossary(_verdicts(spark, sf_dir)[1], TERMS)
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.lower("word"), "code")).cast("long"))
@@ -365,14 +534,22 @@ def prose_words(spark, sf_dir):
 NOTES = "array('leu ' || said, 'a', 'a', ' ', 'eliminado')"
 
 
-@query("curated_notes", f"with {FIELDS_SQL}, n as (select doc_id, field, list_filter(['leu ' || said, 'a', 'a', ' ', 'eliminado'], lambda x: trim(x) <> '') as notes, {squash_sql('said')} as tight from fields) select doc_id, field, case when tight <> '' then 'a,eliminado' else array_to_string(list_distinct(notes), ',') end as notes from n")
+@query(
+    "curated_notes",
+    f"with {FIELDS_SQL}, n as (select doc_id, field, list_filter(['leu ' || said, 'a', 'a', ' ', 'eliminado'], lambda x: trim(x) <> '') "
+    f"as notes, {squash_sql('said')} as tight from fields) select doc_id, field, case when tight <> '' then 'a,eliminado' else "
+    f"array_to_string(list_distinct(notes), ',') end as notes from n",
+)
 def curated_notes(spark, sf_dir):
     return _fields(spark, sf_dir).select("doc_id", "field", joined(audit.curate_notes(F.expr(NOTES), F.col("said"))).alias("notes"))
 
 
 # --- other sources -------------------------------------------------------------------------------
 
-MARKDOWN = "'| Data ex | ' || cast(o_orderkey as string) || ' |\n|---|---|\nValor bruto ..... ' || cast(o_custkey as string) || '\nEmissor:\n\nAlfa' || cast(o_orderkey % 3 as string) || '\n| a | b | c |\nprosa'"
+MARKDOWN = (
+    "'| Data ex | ' || cast(o_orderkey as string) || ' |\n|---|---|\nValor bruto ..... ' || cast(o_custkey as string) || "
+    "'\nEmissor:\n\nAlfa' || cast(o_orderkey % 3 as string) || '\n| a | b | c |\nprosa'"
+)
 
 
 @query(
@@ -387,29 +564,62 @@ def markdown_pairs(spark, sf_dir):
     return files.markdown_pairs(read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{MARKDOWN} as text"))
 
 
-@query("html_cells", "select page_id, count(*) as n from (select page_id, unnest(list_filter(list_transform(regexp_split_to_array(html, '<[^>]*>'), lambda x: trim(regexp_replace(x, '[ \\t\\n\\r]+', ' ', 'g'))), lambda x: x <> '')) as block from pages) group by page_id")
+@query(
+    "html_cells",
+    "select page_id, count(*) as n from (select page_id, unnest(list_filter(list_transform(regexp_split_to_array(html, '<[^>]*>'), "
+    "lambda x: trim(regexp_replace(x, '[ \\t\\n\\r]+', ' ', 'g'))), lambda x: x <> '')) as block from pages) group by page_id",
+)
 def html_cells(spark, sf_dir):
     return files.text_blocks(read(spark, sf_dir, "pages"), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-TABLE = "array(array(named_struct('text', 'a' || cast(o_orderkey as string), 'box', named_struct('x0', 1D)), named_struct('text', ' ', 'box', null)), array(named_struct('text', 'b', 'box', null)))"
+TABLE = (
+    "array(array(named_struct('text', 'a' || cast(o_orderkey as string), 'box', named_struct('x0', 1D)), named_struct('text', ' ', "
+    "'box', null)), array(named_struct('text', 'b', 'box', null)))"
+)
 
 
-@query("table_cells", "select o_orderkey as doc_id, 0 as row, 0 as col, 'a' || o_orderkey as text, 1 as x0, false as pending from orders union all select o_orderkey, 1, 0, 'b', 9, true from orders")
+@query(
+    "table_cells",
+    "select o_orderkey as doc_id, 0 as row, 0 as col, 'a' || o_orderkey as text, 1 as x0, false as pending from orders union all "
+    "select o_orderkey, 1, 0, 'b', 9, true from orders",
+)
 def table_cells(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "1 as page", f"{TABLE} as grid", "named_struct('x0', 9D) as box")
+    rows = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as doc_id",
+        "1 as page",
+        f"{TABLE} as grid",
+        "named_struct('x0', 9D) as box",
+    )
     return files.table_cells(rows).select("doc_id", "row", "col", "text", F.col("box.x0").cast("int").alias("x0"), "pending")
 
 
-@query("cache_split", "select kind, count(*) as n from (select case when user_id % 2 = 0 then 'hit' else 'miss' end as kind from (select distinct user_id from events)) group by kind")
+@query(
+    "cache_split",
+    "select kind, count(*) as n from (select case when user_id % 2 = 0 then 'hit' else 'miss' end as kind from (select distinct "
+    "user_id from events)) group by kind",
+)
 def cache_split(spark, sf_dir):
-    users = read(spark, sf_dir, "events").select("user_id").distinct().select("user_id", text.cache_key(F.col("user_id").cast("string")).alias("key"))
+    users = (
+        read(spark, sf_dir, "events")
+        .select("user_id")
+        .distinct()
+        .select("user_id", text.cache_key(F.col("user_id").cast("string")).alias("key"))
+    )
     kept = users.where("user_id % 2 = 0").select("key", F.lit("answer").alias("value"))
     hits, misses = files.cached(users, kept)
-    return hits.select(F.lit("hit").alias("kind")).unionByName(misses.select(F.lit("miss").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    return (
+        hits.select(F.lit("hit").alias("kind"))
+        .unionByName(misses.select(F.lit("miss").alias("kind")))
+        .groupBy("kind")
+        .agg(F.count("*").alias("n"))
+    )
 
 
-LABELS = derived.by_remainder("o_orderkey", ["'Valor brutto por acao'", "'Data de pagamemto'", "'Observação geral'", "'Data-base'", "'lmposto de renda retid0 na fonte'"])
+LABELS = derived.by_remainder(
+    "o_orderkey",
+    ["'Valor brutto por acao'", "'Data de pagamemto'", "'Observação geral'", "'Data-base'", "'lmposto de renda retid0 na fonte'"],
+)
 
 
 @query("fuzzy_anchors")
@@ -422,7 +632,20 @@ def fuzzy_anchors(spark, sf_dir):
 def fuzzy_evidence(spark, sf_dir):
     """The whole of grounding: what is absent in a reading from pixels gets a last chance by similarity."""
     raw = "'Foi aprovado o pagament0 de dividend0s no valor de R$ ' || cast(o_custkey as string) || ',50 por ação em 10/05/2026'"
-    evidence = derived.by_remainder("o_orderkey", ["'pagamento de dividendos no valor de R$ ' || cast(o_custkey as string) || ',50'", "'pagamnto de dividendos n valor de R$ ' || cast(o_custkey as string)", "'grupamento de ações na razão'"])
+    evidence = derived.by_remainder(
+        "o_orderkey",
+        [
+            "'pagamento de dividendos no valor de R$ ' || cast(o_custkey as string) || ',50'",
+            "'pagamnto de dividendos n valor de R$ ' || cast(o_custkey as string)",
+            "'grupamento de ações na razão'",
+        ],
+    )
     kind = derived.by_remainder("o_orderkey", ["'text_layer'", "'ocr_deterministic'"])
-    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "'f' as field", f"{evidence} as evidence", f"{raw} as raw", f"{kind} as reader_kind")
+    rows = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as doc_id",
+        "'f' as field",
+        f"{evidence} as evidence",
+        f"{raw} as raw",
+        f"{kind} as reader_kind",
+    )
     return fields.ground(rows).select("doc_id", "status", F.round("near", 6).alias("near"))

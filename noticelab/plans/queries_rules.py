@@ -13,7 +13,9 @@ from .registry import SHORT_DAY, firsts_sql, joined, normal_sql, ptbr_sql, query
 # --- dates ---------------------------------------------------------------------
 
 D = "cast(o_orderdate as date)"
-LONG_FORM = f"cast(day({D}) as string) || '{{}}' || case month({D}) " + " ".join(f"when {i + 1} then {m}" for i, m in enumerate(derived.MONTHS)) + f" end || ' de ' || cast(year({D}) as string)"
+LONG_FORM = f"cast(day({D}) as string) || '{{}}' || case month({D}) " + " ".join(
+    f"when {i + 1} then {m}" for i, m in enumerate(derived.MONTHS)
+) + f" end || ' de ' || cast(year({D}) as string)"
 RAW_DATES = derived.by_remainder(
     "o_orderkey",
     [
@@ -52,7 +54,11 @@ def _raw_dates(spark, sf_dir):
 )
 def date_repair(spark, sf_dir):
     fixed = fields.repair_date(F.col("raw"), F.lit("baixa"), F.lit("ocr_deterministic"))
-    return _raw_dates(spark, sf_dir).withColumn("f", fixed).select("doc_id", "f.value", joined("f.candidates").alias("candidates"), "f.absence_reason")
+    return (
+        _raw_dates(spark, sf_dir)
+        .withColumn("f", fixed)
+        .select("doc_id", "f.value", joined("f.candidates").alias("candidates"), "f.absence_reason")
+    )
 
 
 @query("ambiguous_dates", f"with {REPAIRED_SQL} select doc_id, head || unnest({firsts_sql('ys')}) as candidate from lists")
@@ -60,12 +66,23 @@ def ambiguous_dates(spark, sf_dir):
     return _raw_dates(spark, sf_dir).select("doc_id", F.explode(dates.year_candidates(F.col("raw"))).alias("candidate"))
 
 
-@query("written_dates", f"with {REPAIRED_SQL} select doc_id, {written_sql('n')} as value, nullif(regexp_extract(n, '{dates.ANY_DATE}', 1), '') as first from parts")
+@query(
+    "written_dates",
+    f"with {REPAIRED_SQL} select doc_id, {written_sql('n')} as value, nullif(regexp_extract(n, '{dates.ANY_DATE}', 1), '') as first "
+    f"from parts",
+)
 def written_dates(spark, sf_dir):
-    return _raw_dates(spark, sf_dir).select("doc_id", dates.written_date(F.col("raw"))["value"].alias("value"), dates.first_date(F.col("raw")).alias("first"))
+    return _raw_dates(spark, sf_dir).select(
+        "doc_id",
+        dates.written_date(F.col("raw"))["value"].alias("value"),
+        dates.first_date(F.col("raw")).alias("first"),
+    )
 
 
-LENIENT = derived.by_remainder("o_orderkey", [f"{derived.slashed(D)} || ' às 10h'", f"cast({D} as string) || 'T00:00'", "'31/02/2026'", "'2026-02-30'", "'x 01/02/2026'", "''"])
+LENIENT = derived.by_remainder(
+    "o_orderkey",
+    [f"{derived.slashed(D)} || ' às 10h'", f"cast({D} as string) || 'T00:00'", "'31/02/2026'", "'2026-02-30'", "'x 01/02/2026'", "''"],
+)
 
 
 @query(
@@ -80,10 +97,16 @@ def lenient_dates(spark, sf_dir):
     return rows.select("doc_id", "value", dates.show(F.col("value")).alias("shown"))
 
 
-PROSE_SQL = ", ".join(f"nullif(regexp_extract(n, '{p.replace('(DATE)', dates.ANY_DATE)}', 1), '')" for p in vocabulary.PROSE["approval_date"])
+PROSE_SQL = ", ".join(
+    f"nullif(regexp_extract(n, '{p.replace('(DATE)', dates.ANY_DATE)}', 1), '')" for p in vocabulary.PROSE["approval_date"]
+)
 
 
-@query("prose_dates", f"with {derived.TEXTS_SQL}, t as (select doc_id, {normal_sql('raw')} as n from texts), f as (select doc_id, coalesce({PROSE_SQL}) as found from t) select doc_id, found as raw, {written_sql('found')} as value from f")
+@query(
+    "prose_dates",
+    f"with {derived.TEXTS_SQL}, t as (select doc_id, {normal_sql('raw')} as n from texts), f as (select doc_id, coalesce({PROSE_SQL}) "
+    f"as found from t) select doc_id, found as raw, {written_sql('found')} as value from f",
+)
 def prose_dates(spark, sf_dir):
     rows = derived.texts(spark, sf_dir).withColumn("found", fields.prose_field(F.col("raw"), "approval_date"))
     return rows.select("doc_id", F.col("found").alias("raw"), dates.written_date(F.col("found"))["value"].alias("value"))
@@ -137,10 +160,23 @@ RAW_NUMBERS = derived.by_remainder(
 def ptbr_numbers(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{RAW_NUMBERS} as raw")
     raw = F.col("raw")
-    return rows.select("doc_id", numbers.ptbr_number(raw).alias("ptbr"), numbers.decimal_number(raw).alias("plain"), numbers.first_int(raw).alias("whole"))
+    return rows.select(
+        "doc_id",
+        numbers.ptbr_number(raw).alias("ptbr"),
+        numbers.decimal_number(raw).alias("plain"),
+        numbers.first_int(raw).alias("whole"),
+    )
 
 
-MONEY_TEXT = derived.by_remainder("o_orderkey", ["'Pago R$ ' || cast(o_custkey as string) || ',50 por ação'", "'IRRF de ' || cast(o_orderkey % 30 as string) || ',5 % na fonte'", "'nada'", "'r$1.000,00. e 3%'"])
+MONEY_TEXT = derived.by_remainder(
+    "o_orderkey",
+    [
+        "'Pago R$ ' || cast(o_custkey as string) || ',50 por ação'",
+        "'IRRF de ' || cast(o_orderkey % 30 as string) || ',5 % na fonte'",
+        "'nada'",
+        "'r$1.000,00. e 3%'",
+    ],
+)
 
 
 @query(
@@ -155,7 +191,16 @@ def money_and_percent(spark, sf_dir):
 
 # --- identifiers -----------------------------------------------------------------
 
-ID_TEXT = f"{derived.TEXTS['raw']} || " + derived.by_remainder("o_orderkey", ["' ISIN: US03783310051 x'", "' isin（BRAAAAACNOR4） e ABCD3'", "' 12345678000195/ABCD11 ISIN12'", "''", "' BRAAAAACNOR4 ISINBRBBBBACNOR40'"])
+ID_TEXT = f"{derived.TEXTS['raw']} || " + derived.by_remainder(
+    "o_orderkey",
+    [
+        "' ISIN: US03783310051 x'",
+        "' isin（BRAAAAACNOR4） e ABCD3'",
+        "' 12345678000195/ABCD11 ISIN12'",
+        "''",
+        "' BRAAAAACNOR4 ISINBRBBBBACNOR40'",
+    ],
+)
 IDS_SQL = rf"""t as (select o_orderkey as doc_id, upper(replace(replace({ID_TEXT}, '（', ' ('), '）', ') ')) as up from orders),
 ids as (select doc_id, regexp_extract_all(up, 'ISIN[^A-Z0-9]{{0,4}}([A-Z]{{2}}[A-Z0-9]{{9}}[0-9])', 1) as named, regexp_extract_all(up, '[A-Z0-9]+') as words,
   regexp_extract_all(up, '([0-9]{{2}}\.?[0-9]{{3}}\.?[0-9]{{3}}/?[0-9]{{4}}-?[0-9]{{2}})', 1) as tax from t),
@@ -164,11 +209,20 @@ found as (select doc_id, list_concat(named, list_filter(words, lambda w: regexp_
   list_transform(tax, lambda x: regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '([0-9]{{2}})([0-9]{{3}})([0-9]{{3}})([0-9]{{4}})([0-9]{{2}})', '\1.\2.\3/\4-\5')) as cnpjs from ids)"""
 
 
-@query("identifier_extract", f"with {IDS_SQL} select doc_id, array_to_string({firsts_sql('isins')}, ',') as isins, array_to_string({firsts_sql('tickers')}, ',') as tickers, array_to_string({firsts_sql('cnpjs')}, ',') as cnpjs from found")
+@query(
+    "identifier_extract",
+    f"with {IDS_SQL} select doc_id, array_to_string({firsts_sql('isins')}, ',') as isins, array_to_string({firsts_sql('tickers')}, ',') "
+    f"as tickers, array_to_string({firsts_sql('cnpjs')}, ',') as cnpjs from found",
+)
 def identifier_extract(spark, sf_dir):
     c = F.col("raw")
     rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{ID_TEXT} as raw")
-    return rows.select("doc_id", joined(text.find_isins(c)).alias("isins"), joined(text.find_tickers(c)).alias("tickers"), joined(text.find_cnpjs(c)).alias("cnpjs"))
+    return rows.select(
+        "doc_id",
+        joined(text.find_isins(c)).alias("isins"),
+        joined(text.find_tickers(c)).alias("tickers"),
+        joined(text.find_cnpjs(c)).alias("cnpjs"),
+    )
 
 
 WORDS = {
@@ -179,7 +233,9 @@ WORDS = {
     "share_class": derived.by_remainder("o_orderkey", ["'ordinárias'", "'Preferencial'", "'PN e ON'", "'unit'"]),
     "issuer": "' Alfa SA '",
 }
-WORDS_SQL = "w as (" + " union all ".join(f"select o_orderkey as doc_id, '{f}' as field, {x} as raw from orders" for f, x in WORDS.items()) + ")"
+WORDS_SQL = "w as (" + " union all ".join(
+    f"select o_orderkey as doc_id, '{f}' as field, {x} as raw from orders" for f, x in WORDS.items()
+) + ")"
 
 
 @query(
@@ -191,11 +247,21 @@ WORDS_SQL = "w as (" + " union all ".join(f"select o_orderkey as doc_id, '{f}' a
       when 'share_class' then case when contains(up, 'PREFERENC') or contains(up, 'PN') then 'PN' when contains(up, 'ORDIN') or contains(up, 'ON') then 'ON' else plain end else plain end as value from p""",
 )
 def identifier_repair(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"explode(array({', '.join(f'struct({chr(39)}{f}{chr(39)} as field, {x} as raw)' for f, x in WORDS.items())})) as x").select("doc_id", "x.*")
+    rows = (
+        read(spark, sf_dir, "orders")
+        .selectExpr(
+            "o_orderkey as doc_id",
+            f"explode(array({', '.join(f'struct({chr(39)}{f}{chr(39)} as field, {x} as raw)' for f, x in WORDS.items())})) as x",
+        )
+        .select("doc_id", "x.*")
+    )
     return rows.select("doc_id", "field", fields.repair_identifier(F.col("field"), F.col("raw")).alias("value"))
 
 
-CLASS_TEXT = derived.by_remainder("o_orderkey", ["'ações ordinárias e preferenciais'", "'ação ON'", "'Ordinária'", "'conta pn.'", "'once upon'"])
+CLASS_TEXT = derived.by_remainder(
+    "o_orderkey",
+    ["'ações ordinárias e preferenciais'", "'ação ON'", "'Ordinária'", "'conta pn.'", "'once upon'"],
+)
 
 
 @query(
@@ -204,7 +270,10 @@ CLASS_TEXT = derived.by_remainder("o_orderkey", ["'ações ordinárias e prefere
     select doc_id, case when contains(n, 'preferencia') or regexp_matches(n, '\bpn\b') then 'PN' when contains(n, 'ordinaria') or regexp_matches(n, '\bon\b') then 'ON' end as share_class from t""",
 )
 def share_classes(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.share_class(F.expr(CLASS_TEXT)).alias("share_class"))
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"),
+        text.share_class(F.expr(CLASS_TEXT)).alias("share_class"),
+    )
 
 
 # --- labels, evidence ----------------------------------------------------------------
@@ -232,11 +301,30 @@ p as (select *, case when len(wide) = 2 then wide when len(wide) = 1 and len(nar
     union all select doc_id, 1, parts[2], 100000 from p where parts is not null""",
 )
 def split_fused(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "1 as page", "'r' as reader", "0 as block_order", f"{FUSED} as text", "0D as x0", "0D as y0", "100000D as x1", "10D as y1")
+    rows = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as doc_id",
+        "1 as page",
+        "'r' as reader",
+        "0 as block_order",
+        f"{FUSED} as text",
+        "0D as x0",
+        "0D as y0",
+        "100000D as x1",
+        "10D as y1",
+    )
     return reading.split_fused(rows).select("doc_id", "piece", "text", F.floor(F.col("x1")).cast("long").alias("x1"))
 
 
-EVIDENCE = derived.by_remainder("doc_id", ["regexp_extract(raw, 'ISIN: (BRTK[0-9]+)', 1)", "replace(upper(split_part(raw, chr(10), 2)), ' ', '')", "split_part(raw, chr(10), 1) || ', ' || split_part(raw, chr(10), 2)", "'não consta'", "' '"])
+EVIDENCE = derived.by_remainder(
+    "doc_id",
+    [
+        "regexp_extract(raw, 'ISIN: (BRTK[0-9]+)', 1)",
+        "replace(upper(split_part(raw, chr(10), 2)), ' ', '')",
+        "split_part(raw, chr(10), 1) || ', ' || split_part(raw, chr(10), 2)",
+        "'não consta'",
+        "' '",
+    ],
+)
 LOCATE_SQL = f"""{derived.TEXTS_SQL}, l as (select doc_id, string_split(raw, chr(10)) as lines, {EVIDENCE} as evidence, case when doc_id % 2 = 0 then 'ações' end as value from texts),
 b as (select doc_id, unnest(range(0, len(lines))) as block_order, unnest(lines) as block, evidence, value from l where trim(evidence) <> ''),
 s as (select doc_id, block_order, {normal_sql('block')} as nb, {squash_sql('block')} as sb, {normal_sql('evidence')} as ne, {squash_sql('evidence')} as se, {squash_sql('value')} as sv from b),
@@ -252,7 +340,12 @@ q as (select doc_id, block_order, case when contains(nb, ne) then 1.0 when conta
 def evidence_locate(spark, sf_dir):
     rows = derived.texts(spark, sf_dir)
     blocks = rows.select("doc_id", F.posexplode(F.split("raw", "\n")).alias("block_order", "text"))
-    evidence = rows.selectExpr("doc_id", "1 as evidence_id", f"{EVIDENCE} as evidence", "case when doc_id % 2 = 0 then 'ações' end as value")
+    evidence = rows.selectExpr(
+        "doc_id",
+        "1 as evidence_id",
+        f"{EVIDENCE} as evidence",
+        "case when doc_id % 2 = 0 then 'ações' end as value",
+    )
     return fields.locate(evidence, blocks).withColumn("quality", F.col("quality").cast("decimal(6,4)"))
 
 
@@ -275,7 +368,12 @@ CANDIDATES = {
     "rule": "case when o_orderkey % 7 = 0 then null else 'R$ ' || cast(o_orderkey % 100 as string) || ',50' end",
     "text": "case when o_orderkey % 3 = 0 then cast(o_orderkey % 90 as string) || ',5' else cast(o_orderkey % 100 as string) || ',500' end",
 }
-CANDIDATES_SQL = "said as (" + " union all ".join(f"select o_orderkey as doc_id, '{e}' as extractor, {place} as place, {seq} as seq, {x if seq else chr(39) + 'old' + chr(39)} as value_raw from orders" for place, (e, x) in enumerate(CANDIDATES.items(), 1) for seq in (0, 1)) + ")"
+CANDIDATES_SQL = "said as (" + " union all ".join(
+    f"select o_orderkey as doc_id, '{e}' as extractor, {place} as place, {seq} as seq, {x if seq else chr(39) + 'old' + chr(39)} as value_raw from orders" for place, (e, x) in enumerate(
+        CANDIDATES.items(),
+        1,
+    ) for seq in (0, 1)
+) + ")"
 
 
 @query(
@@ -285,8 +383,17 @@ CANDIDATES_SQL = "said as (" + " union all ".join(f"select o_orderkey as doc_id,
     select doc_id, value_raw, votes, readings > 1 as disputed from (select *, count(*) over (partition by doc_id) as readings, row_number() over (partition by doc_id order by votes desc, place) as n from g) where n = 1""",
 )
 def candidate_merge(spark, sf_dir):
-    items = [f"struct('gross_per_share' as field, '{e}' as extractor, {seq} as seq, {x if seq else chr(39) + 'old' + chr(39)} as value_raw)" for e, x in CANDIDATES.items() for seq in (0, 1)]
-    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"explode(array({', '.join(items)})) as x").select("doc_id", "x.*")
+    items = [
+        f"struct('gross_per_share' as field, '{e}' as extractor, {seq} as seq, {x if seq else chr(39) + 'old' + chr(39)} as value_raw)" for e, x in CANDIDATES.items() for seq in (
+            0,
+            1,
+        )
+    ]
+    rows = (
+        read(spark, sf_dir, "orders")
+        .selectExpr("o_orderkey as doc_id", f"explode(array({', '.join(items)})) as x")
+        .select("doc_id", "x.*")
+    )
     return fields.merge(rows, ["rule", "text"]).select("doc_id", "value_raw", "votes", "disputed")
 
 
@@ -296,7 +403,9 @@ HALVES = [
     ("text", "ratio_from", "'1 (uma)'", "o_orderkey % 13 <> 0"),
     ("text", "ratio_to", "cast(case when o_orderkey % 3 = 0 then o_orderkey % 4 + 1 else 2 end as string)", "o_orderkey % 5 <> 0"),
 ]
-HALVES_SQL = "halves as (" + " union all ".join(f"select o_orderkey as doc_id, '{e}' as extractor, {x} as value_raw from orders where {w}" for e, _, x, w in HALVES) + ")"
+HALVES_SQL = "halves as (" + " union all ".join(
+    f"select o_orderkey as doc_id, '{e}' as extractor, {x} as value_raw from orders where {w}" for e, _, x, w in HALVES
+) + ")"
 
 
 @query(
@@ -306,7 +415,15 @@ HALVES_SQL = "halves as (" + " union all ".join(f"select o_orderkey as doc_id, '
 )
 def ratio_pair(spark, sf_dir):
     rows = read(spark, sf_dir, "orders")
-    parts = [rows.where(w).selectExpr("o_orderkey as doc_id", f"'{f}' as field", f"'{e}' as extractor", "0 as seq", f"{x} as value_raw") for e, f, x, w in HALVES]
+    parts = [
+        rows.where(w).selectExpr(
+            "o_orderkey as doc_id",
+            f"'{f}' as field",
+            f"'{e}' as extractor",
+            "0 as seq",
+            f"{x} as value_raw",
+        ) for e, f, x, w in HALVES
+    ]
     return fields.ratio_pair_agrees(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
 
 
@@ -317,7 +434,10 @@ READS = {
 }
 ASKED = "'R$ ' || cast(o_custkey % 50 as string) || ',50'"
 HOLDS_SQL = f"""h as (select o_orderkey as doc_id, o_custkey, {ASKED} as value, list_filter([{', '.join(f"case when contains({squash_sql(x)}, {squash_sql(ASKED)}) then '{k}' end" for k, x in READS.items())}], lambda k: k is not null) as kinds from orders)"""
-LEVEL_SQL = "case when list_contains(kinds, 'text_layer') then case when len(kinds) > 1 then 'muito_alta' else 'alta' end when len(kinds) > 1 then 'media' else 'baixa' end"
+LEVEL_SQL = (
+    "case when list_contains(kinds, 'text_layer') then case when len(kinds) > 1 then 'muito_alta' else 'alta' end when len(kinds) > 1 "
+    "then 'media' else 'baixa' end"
+)
 
 
 def _reads(spark, sf_dir):
@@ -329,10 +449,19 @@ def _reads(spark, sf_dir):
 def sweep_accept(spark, sf_dir):
     reads = _reads(spark, sf_dir)
     returned = reads.select("doc_id", F.lit("gross_per_share").alias("field"), "value")
-    return fields.sweep_accept(returned, returned.where("doc_id % 7 <> 0"), reads.select("doc_id", "reads"), reading.level_of).select("doc_id", "value", "level")
+    return fields.sweep_accept(
+        returned,
+        returned.where("doc_id % 7 <> 0"),
+        reads.select("doc_id", "reads"),
+        reading.level_of,
+    ).select("doc_id", "value", "level")
 
 
-@query("sweep_confirm", f"with {HOLDS_SQL} select doc_id, array_to_string(list_filter(['text_layer','ocr_deterministic','ocr_generative'], lambda k: k = 'ocr_generative' or list_contains(kinds, k)), ',') as kinds from h where o_custkey % 50 = o_custkey % 60")
+@query(
+    "sweep_confirm",
+    f"with {HOLDS_SQL} select doc_id, array_to_string(list_filter(['text_layer','ocr_deterministic','ocr_generative'], lambda k: k = "
+    f"'ocr_generative' or list_contains(kinds, k)), ',') as kinds from h where o_custkey % 50 = o_custkey % 60",
+)
 def sweep_confirm(spark, sf_dir):
     rows = _reads(spark, sf_dir)
     kept = rows.select("doc_id", F.lit("gross_per_share").alias("field"), "value", F.array(F.lit("ocr_generative")).alias("kinds"))
@@ -341,7 +470,10 @@ def sweep_confirm(spark, sf_dir):
     return fields.sweep_confirm(returned, kept, rows.select("doc_id", "reads")).select("doc_id", joined("kinds").alias("kinds"))
 
 
-SAID = "'valor de R$ ' || cast(o_custkey % 50 as string) || ',50 em ' || cast(o_orderkey % 7 as string) || ' de 10.05.2026, ver ' || cast(o_orderkey % 3 * 100 as string)"
+SAID = (
+    "'valor de R$ ' || cast(o_custkey % 50 as string) || ',50 em ' || cast(o_orderkey % 7 as string) || ' de 10.05.2026, ver ' || "
+    "cast(o_orderkey % 3 * 100 as string)"
+)
 KNOWN = "array(cast(o_custkey % 40 as string) || ',5000', '10/05/2026', '3')"
 PLAIN_SQL = "regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '0+$', '')"
 

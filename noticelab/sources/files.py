@@ -57,8 +57,22 @@ def table_cells(tables: DataFrame) -> DataFrame:
     """One block per non-empty cell of tables (doc_id, page, grid: rows of cells
     (text, box), box); a cell without a box has its table's, and is pending."""
     rows = tables.select("doc_id", "page", "box", F.posexplode("grid").alias("row", "cells"))
-    cells = rows.select("doc_id", "page", "row", F.col("box").alias("_table"), F.posexplode("cells").alias("col", "cell")).where(F.trim("cell.text") != "")
-    return cells.select("doc_id", "page", "row", "col", F.col("cell.text").alias("text"), F.coalesce("cell.box", "_table").alias("box"), F.col("cell.box").isNull().alias("pending"))
+    cells = rows.select(
+        "doc_id",
+        "page",
+        "row",
+        F.col("box").alias("_table"),
+        F.posexplode("cells").alias("col", "cell"),
+    ).where(F.trim("cell.text") != "")
+    return cells.select(
+        "doc_id",
+        "page",
+        "row",
+        "col",
+        F.col("cell.text").alias("text"),
+        F.coalesce("cell.box", "_table").alias("box"),
+        F.col("cell.box").isNull().alias("pending"),
+    )
 
 
 def text_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -79,7 +93,11 @@ def markdown_pairs(docs: DataFrame, column: str = "text") -> DataFrame:
         .when(F.size(leader) == 2, leader)
         .when(F.col("line").endswith(":") & after.isNotNull(), F.array(F.regexp_replace("line", ":$", ""), after))
     )
-    return lines.withColumn("pair", pair).where("pair is not null").select("doc_id", "line_no", F.col("pair")[0].alias("label"), F.col("pair")[1].alias("value"))
+    return (
+        lines.withColumn("pair", pair)
+        .where("pair is not null")
+        .select("doc_id", "line_no", F.col("pair")[0].alias("label"), F.col("pair")[1].alias("value"))
+    )
 
 
 def records(notices: DataFrame, fields: DataFrame, findings: DataFrame, reasons: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -107,7 +125,16 @@ def exceptions_report(verdicts: DataFrame, reasons: DataFrame, limit: int = 1000
     rank = F.when(F.col("disposition") == "blocked", 0).when(F.col("disposition") == "failed", 1).otherwise(2)
     texts = reasons.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "code", "field"))), "; ").alias("why"))
     rows = verdicts.where("disposition <> 'auto'").join(texts, "doc_id", "left").orderBy(rank, "doc_id").limit(limit).collect()
-    head = ["# Exceptions", "", "| disposition | documents |", "|---|---|", *[f"| {k} | {n} |" for k, n in sorted(counts.items())], "", "| document | disposition | reasons |", "|---|---|---|"]
+    head = [
+        "# Exceptions",
+        "",
+        "| disposition | documents |",
+        "|---|---|",
+        *[f"| {k} | {n} |" for k, n in sorted(counts.items())],
+        "",
+        "| document | disposition | reasons |",
+        "|---|---|---|",
+    ]
     return "\n".join(head + [f"| {r['doc_id']} | {r['disposition']} | {r['why'] or ''} |" for r in rows]) + "\n"
 
 

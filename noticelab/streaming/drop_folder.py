@@ -10,7 +10,17 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import triage, validators
 
 
-def triage_stream(spark: SparkSession, folder: str, schema, golden: DataFrame, specs: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, window: Callable[[], dict] = dict) -> StreamingQuery:
+def triage_stream(
+    spark: SparkSession,
+    folder: str,
+    schema,
+    golden: DataFrame,
+    specs: DataFrame,
+    out: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    window: Callable[[], dict] = dict,
+) -> StreamingQuery:
     """Watch a folder of Parquet notices; each batch's verdicts are appended to
     `out`.  Documents are independent, so a batch is triaged by the same plan as
     a table; a batch that is run again replaces its own folder."""
@@ -20,4 +30,9 @@ def triage_stream(spark: SparkSession, folder: str, schema, golden: DataFrame, s
         triage.disposition(triage.reasons_of(findings), rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     source = spark.readStream.schema(schema).parquet(folder)
-    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return (
+        source.writeStream.foreachBatch(batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

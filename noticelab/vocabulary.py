@@ -55,8 +55,21 @@ REASONS = {
     "NO_CORROBORATION": ("review", "consenso", "ausencia"),
 }
 LAYERS = ("consenso", "classificacao", "extracao", "validacao")
-LOOKUP_SEVERITY = {"MATCH": "pass", "MISMATCH": "warn", "WEAK_MATCH": "warn", "KEY_CONFLICT": "warn", "NOT_FOUND": "info", "INACTIVE": "info"}
-LOOKUP_REASON = {"NOT_FOUND": "ISSUER_NOT_IN_GOLDEN", "KEY_CONFLICT": "IDENTIFIER_KEY_CONFLICT", "WEAK_MATCH": "IDENTIFIER_WEAK_MATCH", "INACTIVE": "ISSUER_INACTIVE", "MISMATCH": "IDENTIFIER_MISMATCH"}
+LOOKUP_SEVERITY = {
+    "MATCH": "pass",
+    "MISMATCH": "warn",
+    "WEAK_MATCH": "warn",
+    "KEY_CONFLICT": "warn",
+    "NOT_FOUND": "info",
+    "INACTIVE": "info",
+}
+LOOKUP_REASON = {
+    "NOT_FOUND": "ISSUER_NOT_IN_GOLDEN",
+    "KEY_CONFLICT": "IDENTIFIER_KEY_CONFLICT",
+    "WEAK_MATCH": "IDENTIFIER_WEAK_MATCH",
+    "INACTIVE": "ISSUER_INACTIVE",
+    "MISMATCH": "IDENTIFIER_MISMATCH",
+}
 TICKER_CLASSES = {"3": "ON", "4": "PN", "5": "PNA", "6": "PNB", "11": "UNIT"}
 
 # Event type, pattern, weight, whether it defines the type.
