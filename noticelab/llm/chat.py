@@ -137,7 +137,12 @@ def as_record(turns: list[tuple[str, str]], odd: bool) -> dict:
 def records(conversations: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as records: conv_id, part, record (JSON).
     The parts of a conversation ascend in the order of its turns."""
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select(
+        F.col("conv_id").cast("long"),
+        F.col("turn").cast("long"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     order = ("conv_id", "turn", F.xxhash64("role", "text"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions("conv_id", "turn", F.xxhash64("role", "text"), "role", "text")
 
@@ -157,7 +162,10 @@ def records(conversations: DataFrame) -> DataFrame:
                 chars += len(text)
             yield pd.DataFrame(out, columns=["conv_id", "part", "record"]).astype({"conv_id": "Int64"})
         if turns:
-            yield pd.DataFrame([(key, part, json.dumps(as_record(turns, bool((key or 0) % 2))))], columns=["conv_id", "part", "record"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(
+                [(key, part, json.dumps(as_record(turns, bool((key or 0) % 2))))],
+                columns=["conv_id", "part", "record"],
+            ).astype({"conv_id": "Int64"})
 
     return _shared.map_frames(rows, built, "conv_id long, part long, record string")
 
@@ -176,9 +184,21 @@ def format_records(rows: DataFrame) -> DataFrame:
         mappings = registry()
         for pdf in frames:
             got = [one(r, mappings) for r in pdf["record"]]
-            yield pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "formatted": [t for t, _, _ in got], "loss": [m for _, m, _ in got], "rejected": [r for _, _, r in got]})
-
-    return _shared.map_frames(rows, formatted, "conv_id long, part long, formatted string, loss array<struct<start: long, end: long>>, rejected string")
+            yield pd.DataFrame(
+                {
+                    "conv_id": pdf["conv_id"],
+                    "part": pdf["part"],
+                    "formatted": [t for t, _, _ in got],
+                    "loss": [m for _, m, _ in got],
+                    "rejected": [r for _, _, r in got],
+                }
+            )
+
+    return _shared.map_frames(
+        rows,
+        formatted,
+        "conv_id long, part long, formatted string, loss array<struct<start: long, end: long>>, rejected string",
+    )
 
 
 def read_back(output: DataFrame) -> DataFrame:
@@ -211,8 +231,17 @@ def read_back(output: DataFrame) -> DataFrame:
         if state is not None:
             yield pd.DataFrame([done()], columns=names).astype({"conv_id": "Int64"})
 
-    rows = output.where("rejected is null").select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return _shared.map_frames(rows, read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = (
+        output.where("rejected is null")
+        .select("conv_id", "part", "formatted", "loss")
+        .repartition("conv_id")
+        .sortWithinPartitions("conv_id", "part")
+    )
+    return _shared.map_frames(
+        rows,
+        read,
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,4 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         last = now
     roots = state.select(F.col("b").alias("node")).distinct()
-    return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    return state.select(
+        F.col("a").alias("node"),
+        F.col("b").alias("component"),
+    ).unionByName(roots.select("node", F.col("node").alias("component")))

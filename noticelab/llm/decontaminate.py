@@ -74,7 +74,9 @@ def _plan(lengths: np.ndarray, s: Settings) -> list[dict]:
     """The repetitions: a random walk each, and sampled steps as shares of an item's own walk."""
     rng = np.random.default_rng(s.seed)
     deepest = int(lengths.max()) * 2
-    return [{"salts": [int(x) | 1 for x in rng.integers(1, 1 << 62, deepest)], "shares": np.sort(rng.random(s.sampled))} for _ in range(s.most)]
+    return [
+        {"salts": [int(x) | 1 for x in rng.integers(1, 1 << 62, deepest)], "shares": np.sort(rng.random(s.sampled))} for _ in range(s.most)
+    ]
 
 
 def _keys(words, starts, ends, lengths, rep) -> np.ndarray:
@@ -155,7 +157,17 @@ def index(items: list[tuple[int, str]], s: Settings = Settings()) -> dict | None
     single = np.flatnonzero(lengths == 1)
     order = np.argsort(words[starts[single]], kind="stable")
     singles = {"words": words[starts[single]][order], "items": single[order]}
-    return {"singles": singles, "ids": ids, "seqs": seqs, "lengths": lengths, **_pair_table(seqs, lengths), "direct": _direct_table(seqs, lengths, direct), "reps": kept, "expected": min(expected.values()), "max_edits": s.max_edits}
+    return {
+        "singles": singles,
+        "ids": ids,
+        "seqs": seqs,
+        "lengths": lengths,
+        **_pair_table(seqs, lengths),
+        "direct": _direct_table(seqs, lengths, direct),
+        "reps": kept,
+        "expected": min(expected.values()),
+        "max_edits": s.max_edits,
+    }
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
@@ -174,7 +186,10 @@ def _direct_table(seqs: list[np.ndarray], lengths: np.ndarray, items: np.ndarray
     """The word pairs of the items that are searched without walks, each with the items that have it."""
     if not len(items):
         return None
-    rows = np.unique(np.stack([np.concatenate([_pairs(seqs[i]) for i in items]), np.repeat(items, lengths[items] - 1).astype(np.uint64)], 1), axis=0)
+    rows = np.unique(
+        np.stack([np.concatenate([_pairs(seqs[i]) for i in items]), np.repeat(items, lengths[items] - 1).astype(np.uint64)], 1),
+        axis=0,
+    )
     pairs, first = np.unique(rows[:, 0], return_index=True)
     return {"pairs": pairs, "first": np.append(first, len(rows)), "items": rows[:, 1].astype(int), "lengths": np.unique(lengths[items])}
 
@@ -356,7 +371,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
         def search(frames, held=held):
             for pdf in frames:
                 idx, ids = held.value, [None if x is pd.NA else x for x in pdf["doc_id"]]
-                rows = [(ids[d], idx["ids"][k], begin, size, edits, len(idx["seqs"][k])) for d, k, begin, size, edits in matches(pdf["text"], idx)]
+                rows = [
+                    (
+                        ids[d],
+                        idx["ids"][k],
+                        begin,
+                        size,
+                        edits,
+                        len(idx["seqs"][k]),
+                    ) for d, k, begin, size, edits in matches(pdf["text"], idx)
+                ]
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         got = _shared.map_frames(docs.select(F.col("doc_id").cast("long"), "text"), search, schema)

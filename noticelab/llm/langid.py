@@ -208,9 +208,19 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> dict | None:
     spans, labels = [], []
     # cuts are made where the rows are: each gives a few spans to the driver
     size = SPAN * 4
-    places = F.array(*[F.floor(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1000)) / 1000 * F.greatest(F.length("text") - SPAN, F.lit(1))) for k in range(s.cuts)])
+    places = F.array(
+        *[
+            F.floor(
+                F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1000)) / 1000 * F.greatest(F.length("text") - SPAN, F.lit(1))
+            ) for k in range(s.cuts)
+        ]
+    )
     drawn = learn.where(part).withColumn("_place", F.xxhash64("doc_id", "text", F.lit(18)))
-    cuts = drawn.select("_place", "lang", F.posexplode(F.transform(places, lambda i: F.substring("text", i.cast("int") + 1, F.lit(size)))).alias("_k", "cut"))
+    cuts = drawn.select(
+        "_place",
+        "lang",
+        F.posexplode(F.transform(places, lambda i: F.substring("text", i.cast("int") + 1, F.lit(size)))).alias("_k", "cut"),
+    )
     cuts = cuts.orderBy("_place", "lang", "_k", "cut").limit(s.max_rows * s.cuts).select("lang", "cut")
     for lang, cut in cuts.collect():
         if _letters(cut):

@@ -118,7 +118,12 @@ def cuts(rows: DataFrame, share_percent: int, max_epochs: int, seed: int, weight
     meet = Leaves(leaves)
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * share_percent // 100
     leaf = budgets(leaves.drop("n_rows"), F.lit(total).cast("long"), max_epochs, weights)
-    leaf = leaf.where("tokens > 0").withColumn("epochs", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens")).drop("tokens", "budget")
+    leaf = (
+        leaf.where("tokens > 0")
+        .withColumn("epochs", F.expr("budget div tokens"))
+        .withColumn("rest", F.expr("budget % tokens"))
+        .drop("tokens", "budget")
+    )
     leaf = _shared.written(leaf, "budgets")
     keyed = meet.join(rows.select("doc_id", *TREE, "n_tokens"), leaf.select(*TREE, "epochs"))
     keyed = keyed.withColumn("key", order_key(seed, F.col("epochs") + 1, F.col("doc_id"))).drop("epochs", "doc_id")
@@ -131,7 +136,11 @@ def cuts(rows: DataFrame, share_percent: int, max_epochs: int, seed: int, weight
         counts = counts.withColumn("upto", F.sum("n").over(order)).join(leaf.select(*TREE, "rest"), list(TREE))
         if digits < 32:
             # the first group that the prefix does not hold whole; it always exists, as rest < tokens
-            first = counts.where("upto > rest").groupBy(*TREE).agg(F.min("digits").alias("at"), F.min_by(F.col("rest") - F.col("upto") + F.col("n"), "digits").alias("rest"))
+            first = (
+                counts.where("upto > rest")
+                .groupBy(*TREE)
+                .agg(F.min("digits").alias("at"), F.min_by(F.col("rest") - F.col("upto") + F.col("n"), "digits").alias("rest"))
+            )
             leaf = leaf.drop("at", "rest").join(first, list(TREE))
         else:
             last = counts.where("upto <= rest").groupBy(*TREE).agg(F.max("digits").alias("last"))
@@ -146,7 +155,11 @@ def _tokens(text: Column) -> Column:
 
 def leaf_of(docs: DataFrame) -> list[Column]:
     """The columns of TREE."""
-    return [domain_of(docs["source"]).alias("domain"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), F.coalesce(docs["source"], F.lit("")).alias("source")]
+    return [
+        domain_of(docs["source"]).alias("domain"),
+        F.coalesce(docs["lang"], F.lit("")).alias("lang"),
+        F.coalesce(docs["source"], F.lit("")).alias("source"),
+    ]
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -154,7 +167,13 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *leaf_of(docs), _tokens(docs["text"]).alias("n_tokens"))
 
 
-def mix(docs: DataFrame, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: dict = WEIGHTS) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    share_percent: int = SHARE_PERCENT,
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = SEED,
+    weights: dict = WEIGHTS,
+) -> DataFrame:
     """(doc_id, domain, lang, source, n_tokens, copies) of the documents taken:
     share_percent of all tokens, spread by weights over the tree."""
     rows = _shared.written(sizes(docs), "sizes")

@@ -111,11 +111,17 @@ def _sketch(frames):
                 rows.append((0, None, None, None, None))
                 continue
             sig = signature(found, factors, addends)
-            labels = b"".join(bytes([t]) + (sig[STRIDE * t : STRIDE * t + DEPTH] >> np.uint32(16)).astype(">u2").tobytes() for t in range(TREES))
+            labels = b"".join(
+                bytes([t]) + (sig[STRIDE * t : STRIDE * t + DEPTH] >> np.uint32(16)).astype(">u2").tobytes() for t in range(TREES)
+            )
             low = (sig & np.uint32(15)).astype(np.uint8)
             digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-            rows.append((len(found), digest, labels, (low[::2] << 4 | low[1::2]).tobytes(), packer.compress(text.encode("utf-8", "surrogatepass"))))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"]}).join(pd.DataFrame(rows, columns=["n_shingles", "digest", "labels", "bits", "packed"], index=pdf.index))
+            rows.append(
+                (len(found), digest, labels, (low[::2] << 4 | low[1::2]).tobytes(), packer.compress(text.encode("utf-8", "surrogatepass")))
+            )
+        yield pd.DataFrame({"doc_id": pdf["doc_id"]}).join(
+            pd.DataFrame(rows, columns=["n_shingles", "digest", "labels", "bits", "packed"], index=pdf.index)
+        )
 
 
 def _blocks(frames):
@@ -140,7 +146,9 @@ def _blocks(frames):
 
 def _marks(labels) -> pd.DataFrame:
     found = sorted({bytes(x[:HEAD]) for x in labels})
-    return pd.DataFrame({"block": pd.Series([None] * len(found), dtype=object), "doc_id": pd.Series([pd.NA] * len(found), dtype="Int64"), "region": found})
+    return pd.DataFrame(
+        {"block": pd.Series([None] * len(found), dtype=object), "doc_id": pd.Series([pd.NA] * len(found), dtype="Int64"), "region": found}
+    )
 
 
 def _long(rows: pd.DataFrame) -> pd.DataFrame:
@@ -298,7 +306,11 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
 def _across(nodes: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame:
     """Blocks (block, doc_id) of rows of different classes within the given regions."""
     label = F.explode(F.array(*[F.substring("labels", 1 + LABEL * t, LABEL) for t in range(TREES)])).alias("label")
-    rows = nodes.select("doc_id", "n_shingles", "bits", "labels", label).withColumn("region", F.substring("label", 1, HEAD)).join(regions, "region", "left_semi")
+    rows = (
+        nodes.select("doc_id", "n_shingles", "bits", "labels", label)
+        .withColumn("region", F.substring("label", 1, HEAD))
+        .join(regions, "region", "left_semi")
+    )
     rows = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = _shared.written(rows, "regions")
     width = HEAD
@@ -315,7 +327,11 @@ def _across(nodes: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame
     of = of.where("low < high").select("region", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     rows = rows.join(_shared.written(of, "parts"), "region").withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("low", F.least("k", "other")).withColumn("high", F.greatest("k", "other")).withColumn("side", (F.col("k") > F.col("other")).cast("int"))
+    rows = (
+        rows.withColumn("low", F.least("k", "other"))
+        .withColumn("high", F.greatest("k", "other"))
+        .withColumn("side", (F.col("k") > F.col("other")).cast("int"))
+    )
     rows = rows.select("region", "low", "high", "side", F.lit(width).alias("width"), "doc_id", "n_shingles", "component", "bits", "labels")
     return rows.groupBy("region", "low", "high").applyInPandas(_meet, "block string, doc_id long").distinct()
 
@@ -323,7 +339,11 @@ def _across(nodes: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame
 def _repeated(sketches: DataFrame) -> DataFrame:
     """(doc_id, several): the ids of more than one row, and whether their texts differ."""
     digest = F.coalesce("digest", F.lit(b""))
-    own = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min(digest) != F.max(digest)).alias("several"))
+    own = (
+        sketches.where("doc_id is not null")
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("n"), (F.min(digest) != F.max(digest)).alias("several"))
+    )
     return _shared.written(own.where("n > 1").select("doc_id", "several"), "repeated")
 
 
@@ -339,7 +359,11 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = linkable.select("doc_id", "digest", "n_shingles", "labels", "bits").join(heads, ["digest", "doc_id"], "left_semi")
     nodes = _shared.written(once(nodes).drop("digest"), "nodes")
     labels = F.explode(F.array(*[F.substring("labels", 1 + LABEL * t, LABEL) for t in range(TREES)])).alias("label")
-    rows = nodes.select("doc_id", "n_shingles", "bits", labels).repartitionByRange("label", "doc_id").sortWithinPartitions("label", "doc_id")
+    rows = (
+        nodes.select("doc_id", "n_shingles", "bits", labels)
+        .repartitionByRange("label", "doc_id")
+        .sortWithinPartitions("label", "doc_id")
+    )
     blocks = _shared.written(rows.mapInPandas(_blocks, "block string, doc_id long, region binary").distinct(), "blocks")
 
     def links(blocks: DataFrame) -> DataFrame:
@@ -363,7 +387,9 @@ def _classified(rows: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFra
     often = F.col("n") * HOT_SHARE > named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot, others = F.broadcast(named.where(often).drop("n")), named.where(~often).drop("n")  # HOT_SHARE sets are hot at most
     linked = rows.where("digest is not null and doc_id is not null")
-    linked = linked.join(hot, "digest").unionByName(linked.join(hot.select("digest"), "digest", "left_anti").join(others.hint("merge"), "digest"))
+    linked = linked.join(hot, "digest").unionByName(
+        linked.join(hot.select("digest"), "digest", "left_anti").join(others.hint("merge"), "digest")
+    )
     # a row without a shingle is in the class of another text of its id, if it has one
     empty = rows.where("digest is null and doc_id is not null").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     empty = empty.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
@@ -389,8 +415,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not named.groupBy("doc_id").count().where("count > 1").take(1):
         return _without_copies(docs, docs)
     digest = F.sha2(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")), 256)
-    keys = named.select("doc_id", digest.alias("_digest")).distinct().repartitionByRange("doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
+    keys = (
+        named.select("doc_id", digest.alias("_digest"))
+        .distinct()
+        .repartitionByRange("doc_id", "_digest")
+        .sortWithinPartitions("doc_id", "_digest")
+    )
     keys = _shared.written(keys.withColumn("_key", F.monotonically_increasing_id()), "keys")  # ordered like the ids
-    keyed = named.withColumn("_digest", digest).join(keys, ["doc_id", "_digest"]).withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "doc_id")
+    keyed = (
+        named.withColumn("_digest", digest)
+        .join(keys, ["doc_id", "_digest"])
+        .withColumnRenamed("doc_id", "_id")
+        .withColumnRenamed("_key", "doc_id")
+    )
     once = _without_copies(keyed, keyed).dropDuplicates(["doc_id"])
     return once.drop("doc_id").withColumnRenamed("_id", "doc_id").select(docs.columns).unionByName(docs.where("doc_id is null"))

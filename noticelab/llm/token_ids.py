@@ -74,7 +74,17 @@ def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 def pack(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, ranks: np.ndarray, id_of: np.ndarray) -> bytes:
     control, data = encode_values(ranks)
-    body = b"".join([struct.pack(HEAD, MAGIC, len(docs), len(ranks), len(id_of)), id_of.astype("<u4").tobytes(), docs.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), control, data])
+    body = b"".join(
+        [
+            struct.pack(HEAD, MAGIC, len(docs), len(ranks), len(id_of)),
+            id_of.astype("<u4").tobytes(),
+            docs.astype("<i8").tobytes(),
+            starts.astype("<i8").tobytes(),
+            counts.astype("<i8").tobytes(),
+            control,
+            data,
+        ]
+    )
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -162,7 +172,10 @@ class Known:
 
 
 #: The normal form and the pieces of a tokenizer whose texts may be cut at blanks.
-NORMAL_FORM = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+NORMAL_FORM = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
 PIECES = {
     "type": "Sequence",
     "pretokenizers": [
@@ -227,7 +240,9 @@ class Encoder:
         """Whether a text may be cut at blanks; a null or empty one may."""
         if not text:
             return True
-        return self.cuts and (text.isascii() and "<|" not in text or not any(x in text for x in self.ODD) and unicodedata.is_normalized("NFC", text))
+        return self.cuts and (
+            text.isascii() and "<|" not in text or not any(x in text for x in self.ODD) and unicodedata.is_normalized("NFC", text)
+        )
 
     def _learn(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of new stretches, one after another, and how many each has."""
@@ -342,14 +357,29 @@ def write(docs: DataFrame, path: str | None = None) -> DataFrame:
             places = begin + np.cumsum(sizes) - sizes
             begin += int(sizes.sum())
             tally = _added(tally, np.bincount(np.frombuffer(b"".join(got), encoder.type)))
-            yield pd.DataFrame({"doc_id": own["doc_id"], "place": places, "n_tokens": sizes, "wide": width == 4, "ids": [packer.compress(x) for x in got]})
+            yield pd.DataFrame(
+                {"doc_id": own["doc_id"], "place": places, "n_tokens": sizes, "wide": width == 4, "ids": [packer.compress(x) for x in got]}
+            )
         some = np.flatnonzero(tally)
         if len(some):
-            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "place": [-1], "n_tokens": [begin], "wide": [False], "ids": [np.stack([some, tally[some]]).astype("<i8").tobytes()]})
+            yield pd.DataFrame(
+                {
+                    "doc_id": pd.array([None], "Int64"),
+                    "place": [-1],
+                    "n_tokens": [begin],
+                    "wide": [False],
+                    "ids": [np.stack([some, tally[some]]).astype("<i8").tobytes()],
+                }
+            )
 
     # the last key spreads rows that repeat an id and its text; their order among themselves is the same to all
     order = ("doc_id", "_hash", "_row")
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    rows = docs.select(
+        F.col("doc_id").cast("long"),
+        "text",
+        F.xxhash64("text").alias("_hash"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     rows = _shared.map_frames(rows, encoded, "doc_id long, place long, n_tokens long, wide boolean, ids binary", CUT_BYTES)
     rows = _shared.written(rows.withColumn("part", F.spark_partition_id()), "ids")
@@ -425,7 +455,14 @@ def _read(frames):
             docs, starts, counts, ids = unpack(_shared.get_file(path))
             data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
             sums = [zlib.crc32(data[4 * (e - c) : 4 * e]) for e, c in zip(ends, counts)]
-            yield pd.DataFrame({"doc_id": pd.array([None if d == NO_ID else d for d in docs.tolist()], "Int64"), "start": starts, "n_tokens": counts, "ids_crc32": sums})
+            yield pd.DataFrame(
+                {
+                    "doc_id": pd.array([None if d == NO_ID else d for d in docs.tolist()], "Int64"),
+                    "start": starts,
+                    "n_tokens": counts,
+                    "ids_crc32": sums,
+                }
+            )
 
 
 def read(files: DataFrame) -> DataFrame:

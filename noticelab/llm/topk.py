@@ -128,7 +128,12 @@ def _searched(rows: DataFrame, wave: DataFrame, k: int) -> DataFrame:
             for a in range(0, len(found.ids), TILE_QUERIES):
                 q, r = np.nonzero(found.best[a : a + TILE_QUERIES] != NO_ID)
                 q += a
-                out = {"shard": np.full(len(q), TaskContext.get().partitionId()), "query_id": found.ids[q], "vec_id": found.best[q, r], "score": found.scores[q, r]}
+                out = {
+                    "shard": np.full(len(q), TaskContext.get().partitionId()),
+                    "query_id": found.ids[q],
+                    "vec_id": found.best[q, r],
+                    "score": found.scores[q, r],
+                }
                 yield pa.RecordBatch.from_pydict({n: pa.array(x, pa.int64()) for n, x in out.items()})
 
     found = _shared.written(rows.mapInArrow(search, "shard long, query_id long, vec_id long, score long"), "lists")

@@ -128,7 +128,11 @@ def select(held: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int, prior: float,
 def learn(codes: np.ndarray, p: tuple, n_p: int, u: tuple, n_u: int, prior: float, s: Settings = Settings()) -> dict:
     """The model from the distinct (row, place in codes) pairs of n_p confirmed and n_u unlabelled texts."""
     if not n_p or not n_u or not len(codes):
-        return {"codes": np.zeros(0, np.uint64), "weights": np.zeros((0, s.members), np.float32), "bias": np.full(s.members, -20.0, np.float32)}
+        return {
+            "codes": np.zeros(0, np.uint64),
+            "weights": np.zeros((0, s.members), np.float32),
+            "bias": np.full(s.members, -20.0, np.float32),
+        }
     prior, sides = min(max(prior, 1e-6), 1 - 1e-6), []
     for (rows, k), n in ((p, n_p), (u, n_u)):
         order = np.argsort(rows, kind="stable")
@@ -139,7 +143,9 @@ def learn(codes: np.ndarray, p: tuple, n_p: int, u: tuple, n_u: int, prior: floa
         weights.append(w)
         bias.append(b)
     w, b = np.stack(weights, 1), np.array(bias)
-    zp, zu = (np.stack([_sums(side, w[:, j], np.arange(n))[0] + b[j] for j in range(s.members)], 1).mean(1) for side, n in zip(sides, (n_p, n_u)))
+    zp, zu = (
+        np.stack([_sums(side, w[:, j], np.arange(n))[0] + b[j] for j in range(s.members)], 1).mean(1) for side, n in zip(sides, (n_p, n_u))
+    )
     scale = 4.0
     b = scale * (b - _cut(zp, zu, prior)) + np.log(THRESHOLD / (1 - THRESHOLD))
     return {"codes": codes, "weights": (scale * w).astype(np.float32), "bias": b.astype(np.float32)}
@@ -247,7 +253,12 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
     codes, of_p = counts.column("code").to_numpy().view(np.uint64), counts.column("n").to_numpy()
     order = np.argsort(codes)
     codes, of_p = codes[order], of_p[order]
-    seen = _shared.map_frames(drawn, _places(docs.sparkSession, codes, True), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    seen = (
+        _shared.map_frames(drawn, _places(docs.sparkSession, codes, True), "place int, n long")
+        .groupBy("place")
+        .agg(F.sum("n").alias("n"))
+        .toArrow()
+    )
     of_u = np.zeros(len(codes), np.int64)
     of_u[seen.column("place").to_numpy()] = seen.column("n").to_numpy()
     codes = codes[select(of_p, n_p, of_u, n_u, n_toxic / n, s)]

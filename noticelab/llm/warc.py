@@ -201,7 +201,11 @@ def write(pages: DataFrame, minimum: int = 0) -> DataFrame:
     hot, others = F.broadcast(firsts.where(often).drop("n")), firsts.where(~often).drop("n")
     revisits = sums.join(hot, "sum").unionByName(sums.join(hot.select("sum"), "sum", "left_anti").join(others, "sum"))
     revisits = revisits.select("page_id", "sum", "refers_to").distinct()
-    rows = named.repartition("page_id", "sum").join(revisits.hint("merge"), ["page_id", "sum"], "left").sortWithinPartitions("page_id", "sum")
+    rows = (
+        named.repartition("page_id", "sum")
+        .join(revisits.hint("merge"), ["page_id", "sum"], "left")
+        .sortWithinPartitions("page_id", "sum")
+    )
     rows = rows.unionByName(keyed.where("page_id is null").withColumn("refers_to", F.lit(None).cast("long")))
 
     def archives(frames):
@@ -260,7 +264,11 @@ def read(archives: DataFrame) -> DataFrame:
                 got = [page(*x) for x in records(_shared.get_file(path))]
                 yield pd.DataFrame(got, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return _shared.map_frames(archives.select("path"), rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _shared.map_frames(
+        archives.select("path"),
+        rows,
+        "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long",
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
