@@ -53,13 +53,15 @@ def new_path(spark: SparkSession, label: str) -> str:
 _SWEPT: list[list[str]] = []
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, outside: bool = False) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: its lineage
-    is cut and a lost executor costs nothing but the tasks it was running."""
+    is cut and a lost executor costs nothing but the tasks it was running.  It
+    outlives the innermost `swept` block if asked."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    if _SWEPT:
-        _SWEPT[-1].append(path)
+    scopes = _SWEPT[:-1] if outside else _SWEPT
+    if scopes:
+        scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -280,9 +280,8 @@ def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """Blocks of the rows of two parts of a region (or of one) that may be linked with rows of another class."""
-    region, width = pdf["region"].iloc[0], int(pdf["width"].iloc[0])
-    t, n = region[0], len(pdf)
-    pdf = pdf.sort_values("labels", key=lambda x: x.map(lambda v: v[LABEL * t : LABEL * (t + 1)]), ignore_index=True)
+    region, width, n = pdf["region"].iloc[0], int(pdf["width"].iloc[0]), len(pdf)
+    pdf = pdf.sort_values(["component", "doc_id"], ignore_index=True)
     ids, sizes, bits = pdf["doc_id"].to_numpy(), pdf["n_shingles"].to_numpy(), _agreeing(pdf)
     agreed = np.zeros((n, n), np.float32)
     for value in range(16):
@@ -292,25 +291,25 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     open_ = np.triu(agreed >= AGREE * VALUES, 1)
     del agreed
     open_ &= classes[:, None] != classes[None, :]
-    if pdf["low"].iloc[0] != pdf["high"].iloc[0]:  # each part alone is another task's
+    one, other = pdf["pair"].iloc[0].split(":")
+    if one != other:  # each part alone is another task's
         open_ &= side[:, None] != side[None, :]
     pairs = np.argwhere(open_)
     pairs = pairs[_sizes_allow(sizes[pairs[:, 0]], sizes[pairs[:, 1]])]
-    labels = np.frombuffer(b"".join(pdf["labels"]), np.uint8).reshape(n, TREES, LABEL)
-    for before in range(t):  # what shares a region of an earlier order has met there
-        met = (labels[pairs[:, 0], before, :width] == labels[pairs[:, 1], before, :width]).all(1)
-        pairs = pairs[~met]
+    heads = np.frombuffer(b"".join(pdf["heads"]), np.uint8).reshape(n, TREES, width)
+    for before in range(region[0]):  # what shares a region of an earlier order has met there
+        pairs = pairs[~(heads[pairs[:, 0], before] == heads[pairs[:, 1], before]).all(1)]
     return _named([ids[x] for x in _cover(pairs, sizes)] if len(pairs) else [])[["block", "doc_id"]]
 
 
 def _across(nodes: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame:
-    """Blocks (block, doc_id) of rows of different classes within the given regions."""
+    """Blocks (block, doc_id) of rows of different classes within the given regions.
+
+    Until the regions of several classes are known, rows are ids and labels; the
+    signatures come in last.  A class that has PART rows of a region is dealt into
+    parts of its own, which need not meet one another."""
     label = F.explode(F.array(*[F.substring("labels", 1 + LABEL * t, LABEL) for t in range(TREES)])).alias("label")
-    rows = (
-        nodes.select("doc_id", "n_shingles", "bits", "labels", label)
-        .withColumn("region", F.substring("label", 1, HEAD))
-        .join(regions, "region", "left_semi")
-    )
+    rows = nodes.select("doc_id", label).withColumn("region", F.substring("label", 1, HEAD)).join(regions, "region", "left_semi")
     rows = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = _shared.written(rows, "regions")
     width = HEAD
@@ -318,22 +317,39 @@ def _across(nodes: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame
         large = rows.groupBy("region").count().where(F.col("count") > MOST_ROWS).select("region", F.lit(True).alias("large"))
         if not large.take(1):
             break
-        # rows of one label are in one region at any depth; those of a region that is divided may have met at no shorter one
+        # those of a region that is divided need not have met by their first values
         deeper = F.when(F.col("large"), F.substring("label", 1, 1 + 2 * depth)).otherwise(F.col("region"))
         rows, before = _shared.written(rows.join(large, "region", "left").withColumn("region", deeper).drop("large"), "regions"), rows
         _shared.remove(before)
         width = LABEL
-    of = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    of = of.where("low < high").select("region", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    rows = rows.join(_shared.written(of, "parts"), "region").withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = (
-        rows.withColumn("low", F.least("k", "other"))
-        .withColumn("high", F.greatest("k", "other"))
-        .withColumn("side", (F.col("k") > F.col("other")).cast("int"))
+    sizes = rows.groupBy("region", "component").agg(F.count("*").alias("n"))
+    own = F.when(F.col("n") >= PART, F.struct(F.col("component").alias("own"), F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    few = F.sum(F.when(F.col("n") < PART, F.col("n")))
+    of = sizes.groupBy("region").agg(F.count("*").alias("classes"), F.array_compact(F.collect_list(own)).alias("large"), few.alias("few"))
+    of = of.where("classes > 1").select("region", "large", F.coalesce(F.ceil(F.col("few") / PART), F.lit(0)).cast("int").alias("parts"))
+    rows = rows.join(_shared.written(of, "parts"), "region").select("doc_id", "component", "region", "large", "parts")
+    heads = F.concat(*[F.substring("labels", 1 + LABEL * t, width) for t in range(TREES)])
+    wide = nodes.select("doc_id", "n_shingles", "bits", heads.alias("heads"))
+    rows = rows.join(wide.hint("merge"), "doc_id").select("*", F.explode(_groups()).alias("g"))
+    rows = rows.select("region", "g.*", F.lit(width).alias("width"), "doc_id", "n_shingles", "component", "bits", "heads")
+    return rows.groupBy("region", "pair").applyInPandas(_meet, "block string, doc_id long").distinct()
+
+
+def _groups() -> F.Column:
+    """array(struct(pair, side)): where a row meets others, by its region's large
+    classes and number of parts.  Parts are named by class (-, if none) and number."""
+    mine = F.filter("large", lambda x: x["own"] == F.col("component"))
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(n, F.lit(1))).cast("int")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+    here = F.when(F.size(mine) > 0, F.concat(F.col("component").cast("string"), F.lit("."), deal(mine[0]["parts"]).cast("string")))
+    here = F.coalesce(here, F.concat(F.lit("-."), deal(F.col("parts")).cast("string")))
+    plain = F.transform(upto(F.col("parts")), lambda i: F.concat(F.lit("-."), i.cast("string")))
+    named = lambda x: F.transform(upto(x["parts"]), lambda i: F.concat(x["own"].cast("string"), F.lit("."), i.cast("string")))
+    others = F.flatten(F.transform(F.filter("large", lambda x: x["own"] != F.col("component")), named))
+    met = lambda other: F.struct(
+        F.concat_ws(":", F.least(here, other), F.greatest(here, other)).alias("pair"), (here > other).cast("int").alias("side")
     )
-    rows = rows.select("region", "low", "high", "side", F.lit(width).alias("width"), "doc_id", "n_shingles", "component", "bits", "labels")
-    return rows.groupBy("region", "low", "high").applyInPandas(_meet, "block string, doc_id long").distinct()
+    return F.transform(F.concat(plain, others), met)
 
 
 def _repeated(sketches: DataFrame) -> DataFrame:
@@ -374,9 +390,13 @@ def classes(docs: DataFrame) -> DataFrame:
     ties = linkable.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(firsts.hint("merge"), "digest")
     ties = ties.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = components(links(blocks.where("block is not null").select("block", "doc_id")).unionByName(ties))
-    more = _shared.written(_across(nodes, blocks.where("region is not null").select("region").distinct(), found), "more")
+    with _shared.swept(docs.sparkSession):
+        across = _across(nodes, blocks.where("region is not null").select("region").distinct(), found)
+        more = _shared.written(across, "more", outside=True)
     if more.take(1):
         found = components(links(more).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    for done in (nodes, blocks, more):
+        _shared.remove(done)
     return _classified(sketches.select("doc_id", "n_shingles", "digest"), firsts, found)
 
 
