@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
+import types
 import unicodedata
 import uuid
 import zlib
@@ -40,7 +42,7 @@ from . import _shared, _words
 END_ID = 2
 FILE_TOKENS = 1 << 21
 CUT_BYTES = 1 << 20  #: of texts that are encoded at once, unless one text has more
-CACHE_WORDS = 400_000  #: stretches that a task remembers
+CACHE_WORDS = 1_000_000  #: stretches that a worker remembers
 MAGIC = b"VBIDS\x00\x01\x00"
 HEAD = "<8sQQQ"
 
@@ -116,8 +118,7 @@ class Known:
     """What stretches encode to: found by 64-bit hash, confirmed by their bytes.
 
     Ids and bytes stand in two flat arrays, some 60 bytes a stretch in all and
-    no Python objects.  It lives as long as a task and is emptied when it holds
-    CACHE_WORDS stretches.
+    no Python objects; it is emptied when it holds CACHE_WORDS stretches.
     """
 
     def __init__(self, kind: np.dtype):
@@ -208,15 +209,9 @@ class Encoder:
     ODD = ("<|", "\u03a3", "\u0130")
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tokenizers
-
-        self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.type = np.dtype(self.code).newbyteorder("<")
-        self.known = Known(self.type)
+        self.tokenizer, self.known = _held(path)
+        self.type = self.known.kind
+        self.code = self.type.char
         self.end = array(self.code, [END_ID]).tobytes()
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.cuts = self._cuts_at_blanks()
@@ -321,6 +316,23 @@ class Encoder:
         return [ids[a:b] if p else self._direct(t) for t, p, a, b in zip(texts, plain, limits[:-1].tolist(), limits[1:].tolist())]
 
 
+def _held(path: str):
+    """The tokenizer of a path and what this worker has learned of it.  A worker
+    runs many tasks; both stay, in a module of their own, bounded by CACHE_WORDS."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
+
+    name = "_noticelab_tokenizers"
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if path not in kept:
+        tokenizer = tokenizers.Tokenizer.from_file(path)
+        code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        kept[path] = tokenizer, Known(np.dtype(code).newbyteorder("<"))
+    return kept[path]
+
+
 def _segments(text: str, most: int):
     """A text in parts of about `most` characters that end before a blank."""
     at = 0
