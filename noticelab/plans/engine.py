@@ -39,7 +39,7 @@ class Result:
 def extract(blocks: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, field, value_raw, evidence): the first rule that gives a field a value counts."""
     split = reading.split_fused(blocks).withColumn("block_order", F.col("block_order") * 2 + F.col("piece"))
-    pairs = fields.match_anchor(reading.label_value_pairs(split.withColumn("reader", F.lit("consensus")))).where("field is not null")
+    pairs = fields.match_anchor_fuzzy(reading.label_value_pairs(split.withColumn("reader", F.lit("consensus")))).where("field is not null")
     raw, norm = F.col("value"), text.normalize(F.col("value"))
     nonblank = lambda c: F.nullif(c, F.lit(""))
     date = F.coalesce(dates.first_date(raw), raw)
@@ -164,10 +164,13 @@ def run(
     votes: DataFrame | None = None,
     candidates: DataFrame | None = None,
     asked: DataFrame | None = None,
+    returned: DataFrame | None = None,
 ) -> Result:
     """The whole way.  `votes` (doc_id, modality_ord, available, event_type) and
     `candidates` (doc_id, field, extractor, seq, value_raw) are what models said, if
-    any; documents of `asked` (doc_id) that nobody could read are failed ones."""
+    any; documents of `asked` (doc_id) that nobody could read are failed ones;
+    `returned` (doc_id, field, value) is what a last sweep for missing fields
+    brought back, taken where some reader's own text holds it."""
     blocks = staged(page.page_consensus(raw_blocks), "blocks")
     docs = staged(page.documents(blocks), "documents")
     prior = staged(classify.priors(docs, "raw"), "prior")
@@ -182,7 +185,13 @@ def run(
     if candidates is not None:
         said = found.select("doc_id", "field", F.lit("rule").alias("extractor"), F.lit(0).alias("seq"), "value_raw").unionByName(candidates)
         merged = fields.merge(said, ["rule", "text"])
-        disputed = merged.where("disputed").select("doc_id", "field")
+        # two extractors that name the same two numbers of a ratio agree, in whatever order
+        same = (
+            fields.ratio_pair_agrees(said)
+            .where("agrees")
+            .select("doc_id", F.explode(F.array(F.lit("ratio_from"), F.lit("ratio_to"))).alias("field"))
+        )
+        disputed = staged(merged.where("disputed").select("doc_id", "field").join(same, ["doc_id", "field"], "left_anti"), "disputed")
         found = (
             merged.select("doc_id", "field", "value_raw")
             .join(found.select("doc_id", "field", "evidence"), ["doc_id", "field"], "left")
@@ -235,6 +244,17 @@ def run(
         .drop("_v")
     )
     long = staged(fields.fill_contract(long, types, specs), "fields")
+    recovered = None
+    if returned is not None:
+        texts = F.map_from_entries(F.collect_list(F.struct("kind", "text")))
+        reads = staged(reading.reads_by_kind(raw_blocks).groupBy("doc_id").agg(texts.alias("reads")), "reads")
+        wanted = fields.missing_fields(long, types, specs)
+        recovered = staged(fields.sweep_accept(returned, wanted, reads, reading.level_of), "recovered")
+        found_again = recovered.select("doc_id", "field", F.col("value").alias("_v"))
+        long = long.join(found_again, ["doc_id", "field"], "left")
+        reason = F.when(F.col("_v").isNull(), F.col("absence_reason"))
+        long = long.withColumn("absence_reason", reason).withColumn("value", F.coalesce("value", "_v")).drop("_v")
+        long = staged(long, "swept")
     # what a row says by itself, one projection and one lookup; what is missing is told by the long form, where excuses stand
     found_by = validators.run_all(notices, golden, specs, **config.window()).where("tool <> 'check_required_fields'")
     required = validators.required_fields(long, specs).withColumn("seq", F.lit(5))
@@ -271,6 +291,8 @@ def run(
     verdicts = triage.disposition(reasons, types)
     verdicts = verdicts.withColumn("justification", audit.narrative(F.col("disposition"), F.col("codes")))
     read = rows.select("doc_id", "field", "level")
+    if recovered is not None:
+        read = read.join(recovered, ["doc_id", "field"], "left_anti").unionByName(recovered.select("doc_id", "field", "level"))
     verdicts = verdicts.join(triage.for_review(reasons, long), "doc_id", "left").join(
         triage.weakest_critical(long.join(read, ["doc_id", "field"], "left")),
         "doc_id",

@@ -15,8 +15,9 @@ BLOCKS = (
 
 
 def notice_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The PDF files of a folder, by path: path, size and content."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path", "length", "content")
+    """The PDF files of a folder, by path: path, stem, size and content."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
+    return rows.select("path", F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("stem"), "length", "content").orderBy("path")
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -101,41 +102,67 @@ def markdown_pairs(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def records(notices: DataFrame, fields: DataFrame, findings: DataFrame, reasons: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One nested record per document."""
+    """One nested record per document: what it says, how each field was read and
+    judged, what the validators found, and the verdict with its reasons."""
     gathered = lambda rows, name, *cols: rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    out = notices.select("doc_id", "event_type").join(verdicts, "doc_id", "left")
-    for part in (gathered(fields, "fields", "field", "value"), gathered(findings, "validations", "seq", "tool", "status", "reason_codes"), gathered(reasons, "reasons", "seq", "code", "field")):
+    said = [c for c in ("unanimous", "agrees_with_prior", "title_prior", "body_prior") if c in notices.columns]
+    out = notices.select("doc_id", "event_type", *said).join(verdicts, "doc_id", "full_outer")
+    kept = ("field", "value", "value_raw", "evidence", "level", "kinds", "grounding", "absence_reason", "candidates", "golden", "cut_by")
+    parts = (
+        gathered(fields, "fields", *[c for c in kept if c in fields.columns]),
+        gathered(findings, "validations", "seq", "tool", "status", "reason_codes"),
+        gathered(reasons, "reasons", "seq", "code", "field"),
+    )
+    for part in parts:
         out = out.join(part, "doc_id", "left")
     return out
 
 
-def write_records(rows: DataFrame, path: str) -> None:
-    """JSON lines in UTF-8, one record a line."""
-    rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
-
-
-def write_summary(summary: DataFrame, path: str) -> None:
-    summary.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_records(rows: DataFrame, path: str, by_document: bool = False) -> None:
+    """JSON lines in UTF-8, one record a line; in a folder for each document if asked."""
+    lines = rows.select("doc_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    if by_document:
+        lines.write.mode("overwrite").partitionBy("doc_id").text(path)
+    else:
+        lines.select("value").write.mode("overwrite").text(path)
+
+
+def write_summary(
+    summary: DataFrame,
+    path: str,
+    documents: DataFrame | None = None,
+    elapsed: float | None = None,
+    meta: dict | None = None,
+) -> None:
+    """The run's figures, one line; its documents' lines beside it."""
+    told = summary
+    if elapsed is not None:
+        told = told.withColumn("elapsed_seconds", F.lit(float(elapsed)))
+    if meta:
+        told = told.withColumn("meta", F.create_map(*[F.lit(str(x)) for kv in sorted(meta.items()) for x in kv]))
+    told.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    if documents is not None:
+        documents.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}_documents")
 
 
 def exceptions_report(verdicts: DataFrame, reasons: DataFrame, limit: int = 1000) -> str:
     """Markdown for readers: an overview and, worst first, the documents that
-    are not automatic.  A report is for people, so it lists at most `limit`."""
+    are not automatic.  A report is for people, so it lists at most `limit` and
+    says how many more there are; the records hold them all."""
+    from ..operators import triage
+
     counts = {r[0]: r[1] for r in verdicts.groupBy("disposition").count().collect()}
-    rank = F.when(F.col("disposition") == "blocked", 0).when(F.col("disposition") == "failed", 1).otherwise(2)
-    texts = reasons.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "code", "field"))), "; ").alias("why"))
-    rows = verdicts.where("disposition <> 'auto'").join(texts, "doc_id", "left").orderBy(rank, "doc_id").limit(limit).collect()
-    head = [
-        "# Exceptions",
-        "",
-        "| disposition | documents |",
-        "|---|---|",
-        *[f"| {k} | {n} |" for k, n in sorted(counts.items())],
-        "",
-        "| document | disposition | reasons |",
-        "|---|---|---|",
-    ]
-    return "\n".join(head + [f"| {r['doc_id']} | {r['disposition']} | {r['why'] or ''} |" for r in rows]) + "\n"
+    rows = reasons.withColumn("layer", triage.reason_order(F.col("code")))
+    why = F.array_sort(F.collect_set(F.struct("layer", F.concat_ws(" ", "code", "field").alias("said"))))
+    texts = rows.groupBy("doc_id").agg(F.array_join(F.transform(why, lambda x: x["said"]), "; ").alias("why"))
+    open_ = verdicts.where("disposition <> 'auto'").join(texts, "doc_id", "left")
+    rows = open_.orderBy(*triage.report_order(open_)).limit(limit).collect()
+    total = sum(n for k, n in counts.items() if k != "auto")
+    head = ["# Exceptions", "", "| disposition | documents |", "|---|---|", *[f"| {k} | {n} |" for k, n in sorted(counts.items())], ""]
+    head += ["| document | disposition | reasons |", "|---|---|---|"]
+    lines = [f"| {r['doc_id']} | {r['disposition']} | {r['why'] or ''} |" for r in rows]
+    more = [f"\n{total - len(rows)} more are in the records."] if total > len(rows) else []
+    return "\n".join(head + lines + more) + "\n"
 
 
 def cached(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

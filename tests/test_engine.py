@@ -72,6 +72,45 @@ def test_other_votes_and_candidates(spark, inputs):
     assert "CLASSIFIER_DISAGREEMENT" in codes[1] and codes[4] == ["EXTRACTOR_DISAGREEMENT"]
 
 
+def test_sweep_and_failed_documents(spark, inputs):
+    """What a sweep returns counts if some reader's text holds it; what nobody read has failed."""
+    returned = spark.createDataFrame([(5, "issuer", "Comunicado"), (5, "isin", "BRXXXXACNOR9")], "doc_id long, field string, value string")
+    asked = spark.createDataFrame([(1,), (9,)], "doc_id long")
+    args = (files.blocks(spark, str(inputs / "blocks.json")), files.golden(spark, str(inputs / "golden.csv")), vocabulary.field_specs(spark))
+    got = engine.run(*args, engine.Config("2026-06-20"), asked=asked, returned=returned)
+    verdicts = {r["doc_id"]: r for r in got.verdicts.collect()}
+    assert verdicts[9]["disposition"] == "failed" and verdicts[1]["disposition"] == "auto"
+    values = {(r["field"], r["value"], r["absence_reason"]) for r in got.fields.where("doc_id = 5").collect()}
+    assert ("isin", None, "not_found") in values
+    assert "isin" in verdicts[5]["for_review"] and verdicts[1]["for_review"] == [] and verdicts[1]["weakest_level"] == "muito_alta"
+
+
+def test_a_block_stands_in_each_row_it_shares(spark):
+    """A tall block of the winner beside two rows of the reference is in both; alternatives and notes go along."""
+    row = lambda reader, kind, n, text, y0, y1: (1, 1, reader, kind, n, text, 10.0, y0, 100.0, y1, "cell", None, None, None, False)
+    rows = [row("parser", "text_layer", 0, "A 1", 0.0, 10.0), row("parser", "text_layer", 1, "B 2", 12.0, 22.0), row("ocr", "ocr_deterministic", 0, "A 1", 0.0, 10.0), row("ocr", "ocr_deterministic", 1, "31/02/2026", 12.0, 22.0)]
+    got = page.page_consensus(spark.createDataFrame(rows, files.BLOCKS)).orderBy("block_order").collect()
+    assert [(r["text"], r["level"], r["role"]) for r in got] == [("A 1", "muito_alta", "cell"), ("B 2", "media", "cell")]
+    assert got[1]["notes"] == ["ocr out: date:31/02/2026"] and got[1]["alternatives"][0]["text"] == "31/02/2026"
+    regions = page.many_readers(page.page_consensus(spark.createDataFrame(rows, files.BLOCKS))).first()
+    assert (regions["n_regions"], regions["n_agreed"]) == (2, 2)
+
+
+def test_command_line_options(spark, inputs, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    common = ["run", "--blocks", str(inputs / "blocks.json"), "--golden", str(inputs / "golden.csv"), "--as-of", "2026-06-20"]
+    assert cli.main([*common, "--out", str(tmp_path / "none"), "--docs", str(docs)]) == 1
+    for name in ("1.pdf", "7.pdf"):
+        (docs / name).write_bytes(b"%PDF")
+    (tmp_path / "contracts.json").write_text(json.dumps({"jcp": {"required": ["issuer"], "optional": []}, "outro": {"required": ["issuer"]}}))
+    out = tmp_path / "out"
+    assert cli.main([*common, "--out", str(out), "--docs", str(docs), "--config", str(tmp_path / "contracts.json"), "--by-document", "--trace", "--offline"]) == 0
+    assert "| 7 | failed |" in (out / "exceptions.md").read_text() and "== verdicts" in (out / "trace.txt").read_text()
+    assert {r["doc_id"] for r in spark.read.json(str(out / "summary_documents")).collect()} == {1, 2, 3, 4, 5, 7}
+    assert (out / "records" / "doc_id=1").exists() and spark.read.json(str(out / "summary")).first()["elapsed_seconds"] > 0
+
+
 def test_command_line(spark, inputs, tmp_path):
     assert cli.main(["run", "--blocks", str(inputs / "blocks.json"), "--golden", str(inputs / "golden.csv"), "--out", str(tmp_path), "--as-of", "2026-06-20"]) == 0
     assert spark.read.json(str(tmp_path / "records")).count() == 5 and "DATE_INCOHERENCE" in (tmp_path / "exceptions.md").read_text()
