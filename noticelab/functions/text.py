@@ -90,19 +90,20 @@ def split_title_body(c: Column, opening: str = "aviso aos acionistas", short: in
     """struct(title, body).  The title ends with the first line that holds the
     opening words, or the line after it if that is short; without such a line
     it is the first lines."""
+    words = r"[^\S\n]+".join(opening.split())
+    # the text is folded once, and the lines before the opening words are counted
+    before = F.regexp_extract(F.lower(fold_accents(c)), rf"(?sU)^(.*?){words}", 0)
+    first = F.when(before != "", F.size(F.split(before, "\n")) - 1)
     lines = F.split(c, "\n")
-    hits = F.transform(lines, lambda x, i: F.when(normalize(x).contains(opening), i))
-    first = F.array_min(hits)
-    after = F.get(lines, (first + 1).cast("int"))
-    end = (
-        F.when(first.isNull(), F.least(F.lit(otherwise), F.size(lines)))
-        .when(after.isNotNull() & (F.length(after) < short), first + 2)
-        .otherwise(first + 1)
-    )
-    return F.struct(
-        F.array_join(F.slice(lines, F.lit(1), end), "\n").alias("title"),
-        F.array_join(F.slice(lines, end + 1, F.size(lines)), "\n").alias("body"),
-    )
+
+    def parts(first: Column) -> Column:
+        after = F.get(lines, first + 1)
+        most = F.when(first.isNull(), F.least(F.lit(otherwise), F.size(lines)))
+        end = most.when(after.isNotNull() & (F.length(after) < short), first + 2).otherwise(first + 1)
+        title, body = F.slice(lines, F.lit(1), end), F.slice(lines, end + 1, F.size(lines))
+        return F.struct(F.array_join(title, "\n").alias("title"), F.array_join(body, "\n").alias("body"))
+
+    return let(first, parts)
 
 
 def split_label_value(c: Column) -> Column:

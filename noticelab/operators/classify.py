@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,47 +36,68 @@ def marker_scores(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS
     )
 
 
-def ranked(normal: Column, markers: list[tuple] = v.MARKERS) -> Column:
-    """array(struct(event_type, score)) of a text in normal form, best first; types
-    without a marker are left out, ties are in the vocabulary's order."""
+def _found(normal: Column, markers: list[tuple]) -> Column:
+    """Places of the markers that a text in normal form holds.  Both are in
+    small letters, so that case need not be folded again."""
+    return F.array_compact(F.array(*[F.when(normal.rlike(_pattern(p)), F.lit(i)) for i, (_, p, _, _) in enumerate(markers)]))
+
+
+def _pattern(marker: str) -> str:
+    pattern = text.spaced_pattern(marker)
+    return pattern.removeprefix("(?i)") if marker == marker.lower() else pattern
+
+
+def _also(found: Column, normal: Column, markers: list[tuple]) -> Column:
+    """Of markers found in a text those that a part of it holds: others need not be tried."""
+    patterns = F.array(*[F.lit(_pattern(p)) for _, p, _, _ in markers])
+    return F.filter(found, lambda i: F.regexp_like(normal, F.element_at(patterns, i + 1)))
+
+
+def _ranked(found: Column, markers: list[tuple]) -> Column:
+    """array(struct(event_type, score)) of markers by place, best first, ties in the vocabulary's order."""
     types = list(dict.fromkeys(t for t, *_ in markers))
-    hit = lambda p, w: F.when(normal.rlike(text.spaced_pattern(p)), F.lit(w)).otherwise(F.lit(0.0)).cast("decimal(8,2)")
-    scores = [reduce(lambda a, b: (a + b).cast("decimal(8,2)"), [hit(p, w) for t, p, w, _ in markers if t == name]) for name in types]
-    items = [
-        F.struct(
-            (-score).alias("down"),
-            F.lit(i).alias("ordinal"),
-            F.lit(name).alias("event_type"),
-            score.alias("score"),
-        ) for i, (name, score) in enumerate(zip(types, scores))
-    ]
-    best = F.array_sort(F.filter(F.array(*items), lambda x: x["score"] > 0))
-    return F.transform(best, lambda x: F.struct(x["event_type"].alias("event_type"), x["score"].alias("score")))
+    zero = F.lit(0).cast("decimal(8,2)")
+    weights = F.array(*[F.lit(w).cast("decimal(8,2)") for _, _, w, _ in markers])
+    add = lambda total, i: (total + F.element_at(weights, i + 1)).cast("decimal(8,2)")
 
+    def one(k: int, name: str) -> Column:
+        own = [i for i, (t, *_) in enumerate(markers) if t == name]
+        score = F.aggregate(F.filter(found, lambda i: i.isin(*own)), zero, add)
+        return F.struct((-score).alias("down"), F.lit(k).alias("ordinal"), F.lit(name).alias("event_type"))
 
-def hits(normal: Column, markers: list[tuple] = v.MARKERS, most: int = 12) -> Column:
-    """The first defining markers that a text in normal form holds."""
-    return F.slice(
-        F.array_compact(F.array(*[F.when(normal.rlike(text.spaced_pattern(p)), F.lit(p)) for _, p, _, defines in markers if defines])),
-        1,
-        most,
-    )
+    best = F.array_sort(F.filter(F.array(*[one(k, name) for k, name in enumerate(types)]), lambda x: x["down"] < 0))
+    return F.transform(best, lambda x: F.struct(x["event_type"].alias("event_type"), (-x["down"]).cast("decimal(8,2)").alias("score")))
+
+
+def ranked(normal: Column, markers: list[tuple] = v.MARKERS) -> Column:
+    """array(struct(event_type, score)) of a text in normal form, best first; types
+    without a marker are left out."""
+    return text.let(_found(normal, markers), lambda found: _ranked(found, markers))
 
 
-def priors(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS) -> DataFrame:
+def priors(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS, most: int = 12) -> DataFrame:
     """(doc_id, ranked, hits, whole_prior, title_prior, body_prior, conflict) of each
-    text: rows stay where they are, each part is brought into normal form once."""
+    text: rows stay where they are, each part is brought into normal form once, and
+    a part is asked for the markers of the whole only.  hits are defining markers."""
     parts = text.split_title_body(F.col(column))
-    normal = {"whole": F.col(column), "title": parts["title"], "body": parts["body"]}
-    rows = docs.select("doc_id", *[text.normalize(c).alias(f"_{name}") for name, c in normal.items()])
-    rows = rows.select("doc_id", "_whole", *[ranked(F.col(f"_{name}"), markers).alias(name) for name in normal])
-    top = lambda name: F.get(F.col(name), F.lit(0))["event_type"]
-    conflict = F.coalesce(top("title") != top("body"), F.lit(False))
+    rows = docs.select("doc_id", F.col(column).alias("_text"), parts.alias("_p"))
+    rows = rows.select(
+        "doc_id",
+        *[text.normalize(c).alias(n) for n, c in (("_whole", F.col("_text")), ("_title", F.col("_p.title")), ("_body", F.col("_p.body")))],
+    )
+    rows = rows.select("doc_id", "_title", "_body", _found(F.col("_whole"), markers).alias("whole"))
+    rows = rows.select("doc_id", "whole", *[_also(F.col("whole"), F.col(f"_{n}"), markers).alias(n) for n in ("title", "body")])
+    defining = [i for i, (*_, defines) in enumerate(markers) if defines]
+    names = F.array(*[F.lit(p) for _, p, _, _ in markers])
+    hits = F.slice(F.transform(F.filter("whole", lambda i: i.isin(*defining)), lambda i: F.element_at(names, i + 1)), 1, most)
+    rows = rows.select("doc_id", hits.alias("hits"), *[_ranked(F.col(n), markers).alias(n) for n in ("whole", "title", "body")])
+    top = {n: F.get(F.col(n), F.lit(0))["event_type"] for n in ("whole", "title", "body")}
+    conflict = F.coalesce(top["title"] != top["body"], F.lit(False))
     return rows.select(
         "doc_id",
         F.col("whole").alias("ranked"),
-        hits(F.col("_whole"), markers).alias("hits"),
-        *[top(name).alias(f"{name}_prior") for name in normal],
+        "hits",
+        *[c.alias(f"{n}_prior") for n, c in top.items()],
         conflict.alias("conflict"),
     )
 
