@@ -58,9 +58,14 @@ def fold_accents(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"\p{M}", "")).otherwise(c)
 
 
+def collapse(folded: Column) -> Column:
+    """The normal form of a text whose accents are folded."""
+    return F.lower(F.trim(F.regexp_replace(folded, r"(?U)\s+", " ")))
+
+
 def normalize(c: Column) -> Column:
     """Lower case without accents, blanks collapsed."""
-    return F.lower(F.trim(F.regexp_replace(fold_accents(c), r"(?U)\s+", " ")))
+    return collapse(fold_accents(c))
 
 
 def squash(c: Column) -> Column:
@@ -86,24 +91,37 @@ def spaced_pattern(pattern: str) -> str:
     return "(?i)" + pattern.replace(" ", r"\s*")
 
 
-def split_title_body(c: Column, opening: str = "aviso aos acionistas", short: int = 60, otherwise: int = 4) -> Column:
-    """struct(title, body).  The title ends with the first line that holds the
+def title_lines(c: Column, folded: Column, opening: str = "aviso aos acionistas", short: int = 60, otherwise: int = 4) -> Column:
+    """How many lines the title of a text has, from the text and its folded form,
+    which has the same lines.  The title ends with the first line that holds the
     opening words, or the line after it if that is short; without such a line
     it is the first lines."""
     words = r"[^\S\n]+".join(opening.split())
-    # the text is folded once, and the lines before the opening words are counted
-    before = F.regexp_extract(F.lower(fold_accents(c)), rf"(?sU)^(.*?){words}", 0)
+    before = F.regexp_extract(F.lower(folded), rf"(?sU)^(.*?){words}", 0)
     first = F.when(before != "", F.size(F.split(before, "\n")) - 1)
     lines = F.split(c, "\n")
 
-    def parts(first: Column) -> Column:
+    def count(first: Column) -> Column:
         after = F.get(lines, first + 1)
         most = F.when(first.isNull(), F.least(F.lit(otherwise), F.size(lines)))
-        end = most.when(after.isNotNull() & (F.length(after) < short), first + 2).otherwise(first + 1)
-        title, body = F.slice(lines, F.lit(1), end), F.slice(lines, end + 1, F.size(lines))
-        return F.struct(F.array_join(title, "\n").alias("title"), F.array_join(body, "\n").alias("body"))
+        return most.when(after.isNotNull() & (F.length(after) < short), first + 2).otherwise(first + 1)
+
+    return let(first, count)
+
+
+def first_lines(c: Column, n: Column) -> Column:
+    return F.array_join(F.slice(F.split(c, "\n"), F.lit(1), n), "\n")
+
+
+def further_lines(c: Column, n: Column) -> Column:
+    lines = F.split(c, "\n")
+    return F.array_join(F.slice(lines, n + 1, F.size(lines)), "\n")
+
 
-    return let(first, parts)
+def split_title_body(c: Column) -> Column:
+    """struct(title, body) of a text."""
+    parts = lambda n: F.struct(first_lines(c, n).alias("title"), further_lines(c, n).alias("body"))
+    return let(title_lines(c, fold_accents(c)), parts)
 
 
 def split_label_value(c: Column) -> Column:

@@ -77,14 +77,13 @@ def ranked(normal: Column, markers: list[tuple] = v.MARKERS) -> Column:
 
 def priors(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS, most: int = 12) -> DataFrame:
     """(doc_id, ranked, hits, whole_prior, title_prior, body_prior, conflict) of each
-    text: rows stay where they are, each part is brought into normal form once, and
+    text: rows stay where they are, a text is folded once, and
     a part is asked for the markers of the whole only.  hits are defining markers."""
-    parts = text.split_title_body(F.col(column))
-    rows = docs.select("doc_id", F.col(column).alias("_text"), parts.alias("_p"))
-    rows = rows.select(
-        "doc_id",
-        *[text.normalize(c).alias(n) for n, c in (("_whole", F.col("_text")), ("_title", F.col("_p.title")), ("_body", F.col("_p.body")))],
-    )
+    folded = F.col("_folded")
+    rows = docs.select("doc_id", F.col(column).alias("_text"), text.fold_accents(F.col(column)).alias("_folded"))
+    rows = rows.select("doc_id", "_folded", text.title_lines(F.col("_text"), folded).alias("_n"))
+    parts = {"_whole": folded, "_title": text.first_lines(folded, F.col("_n")), "_body": text.further_lines(folded, F.col("_n"))}
+    rows = rows.select("doc_id", *[text.collapse(c).alias(n) for n, c in parts.items()])
     rows = rows.select("doc_id", "_title", "_body", _found(F.col("_whole"), markers).alias("whole"))
     rows = rows.select("doc_id", "whole", *[_also(F.col("whole"), F.col(f"_{n}"), markers).alias(n) for n in ("title", "body")])
     defining = [i for i, (*_, defines) in enumerate(markers) if defines]
