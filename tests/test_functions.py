@@ -127,3 +127,13 @@ def test_every_reason_is_placed():
 def test_every_anchor_field_is_known():
     known = {f for a, b in vocabulary.FIELD_SPECS.values() for f in a + b} | {"ratio"}
     assert set(vocabulary.ANCHORS) <= known
+
+
+@given(st.text("abcde", max_size=9), st.text("abcde", max_size=30))
+def test_partial_ratio_by_brute_force(a, b):
+    """Stretches that share too few characters are skipped, and none that counts."""
+    short, long = sorted((a, b), key=len)
+    windows = [long[max(i, 0) : i + len(short)] for i in range(1 - len(short), len(long))]
+    want = max((ratio(short, w) for w in windows if w), default=1.0 if not long else 0.0)
+    assert partial_ratio(a, b) == want
+    assert partial_ratio(a, b, 0.85) == (want if want >= 0.85 else 0.0)
