@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import vocabulary
 from .operators import triage
 from .plans import engine
-from .sources import files
+from .sources import files, staging
 
 
 def parser() -> argparse.ArgumentParser:
@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
     if asked is None and not blocks.take(1):
         return 1
     read = lambda path: spark.read.parquet(path) if path and not args.offline else None
-    config = engine.Config(args.as_of, args.window_days)
+    config, before = engine.Config(args.as_of, args.window_days), len(staging.MADE)
     said = read(args.votes), read(args.candidates), asked, read(args.returned)
     result = engine.run(blocks, files.golden(spark, args.golden), contracts(spark, args.config), config, *said)
     records = files.records(result.notices, result.fields, result.findings, result.reasons, result.verdicts)
@@ -71,6 +71,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.trace:
             plans = [f"== {name}\n{getattr(result, name)._jdf.queryExecution().toString()}" for name in ("fields", "reasons", "verdicts")]
             Path(args.out, "trace.txt").write_text("\n".join(plans), encoding="utf-8")
+    staging.release(spark, before)
     return 0
 
 

@@ -7,7 +7,19 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: The tables written by this driver and not yet released, oldest first.
+MADE: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables staged since there were `since` of them; nothing that reads them may be used after."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in MADE[since:]:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    del MADE[since:]
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -25,5 +37,6 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
         sc._noticelab_staging = root
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

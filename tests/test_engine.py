@@ -1,6 +1,7 @@
 """The whole way, on small pages that three readers have read."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from noticelab import cli
 from noticelab.operators import audit, page
 from noticelab import vocabulary
 from noticelab.plans import engine
-from noticelab.sources import files
+from noticelab.sources import files, staging
 
 LINES = [
     ("Alfa SA", None), ("Aviso aos Acionistas", None), ("Juros sobre o Capital Próprio", None), ("Código de negociação", "ALFA3"), ("ISIN", "BRALFAACNOR1"), ("CNPJ", "11.222.333/0001-81"),
@@ -104,10 +105,11 @@ def test_command_line_options(spark, inputs, tmp_path):
     for name in ("1.pdf", "7.pdf"):
         (docs / name).write_bytes(b"%PDF")
     (tmp_path / "contracts.json").write_text(json.dumps({"jcp": {"required": ["issuer"], "optional": []}, "outro": {"required": ["issuer"]}}))
-    out = tmp_path / "out"
+    out, before = tmp_path / "out", len(staging.MADE)
     assert cli.main([*common, "--out", str(out), "--docs", str(docs), "--config", str(tmp_path / "contracts.json"), "--by-document", "--trace", "--offline"]) == 0
     assert "| 7 | failed |" in (out / "exceptions.md").read_text() and "== verdicts" in (out / "trace.txt").read_text()
     assert {r["doc_id"] for r in spark.read.json(str(out / "summary_documents")).collect()} == {1, 2, 3, 4, 5, 7}
+    assert len(staging.MADE) == before and all(Path(x.removeprefix("file:")).exists() for x in staging.MADE)
     assert (out / "records" / "doc_id=1").exists() and spark.read.json(str(out / "summary")).first()["elapsed_seconds"] > 0
 
 
