@@ -60,6 +60,13 @@ class Hasher:
                 step[0] = 1
                 setattr(self, name, np.multiply.accumulate(step))
 
+    def limits(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words."""
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[1:-1] = ~self.breaks[raw]
+        turn = np.diff(inside)
+        return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+
     def words(self, data: bytes):
         """Starts and ends of the words in data, and a function that hashes stretches."""
         raw = np.frombuffer(data, np.uint8)
@@ -67,10 +74,7 @@ class Hasher:
         self._powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.codes[raw] * self.up[:n], out=sums[1:])
-        inside = np.zeros(n + 2, np.int8)
-        inside[1:-1] = ~self.breaks[raw]
-        turn = np.diff(inside)
-        starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        starts, ends = self.limits(raw)
 
         def stretch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return mix((sums[b] - sums[a]) * self.down[a])

@@ -22,6 +22,7 @@ are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import sys
@@ -114,9 +115,16 @@ def _stretched(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return flat[np.repeat(starts - ahead, sizes) + np.arange(sizes.sum())]
 
 
+def _lines(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Stretches of bytes that stand one after another, each with a line feed behind."""
+    return np.insert(data, np.cumsum(lengths), 10)
+
+
 class Known:
     """What stretches encode to: found by 64-bit hash, confirmed by their bytes.
 
+    A stretch's place is the order in which it came; slots, of which at most
+    half are taken, give the place of a hash, the next free one where two meet.
     Ids and bytes stand in two flat arrays, some 60 bytes a stretch in all and
     no Python objects; it is emptied when it holds CACHE_WORDS stretches.
     """
@@ -126,52 +134,77 @@ class Known:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.flat, self.begin, self.size = {}, {}, {}
-        for of, kind in (("ids", self.kind), ("text", np.dtype(np.uint8))):
-            self.flat[of], self.begin[of], self.size[of] = np.zeros(1 << 16, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = {"ids": 0, "text": 0}
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the table, and whether each is there."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), int), np.zeros(len(hashes), bool)
-        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return k, self.hashes[k] == hashes
+        self.count = 0
+        self.slots = np.full(1 << 12, -1, np.int32)
+        self.hashes = np.zeros(1 << 11, np.uint64)
+        self.flat = {"ids": np.zeros(1 << 16, self.kind), "text": np.zeros(1 << 16, np.uint8)}
+        self.limits = {of: np.zeros(1 << 11, np.int64) for of in self.flat}
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes, -1 for those that are not there."""
+        last = np.uint64(len(self.slots) - 1)
+        slot = (hashes & last).astype(np.int64)
+        k = self.slots[slot]
+        todo = np.flatnonzero((self.hashes[k] != hashes) & (k >= 0))
+        while len(todo):
+            slot[todo] = slot[todo] + 1 & int(last)
+            k[todo] = self.slots[slot[todo]]
+            todo = todo[(self.hashes[k[todo]] != hashes[todo]) & (k[todo] >= 0)]
+        return k
+
+    def _settle(self, places: np.ndarray) -> None:
+        """Give the hashes at these places slots."""
+        last = len(self.slots) - 1
+        slot = (self.hashes[places] & np.uint64(last)).astype(np.int64)
+        while len(places):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = places[free]
+            lost = self.slots[slot] != places
+            places, slot = places[lost], slot[lost] + 1 & last
 
     def add(self, hashes: np.ndarray, text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Ascending hashes that are not in the table, with the bytes of what has
+        """Different hashes that are not in the table, with the bytes of what has
         them and its ids, one after another, and how many of each."""
-        at = np.searchsorted(self.hashes, hashes)
+        old, self.count = self.count, self.count + len(hashes)
+        self.hashes = _with(self.hashes, old, hashes)
         for of, data, n in (("text", text, lengths), ("ids", ids, sizes)):
-            flat, used = self.flat[of], self.used[of]
-            if used + len(data) > len(flat):
-                self.flat[of] = flat = np.concatenate([flat[:used], np.zeros(used + 2 * len(data), flat.dtype)])
-            flat[used : used + len(data)] = data
-            self.begin[of] = np.insert(self.begin[of], at, used + np.cumsum(n) - n)
-            self.size[of] = np.insert(self.size[of], at, n)
-            self.used[of] = used + len(data)
-        self.hashes = np.insert(self.hashes, at, hashes)
-
-    def gather(self, of: str, k: np.ndarray) -> np.ndarray:
+            used = self.limits[of][old]
+            self.flat[of] = _with(self.flat[of], used, data)
+            self.limits[of] = _with(self.limits[of], old + 1, used + np.cumsum(n))
+        if 2 * self.count > len(self.slots):
+            self.slots, old = np.full(1 << (4 * self.count).bit_length(), -1, np.int32), 0
+        self._settle(np.arange(old, self.count, dtype=np.int32))
+
+    def sizes(self, of: str, k: np.ndarray) -> np.ndarray:
+        return self.limits[of][k + 1] - self.limits[of][k]
+
+    def gather(self, of: str, k: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The ids or bytes of the stretches at these places, one after another."""
-        return _stretched(self.flat[of], self.begin[of][k], self.size[of][k])
+        return _stretched(self.flat[of], self.limits[of][k], sizes)
 
     def differ(self, k: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which stretches of data are not the ones at these places."""
         n = ends - starts
-        unlike = self.size["text"][k] != n
+        unlike = self.sizes("text", k) != n
         if unlike.any():  # lengths that differ say enough
             of = np.flatnonzero(~unlike)
             unlike[of] = self.differ(k[of], data, starts[of], ends[of])
             return unlike
-        ahead = np.cumsum(n) - n
-        wrong = self.gather("text", k) != _stretched(data, starts, n)
+        wrong = self.gather("text", k, n) != _stretched(data, starts, n)
         if wrong.any():
+            ahead = np.cumsum(n) - n
             unlike[np.searchsorted(ahead, np.flatnonzero(wrong), "right") - 1] = True
         return unlike
 
 
+def _with(held: np.ndarray, used: int, data: np.ndarray) -> np.ndarray:
+    """An array whose first values are used, with data behind them."""
+    if used + len(data) > len(held):
+        held = np.concatenate([held[:used], np.zeros(used + 2 * len(data), held.dtype)])
+    held[used : used + len(data)] = data
+    return held
+
+
 #: The normal form and the pieces of a tokenizer whose texts may be cut at blanks.
 NORMAL_FORM = {
     "type": "Sequence",
@@ -186,18 +219,66 @@ PIECES = {
 }
 
 
+#: What a byte of a text in small letters belongs to.  LEAD begins a letter of two bytes (Latin to U+027F, Cyrillic to
+#: U+047F); a byte of any other character that is not ASCII may be anything.
+BLANK, LETTER, DIGIT, OTHER, APOSTROPHE, UNKNOWN, LEAD = range(7)
+KINDS = np.full(256, UNKNOWN, np.uint8)
+KINDS[:128] = OTHER
+KINDS[[10, 32]], KINDS[97:123], KINDS[48:58], KINDS[39] = BLANK, LETTER, DIGIT, APOSTROPHE
+KINDS[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = LEAD
+
+
+def _meet(a: int, b: int) -> bool:
+    """Whether PIECES never have a piece with both of two neighbours, of kinds a and b, or one is a blank."""
+    if a == b or BLANK in (a, b):
+        return a != b
+    if UNKNOWN in (a, b) or {a, b} == {OTHER, APOSTROPHE}:
+        return False
+    return (a, b) != (APOSTROPHE, LETTER)  # as in "it's"
+
+
+CUTS = np.array([[_meet(a, b) for b in range(8)] for a in range(8)]).reshape(-1)
+
+
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """BLANK to UNKNOWN for each byte of whole characters."""
+    kinds = KINDS[raw]
+    lead = np.flatnonzero(kinds == LEAD)
+    if len(lead):
+        kinds[lead] = kinds[lead + 1] = LETTER
+        signs = lead[(raw[lead] == 0xC3) & (raw[lead + 1] & 0xDF == 0x97)]  # multiplication and division
+        kinds[signs] = kinds[signs + 1] = UNKNOWN
+    return kinds
+
+
+class Pieces(_words.Hasher):
+    """Cuts texts at blanks, and where letters, digits and other characters meet."""
+
+    def __init__(self):
+        super().__init__(KINDS == BLANK, lower_ascii=False)
+
+    def limits(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kinds = _kinds(raw)
+        turn = np.flatnonzero(CUTS[kinds[:-1] << 3 | kinds[1:]]) + 1
+        limits = np.concatenate([[0], turn, [len(raw)]])
+        own = np.flatnonzero(kinds[limits[:-1]] != BLANK)
+        return limits[own], limits[own + 1]
+
+
 class Encoder:
-    """A tokenizer of the tokenizers library that remembers what a stretch
-    between blanks encodes to.
+    """A tokenizer of the tokenizers library that remembers what the stretches
+    of a text encode to.
 
     Where the tokenizer has NORMAL_FORM and PIECES, white space never is part of
     a token and capitals encode like small letters, so texts are lower-cased
-    and cut at blanks; those that may hold a special token, or characters whose
-    small form depends on context or composition, are encoded as they are, and
-    so is every text of another tokenizer.  A new stretch of letters, perhaps
-    with a comma or stop behind, is one piece to the splitting rules and goes
-    to the model at once; others are encoded together, with a mark between
-    them.
+    and cut at blanks, and where a letter, a digit and another character meet,
+    which always are in different pieces but for a letter behind an apostrophe;
+    a character that may be of either kind is not cut off.  Texts that may hold
+    a special token, or characters whose small form depends on context or
+    composition, are encoded as they are, and so is every text of another
+    tokenizer.  A new stretch of letters is one piece to the splitting rules
+    and goes to the model at once; others are encoded together, with a mark
+    between them.
 
     Stretches are found by numpy for many texts at once, by 64-bit hashes; one
     of each is looked up, the ids of all are gathered by their places.  Every
@@ -215,16 +296,15 @@ class Encoder:
         self.end = array(self.code, [END_ID]).tobytes()
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.cuts = self._cuts_at_blanks()
-        self.stops = {stop: self.tokenizer.encode(stop, add_special_tokens=False).ids for stop in ",."}
-        breaks = np.zeros(256, bool)
-        breaks[[10, 32]] = True
-        self.hasher = _words.Hasher(breaks, lower_ascii=False)
+        self.hasher = Pieces()
         # byte-level models write a byte as the character of its number, or of 256 and up where that is not printable
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.shown = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
+        self.shown = np.arange(256, dtype="<u2")
+        others = np.setdiff1d(self.shown, shown)
+        self.shown[others] = 256 + np.arange(len(others))
 
     def _cuts_at_blanks(self) -> bool:
-        """Whether this is a tokenizer of the kind for which cutting at blanks is exact."""
+        """Whether this is a tokenizer of the kind for which cutting is exact."""
         t = self.tokenizer
         rules = lambda part: None if part is None else json.loads(part.__getstate__())
         special = all(x.content.startswith("<|") for x in t.get_added_tokens_decoder().values())
@@ -232,50 +312,36 @@ class Encoder:
         return alike and special and t.post_processor is None and t.truncation is None and t.padding is None and len(self.mark) == 1
 
     def _plain(self, text: str | None) -> bool:
-        """Whether a text may be cut at blanks; a null or empty one may."""
+        """Whether a text may be cut; a null or empty one may."""
         if not text:
             return True
-        return self.cuts and (
-            text.isascii() and "<|" not in text or not any(x in text for x in self.ODD) and unicodedata.is_normalized("NFC", text)
-        )
+        if not self.cuts or any(x in text for x in self.ODD):
+            return False
+        # a small letter may compose with a mark where its capital does not
+        return text.isascii() or all(unicodedata.is_normalized("NFC", x) for x in (text, text.lower()))
 
-    def _learn(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of new stretches, one after another, and how many each has."""
-        tokenize, odd = self.tokenizer.model.tokenize, self._odd(stretches)
-        stems: dict[str, list[int]] = {}
-        ids: list[int] = []
-        ends = []
-        for word in stretches:
-            got = odd.get(word)
-            if got is not None:
-                ids += got
-            else:
-                stop = self.stops.get(word[-1])
-                core = word if stop is None else word[:-1]
-                got = stems.get(core)
-                if got is None:
-                    shown = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.shown)
-                    got = stems[core] = [x.id for x in tokenize(shown)]
-                ids += got
-                if stop is not None:
-                    ids += stop
-            ends.append(len(ids))
-        return np.array(ids, self.type), np.diff(np.array(ends, np.int64), prepend=0)
-
-    def _odd(self, stretches: list[str]) -> dict[str, list[int]]:
-        """The ids of those stretches that are no plain word with a comma or stop behind at most."""
-        core = lambda word: word[:-1] if word[-1] in self.stops else word
-        small = lambda x: x.isascii() or x == x.lower() and unicodedata.is_normalized("NFC", x)
-        odd = [word for word in stretches if not ((c := core(word)).isalpha() and small(c))]
-        out = {word: self._ids_of(word) for word in odd if self.MARK in word}
-        odd = [word for word in odd if self.MARK not in word]
+        starts, tokenize = np.cumsum(lengths) - lengths, self.tokenizer.model.tokenize
+        words = np.logical_and.reduceat(_kinds(data) == LETTER, starts)
+        odd = np.flatnonzero(~words)
+        rest = iter(self._odd(_lines(_stretched(data, starts[odd], lengths[odd]), lengths[odd]).tobytes().decode("utf-8").split("\n")[:-1]))
+        shown = self.shown[_lines(data, lengths)].tobytes().decode("utf-16-le").split(chr(self.shown[10]))
+        found = [[x.id for x in tokenize(s)] if word else next(rest) for s, word in zip(shown, words.tolist())]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), self.type, int(sizes.sum())), sizes
+
+    def _odd(self, stretches: list[str]) -> list[list[int]]:
+        """The ids of each stretch that is no plain word."""
+        out = {word: self._ids_of(word) for word in stretches if self.MARK in word}
+        odd = [word for word in stretches if self.MARK not in word]
         for at in range(0, len(odd), 4096):
             part = odd[at : at + 4096]
             got = np.array(self._ids_of(f" {self.MARK} ".join(part)), np.int64)
             limits = [-1, *np.flatnonzero(got == self.mark[0]).tolist(), len(got)]
             listed = got.tolist()
             out.update((word, listed[a + 1 : b]) for word, a, b in zip(part, limits[:-1], limits[1:], strict=True))
-        return out
+        return [out[word] for word in stretches]
 
     def _ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -296,23 +362,24 @@ class Encoder:
         data = b"\n".join(parts) + b"\n"
         raw = np.frombuffer(data, np.uint8)
         starts, ends, stretch = self.hasher.words(data)
-        hashes, first, which = np.unique(stretch(starts, ends), return_index=True, return_inverse=True)
-        if len(self.known.hashes) > CACHE_WORDS:
+        hashes = stretch(starts, ends)
+        if self.known.count > CACHE_WORDS:
             self.known.clear()
-        k, hit = self.known.find(hashes)
-        if not hit.all():
-            new = first[~hit]
-            lengths = ends[new] - starts[new]
-            own = _stretched(raw, starts[new], lengths)
-            parted = np.insert(own, np.cumsum(lengths), 10).tobytes().decode("utf-8").split("\n")
-            self.known.add(hashes[~hit], own, lengths, *self._learn(parted[:-1]))
-            k, _ = self.known.find(hashes)
-        k = k[which]
+        k = self.known.find(hashes)
+        miss = np.flatnonzero(k < 0)
+        if len(miss):
+            new, first, which = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            first, old = miss[first], self.known.count
+            lengths = ends[first] - starts[first]
+            own = _stretched(raw, starts[first], lengths)
+            self.known.add(new, own, lengths, *self._learn(own, lengths))
+            k[miss] = old + which
         begins = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])]))
         for i in np.flatnonzero(self.known.differ(k, raw, starts, ends)):
             plain[int(np.searchsorted(begins, i, "right")) - 1] = False
-        ids = self.known.gather("ids", k).tobytes()
-        limits = np.concatenate([[0], np.cumsum(self.known.size["ids"][k])])[begins] * self.type.itemsize
+        sizes = self.known.sizes("ids", k)
+        ids = self.known.gather("ids", k, sizes).tobytes()
+        limits = np.concatenate([[0], np.cumsum(sizes)])[begins] * self.type.itemsize
         return [ids[a:b] if p else self._direct(t) for t, p, a, b in zip(texts, plain, limits[:-1].tolist(), limits[1:].tolist())]
 
 

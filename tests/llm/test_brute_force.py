@@ -440,6 +440,47 @@ def test_stretches_of_one_hash_are_told_apart(monkeypatch):
         assert [np.frombuffer(x, encoder.type).tolist() for x in encoder(texts)] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
+def test_a_word_is_learned_once_whatever_stands_beside_it():
+    encoder, learned = token_ids.Encoder(token_ids.tokenizer_path()), []
+    encoder.known = token_ids.Known(encoder.type)
+    learn = encoder._learn
+    encoder._learn = lambda data, lengths: learned.append(bytes(data)) or learn(data, lengths)
+    encoder(["zorbelink éxtraño", "x"])
+    encoder(["zorbelink, (Éxtraño) ZORBELINK!! zorbelink%%% zorbelink's éxtraño.7", "x"])
+    assert [b"zorbelink" in x or "éxtraño".encode() in x for x in learned] == [True, False]
+
+
+def test_pieces_equal_the_library():
+    """Texts of neighbours that the splitting rules treat in different ways."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, draw = token_ids.tokenizer_path(), random.Random(5)
+    encoder, plain = token_ids.Encoder(path), Tokenizer.from_file(path)
+    signs = [*"abstrevmld'''  ,.!?\"-(0129)\t\n\r\x01\x00\x0b\x1c\x85\xa0éñß×÷½²ªºµ—“’…дяЀﬁあ中한ŉǆſɿʀΩ😀", "̈", "́"]
+    signs += ["'s", "'re", "'ll", "É", "Я", "Ǆ", "T̈"]  # the last composes in small letters only
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 40))) for _ in range(3000)]
+    letters = [chr(c) for c in [*range(1, 0x280), *range(0x400, 0x480)]]
+    texts += ["".join(f"x{draw.choice(letters)}{draw.choice(letters)}y '{draw.choice(letters)}'s" for _ in range(8)) for _ in range(1000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        got = [np.frombuffer(x, encoder.type).tolist() for x in encoder(part)]
+        assert got == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in part]
+
+
+def test_known_places_with_clashing_slots():
+    """Fifty hashes a slot, more of them than the table first holds."""
+    known = token_ids.Known(np.dtype("<u2"))
+    for n in (3, 1, 5000, 900):
+        old = known.count
+        hashes = np.arange(old, old + n, dtype=np.uint64)
+        hashes = hashes % np.uint64(50) << np.uint64(40) | hashes // np.uint64(50)
+        assert (known.find(hashes) < 0).all()
+        known.add(hashes, np.full(n, 97, np.uint8), np.ones(n, np.int64), np.arange(n).astype("<u2"), np.ones(n, np.int64))
+        assert known.find(hashes).tolist() == list(range(old, old + n))
+
+
 def test_token_files_of_a_hot_id(spark):
     rows = [(7, "same words here")] * 500 + [(None, f"n{i}") for i in range(40)] + [(8, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit(1)).withColumn("_row", F.lit(2)).repartition(6)
