@@ -39,6 +39,19 @@ def test_query_without_sql(spark, name):
     assert queries.ALL[name](spark, SF).count() > 0
 
 
+def test_ranked_types_tries_each_marker_once(spark):
+    """The optimizer must not write out the list of found markers wherever it is used."""
+    from noticelab import vocabulary
+
+    plan = queries.ALL["ranked_types"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    tried = 0
+    while not plan.children().isEmpty():  # texts are folded with two patterns more
+        shown = [plan.expressions().apply(i).sql() for i in range(plan.expressions().size())]
+        tried += sum(x.upper().count("RLIKE") for x in shown)
+        plan = plan.children().head()
+    assert len(vocabulary.MARKERS) <= tried <= len(vocabulary.MARKERS) + 4
+
+
 def plain_partial(a, b):
     from noticelab.functions.similarity import ratio
 
