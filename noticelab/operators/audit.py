@@ -89,10 +89,9 @@ def review_split(fields: DataFrame, specs: DataFrame, notices: DataFrame, for_re
 
 def curate_notes(notes: Column, evidence: Column) -> Column:
     """Notes worth reading: each once, without those that only repeat the evidence."""
-    tight = text.squash(evidence)
-    return F.array_distinct(
-        F.filter(notes, lambda n: (F.trim(n) != "") & ~F.coalesce(text.squash(n).contains(tight) & (tight != ""), F.lit(False)))
-    )
+    repeats = lambda n, tight: F.coalesce((tight != "") & text.squash(n).contains(tight), F.lit(False))
+    once = F.array_distinct(notes)
+    return text.let(text.squash(evidence), lambda tight: F.filter(once, lambda n: (F.trim(n) != "") & ~repeats(n, tight)))
 
 
 def plain_form(c: Column) -> Column:
@@ -120,9 +119,13 @@ def term(code: Column, terms: dict[str, str]) -> Column:
 
 
 def in_words(prose: Column, terms: dict[str, str]) -> Column:
-    """A text with every code in it replaced by its word, longer codes first."""
+    """A text with every code in it replaced by its word, longer codes first; a pattern is tried only where its code stands."""
+    def put(prose: Column, code: str, word: str) -> Column:
+        replaced = lambda said: F.regexp_replace(said, rf"\b{code}\b", word.replace("$", r"\$"))
+        return text.let(prose, lambda said: F.when(said.contains(code), replaced(said)).otherwise(said))
+
     for code, word in sorted(terms.items(), key=lambda x: -len(x[0])):
-        prose = F.regexp_replace(prose, rf"\b{code}\b", word.replace("$", r"\$"))
+        prose = put(prose, code, word)
     return prose
 
 
