@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+from re import _parser as regex
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +19,7 @@ def marker_hits(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS)
     text holds; the vocabulary is folded into one expression, not joined."""
     whens = [
         F.when(
-            F.col("_n").rlike(text.spaced_pattern(p)),
+            _holds(F.col("_n"), p),
             F.struct(
                 F.lit(t).alias("event_type"),
                 F.lit(i).alias("ordinal"),
@@ -39,7 +44,42 @@ def marker_scores(docs: DataFrame, column: str, markers: list[tuple] = v.MARKERS
 def _found(normal: Column, markers: list[tuple]) -> Column:
     """Places of the markers that a text in normal form holds.  Both are in
     small letters, so that case need not be folded again."""
-    return F.array_compact(F.array(*[F.when(normal.rlike(_pattern(p)), F.lit(i)) for i, (_, p, _, _) in enumerate(markers)]))
+    return F.array_compact(F.array(*[F.when(_holds(normal, p), F.lit(i)) for i, (_, p, _, _) in enumerate(markers)]))
+
+
+def _holds(normal: Column, marker: str) -> Column:
+    """Whether a text in normal form holds a marker; its pattern is tried only
+    where one of the words stands that it cannot match without."""
+    found, words = normal.rlike(_pattern(marker)), _words(_parsed(marker))
+    return reduce(or_, [normal.contains(w) for w in words]) & found if words else found
+
+
+def _parsed(marker: str) -> list:
+    try:
+        return list(regex.parse(text.spaced_pattern(marker).removeprefix("(?i)"))) if marker == marker.lower() else []
+    except re.error:
+        return []
+
+
+def _words(parsed: list) -> list[str]:
+    """Strings one of which is in every text that a parsed pattern matches; none, if that is not known."""
+    run, best = "", []
+    for kind, x in [*parsed, (None, None)]:
+        if kind is regex.LITERAL and not chr(x).isspace():
+            run += chr(x)
+            continue
+        if kind is regex.AT:
+            continue
+        choices = [[run]] if run else []
+        if kind is regex.BRANCH:
+            sides = [_words(list(side)) for side in x[1]]
+            choices.append([w for side in sides for w in side] if all(sides) else [])
+        elif kind is regex.SUBPATTERN:
+            choices.append(_words(list(x[3])))
+        elif kind in (regex.MAX_REPEAT, regex.MIN_REPEAT) and x[0] > 0:
+            choices.append(_words(list(x[2])))
+        best, run = max([best, *choices], key=lambda words: min(map(len, words), default=0)), ""
+    return best
 
 
 def _pattern(marker: str) -> str:
