@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,23 +19,20 @@ from ..sources.staging import staged
 FUZZY = 0.85
 # Amounts and percentages, taken greedily for the repair to judge.
 MONEY, PERCENT = r"r\$\s*[\d.,]+", r"\d[\d.,\s]*%"
+KNOWN = 100_000  #: labels whose most similar anchor a task keeps
 ITEMS = 2000  #: evidences that go with a plan at once
 
 
 def match_anchor(pairs: DataFrame, anchors: dict[str, list[str]] = v.ANCHORS) -> DataFrame:
     """The field that a label announces: the longest anchor it contains, ties in
-    the anchors' order.  The anchors are literals: no join."""
-    label, tight = F.col("_label"), F.col("_tight")
-    items = [(f, a) for f, names in anchors.items() for a in names]
-    found = [
-        F.when(
-            label.contains(a) | tight.contains(_squash(a)),
-            F.struct(F.lit(-len(a)).alias("size"), F.lit(i).alias("ordinal"), F.lit(f).alias("field"), F.lit(a).alias("anchor")),
-        ) for i, (f, a) in enumerate(items)
-    ]
-    rows = pairs.withColumn("_label", text.normalize(F.col("label"))).withColumn("_tight", text.squash(F.col("label")))
-    rows = rows.withColumn("_best", F.array_min(F.array_compact(F.array(*found))))
-    return rows.withColumn("field", F.col("_best.field")).withColumn("anchor", F.col("_best.anchor")).drop("_label", "_tight", "_best")
+    the anchors' order.  The anchors are one literal, the best first: no join."""
+    items = sorted(((f, a) for f, names in anchors.items() for a in names), key=lambda x: -len(x[1]))
+    names = [F.struct(F.lit(f).alias("field"), F.lit(a).alias("anchor"), F.lit(_squash(a)).alias("tight")) for f, a in items]
+    # a column named in the body of a loop may be computed there, once for each anchor: let binds it before
+    held = lambda n, t: F.filter(F.array(*names), lambda x: n.contains(x["anchor"]) | t.contains(x["tight"]))
+    best = text.let(text.normalize(F.col("label")), lambda n: text.let(text.tighten(n), lambda t: F.get(held(n, t), F.lit(0))))
+    rows = pairs.withColumn("_best", best)
+    return rows.withColumn("field", F.col("_best.field")).withColumn("anchor", F.col("_best.anchor")).drop("_best")
 
 
 def _squash(anchor: str) -> str:
@@ -44,25 +43,22 @@ def _squash(anchor: str) -> str:
 
 def match_anchor_fuzzy(pairs: DataFrame, anchors: dict[str, list[str]] = v.ANCHORS) -> DataFrame:
     """As `match_anchor`; a label that contains no anchor takes the most similar
-    one of at least FUZZY, by an Arrow batch over the distinct such labels."""
+    one of at least FUZZY, by Arrow batches.  Rows stay where they are: a label
+    that many rows share is compared once a task, not moved to one of them."""
     items = [(f, a, _squash(a)) for f, names in anchors.items() for a in names]
 
     @F.pandas_udf("struct<field: string, anchor: string>")
-    def nearest(tight: pd.Series) -> pd.DataFrame:
-        best = {}
-        for t in tight.unique():
-            score, k = max((ratio(t or "", x[2]), -i) for i, x in enumerate(items))
-            best[t] = items[-k][:2] if score >= FUZZY else (None, None)
-        return pd.DataFrame([best[t] for t in tight], columns=["field", "anchor"])
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @lru_cache(KNOWN)
+        def best(t: str) -> tuple:
+            score, k = max((ratio(t, x[2]), -i) for i, x in enumerate(items))
+            return items[-k][:2] if score >= FUZZY else (None, None)
+
+        for tight in batches:
+            yield pd.DataFrame([(None, None) if t is None else best(t) for t in tight], columns=["field", "anchor"])
 
     rows = match_anchor(pairs, anchors)
-    near = (
-        rows.where("field is null and label is not null")
-        .select("label")
-        .distinct()
-        .withColumn("_near", nearest(text.squash(F.col("label"))))
-    )
-    rows = rows.join(near, "label", "left")
+    rows = rows.withColumn("_near", nearest(F.when(F.col("field").isNull(), text.squash(F.col("label")))))
     return (
         rows.withColumn("field", F.coalesce("field", "_near.field"))
         .withColumn("anchor", F.coalesce("anchor", "_near.anchor"))
@@ -91,21 +87,21 @@ def same_value(a: Column, b: Column) -> Column:
 def locate(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each evidence's (doc_id, evidence_id, evidence, value) best block and quality.
     Normal forms are made once a block and once an evidence, before they meet."""
-    tight = lambda n: F.regexp_replace(n, text.SQUASHED, "")
     asked = evidence.where(F.trim("evidence") != "").select(
         "doc_id",
         "evidence_id",
         text.normalize(F.col("evidence")).alias("ne"),
         text.squash(F.col("value")).alias("sv"),
     )
-    asked = asked.withColumn("se", tight(F.col("ne")))
+    asked = asked.withColumn("se", text.tighten(F.col("ne")))
     held = blocks.select("doc_id", "block_order", text.normalize(F.col("text")).alias("nb"))
-    held = held.withColumn("sb", tight(F.col("nb")))
+    held = held.withColumn("sb", text.tighten(F.col("nb")))
     ne, se, sv, nb, sb = map(F.col, ("ne", "se", "sv", "nb", "sb"))
     part = 0.6 * F.length(sb) / F.greatest(F.length(se), F.lit(1))
     inside = F.when(F.coalesce((sv != "") & sb.contains(sv), F.lit(False)), F.greatest(part, F.lit(0.9))).otherwise(part)
     quality = F.when(nb.contains(ne), 1.0).when(sb.contains(se), 0.85).when((sb != "") & se.contains(sb), inside)
-    found = asked.join(held, "doc_id").withColumn("quality", quality).where("quality > 0")
+    # sizes guessed from the columns of a compressed table would let one side of this join go through the driver
+    found = asked.join(held.hint("merge"), "doc_id").withColumn("quality", quality).where("quality > 0")
     best = F.min_by(F.struct("block_order", "quality"), F.struct(-F.col("quality"), "block_order"))
     found = found.groupBy("doc_id", "evidence_id").agg(best.alias("best"))
     return found.select("doc_id", "evidence_id", "best.block_order", F.round("best.quality", 4).alias("quality"))
@@ -113,7 +109,6 @@ def locate(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def grounding(evidence: Column, raw: Column, strict: Column) -> Column:
     """How a text holds an evidence: as it is, squashed, or with confused characters (not if strict)."""
-    tight = lambda n: F.regexp_replace(n, text.SQUASHED, "")
     loose = lambda n: F.translate(n, "0158|", "olsbl")
 
     def decide(e: Column, r: Column, se: Column, sr: Column) -> Column:
@@ -125,7 +120,7 @@ def grounding(evidence: Column, raw: Column, strict: Column) -> Column:
             .otherwise("absent")
         )
 
-    squashed = lambda e, r: text.let(tight(e), lambda se: text.let(tight(r), lambda sr: decide(e, r, se, sr)))
+    squashed = lambda e, r: text.let(text.tighten(e), lambda se: text.let(text.tighten(r), lambda sr: decide(e, r, se, sr)))
     return text.let(text.normalize(evidence), lambda e: text.let(text.normalize(raw), lambda r: squashed(e, r)))
 
 
@@ -147,21 +142,27 @@ def ground(fields: DataFrame) -> DataFrame:
     return near.unionByName(rows.where(~again).withColumn("near", F.lit(None).cast("double")))
 
 
+def _holding(block: Column):
+    """Of items those that a text holds."""
+    return lambda lr: F.filter(block, lambda x: lr.contains(x["le"]))
+
+
 def find_evidence(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, status) of the documents (doc_id, text) that hold items
     (item_id, text).  Items are a stated set: ITEMS of them at a time go with
     the plan, every document is held against each, and is normalized once."""
     loose = lambda s: F.translate(s, "0158|", "olsbl")
-    tight = lambda n: F.regexp_replace(n, text.SQUASHED, "")
-    rows = items.select("item_id", text.normalize(F.col("text")).alias("e")).withColumn("se", tight(F.col("e"))).where("se <> ''")
+    rows = items.select("item_id", text.normalize(F.col("text")).alias("e")).withColumn("se", text.tighten(F.col("e"))).where("se <> ''")
     rows = rows.withColumn("le", loose(F.col("se"))).orderBy("item_id", "e")
-    held = docs.select("doc_id", text.normalize(F.col("text")).alias("r")).withColumn("sr", tight(F.col("r")))
-    held = staged(held, "texts").withColumn("lr", loose(F.col("sr")))
+    held = docs.select("doc_id", text.normalize(F.col("text")).alias("r")).withColumn("sr", text.tighten(F.col("r")))
+    held = staged(held, "texts")
     kind = "array<struct<item_id: bigint, e: string, se: string, le: string>>"
     found, wanted = None, [r.asDict() for r in rows.collect()]
     for at in range(0, max(len(wanted), 1), ITEMS):
         block = F.from_json(F.lit(json.dumps(wanted[at : at + ITEMS])), kind)
-        got = held.select("doc_id", "r", "sr", F.explode(F.filter(block, lambda x: F.col("lr").contains(x["le"]))).alias("x"))
+        # a column named in the body of a loop may be computed there, once for each item: let binds it before
+        hits = text.let(loose(F.col("sr")), _holding(block))
+        got = held.select("doc_id", "r", "sr", F.explode(hits).alias("x"))
         status = (
             F.when(F.col("r").contains(F.col("x.e")), "exact")
             .when(F.col("sr").contains(F.col("x.se")), "normalized")
@@ -370,13 +371,9 @@ def uncorroborated(fields: DataFrame) -> DataFrame:
 def kinds_holding(value: Column, reads: Column) -> Column:
     """The mechanisms (keys of a map of texts) whose text holds a value, strongest first."""
     order = F.array(*map(F.lit, v.KINDS))
-    return F.filter(
-        order,
-        lambda k: F.coalesce(
-            text.squash(F.get(F.map_values(F.map_filter(reads, lambda a, _: a == k)), F.lit(0))).contains(text.squash(value)),
-            F.lit(False),
-        ) & (text.squash(value) != ""),
-    )
+    read = lambda k: text.squash(F.get(F.map_values(F.map_filter(reads, lambda a, _: a == k)), F.lit(0)))
+    held = lambda tight: F.filter(order, lambda k: F.coalesce(read(k).contains(tight), F.lit(False)) & (tight != ""))
+    return text.let(text.squash(value), held)
 
 
 def sweep_accept(returned: DataFrame, asked: DataFrame, reads: DataFrame, level_of) -> DataFrame:
