@@ -49,3 +49,13 @@ def test_a_marker_needs_one_of_its_words():
             if re.search(text.spaced_pattern(pattern), example):
                 assert any(w in example for w in words(pattern))
 
+
+
+@pytest.mark.parametrize("name", ["triage_documents", "failed_documents", "records", "document_lines", "justifications"])
+def test_verdicts_come_from_one_lookup_without_a_row_for_each_reason(spark, name):
+    """The two lists that are unfolded are the keys of notices and of the reference base."""
+    assert len(re.findall(r"\bGenerate\b", plan(spark, name, executed=False))) == 2
+
+
+def test_cut_by_looks_nothing_up(spark):
+    assert "row_idx" not in plan(spark, "cut_by", executed=False)
