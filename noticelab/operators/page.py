@@ -27,11 +27,10 @@ def lent(blocks: DataFrame) -> DataFrame:
 def visual_rows(blocks: DataFrame) -> DataFrame:
     """Blocks of one height joined: texts from left to right, the box around them, the weakest level."""
     keys = [*PAGE, "reader"]
-    level = [F.col("level")] if "level" in blocks.columns else [F.lit(None).cast("string").alias("level")]
-    placed = reading.cluster_rows(blocks).join(
-        blocks.select(*keys, "block_order", "kind", "text", "x0", "y0", "x1", "y1", *level),
-        [*keys, "block_order"],
-    )
+    if "level" not in blocks.columns:
+        blocks = blocks.withColumn("level", F.lit(None).cast("string"))
+    # a block's columns go with it through the fold, so that rows need not be joined with blocks again
+    placed = reading.cluster_rows(blocks, carried=("kind", "text", "x0", "y0", "x1", "y1", "level"))
     rows = placed.groupBy(*keys, "kind", "row_index").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "text"))), lambda x: x["text"]), " ").alias("text"),
         reading.weakest(F.col("level")).alias("level"),

@@ -5,6 +5,9 @@ blocks: doc_id, page, reader, kind, block_order, text, x0, y0, x1, y1, row, col.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,73 +141,77 @@ def spatial_match(rows: DataFrame, order: list[str]) -> DataFrame:
 def lend_geometry(cells: DataFrame) -> DataFrame:
     """Boxes for cells without one of their own (pending): from the first other
     reader (by reader_ord) whose grid has the same shape, at the same row and
-    column, if its cell overlaps the pending box."""
+    column, if its cell overlaps the pending box.  A page is gathered once, and
+    its cells ask each other where it stands: no join."""
     keys = ["doc_id", "page"]
-    rows = cells.join(grid_shape(cells), [*keys, "reader"]).withColumn("box", F.struct("x0", "y0", "x1", "y1"))
-    asks = rows.where("pending").select(*keys, "row", "col", "n_rows", "n_cols", F.col("reader").alias("asker"), F.col("box").alias("a"))
-    gives = rows.where("not pending").select(
-        *keys,
-        "row",
-        "col",
-        "n_rows",
-        "n_cols",
-        F.col("reader").alias("lender"),
-        "reader_ord",
-        F.col("box").alias("b"),
-    )
-    offers = (
-        asks.join(gives, [*keys, "row", "col", "n_rows", "n_cols"])
-        .where("asker <> lender")
-        .where(numbers.overlap("a", "b") >= OVERLAP)
-    )
-    donor = Window.partitionBy(*keys, "asker").orderBy("reader_ord")
-    lent = (
-        offers.withColumn("_n", F.dense_rank().over(donor))
-        .where("_n = 1")
-        .select(*keys, F.col("asker").alias("reader"), "row", "col", F.col("b").alias("lent"))
-    )
-    out = rows.join(lent, [*keys, "reader", "row", "col"], "left")
+    own = Window.partitionBy(*keys, "reader")
+    rows = cells.withColumn("n_rows", F.max("row").over(own)).withColumn("n_cols", F.max("col").over(own))
+    place = F.coalesce("reader_ord", F.lit(-(2**31))).alias("place")
+    cell = F.struct("reader", place, "row", "col", "n_rows", "n_cols", "pending", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    pages = rows.groupBy(*keys).agg(F.collect_list(cell).alias("cells"))
+
+    def offers(a: Column) -> Column:
+        same = lambda g: reduce(and_, [g[c] == a[c] for c in ("row", "col", "n_rows", "n_cols")])
+        fit = lambda g: ~g["pending"] & same(g) & (g["reader"] != a["reader"]) & (numbers.overlap(a["box"], g["box"]) >= OVERLAP)
+        made = lambda g: F.struct(a["reader"].alias("reader"), a["row"].alias("row"), a["col"].alias("col"), g["place"].alias("place"), g["box"].alias("box"))
+        return F.transform(F.filter("cells", fit), made)
+
+    def first(made: Column) -> Column:
+        least = lambda o: F.array_min(F.transform(F.filter(made, lambda x: x["reader"] == o["reader"]), lambda x: x["place"]))
+        return F.filter(made, lambda o: o["place"] == least(o))
+
+    lent = text.let(F.flatten(F.transform(F.filter("cells", lambda c: c["pending"]), offers)), first)
+    out = pages.select(*keys, F.explode("cells").alias("c"), lent.alias("lent"))
+    mine = lambda o: (o["reader"] == F.col("c.reader")) & (o["row"] == F.col("c.row")) & (o["col"] == F.col("c.col"))
+    out = out.select(*keys, "c", F.explode_outer(F.filter("lent", mine)).alias("o"))
     return out.select(
         *keys,
-        "reader",
-        "row",
-        "col",
-        F.coalesce("lent", "box").alias("box"),
-        (F.col("pending") & F.col("lent").isNull()).alias("pending"),
-        F.col("lent").isNotNull().alias("was_lent"),
+        "c.reader",
+        "c.row",
+        "c.col",
+        F.coalesce("o.box", "c.box").alias("box"),
+        (F.col("c.pending") & F.col("o").isNull()).alias("pending"),
+        F.col("o").isNotNull().alias("was_lent"),
     )
 
 
-def cluster_rows(blocks: DataFrame, chained: bool = False) -> DataFrame:
-    """Visual rows of a page: (doc_id, page, reader, block_order, row_index, col_index, n_cols).
+def cluster_rows(blocks: DataFrame, chained: bool = False, carried: tuple = ()) -> DataFrame:
+    """Visual rows of a page: (doc_id, page, reader, block_order, row_index,
+    col_index, n_cols), and the blocks' columns that are to be carried along.
 
     From the top, a block joins the first row whose seed (chained: whose last
     block) shares enough height with it, or begins a row.  The order matters,
     so this is a fold over each page's blocks, which are few."""
     keys = ["doc_id", "page", "reader"]
-    item = F.struct("y0", *([] if chained else ["x0"]), "block_order", *(["x0"] if chained else []), "y1", "x1")
+    more = [F.struct(*carried).alias("carried")] if carried else []
+    item = F.struct("y0", *([] if chained else ["x0"]), "block_order", *(["x0"] if chained else []), "y1", "x1", *more)
     pages = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
     # the seed's or last block's height, and the members from the left
-    kind = "array<struct<seed: struct<y0: double, y1: double>, members: array<struct<x0: double, block_order: int>>>>"
+    held = ", ".join(f"`{c}`: {blocks.schema[c].dataType.simpleString()}" for c in carried)
+    member = "x0: double, block_order: int" + (f", carried: struct<{held}>" if carried else "")
+    kind = f"array<struct<seed: struct<y0: double, y1: double>, members: array<struct<{member}>>>>"
 
     def step(rows: Column, b: Column) -> Column:
         near = F.transform(rows, lambda r, i: F.when(numbers.row_overlap(r["seed"], b) >= SAME_ROW, i))
         at = F.array_min(near)
-        own = F.struct(b["x0"].cast("double").alias("x0"), b["block_order"].cast("int").alias("block_order"))
+        parts = [b["x0"].cast("double").alias("x0"), b["block_order"].cast("int").alias("block_order")]
+        own = F.struct(*parts, *([b["carried"].alias("carried")] if carried else []))
         here = F.struct(b["y0"].cast("double").alias("y0"), b["y1"].cast("double").alias("y1"))
-        joined = F.transform(
+        joined = lambda at: F.transform(
             rows,
             lambda r, i: F.when(
                 i == at,
                 F.struct((here if chained else r["seed"]).alias("seed"), F.concat(r["members"], F.array(own)).alias("members")),
             ).otherwise(r),
         )
-        return F.when(at.isNull(), F.concat(rows, F.array(F.struct(here.alias("seed"), F.array(own).alias("members"))))).otherwise(joined)
+        begun = F.concat(rows, F.array(F.struct(here.alias("seed"), F.array(own).alias("members"))))
+        return text.let(at, lambda at: F.when(at.isNull(), begun).otherwise(joined(at)))
 
     folded = pages.select(*keys, F.aggregate("items", F.array().cast(kind), step).alias("rows"))
-    out = folded.select(*keys, F.posexplode("rows").alias("row_index", "r")).withColumn("n_cols", F.size("r.members"))
+    # an inner explode adds a filter on the list, in which the fold is made again; no page is without a row
+    out = folded.select(*keys, F.posexplode_outer("rows").alias("row_index", "r")).withColumn("n_cols", F.size("r.members"))
     out = out.select(*keys, "row_index", "n_cols", F.posexplode(F.array_sort("r.members")).alias("col_index", "m"))
-    return out.select(*keys, "m.block_order", "row_index", "col_index", "n_cols")
+    return out.select(*keys, "m.block_order", "row_index", "col_index", "n_cols", *[f"m.carried.{c}" for c in carried])
 
 
 def table_roles(blocks: DataFrame) -> DataFrame:

@@ -59,3 +59,7 @@ def test_verdicts_come_from_one_lookup_without_a_row_for_each_reason(spark, name
 
 def test_cut_by_looks_nothing_up(spark):
     assert "row_idx" not in plan(spark, "cut_by", executed=False)
+
+
+def test_lending_shuffles_lines_once(spark):
+    assert len(re.findall(r"\bExchange\b", plan(spark, "cell_geometry_lending"))) == 1
